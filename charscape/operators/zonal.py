@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from charscape.constants import (
@@ -120,20 +120,36 @@ def burnt_ha() -> Column:
     return sum((F.col(c) for c in BURNT_HA[1:]), F.col(BURNT_HA[0]))
 
 
+def _totals() -> dict[str, Column]:
+    return {
+        "park_ha": F.sum("total_ha"),
+        "burnt_ha": F.sum(burnt_ha()),
+        "unburnt_ha": F.sum("unburned_ha"),
+    }
+
+
 def park_totals(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Area and burnt area of all types together."""
-    return table.groupBy(*by).agg(
-        F.sum("total_ha").alias("park_ha"), F.sum(burnt_ha()).alias("burnt_ha")
-    )
+    """Area, burnt and unburnt area of all types together."""
+    return table.groupBy(*by).agg(*[c.alias(name) for name, c in _totals().items()])
 
 
 def with_totals(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Totals beside each type: scalar subqueries, or an equi-join when there are groups."""
-    totals = park_totals(table, by)
+    """Total area and burnt area beside each type.
+
+    Without groups a scalar subquery takes all totals at once. It reads every column of the
+    table, so its plan down to the last shuffle equals that of the table itself and Spark reuses
+    the shuffle: observations are scanned once. With groups a window over the few types of each
+    group does the same.
+    """
     if by:
-        return table.join(totals, list(by), "left")
+        window = Window.partitionBy(*by)
+        return table.withColumns(
+            {name: c.over(window) for name, c in _totals().items() if name != "unburnt_ha"}
+        )
+    totals = table.agg(F.struct(*[c.alias(name) for name, c in _totals().items()]).alias("all"))
+    everything = totals.scalar()
     return table.withColumns(
-        {name: totals.select(name).scalar() for name in ("park_ha", "burnt_ha")}
+        {"park_ha": everything["park_ha"], "burnt_ha": everything["burnt_ha"]}
     )
 
 

@@ -212,10 +212,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .distinct()
         .select(
             "fire_event_name",
-            F.explode(F.sequence(F.lit(0), F.lit(JOBS_PER_EVENT - 1)))
-            .cast("string")
-            .alias("job_id"),
+            F.explode(F.sequence(F.lit(0), F.lit(JOBS_PER_EVENT - 1))).alias("job"),
         )
+        .select("fire_event_name", F.col("job").cast("string").alias("job_id"))
     )
 
 
