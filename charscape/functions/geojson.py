@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from charscape.constants import STAC_VERSION
+from charscape.functions.staging import stage
+from charscape.functions.timeparse import utc_text
 
 # Reasons in the order they are tested.
 MALFORMED = "malformed json"
@@ -20,61 +20,57 @@ OPEN_RING = "ring not closed"
 _COORDINATES = "array<array<array<double>>>"
 
 
-@dataclass(frozen=True)
-class ParsedPolygon:
-    reason: Column
-    rings: Column
-
-    @property
-    def is_valid(self) -> Column:
-        return self.reason.isNull()
+def parse_polygons(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``rings``, and ``reason`` where the text holds no valid polygon.
 
-
-def parse_polygon(text: Column) -> ParsedPolygon:
-    """A Polygon, bare, in a Feature, or in the first feature of a collection."""
-    document = F.try_parse_json(text)
+    Accepted are a Polygon, bare, in a Feature, or in the first feature of a collection.
+    """
+    document = F.col("_document")
     nested = F.coalesce(
         F.try_variant_get(document, "$.geometry", "variant"),
         F.try_variant_get(document, "$.features[0].geometry", "variant"),
+        document,
     )
-    shape = F.when(nested.isNotNull(), nested).otherwise(document)
-    kind = F.try_variant_get(shape, "$.type", "string")
-    coordinates = F.try_variant_get(shape, "$.coordinates", _COORDINATES)
+    coordinates = F.col("_coordinates")
 
     def any_ring(test) -> Column:
         return F.exists(coordinates, test)
 
+    def without_xy(position: Column) -> Column:
+        return F.get(position, F.lit(0)).isNull() | F.get(position, F.lit(1)).isNull()
+
     def first_differs_from_last(ring: Column) -> Column:
         first, last = F.get(ring, F.lit(0)), F.element_at(ring, -1)
         return (F.get(first, F.lit(0)) != F.get(last, F.lit(0))) | (
             F.get(first, F.lit(1)) != F.get(last, F.lit(1))
         )
 
+    def point(position: Column) -> Column:
+        return F.struct(
+            F.get(position, F.lit(0)).alias("x"), F.get(position, F.lit(1)).alias("y")
+        )
+
     reason = (
         F.when(document.isNull(), F.lit(MALFORMED))
-        .when(kind.isNull() | (kind != "Polygon"), F.lit(NOT_POLYGON))
+        .when(F.col("_kind").isNull() | (F.col("_kind") != "Polygon"), F.lit(NOT_POLYGON))
         .when(coordinates.isNull() | (F.size(coordinates) == 0), F.lit(NO_COORDINATES))
         .when(any_ring(lambda r: F.size(r) < 4), F.lit(SHORT_RING))
-        .when(
-            any_ring(
-                lambda r: F.exists(
-                    r, lambda p: F.get(p, F.lit(0)).isNull() | F.get(p, F.lit(1)).isNull()
-                )
-            ),
-            F.lit(SHORT_POSITION),
-        )
+        .when(any_ring(lambda r: F.exists(r, without_xy)), F.lit(SHORT_POSITION))
         .when(any_ring(first_differs_from_last), F.lit(OPEN_RING))
     )
-    rings = F.transform(
-        coordinates,
-        lambda ring: F.transform(
-            ring,
-            lambda p: F.struct(
-                F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")
-            ),
-        ),
+    rings = F.transform(coordinates, lambda ring: F.transform(ring, point))
+    parsed = stage(df, {"_document": F.try_parse_json(F.col(text))})
+    parsed = stage(parsed, {"_shape": nested})
+    parsed = stage(
+        parsed,
+        {
+            "_kind": F.try_variant_get("_shape", "$.type", "string"),
+            "_coordinates": F.try_variant_get("_shape", "$.coordinates", _COORDINATES),
+        },
     )
-    return ParsedPolygon(reason, F.when(reason.isNull(), rings))
+    parsed = stage(parsed, {"reason": reason})
+    parsed = stage(parsed, {"rings": F.when(F.col("reason").isNull(), rings)})
+    return parsed.drop("_document", "_shape", "_kind", "_coordinates")
 
 
 def polygon_struct(rings: Column) -> Column:
@@ -90,6 +86,21 @@ def polygon_text(rings: Column) -> Column:
     return F.to_json(polygon_struct(rings))
 
 
+def box_text(bounds: dict[str, Column]) -> Column:
+    """The rectangle of a bounding box as a Polygon."""
+    corners = (
+        ("minx", "miny"),
+        ("maxx", "miny"),
+        ("maxx", "maxy"),
+        ("minx", "maxy"),
+        ("minx", "miny"),
+    )
+    ring = F.array(*[F.array(bounds[x], bounds[y]) for x, y in corners])
+    return F.to_json(
+        F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+    )
+
+
 def feature_struct(rings: Column, properties: Column) -> Column:
     return F.struct(
         F.lit("Feature").alias("type"),
@@ -122,8 +133,6 @@ def collection_text(
 
 def item_feature_text(item_columns: set[str]) -> Column:
     """One catalogue item as a Feature document."""
-    from charscape.functions.timeparse import utc_text
-
     optional = [
         F.col(name)
         for name in ("title", "description", "boundary_type")

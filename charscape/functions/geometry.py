@@ -131,25 +131,47 @@ def contains_point(edges: Column, x: Column, y: Column) -> Column:
 
 
 def edge_meets_box(
-    e: Column, minx: Column, miny: Column, maxx: Column, maxy: Column
+    e: Column, minx: Column, miny: Column, maxx: Column, maxy: Column, closed: bool = False
 ) -> Column:
-    """Segment against open box by separating axes: x, y and the segment's normal."""
+    """Segment against box by separating axes: x, y and the segment's normal.
+
+    An open box needs a piece of the segment inside; a closed one is met by contact.
+    """
     dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
     offset = ((minx + maxx) / 2 - e["x1"]) * dy - ((miny + maxy) / 2 - e["y1"]) * dx
     reach = ((maxx - minx) * F.abs(dy) + (maxy - miny) * F.abs(dx)) / 2
-    return (
-        (F.least(e["x1"], e["x2"]) < maxx)
-        & (F.greatest(e["x1"], e["x2"]) > minx)
-        & (F.least(e["y1"], e["y2"]) < maxy)
-        & (F.greatest(e["y1"], e["y2"]) > miny)
-        & (F.abs(offset) < reach)
+    pairs = (
+        (F.least(e["x1"], e["x2"]), maxx),
+        (minx, F.greatest(e["x1"], e["x2"])),
+        (F.least(e["y1"], e["y2"]), maxy),
+        (miny, F.greatest(e["y1"], e["y2"])),
+        (F.abs(offset), reach),
     )
+    return all_of([low <= high if closed else low < high for low, high in pairs])
 
 
 def edges_meet_box(
-    edges: Column, minx: Column, miny: Column, maxx: Column, maxy: Column
+    edges: Column,
+    minx: Column,
+    miny: Column,
+    maxx: Column,
+    maxy: Column,
+    closed: bool = False,
 ) -> Column:
-    return F.exists(edges, lambda e: edge_meets_box(e, minx, miny, maxx, maxy))
+    return F.exists(edges, lambda e: edge_meets_box(e, minx, miny, maxx, maxy, closed))
+
+
+def polygon_meets_box(edges: Column, box: dict[str, Column]) -> Column:
+    """An edge meets the closed box, or one of the two lies inside the other."""
+    first = F.get(edges, F.lit(0))
+    return (
+        edges_meet_box(edges, box["minx"], box["miny"], box["maxx"], box["maxy"], closed=True)
+        | contains_point(edges, box["minx"], box["miny"])
+        | (
+            first["x1"].between(box["minx"], box["maxx"])
+            & first["y1"].between(box["miny"], box["maxy"])
+        )
+    )
 
 
 def covers_pixel_centre(edges: Column, row: Column, col: Column) -> Column:
@@ -197,10 +219,21 @@ def polygons_intersect(a_edges: Column, b_edges: Column) -> Column:
     return meet | starts_inside(a_edges, b_edges) | starts_inside(b_edges, a_edges)
 
 
-def literal_ring(points: list[tuple[float, float]]) -> Column:
-    """A ring from driver-side coordinates, such as one area of interest."""
+def literal_edges(points: list[tuple[float, float]]) -> Column:
+    """Edges of one closed ring known to the driver, such as an area of interest.
+
+    A constant array: Spark folds it once instead of building it for every row.
+    """
     return F.array(
-        *[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in points]
+        *[
+            F.struct(
+                F.lit(float(ax)).alias("x1"),
+                F.lit(float(ay)).alias("y1"),
+                F.lit(float(bx)).alias("x2"),
+                F.lit(float(by)).alias("y2"),
+            )
+            for (ax, ay), (bx, by) in zip(points, points[1:])
+        ]
     )
 
 

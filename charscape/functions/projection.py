@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from charscape.functions.staging import stage
+
 # WGS84 and the UTM grid.
 SEMI_MAJOR = 6378137.0
 FLATTENING = 1 / 298.257223563
@@ -93,10 +95,15 @@ def utm_forward(lon: Column, lat: Column, zone: int = DEFAULT_ZONE) -> tuple[Col
     return F.lit(FALSE_EASTING) + k * east, k * north
 
 
-def utm_inverse(x: Column, y: Column, zone: int = DEFAULT_ZONE) -> tuple[Column, Column]:
-    """Longitude and latitude in degrees of easting and northing in metres."""
+def with_utm_inverse(
+    df: DataFrame, x: Column, y: Column, lon: str, lat: str, zone: int = DEFAULT_ZONE
+) -> DataFrame:
+    """Adds longitude and latitude in degrees of easting and northing in metres.
+
+    Each stage of the series feeds many terms of the next, so the stages are columns.
+    """
     k = F.lit(SCALE * RECTIFYING_RADIUS)
-    xi, eta = y / k, (x - F.lit(FALSE_EASTING)) / k
+    xi, eta = F.col("_xi"), F.col("_eta")
     xi0 = xi - _sum(
         [
             F.lit(b) * F.sin(xi * (2.0 * j)) * F.cosh(eta * (2.0 * j))
@@ -109,10 +116,19 @@ def utm_inverse(x: Column, y: Column, zone: int = DEFAULT_ZONE) -> tuple[Column,
             for j, b in enumerate(BETA, 1)
         ]
     )
-    chi = F.asin(F.sin(xi0) / F.cosh(eta0))
-    lat = chi + _sum([F.lit(d) * F.sin(chi * (2.0 * j)) for j, d in enumerate(DELTA, 1)])
-    lon = F.atan2(F.sinh(eta0), F.cos(xi0))
-    return F.degrees(lon) + F.lit(central_meridian(zone)), F.degrees(lat)
+    chi = F.col("_chi")
+    geodetic = chi + _sum([F.lit(d) * F.sin(chi * (2.0 * j)) for j, d in enumerate(DELTA, 1)])
+    out = stage(df, {"_xi": y / k, "_eta": (x - F.lit(FALSE_EASTING)) / k})
+    out = stage(out, {"_xi0": xi0, "_eta0": eta0})
+    out = stage(
+        out,
+        {
+            "_chi": F.asin(F.sin("_xi0") / F.cosh("_eta0")),
+            lon: F.degrees(F.atan2(F.sinh("_eta0"), F.cos("_xi0")))
+            + F.lit(central_meridian(zone)),
+        },
+    )
+    return stage(out, {lat: F.degrees(geodetic)}).drop("_xi", "_eta", "_xi0", "_eta0", "_chi")
 
 
 def project_ring(ring: Column, zone: int = DEFAULT_ZONE) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from charscape import constants as C
 from charscape.functions import geojson, naming
-from charscape.functions.geometry import all_of, bounds_overlap, bounds_ring
+from charscape.functions.geometry import all_of, bounds_overlap
 from charscape.operators.sizing import salted_lookup_join
 from charscape.schemas import ASSET, ITEMS, LINK
 
@@ -102,7 +102,6 @@ def boundary_items(jobs: DataFrame, base: str) -> DataFrame:
     event, job = F.col("fire_event_name"), F.col("job_id")
     kind = naming.capitalised(F.col("boundary_type"))
     identifier = naming.item_id(event, C.PRODUCT_BOUNDARY, job)
-    rectangle = bounds_ring({c: F.col(c) for c in BBOX})
     return _to_items(
         jobs,
         {
@@ -110,7 +109,7 @@ def boundary_items(jobs: DataFrame, base: str) -> DataFrame:
             "product_type": F.lit(C.PRODUCT_BOUNDARY),
             "title": naming.boundary_title(event, F.col("boundary_type")),
             "description": F.lit(None),
-            "geometry": geojson.polygon_text(F.array(rectangle)),
+            "geometry": geojson.box_text({c: F.col(c) for c in BBOX}),
             "assets": F.create_map(
                 F.lit("refined_boundary"),
                 asset(

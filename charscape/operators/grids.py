@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from charscape.functions import projection
 from charscape.functions.spectral import valid_value
+from charscape.functions.staging import stage
 from charscape.operators.zonal import pixel_area_ha
 
 
@@ -128,17 +129,15 @@ def regrid_nearest(
         return F.explode(F.sequence(F.floor(F.least(*ends)), F.floor(F.greatest(*ends))))
 
     tried = (
-        grid.select(*by, "row", "col", *values, x.alias("_x"), y.alias("_y"))
+        stage(grid.select(*by, "row", "col", *values), {"_x": x, "_y": y})
         .withColumn("t_row", candidates(F.col("_y"), target.origin_y, target.pixel_height))
         .withColumn("t_col", candidates(F.col("_x"), target.origin_x, target.pixel_width))
     )
     t_x, t_y = target.centre(F.col("t_row"), F.col("t_col"))
-    t_lon, t_lat = projection.utm_inverse(t_x, t_y, zone)
-    row, col = source.pixel_of(t_lon, t_lat)
-    return (
-        tried.withColumns({"_row": row, "_col": col})
-        .where((F.col("_row") == F.col("row")) & (F.col("_col") == F.col("col")))
-        .select(*by, F.col("t_row").alias("row"), F.col("t_col").alias("col"), *values)
+    located = projection.with_utm_inverse(tried, t_x, t_y, "_lon", "_lat", zone)
+    row, col = source.pixel_of(F.col("_lon"), F.col("_lat"))
+    return located.where((row == F.col("row")) & (col == F.col("col"))).select(
+        *by, F.col("t_row").alias("row"), F.col("t_col").alias("col"), *values
     )
 
 

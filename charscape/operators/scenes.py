@@ -24,15 +24,13 @@ def intersecting(df: DataFrame, aoi: list[tuple[float, float]], rings: str | Non
     """
     box = {c: F.col(c) for c in BBOX}
     wanted = dict(zip(BBOX, (F.lit(float(v)) for v in bbox_of(aoi))))
-    footprint = (
-        geometry.polygon_edges(F.col(rings))
+    area = geometry.literal_edges(aoi)
+    exact = (
+        geometry.polygons_intersect(geometry.polygon_edges(F.col(rings)), area)
         if rings
-        else geometry.ring_edges(geometry.bounds_ring(box))
+        else geometry.polygon_meets_box(area, box)
     )
-    exact = geometry.polygons_intersect(
-        footprint, geometry.ring_edges(geometry.literal_ring(aoi))
-    )
-    return df.where(geometry.bounds_overlap(box, wanted)).where(exact)
+    return df.where(geometry.bounds_overlap(box, wanted) & exact)
 
 
 def search_scenes(

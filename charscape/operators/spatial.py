@@ -22,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from charscape.functions import geometry
+from charscape.functions.staging import stage
 from charscape.operators.sizing import BROADCAST_BYTES
 
 CELL = 32
 CELL_KEY = ("cell_r", "cell_c")
+BOUNDS = ("minx", "miny", "maxx", "maxy")
+REACH = tuple(f"_{name}" for name in BOUNDS)
 _EDGE_BYTES = 48
 _CELL_BYTES = 96
-_NO_EDGES = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
 
 
 def zones_in_grid_space(
@@ -46,9 +48,10 @@ def zones_in_grid_space(
 
 
 def polygon_cells(polygons: DataFrame, keys: Sequence[str], cell: int = CELL) -> DataFrame:
-    """Cells each polygon reaches: ``keys, cell_r, cell_c, edges``; no edges means all inside.
+    """Cells each polygon reaches; a cell without ``edges`` lies all inside.
 
-    ``keys`` identify one polygon. Needs a ``rings`` column.
+    ``keys`` identify one polygon. Needs a ``rings`` column. The bounds are those of the
+    polygon's edges in the cell's row band, a cheap first test for pixels.
     """
     size = F.lit(float(cell))
 
@@ -61,8 +64,10 @@ def polygon_cells(polygons: DataFrame, keys: Sequence[str], cell: int = CELL) ->
         .groupBy(*keys, "cell_r")
         .agg(
             F.collect_list("e").alias("band_edges"),
-            F.min(F.least("e.x1", "e.x2")).alias("minx"),
-            F.max(F.greatest("e.x1", "e.x2")).alias("maxx"),
+            F.min(F.least("e.x1", "e.x2")).alias("_minx"),
+            F.max(F.greatest("e.x1", "e.x2")).alias("_maxx"),
+            F.min(F.least("e.y1", "e.y2")).alias("_miny"),
+            F.max(F.greatest("e.y1", "e.y2")).alias("_maxy"),
         )
     )
     left, top = F.col("cell_c") * size, F.col("cell_r") * size
@@ -71,10 +76,9 @@ def polygon_cells(polygons: DataFrame, keys: Sequence[str], cell: int = CELL) ->
     # Edges wholly left of the cell never cross a ray that runs to the right from inside it.
     relevant = F.filter("band_edges", lambda e: F.greatest(e["x1"], e["x2"]) >= left)
     return (
-        bands.withColumn("cell_c", span(F.col("minx"), F.col("maxx")))
-        .withColumn("crossed", crossed)
+        stage(bands.withColumn("cell_c", span(F.col("_minx"), F.col("_maxx"))), {"crossed": crossed})
         .where(F.col("crossed") | inside)
-        .select(*keys, *CELL_KEY, F.when(F.col("crossed"), relevant).alias("edges"))
+        .select(*keys, *CELL_KEY, *REACH, F.when(F.col("crossed"), relevant).alias("edges"))
     )
 
 
@@ -86,15 +90,19 @@ def cells_fit_broadcast(
     Every polygon is charged as if each cell of its bounding box kept every edge of its row band
     and each edge lay in every band it could span.
     """
-    edges = geometry.polygon_edges(F.col("rings"))
-    xs = F.transform(edges, lambda e: e["x1"])
-    ys = F.transform(edges, lambda e: e["y1"])
+    box = (
+        {c: F.col(c) for c in BOUNDS}
+        if set(BOUNDS) <= set(polygons.columns)
+        else geometry.ring_bounds(F.flatten("rings"))
+    )
     size = F.lit(float(cell))
 
-    def cells(values: Column) -> Column:
-        return F.floor(F.array_max(values) / size) - F.floor(F.array_min(values) / size) + 1
+    def cells(low: str, high: str) -> Column:
+        return F.floor(box[high] / size) - F.floor(box[low] / size) + 1
 
-    cost = cells(xs) * (cells(ys) * _CELL_BYTES + cells(ys) * F.size(edges) * _EDGE_BYTES)
+    vertices = F.aggregate("rings", F.lit(0), lambda n, ring: n + F.size(ring))
+    count = cells("minx", "maxx") * cells("miny", "maxy")
+    cost = count * (vertices * _EDGE_BYTES + _CELL_BYTES)
     total = polygons.agg(F.sum(cost.cast("double")).alias("bytes")).first()["bytes"]
     return total is None or total <= limit
 
@@ -115,7 +123,14 @@ def _cells_for_join(
 
 def _predicate(all_touched: bool) -> Column:
     test = geometry.touches_pixel if all_touched else geometry.covers_pixel_centre
-    return F.col("edges").isNull() | test(F.col("edges"), F.col("row"), F.col("col"))
+    row, col = F.col("row"), F.col("col")
+    near = (
+        (row < F.col("_maxy"))
+        & (row + 1 > F.col("_miny"))
+        & (col < F.col("_maxx"))
+        & (col + 1 > F.col("_minx"))
+    )
+    return F.col("edges").isNull() | (near & test(F.col("edges"), row, col))
 
 
 def zone_pixel_join(
@@ -138,7 +153,7 @@ def zone_pixel_join(
         with_cells(pixels, cell)
         .join(cells, [*by, *CELL_KEY], "inner")
         .where(_predicate(all_touched))
-        .drop("edges")
+        .drop("edges", *REACH)
     )
 
 
@@ -159,7 +174,7 @@ def clip_grid(
         polygons = polygons.select(F.lit(0).alias("_polygon"), "rings")
         names = ["_polygon"]
     cells = _cells_for_join(polygons, names, cell, broadcast_bytes).select(
-        *[F.col(c).alias(f"_{c}") for c in (*by, *CELL_KEY)], "edges"
+        *[F.col(c).alias(f"_{c}") for c in (*by, *CELL_KEY)], *REACH, "edges"
     )
     keyed = with_cells(grid, cell)
     match = geometry.all_of([keyed[c] == cells[f"_{c}"] for c in (*by, *CELL_KEY)])

@@ -270,13 +270,12 @@ def _(spark, sf):
 def _(spark, sf):
     path = new_path(spark, "geojson")
     docs = tables.geojson_docs(spark, sf)
-    parsed = geojson.parse_polygon(F.col("text"))
-    accepted = docs.select(
+    accepted = geojson.parse_polygons(docs).where("reason IS NULL").select(
         F.concat(F.lit("event"), (F.col("zone_id") % 20).cast("string")).alias("fire_event_name"),
         F.col("zone_id").cast("string").alias("job_id"),
         F.lit("uploaded").alias("name"),
-        parsed.rings.alias("rings"),
-    ).where("rings IS NOT NULL")
+        "rings",
+    )
     sinks.write_geojson(
         accepted.withColumn(
             "document",
@@ -789,19 +788,17 @@ def _(spark, sf):
 
 @query("geojson_validate")
 def _(spark, sf):
-    parsed = geojson.parse_polygon(F.col("text"))
-    return tables.geojson_docs(spark, sf).select(
+    return geojson.parse_polygons(tables.geojson_docs(spark, sf)).select(
         "zone_id",
-        parsed.is_valid.alias("is_valid"),
-        parsed.reason.alias("reason"),
-        F.size(F.get(parsed.rings, F.lit(0))).cast("bigint").alias("points"),
+        F.col("reason").isNull().alias("is_valid"),
+        "reason",
+        F.size(F.get("rings", F.lit(0))).cast("bigint").alias("points"),
     )
 
 
 def accepted_rings(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = geojson.parse_polygon(F.col("text"))
-    docs = tables.geojson_docs(spark, sf).select("zone_id", parsed.rings.alias("rings"))
-    return docs.where("rings IS NOT NULL")
+    parsed = geojson.parse_polygons(tables.geojson_docs(spark, sf))
+    return parsed.where("reason IS NULL").select("zone_id", "rings")
 
 
 @query("geojson_feature")
@@ -831,9 +828,8 @@ def _(spark, sf):
 
 @query("bbox_polygon")
 def _(spark, sf):
-    ring = geometry.bounds_ring({c: F.col(c) for c in catalog.BBOX})
     return tables.zones(spark, sf).select(
-        "zone_id", geojson.polygon_text(F.array(ring)).alias("polygon")
+        "zone_id", geojson.box_text({c: F.col(c) for c in catalog.BBOX}).alias("polygon")
     )
 
 

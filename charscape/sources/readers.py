@@ -49,16 +49,13 @@ def read_geojson_zones(
     utm_zone: int | None = None,
 ) -> DataFrame:
     """Vegetation polygons from GeoJSON lines, one Feature per line. Bad lines raise."""
-    lines = spark.read.text(path).select(
-        F.col("value"), F.try_parse_json("value").alias("document")
-    )
-    parsed = geojson.parse_polygon(F.col("value"))
-    zones = lines.select(
-        F.try_variant_get("document", f"$.properties.{id_column}", "bigint").alias("zone_id"),
-        F.try_variant_get("document", f"$.properties.{type_column}", "string").alias("veg_type"),
-        F.when(parsed.reason.isNotNull(), F.raise_error(parsed.reason).cast("void"))
-        .otherwise(parsed.rings)
-        .alias("rings"),
+    parsed = geojson.parse_polygons(spark.read.text(path), "value")
+    document = F.try_parse_json("value")
+    failure = F.raise_error(F.concat(F.lit("GeoJSON line rejected: "), F.col("reason")))
+    zones = parsed.select(
+        F.try_variant_get(document, f"$.properties.{id_column}", "bigint").alias("zone_id"),
+        F.try_variant_get(document, f"$.properties.{type_column}", "string").alias("veg_type"),
+        F.when(F.col("reason").isNull(), F.col("rings")).otherwise(failure).alias("rings"),
     )
     if utm_zone is not None:
         zones = project_zones(zones, utm_zone)

@@ -88,9 +88,15 @@ def publish_items(spark: SparkSession, source: str, target: str) -> None:
 
 
 def write_geojson(documents: DataFrame, path: str) -> None:
-    """Texts in ``document`` under event, job and file name."""
+    """Texts in ``document`` under event, job and file name: one file per document.
+
+    Hashing the text as well spreads the documents of one job over tasks.
+    """
+    columns = ("fire_event_name", "job_id", "name", "document")
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
-        documents.select("fire_event_name", "job_id", "name", "document")
+        documents.select(*columns)
+        .repartition(tasks, *columns)
         .write.mode("append")
         .partitionBy("fire_event_name", "job_id", "name")
         .text(path)

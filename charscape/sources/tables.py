@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from charscape import constants as C
-from charscape.functions import geojson, geometry, naming
+from charscape.functions import geojson, naming
 from charscape.functions.timeparse import DateWindow
 from charscape.operators.grids import GridGeometry
 from charscape.schemas import ITEMS
@@ -181,7 +181,6 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     identifier = naming.item_id_by_product(
         F.col("fire_event_name"), F.col("product_type"), F.col("job_id")
     )
-    rectangle = geometry.bounds_ring({c: F.col(c) for c in ("minx", "miny", "maxx", "maxy")})
     self_link = F.array(
         F.struct(
             F.lit("self").alias("rel"),
@@ -195,7 +194,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
             "id": identifier,
             "title": F.lit(None),
             "description": F.lit(None),
-            "geometry": geojson.polygon_text(F.array(rectangle)),
+            "geometry": geojson.box_text({c: F.col(c) for c in ("minx", "miny", "maxx", "maxy")}),
             "assets": assets,
             "links": self_link,
         }
