@@ -39,9 +39,25 @@ class DateWindow:
         return (ts >= ntz(self.start)) & (ts <= ntz(self.end))
 
 
-def hull(pre: DateWindow, post: DateWindow) -> DateWindow:
+@dataclass(frozen=True)
+class ColumnWindow:
+    """Inclusive window whose bounds are columns, such as those of a job."""
+
+    start: Column
+    end: Column
+
+    def contains(self, ts: Column) -> Column:
+        return (ts >= self.start) & (ts <= self.end)
+
+
+Window = DateWindow | ColumnWindow
+
+
+def hull(pre: Window, post: Window) -> Window:
     """From the start of the first window to the end of the second: what one scan reads."""
-    return DateWindow(pre.start, post.end, post.whole_end_day)
+    if isinstance(pre, DateWindow) and isinstance(post, DateWindow):
+        return DateWindow(pre.start, post.end, post.whole_end_day)
+    return ColumnWindow(pre.start, post.end)
 
 
 def utc_text(ts: Column) -> Column:

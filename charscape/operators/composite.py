@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from charscape.constants import DEFAULT_BREAKS, NIR_BAND, SWIR_BAND
 from charscape.functions import spectral
 from charscape.functions.geometry import all_of
-from charscape.functions.timeparse import DateWindow, hull
+from charscape.functions.timeparse import DateWindow, Window, hull
 
 PIXEL = ("tile_id", "row", "col")
 INDICES = ("prefire_nbr", "postfire_nbr", "dnbr", "rdnbr", "rbr")
@@ -53,8 +53,8 @@ def normalise_nodata(observations: DataFrame, column: str = "value") -> DataFram
 
 def median_composite(
     observations: DataFrame,
-    pre: DateWindow,
-    post: DateWindow,
+    pre: Window,
+    post: Window,
     by: Sequence[str] = PIXEL,
     nir: str = NIR_BAND,
     swir: str = SWIR_BAND,
@@ -71,10 +71,7 @@ def median_composite(
         )
     ]
     return (
-        observations.where(band.isin(swir, nir) & read)
-        .select(*by, "band", "ts", "value")
-        .groupBy(*by)
-        .agg(*medians)
+        observations.where(band.isin(swir, nir) & read).groupBy(*by).agg(*medians)
     )
 
 
@@ -126,8 +123,8 @@ def add_indices(nbrs: DataFrame) -> DataFrame:
 
 def burn_indices(
     observations: DataFrame,
-    pre: DateWindow,
-    post: DateWindow,
+    pre: Window,
+    post: Window,
     by: Sequence[str] = PIXEL,
     nir: str = NIR_BAND,
     swir: str = SWIR_BAND,

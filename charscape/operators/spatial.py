@@ -40,18 +40,20 @@ def zones_in_grid_space(
     pixel_width: float,
     pixel_height: float,
 ) -> DataFrame:
-    """Rings from map to pixel units. Pixel height is negative for north-up grids."""
+    """Rings and bounds from map to pixel units. Pixel height is negative for north-up grids."""
     affine = [F.lit(float(v)) for v in (origin_x, origin_y, pixel_width, pixel_height)]
-    return zones.withColumn(
+    moved = zones.withColumn(
         "rings", F.transform("rings", lambda r: geometry.to_grid_space(r, *affine))
     )
+    return moved.withColumns(geometry.ring_bounds(F.get("rings", F.lit(0))))
 
 
 def polygon_cells(polygons: DataFrame, keys: Sequence[str], cell: int = CELL) -> DataFrame:
     """Cells each polygon reaches; a cell without ``edges`` lies all inside.
 
-    ``keys`` identify one polygon. Needs a ``rings`` column. The bounds are those of the
-    polygon's edges in the cell's row band, a cheap first test for pixels.
+    Needs a ``rings`` column. Polygons are told apart by ``keys`` and shape, and copies of one
+    count once. The bounds are those of the polygon's edges in the cell's row band, a cheap
+    first test for pixels.
     """
     size = F.lit(float(cell))
 
@@ -59,11 +61,15 @@ def polygon_cells(polygons: DataFrame, keys: Sequence[str], cell: int = CELL) ->
         return F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
 
     bands = (
-        polygons.select(*keys, F.explode(geometry.polygon_edges(F.col("rings"))).alias("e"))
-        .select(*keys, "e", span(F.least("e.y1", "e.y2"), F.greatest("e.y1", "e.y2")).alias("cell_r"))
-        .groupBy(*keys, "cell_r")
+        polygons.select(
+            *keys,
+            F.xxhash64("rings").alias("_shape"),
+            F.explode(geometry.polygon_edges(F.col("rings"))).alias("e"),
+        )
+        .withColumn("cell_r", span(F.least("e.y1", "e.y2"), F.greatest("e.y1", "e.y2")))
+        .groupBy(*keys, "_shape", "cell_r")
         .agg(
-            F.collect_list("e").alias("band_edges"),
+            F.collect_set("e").alias("band_edges"),
             F.min(F.least("e.x1", "e.x2")).alias("_minx"),
             F.max(F.greatest("e.x1", "e.x2")).alias("_maxx"),
             F.min(F.least("e.y1", "e.y2")).alias("_miny"),
@@ -160,7 +166,6 @@ def zone_pixel_join(
 def clip_grid(
     grid: DataFrame,
     polygons: DataFrame,
-    keys: Sequence[str] = (),
     by: Sequence[str] = (),
     cell: int = CELL,
     broadcast_bytes: int = BROADCAST_BYTES,
@@ -169,11 +174,7 @@ def clip_grid(
 
     With ``by`` every pixel is clipped by the polygons of its own job.
     """
-    names = list(dict.fromkeys([*by, *keys]))
-    if not names:
-        polygons = polygons.select(F.lit(0).alias("_polygon"), "rings")
-        names = ["_polygon"]
-    cells = _cells_for_join(polygons, names, cell, broadcast_bytes).select(
+    cells = _cells_for_join(polygons, list(by), cell, broadcast_bytes).select(
         *[F.col(c).alias(f"_{c}") for c in (*by, *CELL_KEY)], *REACH, "edges"
     )
     keyed = with_cells(grid, cell)

@@ -22,6 +22,19 @@ OBSERVATIONS = T.StructType(
     ]
 )
 
+GRID = T.StructType(
+    [
+        T.StructField("tile_id", T.LongType()),
+        T.StructField("row", T.LongType()),
+        T.StructField("col", T.LongType()),
+        *[
+            T.StructField(name, T.FloatType())
+            for name in ("prefire_nbr", "postfire_nbr", "dnbr", "rdnbr", "rbr")
+        ],
+        T.StructField("job_id", T.StringType()),
+    ]
+)
+
 ZONES = T.StructType(
     [
         T.StructField("zone_id", T.LongType()),

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from charscape.functions import geojson, geometry
 from charscape.functions.spectral import valid_value
+from charscape.operators.composite import INDICES
 from charscape.operators.grids import project_zones
-from charscape.schemas import ITEMS, OBSERVATIONS
+from charscape.schemas import GRID, ITEMS, OBSERVATIONS
 
 
 def read_observations(spark: SparkSession, path: str) -> DataFrame:
@@ -23,6 +24,12 @@ def read_grid(spark: SparkSession, path: str, severity: str = "rbr") -> DataFram
     return spark.read.parquet(path).withColumn(severity, valid_value(F.col(severity)))
 
 
+def read_job_grids(spark: SparkSession, path: str) -> DataFrame:
+    """Index grids as written per job; the schema keeps job ids text."""
+    grids = spark.read.schema(GRID).parquet(path)
+    return grids.withColumns({n: valid_value(F.col(n)) for n in INDICES})
+
+
 def with_ring_bounds(zones: DataFrame) -> DataFrame:
     outer = geometry.ring_bounds(F.get("rings", F.lit(0)))
     return zones.withColumns(outer)

@@ -30,23 +30,35 @@ def write_index_grid(
     by: Sequence[str] = ("job_id",),
     fill_nodata: bool = False,
 ) -> None:
-    """Single-precision grid, one folder per job, blocks in tile order within files."""
+    """Single-precision grid, one folder per job, blocks in tile order within files.
+
+    A job that is written again replaces its own folder only.
+    """
     stored = indices.withColumns({n: stored_value(F.col(n), fill_nodata) for n in names})
     order = [*by, "tile_id", "row", "col"]
     (
         stored.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .write.mode("append")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*by)
         .parquet(path)
     )
 
 
-def write_matrix_csv(presented: DataFrame, path: str, order: str = "Vegetation Community") -> None:
-    """One CSV file with a header; the matrix has one row per vegetation type."""
-    presented.coalesce(1).sortWithinPartitions(order).write.mode("overwrite").option(
-        "header", True
-    ).csv(path)
+def write_matrix_csv(
+    presented: DataFrame,
+    path: str,
+    order: str = "Vegetation Community",
+    by: Sequence[str] = (),
+) -> None:
+    """CSV with a header: one file, or one folder per job. A job's matrix is one row per type."""
+    if by:
+        placed = presented.repartition(*by).sortWithinPartitions(*by, order)
+        writer = placed.write.partitionBy(*by).option("partitionOverwriteMode", "dynamic")
+    else:
+        writer = presented.coalesce(1).sortWithinPartitions(order).write
+    writer.mode("overwrite").option("header", True).csv(path)
 
 
 def append_items(items: DataFrame, path: str, rejects_path: str | None = None) -> None:
