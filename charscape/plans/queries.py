@@ -565,7 +565,7 @@ _MATRIX = (
 
 
 @query("veg_fire_matrix")
-def veg_fire_matrix(spark, sf):
+def _(spark, sf):
     table = matrix(spark, sf, null_type=True)
     return rounded(table, *_MATRIX).select("color", "veg_type", *_MATRIX)
 
