@@ -3,7 +3,9 @@
 Observations are long: one row per pixel, band and scene. One pass over them gives all four
 medians (two bands, two windows). The medians are mergeable aggregates, so a pixel or tile that
 holds a large share of the rows is reduced to its distinct values before the one shuffle. Sensor
-values have 16 bits, which bounds a pixel's state to 65,536 entries per median.
+values have 16 bits, which bounds a pixel's state to 65,536 entries per median. For sources
+without such a bound, ``ranked_composite`` gives the same medians from counts and sorted runs,
+which spill instead of filling memory.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as SortWindow
 from pyspark.sql import functions as F
 
 from charscape.constants import DEFAULT_BREAKS, NIR_BAND, SWIR_BAND
@@ -51,6 +54,11 @@ def normalise_nodata(observations: DataFrame, column: str = "value") -> DataFram
     return observations.withColumn(column, spectral.valid_value(F.col(column)))
 
 
+def _read_windows(pre: Window, post: Window) -> Column:
+    ts = F.col("ts")
+    return hull(pre, post).contains(ts) & (pre.contains(ts) | post.contains(ts))
+
+
 def median_composite(
     observations: DataFrame,
     pre: Window,
@@ -60,10 +68,8 @@ def median_composite(
     swir: str = SWIR_BAND,
 ) -> DataFrame:
     """Per pixel, the median of each band in each window, missing values skipped."""
-    ts, band = F.col("ts"), F.col("band")
-    value = spectral.valid_value(F.col("value"))
-    in_pre, in_post = pre.contains(ts), post.contains(ts)
-    read = hull(pre, post).contains(ts) & (in_pre | in_post)
+    band, value = F.col("band"), spectral.valid_value(F.col("value"))
+    in_pre, in_post = pre.contains(F.col("ts")), post.contains(F.col("ts"))
     medians = [
         F.median(F.when((band == b) & inside, value)).alias(name)
         for name, b, inside in zip(
@@ -71,7 +77,62 @@ def median_composite(
         )
     ]
     return (
-        observations.where(band.isin(swir, nir) & read).groupBy(*by).agg(*medians)
+        observations.where(band.isin(swir, nir) & _read_windows(pre, post))
+        .groupBy(*by)
+        .agg(*medians)
+    )
+
+
+def ranked_composite(
+    observations: DataFrame,
+    pre: Window,
+    post: Window,
+    by: Sequence[str] = PIXEL,
+    nir: str = NIR_BAND,
+    swir: str = SWIR_BAND,
+) -> DataFrame:
+    """The same as ``median_composite`` for values of unbounded variety.
+
+    Equal values are counted first, spread over tasks by value. Running counts per pixel and band
+    then tell which values hold the middle ranks.
+    """
+    ts, band = F.col("ts"), F.col("band")
+    series = SortWindow.partitionBy(*by, "band")
+    running = series.orderBy("value")
+    counts = (
+        observations.where(band.isin(swir, nir) & _read_windows(pre, post))
+        .withColumn("value", spectral.valid_value(F.col("value")))
+        .groupBy(*by, "band", "value")
+        .agg(
+            *[
+                F.count(F.when(window.contains(ts), F.col("value"))).alias(f"{name}_n")
+                for name, window in (("pre", pre), ("post", post))
+            ]
+        )
+    )
+    ranked = counts.select(
+        "*",
+        *[F.sum(f"{w}_n").over(running).alias(f"{w}_end") for w in ("pre", "post")],
+        *[F.sum(f"{w}_n").over(series).alias(f"{w}_all") for w in ("pre", "post")],
+    )
+
+    def median(window: str, of_band: str) -> Column:
+        n, end = F.col(f"{window}_n"), F.col(f"{window}_end")
+        middle = (F.col(f"{window}_all") - 1) / 2
+
+        def at(rank: Column) -> Column:
+            holds = (band == of_band) & (n > 0) & (end > rank) & (end - n <= rank)
+            return F.max(F.when(holds, F.col("value")))
+
+        return (at(F.floor(middle)) + at(F.ceil(middle))) / 2
+
+    return ranked.groupBy(*by).agg(
+        *[
+            median(window, b).alias(name)
+            for name, window, b in zip(
+                _MEDIANS, ("pre", "pre", "post", "post"), (nir, swir, nir, swir)
+            )
+        ]
     )
 
 
@@ -128,11 +189,14 @@ def burn_indices(
     by: Sequence[str] = PIXEL,
     nir: str = NIR_BAND,
     swir: str = SWIR_BAND,
+    bounded_values: bool = True,
 ) -> DataFrame:
-    """The five indices per pixel, one wide row, from one scan and one shuffle."""
-    return add_indices(
-        composite_nbr(median_composite(observations, pre, post, by, nir, swir), by)
-    )
+    """The five indices per pixel, one wide row, from one scan.
+
+    ``bounded_values`` holds for sensor counts; without it medians are taken by rank.
+    """
+    compose = median_composite if bounded_values else ranked_composite
+    return add_indices(composite_nbr(compose(observations, pre, post, by, nir, swir), by))
 
 
 def classify(

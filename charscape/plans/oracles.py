@@ -713,12 +713,16 @@ FROM requests JOIN ({newest("fire_event_name, job_id", _REFINED)}) USING (fire_e
   i.datetime, CASE WHEN i.id IS NULL THEN 'error' ELSE 'ready' END AS status
 FROM requests r LEFT JOIN ({newest("fire_event_name, job_id", _COARSE)}) i
   USING (fire_event_name, job_id)""",
-    "median_composite": _with(
-        OBS,
-        "clean AS (SELECT * REPLACE (CASE WHEN l_linenumber < 5 THEN value END AS value) FROM obs)",
-        composite("clean"),
-    )
-    + "SELECT * FROM comp",
+    **{
+        name: _with(
+            OBS,
+            "clean AS (SELECT * REPLACE (CASE WHEN l_linenumber < 5 THEN value END AS value) "
+            "FROM obs)",
+            composite("clean"),
+        )
+        + "SELECT * FROM comp"
+        for name in ("median_composite", "median_composite_ranked")
+    },
     "nbr": _with(GRID) + 'SELECT tile_id, "row", col, prefire_nbr, postfire_nbr FROM grid',
     "burn_indices": _with(GRID) + "SELECT * FROM grid",
     "dissolve_zones": _with(PIXELS, zone_pairs("pixels"))

@@ -480,6 +480,13 @@ def _(spark, sf):
     )
 
 
+@query("median_composite_ranked")
+def _(spark, sf):
+    return composite.ranked_composite(
+        tables.dirty_observations(spark, sf), tables.PRE, tables.POST
+    )
+
+
 @query("nbr")
 def _(spark, sf):
     composed = composite.median_composite(

@@ -136,9 +136,26 @@ def test_crowded_pixel_is_exact(spark):
         F.expr("timestamp_ntz'2023-02-01'").alias("ts"),
         (F.col("id") % 4001).cast("double").alias("value"),
     )
-    got = composite.median_composite(crowd, PRE, POST).where("row = 0").first()["pre_nir"]
     values = sorted(i % 4001 for i in range(0, 30_000, 3))
-    assert got == (values[4999] + values[5000]) / 2
+    for compose in (composite.median_composite, composite.ranked_composite):
+        got = compose(crowd, PRE, POST).where("row = 0").first()["pre_nir"]
+        assert got == (values[4999] + values[5000]) / 2
+
+
+def test_ranked_medians_equal_the_others(spark):
+    rows = [
+        (0, r, c, band, f"2023-{m:02d}-10", None if (r + m) % 5 == 0 else math.sin(r * 7 + c + m))
+        for r in range(3)
+        for c in range(3)
+        for band in ("B8A", "B12")
+        for m in range(1, 13)
+    ] + [(0, 9, 9, "B8A", "2023-02-01", None)]
+    obs = observations(spark, rows)
+    overlapping = DateWindow("2023-03-01", "2023-12-31")
+    for post in (POST, overlapping):
+        plain = composite.median_composite(obs, PRE, post).collect()
+        ranked = composite.ranked_composite(obs, PRE, post).collect()
+        assert sorted(map(tuple, plain), key=str) == sorted(map(tuple, ranked), key=str)
 
 
 def test_overviews_average_valid_pixels(spark):
