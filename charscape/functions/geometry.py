@@ -174,17 +174,6 @@ def polygon_meets_box(edges: Column, box: dict[str, Column]) -> Column:
     )
 
 
-def covers_pixel_centre(edges: Column, row: Column, col: Column) -> Column:
-    return contains_point(edges, col + F.lit(0.5), row + F.lit(0.5))
-
-
-def touches_pixel(edges: Column, row: Column, col: Column) -> Column:
-    """The pixel's centre is inside, or an edge runs through the pixel."""
-    return edges_meet_box(edges, col, row, col + 1, row + 1) | covers_pixel_centre(
-        edges, row, col
-    )
-
-
 def segments_meet(a: Column, b: Column) -> Column:
     """Closed segments share a point; collinear contact counts."""
 

@@ -4,12 +4,13 @@ A predicate of inequalities alone would plan a nested loop. Polygons are therefo
 cells of the pixel grid first, and pixels meet them by an equi-join on the cell:
 
 * a cell no edge runs through lies wholly inside or outside: inside, its pixels need no test;
-* a cell with edges keeps those edges of its row band that can matter to its pixels, and only
-  there does the exact predicate run.
+* a cell with edges becomes one bit mask per pixel row, and a pixel looks up its bit.
 
-The cut works edge by edge and band by band, so that a polygon covering a third of the map, or
-one with very many vertices, is spread over tasks. A pixel's cell depends on its row and column
-only, and a cell holds at most ``cell * cell`` pixels of one grid.
+So the geometry is evaluated once per polygon and cell row, never per pixel, and the join's test
+is integer arithmetic inside code generation. The cut works edge by edge and band by band: a
+polygon covering a third of the map, or one with very many vertices, is spread over tasks. A
+pixel's cell depends on its row and column only, and a cell holds at most ``cell * cell`` pixels
+of one grid.
 
 Coordinates are in grid space: x counts columns and y counts rows.
 """
@@ -21,16 +22,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from charscape.functions import geometry
+from charscape.functions import geometry, masks
 from charscape.functions.staging import stage
 from charscape.operators.sizing import BROADCAST_BYTES
 
 CELL = 32
 CELL_KEY = ("cell_r", "cell_c")
 BOUNDS = ("minx", "miny", "maxx", "maxy")
-REACH = tuple(f"_{name}" for name in BOUNDS)
-_EDGE_BYTES = 48
-_CELL_BYTES = 96
+# Row and key overhead of one cell in a hashed relation; each mask adds eight bytes.
+_CELL_BYTES = 160
 
 
 def zones_in_grid_space(
@@ -48,13 +48,16 @@ def zones_in_grid_space(
     return moved.withColumns(geometry.ring_bounds(F.get("rings", F.lit(0))))
 
 
-def polygon_cells(polygons: DataFrame, keys: Sequence[str], cell: int = CELL) -> DataFrame:
-    """Cells each polygon reaches; a cell without ``edges`` lies all inside.
+def polygon_cells(
+    polygons: DataFrame, keys: Sequence[str], cell: int = CELL, all_touched: bool = True
+) -> DataFrame:
+    """Cells each polygon reaches; a cell without ``masks`` lies all inside.
 
     Needs a ``rings`` column. Polygons are told apart by ``keys`` and shape, and copies of one
-    count once. The bounds are those of the polygon's edges in the cell's row band, a cheap
-    first test for pixels.
+    count once.
     """
+    if not 0 < cell <= masks.MAX_WIDTH:
+        raise ValueError(f"cells are 1 to {masks.MAX_WIDTH} pixels wide")
     size = F.lit(float(cell))
 
     def span(low: Column, high: Column) -> Column:
@@ -69,32 +72,31 @@ def polygon_cells(polygons: DataFrame, keys: Sequence[str], cell: int = CELL) ->
         .withColumn("cell_r", span(F.least("e.y1", "e.y2"), F.greatest("e.y1", "e.y2")))
         .groupBy(*keys, "_shape", "cell_r")
         .agg(
-            F.collect_set("e").alias("band_edges"),
+            F.collect_set("e").alias("_edges"),
             F.min(F.least("e.x1", "e.x2")).alias("_minx"),
             F.max(F.greatest("e.x1", "e.x2")).alias("_maxx"),
-            F.min(F.least("e.y1", "e.y2")).alias("_miny"),
-            F.max(F.greatest("e.y1", "e.y2")).alias("_maxy"),
         )
     )
+    cells = bands.withColumn("cell_c", span(F.col("_minx"), F.col("_maxx")))
     left, top = F.col("cell_c") * size, F.col("cell_r") * size
-    crossed = geometry.edges_meet_box(F.col("band_edges"), left, top, left + size, top + size)
-    inside = geometry.contains_point(F.col("band_edges"), left + size / 2, top + size / 2)
+    crossed = geometry.edges_meet_box(F.col("_edges"), left, top, left + size, top + size)
+    inside = geometry.contains_point(F.col("_edges"), left + size / 2, top + size / 2)
     # Edges wholly left of the cell never cross a ray that runs to the right from inside it.
-    relevant = F.filter("band_edges", lambda e: F.greatest(e["x1"], e["x2"]) >= left)
-    return (
-        stage(bands.withColumn("cell_c", span(F.col("_minx"), F.col("_maxx"))), {"crossed": crossed})
-        .where(F.col("crossed") | inside)
-        .select(*keys, *CELL_KEY, *REACH, F.when(F.col("crossed"), relevant).alias("edges"))
+    relevant = F.filter("_edges", lambda e: F.greatest(e["x1"], e["x2"]) >= left)
+    reached = stage(cells, {"_crossed": crossed}).where(F.col("_crossed") | inside)
+    near = stage(reached, {"_near": F.when(F.col("_crossed"), relevant)})
+    bits = masks.cell_masks(
+        F.col("_near"), F.col("cell_r"), F.col("cell_c"), cell, all_touched
     )
+    return near.select(*keys, *CELL_KEY, F.when(F.col("_crossed"), bits).alias("masks"))
 
 
 def cells_fit_broadcast(
     polygons: DataFrame, cell: int = CELL, limit: int = BROADCAST_BYTES
 ) -> bool:
-    """Upper bound of the cells' size from polygon bounds, by one small aggregate.
+    """Upper bound of the cells' size, by one small aggregate over the polygons' bounds.
 
-    Every polygon is charged as if each cell of its bounding box kept every edge of its row band
-    and each edge lay in every band it could span.
+    Every polygon is charged as if each cell of its bounding box carried masks.
     """
     box = (
         {c: F.col(c) for c in BOUNDS}
@@ -106,11 +108,9 @@ def cells_fit_broadcast(
     def cells(low: str, high: str) -> Column:
         return F.floor(box[high] / size) - F.floor(box[low] / size) + 1
 
-    vertices = F.aggregate("rings", F.lit(0), lambda n, ring: n + F.size(ring))
-    count = cells("minx", "maxx") * cells("miny", "maxy")
-    cost = count * (vertices * _EDGE_BYTES + _CELL_BYTES)
-    total = polygons.agg(F.sum(cost.cast("double")).alias("bytes")).first()["bytes"]
-    return total is None or total <= limit
+    count = (cells("minx", "maxx") * cells("miny", "maxy")).cast("double")
+    total = polygons.agg(F.sum(count).alias("cells")).first()["cells"]
+    return total is None or total * (_CELL_BYTES + 8 * cell) <= limit
 
 
 def with_cells(pixels: DataFrame, cell: int = CELL) -> DataFrame:
@@ -121,22 +121,20 @@ def with_cells(pixels: DataFrame, cell: int = CELL) -> DataFrame:
 
 
 def _cells_for_join(
-    polygons: DataFrame, keys: Sequence[str], cell: int, broadcast_bytes: int
+    polygons: DataFrame,
+    keys: Sequence[str],
+    cell: int,
+    all_touched: bool,
+    broadcast_bytes: int,
 ) -> DataFrame:
-    cells = polygon_cells(polygons, keys, cell)
+    cells = polygon_cells(polygons, keys, cell, all_touched)
     return F.broadcast(cells) if cells_fit_broadcast(polygons, cell, broadcast_bytes) else cells
 
 
-def _predicate(all_touched: bool) -> Column:
-    test = geometry.touches_pixel if all_touched else geometry.covers_pixel_centre
-    row, col = F.col("row"), F.col("col")
-    near = (
-        (row < F.col("_maxy"))
-        & (row + 1 > F.col("_miny"))
-        & (col < F.col("_maxx"))
-        & (col + 1 > F.col("_minx"))
+def _covered(cell: int) -> Column:
+    return F.col("masks").isNull() | masks.has_bit(
+        F.col("masks"), F.pmod("row", F.lit(cell)), F.pmod("col", F.lit(cell))
     )
-    return F.col("edges").isNull() | (near & test(F.col("edges"), row, col))
 
 
 def zone_pixel_join(
@@ -154,12 +152,12 @@ def zone_pixel_join(
     to be among ``keys``. The cell columns stay in the result: a later grouping that includes
     them needs no further shuffle.
     """
-    cells = _cells_for_join(zones, keys, cell, broadcast_bytes)
+    cells = _cells_for_join(zones, keys, cell, all_touched, broadcast_bytes)
     return (
         with_cells(pixels, cell)
         .join(cells, [*by, *CELL_KEY], "inner")
-        .where(_predicate(all_touched))
-        .drop("edges", *REACH)
+        .where(_covered(cell))
+        .drop("masks")
     )
 
 
@@ -174,12 +172,12 @@ def clip_grid(
 
     With ``by`` every pixel is clipped by the polygons of its own job.
     """
-    cells = _cells_for_join(polygons, list(by), cell, broadcast_bytes).select(
-        *[F.col(c).alias(f"_{c}") for c in (*by, *CELL_KEY)], *REACH, "edges"
+    cells = _cells_for_join(polygons, list(by), cell, True, broadcast_bytes).select(
+        *[F.col(c).alias(f"_{c}") for c in (*by, *CELL_KEY)], "masks"
     )
     keyed = with_cells(grid, cell)
     match = geometry.all_of([keyed[c] == cells[f"_{c}"] for c in (*by, *CELL_KEY)])
-    return keyed.join(cells, match & _predicate(True), "left_semi").drop(*CELL_KEY)
+    return keyed.join(cells, match & _covered(cell), "left_semi").drop(*CELL_KEY)
 
 
 def rasterize_zones(
