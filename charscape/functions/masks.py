@@ -1,4 +1,4 @@
-"""Bit masks of the pixels of a cell that a polygon covers.
+"""Bit masks of the pixels of a cell row that a polygon covers.
 
 A cell is a square of pixels; each of its rows is one long, bit 0 being the leftmost pixel.
 """
@@ -26,7 +26,7 @@ def _x_at(e: Column, y: Column) -> Column:
     return e["x1"] + F.try_divide((y - e["y1"]) * (e["x2"] - e["x1"]), e["y2"] - e["y1"])
 
 
-def _run(e: Column, y: Column, left: Column, width: int) -> Column:
+def outline(e: Column, y: Column, left: Column, width: int) -> Column:
     """Pixels between y and y + 1 that the edge runs through."""
     low = F.greatest(F.least(e["y1"], e["y2"]), y)
     high = F.least(F.greatest(e["y1"], e["y2"]), y + 1)
@@ -39,7 +39,7 @@ def _run(e: Column, y: Column, left: Column, width: int) -> Column:
     )
 
 
-def _left_of_crossing(e: Column, y: Column, left: Column, width: int) -> Column:
+def left_of_crossing(e: Column, y: Column, left: Column, width: int) -> Column:
     """Pixels whose centre lies left of where the edge crosses their centre line."""
     line = y + 0.5
     count = _clamp(F.ceil(_x_at(e, line) - 0.5) - left, 0, width)
@@ -48,31 +48,8 @@ def _left_of_crossing(e: Column, y: Column, left: Column, width: int) -> Column:
     )
 
 
-def cell_masks(
-    edges: Column, cell_r: Column, cell_c: Column, cell: int, all_touched: bool
-) -> Column:
-    """One mask per row of the cell.
-
-    A centre is inside when an odd number of edges crosses to its right: the exclusive or of the
-    crossings' left parts. With ``all_touched`` the pixels on the edges are added.
-    """
-    left, top = cell_c * cell, cell_r * cell
-    none = F.lit(0).cast("long")
-
-    def row_mask(i: Column) -> Column:
-        y = (top + i).cast("double")
-        filled = F.aggregate(
-            edges, none, lambda m, e: m.bitwiseXOR(_left_of_crossing(e, y, left, cell))
-        )
-        if not all_touched:
-            return filled
-        outline = F.aggregate(edges, none, lambda m, e: m.bitwiseOR(_run(e, y, left, cell)))
-        return filled.bitwiseOR(outline)
-
-    return F.transform(F.sequence(F.lit(0), F.lit(cell - 1)), row_mask)
-
-
 def has_bit(masks: Column, row: Column, col: Column) -> Column:
-    """Whether the pixel at this row and column of the cell is set."""
-    mask = F.get(masks, row.cast("int"))
-    return F.call_function("shiftright", mask, col.cast("int")).bitwiseAND(F.lit(1)) == 1
+    """Whether the pixel at this row and column of the cell is set; rows may be absent."""
+    mask = F.try_element_at(masks, row.cast("int"))
+    bit = F.call_function("shiftright", mask, col.cast("int")).bitwiseAND(F.lit(1))
+    return F.coalesce(bit == 1, F.lit(False))

@@ -29,7 +29,7 @@ from charscape.operators.sizing import BROADCAST_BYTES
 CELL = 32
 CELL_KEY = ("cell_r", "cell_c")
 BOUNDS = ("minx", "miny", "maxx", "maxy")
-# Row and key overhead of one cell in a hashed relation; each mask adds eight bytes.
+# Row and key overhead of one cell in a hashed relation; each mask adds twelve bytes.
 _CELL_BYTES = 160
 
 
@@ -85,10 +85,44 @@ def polygon_cells(
     relevant = F.filter("_edges", lambda e: F.greatest(e["x1"], e["x2"]) >= left)
     reached = stage(cells, {"_crossed": crossed}).where(F.col("_crossed") | inside)
     near = stage(reached, {"_near": F.when(F.col("_crossed"), relevant)})
-    bits = masks.cell_masks(
-        F.col("_near"), F.col("cell_r"), F.col("cell_c"), cell, all_touched
+    return _with_masks(near, [*keys, "_shape", *CELL_KEY], cell, all_touched).drop("_shape")
+
+
+def _with_masks(
+    cells: DataFrame, keys: Sequence[str], cell: int, all_touched: bool
+) -> DataFrame:
+    """Masks by row of the cells that have edges.
+
+    Every edge contributes to the rows it meets. A centre is inside when an odd number of edges
+    crosses to its right, so the parts left of all crossings are combined by exclusive or; with
+    ``all_touched`` the pixels on the edges are added. The groups lie within the bands that the
+    edges were gathered by, so nothing is shuffled again.
+    """
+    left, top = F.col("cell_c") * cell, F.col("cell_r") * cell
+    e, y = F.col("e"), (F.col("cell_r") * cell + F.col("i")).cast("double")
+    first = F.greatest(F.floor(F.least("e.y1", "e.y2")) - top, F.lit(0))
+    last = F.least(F.floor(F.greatest("e.y1", "e.y2")) - top, F.lit(cell - 1))
+    met = F.when(F.col("e").isNotNull(), F.sequence(first, last))
+    filled = F.bit_xor(masks.left_of_crossing(e, y, left, cell))
+    touched = F.bit_or(masks.outline(e, y, left, cell))
+    rows = (
+        cells.select(*keys, F.explode_outer("_near").alias("e"))
+        .withColumn("i", F.explode_outer(met))
+        .groupBy(*keys, "i")
+        .agg((filled.bitwiseOR(touched) if all_touched else filled).alias("mask"))
+    )
+    entry = F.when(
+        F.col("i").isNotNull() & (F.col("mask") != 0),
+        F.struct(F.col("i").cast("int").alias("i"), "mask"),
+    )
+    return (
+        rows.groupBy(*keys)
+        .agg(F.collect_list(entry).alias("_entries"), F.max("i").alias("_edged"))
+        .select(
+            *keys,
+            F.when(F.col("_edged").isNotNull(), F.map_from_entries("_entries")).alias("masks"),
+        )
     )
-    return near.select(*keys, *CELL_KEY, F.when(F.col("_crossed"), bits).alias("masks"))
 
 
 def cells_fit_broadcast(
@@ -110,7 +144,7 @@ def cells_fit_broadcast(
 
     count = (cells("minx", "maxx") * cells("miny", "maxy")).cast("double")
     total = polygons.agg(F.sum(count).alias("cells")).first()["cells"]
-    return total is None or total * (_CELL_BYTES + 8 * cell) <= limit
+    return total is None or total * (_CELL_BYTES + 12 * cell) <= limit
 
 
 def with_cells(pixels: DataFrame, cell: int = CELL) -> DataFrame:
