@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from charscape.operators import composite
 from charscape.plans.queries import QUERIES
-from charscape.session import SETTINGS
+from charscape.session import BUILD_SETTINGS, SETTINGS
 from charscape.sources import tables
 
 HEADLINE = (
@@ -59,7 +59,7 @@ def session(cpus: str) -> SparkSession:
     )
     if "SPARK_CHECKPOINT_DIR" in os.environ:
         builder = builder.config("spark.checkpoint.dir", os.environ["SPARK_CHECKPOINT_DIR"])
-    for key, value in SETTINGS.items():
+    for key, value in {**SETTINGS, **BUILD_SETTINGS}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

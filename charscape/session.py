@@ -16,6 +16,10 @@ SETTINGS = {
     "spark.sql.exchange.reuse": "true",
 }
 
+# Only for session builders: recording the call site of every column expression slows down the
+# construction of large plans on the driver.
+BUILD_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():

@@ -5,9 +5,11 @@ import tempfile
 import pytest
 from pyspark.sql import SparkSession
 
+from charscape.session import BUILD_SETTINGS, SETTINGS
+
 
 def local_session() -> SparkSession:
-    spark = (
+    builder = (
         SparkSession.builder.master("local[8]")
         .appName("charscape-tests")
         .config("spark.sql.shuffle.partitions", "8")
@@ -16,8 +18,10 @@ def local_session() -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        .getOrCreate()
     )
+    for key, value in {**SETTINGS, **BUILD_SETTINGS}.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
