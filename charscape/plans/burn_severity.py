@@ -11,6 +11,7 @@ from charscape.operators import catalog, composite, grids
 from charscape.operators.requests import check_requests, job_observations, post_window, pre_window
 from charscape.plans.store import Store
 from charscape.sources import readers, sinks
+from charscape.sources.workspace import new_path
 
 JOB_PIXEL = ("job_id", *composite.PIXEL)
 COARSE_FILE = "coarse_boundary"
@@ -66,17 +67,22 @@ def analyze(
     sinks.write_index_grid(
         job_indices(observations, checked), store.coarse_grids, composite.INDICES
     )
-    written = readers.read_job_grids(spark, store.coarse_grids)
+    ready = checked.where(F.col("status") == "ready").select("job_id")
+    written = readers.read_job_grids(spark, store.coarse_grids).join(ready, "job_id", "left_semi")
     validity = grids.product_validity(written, composite.INDICES).select(
         "job_id", F.col("status").alias("outcome")
     )
     event, job = F.col("fire_event_name"), F.col("job_id")
-    outcome = checked.join(validity, "job_id", "left").withColumn(
+    judged = checked.join(validity, "job_id", "left").withColumn(
         "status",
         F.when(F.col("status") == "error", F.concat(F.lit("error: "), F.col("reason"))).otherwise(
             F.coalesce("outcome", F.lit("failed_validation"))
         ),
     )
+    # One row per job, read three times below: written so that grids are checked once.
+    outcome_path = new_path(spark, "outcome")
+    judged.write.parquet(outcome_path)
+    outcome = spark.read.parquet(outcome_path)
     done = outcome.where(F.col("status") == "completed").withColumns(
         {
             "boundary_type": F.lit("coarse"),

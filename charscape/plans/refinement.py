@@ -49,7 +49,9 @@ def refine(
         grid.pixel_width,
         grid.pixel_height,
     )
-    coarse = readers.read_job_grids(spark, store.coarse_grids)
+    coarse = readers.read_job_grids(spark, store.coarse_grids).join(
+        ready.select("job_id"), "job_id", "left_semi"
+    )
     sinks.write_index_grid(
         clip_grid(coarse, polygons, by=["job_id"]), store.refined_grids, composite.INDICES
     )
