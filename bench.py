@@ -3,7 +3,7 @@
 BENCH_SF_DIR   folder of the tables (default /root/testdata/sf0.1)
 BENCH_CPUS     local cores (default 8)
 BENCH_QUERIES  comma-separated names, or "all" (default: the headline queries)
-BENCH_RUNS     timed runs per query after one warm-up; the median counts (default 3)
+BENCH_RUNS     timed runs per query after one warm-up; the median counts (default 2)
 BENCH_STACK    rows of a further, larger observation stack derived from lineitem (default 10000000,
                0 to leave it out)
 """
@@ -98,7 +98,7 @@ def stack(spark: SparkSession, sf_dir: str, rows: int) -> DataFrame:
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     chosen = os.environ.get("BENCH_QUERIES", "")
     names = list(QUERIES) if chosen == "all" else (chosen.split(",") if chosen else HEADLINE)
     rows = int(os.environ.get("BENCH_STACK", "10000000"))

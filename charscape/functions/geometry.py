@@ -105,20 +105,6 @@ def bounds_overlap(a: dict[str, Column], b: dict[str, Column]) -> Column:
     )
 
 
-def bounds_ring(bounds: dict[str, Column]) -> Column:
-    """Closed rectangle, counter-clockwise from the lower left corner."""
-    corners = (
-        ("minx", "miny"),
-        ("maxx", "miny"),
-        ("maxx", "maxy"),
-        ("minx", "maxy"),
-        ("minx", "miny"),
-    )
-    return F.array(
-        *[F.struct(bounds[x].alias("x"), bounds[y].alias("y")) for x, y in corners]
-    )
-
-
 def contains_point(edges: Column, x: Column, y: Column) -> Column:
     """Even-odd rule: an odd number of edges crosses the ray from the point towards +x."""
 

@@ -43,10 +43,6 @@ def collection_url(base: str, event: Column) -> Column:
     return F.concat(F.lit(base + "/"), event, F.lit("/collection.json"))
 
 
-def items_url(base: str, event: Column) -> Column:
-    return F.concat(F.lit(base + "/"), event, F.lit("/items"))
-
-
 def parquet_url(base: str, event: Column) -> Column:
     return F.concat(F.lit(base + "/"), event, F.lit(".parquet"))
 

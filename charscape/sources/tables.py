@@ -14,7 +14,6 @@ from charscape.functions.timeparse import DateWindow
 from charscape.operators.grids import GridGeometry
 from charscape.schemas import ITEMS
 
-GRID_COLUMNS = 50
 TILE = 16
 CELL = 16
 JOBS_PER_EVENT = 12

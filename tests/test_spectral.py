@@ -36,6 +36,18 @@ def test_classes_of_golden_grid(spark):
     assert got == {(r, c): EXPECTED[r][c] for r in range(4) for c in range(4)}
 
 
+def test_class_counts(spark):
+    clean = golden(spark).withColumn("rbr", spectral.valid_value(F.col("rbr")))
+    counts = composite.class_counts(composite.classify(clean)).collect()
+    assert {r["severity_class"]: r["pixels"] for r in counts} == {
+        None: 4,
+        "unburned": 3,
+        "low": 3,
+        "moderate": 4,
+        "high": 2,
+    }
+
+
 def test_masks_keep_values_inside_and_zero_outside(spark):
     clean = golden(spark).withColumn("rbr", spectral.valid_value(F.col("rbr")))
     for row in composite.severity_masks(clean).collect():

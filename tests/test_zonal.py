@@ -7,7 +7,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from charscape.functions import geojson
 from charscape.operators import zonal
+from charscape.sources import readers
+from charscape.sources.workspace import new_path
 
 POLYGON = "zone_id long, veg_type string, rings array<array<struct<x:double,y:double>>>"
 
@@ -138,3 +141,32 @@ def test_midpoints_follow_breaks_on_request(spark):
     )
     assert zonal.with_severity(df).first()["mean_severity"] == 0.185
     assert zonal.with_severity(df, (0.5, 0.7)).first()["mean_severity"] == pytest.approx(0.3)
+
+
+def test_zones_from_parquet_and_geojson_agree_after_projection(spark):
+    ring = [{"x": x, "y": y} for x, y in ((-116.5, 33.8), (-116.49, 33.8), (-116.49, 33.81), (-116.5, 33.8))]
+    layer = spark.createDataFrame(
+        [(7, "oak", [ring])],
+        "zone_id long, MapUnit_ID string, rings array<array<struct<x:double,y:double>>>",
+    )
+    parquet, lines = new_path(spark, "zones"), new_path(spark, "zones")
+    layer.write.parquet(parquet)
+    layer.select(
+        geojson.feature_text(F.col("rings"), F.struct("zone_id", "MapUnit_ID")).alias("value")
+    ).write.text(lines)
+    one = readers.read_zones(spark, parquet, utm_zone=11).first()
+    two = readers.read_geojson_zones(spark, lines, utm_zone=11).first()
+    assert one["veg_type"] == two["veg_type"] == "oak" and one["rings"] == two["rings"]
+    # About 0.01 degrees a side at this latitude.
+    assert one["maxx"] - one["minx"] == pytest.approx(926, abs=15)
+    assert one["maxy"] - one["miny"] == pytest.approx(1109, abs=15)
+    assert zonal.zone_area(readers.read_zones(spark, parquet, utm_zone=11)).first()[
+        "total_ha"
+    ] == pytest.approx(926 * 1109 / 2 / 10000, rel=0.01)
+
+
+def test_rejected_zone_line_raises(spark):
+    path = new_path(spark, "zones")
+    spark.createDataFrame([('{"type":"Feature","geometry":null}',)], "value string").write.text(path)
+    with pytest.raises(Exception, match="not a polygon"):
+        readers.read_geojson_zones(spark, path).collect()
