@@ -1,0 +1,48 @@
+"""SQL counterparts of the registered queries, for DuckDB."""
+
+from __future__ import annotations
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+OP7 = rf"""
+WITH sized AS (
+  SELECT doc_id, source,
+    coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
+    md5('mix:' || doc_id::VARCHAR) AS key
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place
+  FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, CASE place % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM sources
+), walked AS (
+  SELECT *, 3 * source_size AS cap,
+    sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0) AS left_words,
+    sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS left_weight
+  FROM weighed
+  WINDOW before AS (ORDER BY source_size::DOUBLE / weight, place
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), edge AS (
+  SELECT arg_max(left_words, left_weight) AS open_words, max(left_weight) AS open_weight
+  FROM walked WHERE cap * left_weight >= left_words * weight
+), targets AS (
+  SELECT source, source_size,
+    CASE WHEN left_weight <= open_weight
+      THEN (open_words * weight)::DOUBLE / open_weight::DOUBLE ELSE cap::DOUBLE END AS target
+  FROM walked, edge
+), placed AS (
+  SELECT doc_id, size, source_size, target, round(target)::BIGINT AS goal,
+    sum(size) OVER (PARTITION BY s.source ORDER BY key, size
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  (CASE WHEN size = 0 THEN 0 ELSE size * (goal // source_size)
+    + least(size, greatest(0, goal % source_size - before)) END)::BIGINT AS taken
+FROM placed
+"""
+
+ORACLES: dict[str, str] = {
+    "op7_mixing": OP7,
+}
