@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from charscape.llm.quality import COMMON, Rules, vocabulary
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 OP7 = rf"""
@@ -43,6 +45,115 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+
+def _listed(items: list[str]) -> str:
+    return ", ".join(f"'{x}'" for x in items)
+
+
+def op3(rules: Rules = Rules(), source: str = "documents") -> str:
+    """CTEs up to `verdict`: one row per document row."""
+    words = vocabulary()
+    covered = "length(body) - length(regexp_replace(body, '{}', '', 'g'))".format
+    return rf"""
+base AS (
+  SELECT row_number() OVER () AS n, doc_id, lang, coalesce(text, '') AS body,
+    regexp_extract_all(coalesce(text, ''), '{WORD}') AS tokens
+  FROM {source}
+), windows AS (
+  SELECT n, unnest(range(1, len(tokens) - 1)) AS i, tokens FROM base WHERE len(tokens) >= 3
+), repeats AS (
+  SELECT n, i, count(*) OVER (PARTITION BY n, tokens[i], tokens[i + 1], tokens[i + 2]) AS k
+  FROM windows
+), repeated AS (
+  SELECT n, count(DISTINCT i + d)::BIGINT AS n_repeat_words
+  FROM repeats, (VALUES (0), (1), (2)) t(d) WHERE k >= 2 GROUP BY n
+), counted AS (
+  SELECT b.n, doc_id, lang, len(tokens)::BIGINT AS n_words,
+    length(array_to_string(tokens, ''))::BIGINT AS word_chars,
+    ({covered('[#*$%&|<>]+')})::BIGINT AS n_symbols,
+    (SELECT len(l) - len(list_distinct(l)) FROM (SELECT list_filter(string_split(body, chr(10)),
+      lambda x: regexp_matches(x, '[^ 	-]')) AS l))::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    {covered('[A-Z]+')} AS upper, {covered('[0-9]+')} AS digit,
+    {covered('[.,;:!?]+')} AS stop, strlen(body) - length(body) AS wide,
+    length(body) AS chars,
+    list_filter(regexp_extract_all(regexp_replace(lower(body), '[.,;:]+', '', 'g'), '{WORD}'),
+      lambda x: x IN ({_listed(words)})) AS common
+  FROM base b LEFT JOIN repeated r USING (n)
+), cells AS (
+  SELECT n, lang, 'class' AS kind, unnest(['u', 'd', 's', 'w', 'y', 'r', 'b']) AS cell,
+    unnest([upper, digit, stop, wide, n_symbols,
+      greatest(0, word_chars - (upper + digit + stop + wide + n_symbols)),
+      chars - word_chars])::DOUBLE AS v
+  FROM counted
+  UNION ALL
+  SELECT n, any_value(lang), 'word', w, count(*)::DOUBLE
+  FROM (SELECT n, lang, unnest(common) AS w FROM counted) GROUP BY n, w
+  UNION ALL
+  SELECT n, lang, 'word', '', greatest(0, n_words - len(common))::DOUBLE FROM counted
+), shares AS (
+  SELECT n, kind, cell, v / sum(v) OVER (PARTITION BY n, kind) AS p FROM cells
+), refs AS (
+  SELECT lang, kind, cell, v / sum(v) OVER (PARTITION BY lang, kind) AS q
+  FROM (SELECT lang, kind, cell, sum(v) AS v FROM cells
+        WHERE lang IN ({_listed(sorted(COMMON))}) GROUP BY lang, kind, cell)
+), kinds AS (
+  SELECT n, kind, lang FROM (SELECT n, kind FROM cells GROUP BY n, kind HAVING sum(v) > 0)
+  JOIN (SELECT DISTINCT lang, kind FROM refs) USING (kind)
+), paired AS (
+  SELECT k.n, k.kind, k.lang, r.cell, coalesce(s.p, 0) AS p, r.q AS q
+  FROM kinds k JOIN refs r USING (lang, kind)
+  LEFT JOIN shares s ON s.n = k.n AND s.kind = k.kind AND s.cell = r.cell
+  UNION ALL
+  SELECT k.n, k.kind, k.lang, s.cell, s.p, 0
+  FROM kinds k JOIN shares s ON s.n = k.n AND s.kind = k.kind
+  ANTI JOIN refs r ON r.lang = k.lang AND r.kind = k.kind AND r.cell = s.cell
+), distances AS (
+  SELECT n, kind, min(d) AS d FROM (
+    SELECT n, kind, lang, sqrt(greatest(0, sum(
+      CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END
+      + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS d
+    FROM paired GROUP BY n, kind, lang) GROUP BY n, kind
+), verdict AS (
+  SELECT c.*, n_words < {rules.min_words}
+      OR 100 * n_repeat_words > {rules.repeat_percent} * n_words AS base_failed,
+    (lang IS NULL OR lang IN ({_listed(sorted(COMMON))})) AS judged,
+    coalesce(x.d > {rules.max_class_distance}, false)
+      AND upper + digit + stop + wide + n_symbols + chars - word_chars
+        + greatest(0, word_chars - (upper + digit + stop + wide + n_symbols))
+        >= {rules.min_class_count} AS class_far,
+    coalesce(y.d > {rules.max_word_distance}, false) AND n_words >= {rules.min_word_count} AS word_far
+  FROM counted c LEFT JOIN distances x ON x.n = c.n AND x.kind = 'class'
+  LEFT JOIN distances y ON y.n = c.n AND y.kind = 'word'
+)"""
+
+
+OP3 = f"""WITH {op3()}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (judged AND (class_far OR word_far)) AS kept
+FROM verdict
+"""
+
+OP4 = """
+WITH codes AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS c
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+    list_sum(list_transform(list_zip(q.c, v.c), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM codes q JOIN codes v ON q.vec_id <> v.vec_id AND len(q.c) = len(v.c)
+  WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
 ORACLES: dict[str, str] = {
+    "op3_quality_rules": OP3,
+    "op4_exact_top_k": OP4,
     "op7_mixing": OP7,
 }

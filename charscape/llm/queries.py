@@ -7,17 +7,53 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from charscape.llm import mixing
-from charscape.llm.common import table
+from charscape.llm import knn, mixing, quality, topk, toxicity
+from charscape.llm.common import in_training, table
 from charscape.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def _training(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """doc_id, text, label of the rows that a model may learn from."""
+    labels = table(spark, sf_dir, "labels").where(in_training(F.col("doc_id"))).select(
+        F.col("doc_id"), F.col(label).alias("label"))
+    return table(spark, sf_dir, "documents").where(in_training(F.col("doc_id"))).select(
+        "doc_id", "text").join(labels, "doc_id")
+
+
+def _predicted(scores: DataFrame, limit: float) -> DataFrame:
+    return scores.select(
+        "doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "score",
+        (F.col("score") >= limit).cast("int").alias("predicted"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents")).select(
+        "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept")
+
+
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = toxicity.fit(_training(spark, sf_dir, "toxic"))
+    return _predicted(toxicity.scored(table(spark, sf_dir, "documents"), lexicon), 0.7)
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = knn.fit(_training(spark, sf_dir, "quality"))
+    return _predicted(knn.scored(table(spark, sf_dir, "documents"), model), 0.5)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_mixing,)
+    f.__name__: f for f in (
+        op3_quality_rules, op4_exact_top_k, op5_toxicity, op7_mixing, op10_quality_classifier,
+    )
 }
