@@ -4,8 +4,8 @@
    zero-width characters, turns digits and signs inside words into letters, and squeezes everything
    else to single spaces. Each word stands between two spaces.
 2. The lexicon is learned from a bounded sample of training rows (`Settings.sample`, in expectation):
-   whole words and word beginnings, counted by document with partial counts per task. Terms that are
-   much more frequent in toxic documents get their log odds as weight; at most `max_terms` are kept.
+   whole words and word beginnings, counted by distinct text with partial counts per task. Terms of
+   which nearly all documents are toxic get their log odds as weight; at most `max_terms` are kept.
 3. Exception phrases: a two-word phrase around a term which the sample shows in clean documents only.
    Where it occurs, the term inside does not count. More can be given.
 4. The automaton of terms and phrases is broadcast (bounded by `max_terms`) and run over every whole
@@ -78,11 +78,12 @@ def fold(text: str | None) -> str:
 
 @dataclass(frozen=True)
 class Settings:
-    sample: int = 8000
+    sample: int = 12000
     max_terms: int = 4000
     min_documents: int = 3
-    min_log_odds: float = 2.5
-    min_z: float = 3.5
+    # The share of toxic documents among those with a term is at least this
+    # at the lower end of a 90 % interval.
+    min_share: float = 0.6
     stems: Sequence[int] = (4, 5, 6)
     exceptions: Sequence[str] = ()
 
@@ -167,7 +168,7 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Lexicon:
     """`labelled`: doc_id, text, label (1 toxic, 0 clean), training rows only."""
     known = labelled.where("label is not null").select(
         "doc_id", "text", F.col("label").cast("int").alias("label"))
-    rows = sampled(known, settings.sample, F.col("doc_id"))
+    rows = sampled(known, settings.sample, F.col("doc_id")).dropDuplicates(["text", "label"])
     totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic or not n_clean:
@@ -176,12 +177,15 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Lexicon:
     counts = counted(rows, lambda folded: candidates(folded, stems))
     odds = (F.log((F.col("toxic") + 0.5) / (n_toxic - F.col("toxic") + 0.5))
             - F.log((F.col("clean") + 0.5) / (n_clean - F.col("clean") + 0.5)))
-    spread = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    count = F.col("toxic") + F.col("clean")
+    share, z = F.col("toxic") / count, 1.645
+    lower = (share + z * z / (2 * count) - z * F.sqrt(
+        share * (1 - share) / count + z * z / (4 * count * count))) / (1 + z * z / count)
     chosen = (
         counts.where(F.col("toxic") >= settings.min_documents)
-        .withColumns({"odds": odds, "z": odds / spread})
-        .where((F.col("odds") >= settings.min_log_odds) & (F.col("z") >= settings.min_z))
-        .orderBy(F.desc("z"), "term").limit(settings.max_terms).collect()
+        .withColumns({"odds": odds, "lower": lower})
+        .where(F.col("lower") >= settings.min_share)
+        .orderBy(F.desc("lower"), "term").limit(settings.max_terms).collect()
     )
     weights = {r["term"]: r["odds"] for r in chosen}
     learned = (
