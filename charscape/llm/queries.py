@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from charscape.llm import knn, mixing, quality, topk, toxicity
+from charscape.llm import bpe, knn, mixing, quality, topk, toxicity
 from charscape.llm.common import in_training, table
 from charscape.llm.oracles import ORACLES
 
@@ -43,6 +43,21 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(toxicity.scored(table(spark, sf_dir, "documents"), lexicon), 0.7)
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    tokens = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), path), path)
+    return tokens.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.col("text"), 256).alias("decoded_sha256"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = knn.fit(_training(spark, sf_dir, "quality"))
     return _predicted(knn.scored(table(spark, sf_dir, "documents"), model), 0.5)
@@ -54,6 +69,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op3_quality_rules, op4_exact_top_k, op5_toxicity, op7_mixing, op10_quality_classifier,
+        op3_quality_rules, op4_exact_top_k, op5_toxicity, op7_mixing, op8_bpe,
+        op10_quality_classifier,
     )
 }
