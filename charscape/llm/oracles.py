@@ -46,6 +46,24 @@ FROM placed
 """
 
 
+OP1 = """
+WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
+    sha256(coalesce(html, '')) AS payload_digest
+  FROM pages
+), firsts AS (
+  SELECT *, CASE WHEN payload_bytes >= 100
+    THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first
+  FROM hashed
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END
+    AS record_type,
+  CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM firsts
+"""
+
+
 def _listed(items: list[str]) -> str:
     return ", ".join(f"'{x}'" for x in items)
 
@@ -72,7 +90,8 @@ base AS (
     length(array_to_string(tokens, ''))::BIGINT AS word_chars,
     ({covered('[#*$%&|<>]+')})::BIGINT AS n_symbols,
     (SELECT len(l) - len(list_distinct(l)) FROM (SELECT list_filter(string_split(body, chr(10)),
-      lambda x: regexp_matches(x, '[^ 	-]')) AS l))::BIGINT AS n_dup_lines,
+      lambda x: regexp_matches(x, '[^ 	-
+]')) AS l))::BIGINT AS n_dup_lines,
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
     {covered('[A-Z]+')} AS upper, {covered('[0-9]+')} AS digit,
     {covered('[.,;:!?]+')} AS stop, strlen(body) - length(body) AS wide,
@@ -153,6 +172,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 ORACLES: dict[str, str] = {
+    "op1_warc": OP1,
     "op3_quality_rules": OP3,
     "op4_exact_top_k": OP4,
     "op7_mixing": OP7,

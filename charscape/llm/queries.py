@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from charscape.llm import bpe, knn, mixing, quality, topk, toxicity
+from charscape.llm import bpe, knn, mixing, quality, topk, toxicity, warc
 from charscape.llm.common import in_training, table
 from charscape.llm.oracles import ORACLES
 
@@ -28,6 +28,12 @@ def _predicted(scores: DataFrame, limit: float) -> DataFrame:
         (F.col("score") >= limit).cast("int").alias("predicted"))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages")).select(
+        F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
+        "record_type", "refers_to")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).select(
         "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -69,7 +75,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op3_quality_rules, op4_exact_top_k, op5_toxicity, op7_mixing, op8_bpe,
+        op1_warc, op3_quality_rules, op4_exact_top_k, op5_toxicity, op7_mixing, op8_bpe,
         op10_quality_classifier,
     )
 }
