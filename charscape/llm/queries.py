@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from charscape.llm import bpe, knn, mixing, quality, topk, toxicity, warc
+from charscape.llm import bpe, html, knn, mixing, quality, topk, toxicity, warc
 from charscape.llm.common import in_training, table
 from charscape.llm.oracles import ORACLES
 
@@ -69,13 +69,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(knn.scored(table(spark, sf_dir, "documents"), model), 0.5)
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_warc, op3_quality_rules, op4_exact_top_k, op5_toxicity, op7_mixing, op8_bpe,
+        op1_warc, op3_quality_rules, op4_exact_top_k, op5_toxicity, op6_html, op7_mixing, op8_bpe,
         op10_quality_classifier,
     )
 }
