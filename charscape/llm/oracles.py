@@ -64,6 +64,48 @@ FROM firsts
 """
 
 
+
+def op2(words: int = 2, percent: int = 80, source: str = "documents", name: str = "component") -> str:
+    """CTEs up to one named `name`: n (row number), doc_id, n_shingles, component_id."""
+    p = name[0]
+    return rf"""
+{p}_rows AS (
+  SELECT row_number() OVER () AS n, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w
+  FROM {source}
+), {p}_shingles AS (
+  SELECT DISTINCT n, CASE WHEN len(w) < {words} THEN array_to_string(w, ' ')
+    ELSE array_to_string(w[i:i + {words} - 1], ' ') END AS s
+  FROM (SELECT n, w, unnest(range(1, greatest(1, len(w) - {words} + 1) + 1)) AS i
+        FROM {p}_rows WHERE len(w) > 0)
+), {p}_sizes AS (
+  SELECT n, count(*) AS k FROM {p}_shingles GROUP BY n
+), {p}_links AS (
+  SELECT a.n AS x, b.n AS y
+  FROM {p}_shingles a JOIN {p}_shingles b ON a.s = b.s AND a.n <> b.n
+  GROUP BY a.n, b.n
+  HAVING 100 * count(*) >= {percent} * (
+    (SELECT k FROM {p}_sizes z WHERE z.n = a.n) + (SELECT k FROM {p}_sizes z WHERE z.n = b.n)
+    - count(*))
+), {p}_reach AS (
+  SELECT n AS x, n AS y FROM {p}_rows
+  UNION
+  SELECT r.x, l.y FROM {p}_reach r JOIN {p}_links l ON r.y = l.x
+), {name} AS (
+  SELECT r.x AS n, any_value(d.doc_id) AS doc_id, coalesce(any_value(z.k), 0)::BIGINT AS n_shingles,
+    min(e.doc_id) AS component_id
+  FROM {p}_reach r JOIN {p}_rows d ON d.n = r.x JOIN {p}_rows e ON e.n = r.y
+  LEFT JOIN {p}_sizes z ON z.n = r.x
+  GROUP BY r.x
+)"""
+
+
+OP2 = f"""WITH RECURSIVE {op2()}
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM component
+"""
+
+
 def _listed(items: list[str]) -> str:
     return ", ".join(f"'{x}'" for x in items)
 
@@ -173,6 +215,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 ORACLES: dict[str, str] = {
     "op1_warc": OP1,
+    "op2_minhash": OP2,
     "op3_quality_rules": OP3,
     "op4_exact_top_k": OP4,
     "op7_mixing": OP7,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from charscape.llm import bpe, html, knn, mixing, quality, topk, toxicity, warc
+from charscape.llm import bpe, html, knn, minhash, mixing, quality, topk, toxicity, warc
 from charscape.llm.common import in_training, table
 from charscape.llm.oracles import ORACLES
 
@@ -34,6 +34,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type", "refers_to")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(table(spark, sf_dir, "documents"), minhash.Settings(words=2, percent=80))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).select(
         "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -80,7 +84,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_warc, op3_quality_rules, op4_exact_top_k, op5_toxicity, op6_html, op7_mixing, op8_bpe,
+        op1_warc, op2_minhash, op3_quality_rules, op4_exact_top_k, op5_toxicity, op6_html, op7_mixing, op8_bpe,
         op10_quality_classifier,
     )
 }
