@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from charscape.llm import bpe, html, knn, minhash, mixing, quality, topk, toxicity, warc
+from charscape.llm import bpe, html, knn, minhash, mixing, quality, suffix, topk, toxicity, warc
 from charscape.llm.common import in_training, table
 from charscape.llm.oracles import ORACLES
 
@@ -68,6 +68,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("text"), 256).alias("decoded_sha256"))
 
 
+def op9_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.deduplicated(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = knn.fit(_training(spark, sf_dir, "quality"))
     return _predicted(knn.scored(table(spark, sf_dir, "documents"), model), 0.5)
@@ -85,6 +90,6 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_warc, op2_minhash, op3_quality_rules, op4_exact_top_k, op5_toxicity, op6_html, op7_mixing, op8_bpe,
-        op10_quality_classifier,
+        op9_suffix_arrays, op10_quality_classifier,
     )
 }
