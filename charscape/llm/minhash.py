@@ -16,8 +16,9 @@ of 1.2e-7; every comparison is exact, and no bucket, group or number of partners
 
 Defined cases: texts that are NULL or have no words have the empty set and stay alone; texts with fewer
 words than a shingle have their whole sequence as only element; rows that repeat an id and a text are
-all kept or all dropped; a row without an id joins its group, is no group's smallest id, and is kept
-only if no row of its group has an id; an empty table gives an empty result. Extra columns are ignored.
+all kept or all dropped by `groups`, and `representatives` keeps one of them; a row without an id joins
+its group, is no group's smallest id, and is kept only if no row of its group has an id; an empty table
+gives an empty result. Extra columns are ignored by `groups` and kept by `representatives`.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from charscape.llm import graph, hashing
 from charscape.llm.common import materialise
@@ -148,8 +150,13 @@ def set_keys(row: np.ndarray, value: np.ndarray, n: int) -> list[bytes | None]:
     return out
 
 
-def sketched(docs: DataFrame, settings: Settings) -> DataFrame:
-    """doc_id, n_shingles, set_key, bands of every document."""
+def sketched(docs: DataFrame, settings: Settings, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, set_key, bands of every document, and the carried columns as `doc`."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
+                       *([F.struct(*[F.col(c) for c in carry]).alias("doc")] if carry else []))
+    out = StructType.fromDDL("doc_id long, n_shingles long, set_key binary, bands array<long>")
+    if carry:
+        out = out.add("doc", rows.schema["doc"].dataType)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,11 +172,11 @@ def sketched(docs: DataFrame, settings: Settings) -> DataFrame:
                     "doc_id": batch["doc_id"].slice(at, n),
                     "n_shingles": pa.array(np.bincount(row, minlength=n), pa.int64()),
                     "set_key": pa.array(keys, pa.binary()),
-                    "bands": pa.ListArray.from_arrays(offsets, flat)})
+                    "bands": pa.ListArray.from_arrays(offsets, flat),
+                    **({"doc": batch["doc"].slice(at, n)} if carry else {})})
                 at += n
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        sketch, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return rows.mapInArrow(sketch, out)
 
 
 # --- Links -----------------------------------------------------------------------------------------
@@ -302,27 +309,46 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataF
     return roots
 
 
-def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
-    rows = materialise(sketched(docs, settings), "minhash-sketch")
+def labelled(docs: DataFrame, settings: Settings, carry: tuple[str, ...] = ()
+             ) -> tuple[DataFrame, DataFrame]:
+    """The rows, with the carried columns as `doc` and a number `row`, and for each row: row, doc_id,
+    n_shingles, component_id and its group (NULL for empty sets)."""
+    rows = materialise(sketched(docs, settings, carry).withColumn(
+        "row", F.monotonically_increasing_id()), "minhash-sketch")
     nodes = materialise(
         rows.where("set_key is not null").groupBy("set_key").agg(
             F.min("doc_id").alias("rep"), F.first("bands").alias("bands"),
             F.first("n_shingles").alias("n_shingles"))
         .withColumn("node", F.monotonically_increasing_id()), "minhash-nodes")
     roots = linked_nodes(docs, nodes, settings)
-    labelled = nodes.select("set_key", "node", "rep")
+    named = nodes.select("set_key", "node", "rep")
     if roots is None:
-        labelled = labelled.withColumn("component_id", F.col("rep"))
+        named = named.withColumns({"root": F.col("node"), "component_id": F.col("rep")})
     else:
-        rooted = labelled.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-        labelled = rooted.join(least, "root")
-    # Empty sets have no key: a key of their own keeps them apart in the join.
-    own = F.coalesce("set_key", F.encode(F.concat(F.lit("none"), F.coalesce(
-        F.col("doc_id").cast("string"), F.uuid())), "utf-8"))
-    joined = rows.select("doc_id", "n_shingles", own.alias("set_key")).join(
-        labelled.select("set_key", F.lit(True).alias("found"), "component_id"), "set_key", "left")
-    component = F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        rooted = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root")
+    # Empty sets have no key: keys of their own spread them over the join's tasks.
+    key = F.coalesce("set_key", F.col("row").cast("string").cast("binary"))
+    joined = rows.select("row", "doc_id", "n_shingles", key.alias("set_key")).join(
+        named.select("set_key", F.col("root").alias("group"), "component_id"), "set_key", "left")
+    component = F.when(F.col("group").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    return rows, joined.select("row", "doc_id", "n_shingles", "group", component.alias("component_id"))
+
+
+def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document."""
+    return labelled(docs, settings)[1].select(
+        "doc_id", "n_shingles", "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def representatives(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """One row of each group, with all columns of the documents: that with the smallest id, and among
+    repeated rows any one. Rows with empty sets all stay."""
+    columns = tuple(docs.columns)
+    rows, labels = labelled(docs, settings, columns)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    chosen = labels.where("group is not null").groupBy("group").agg(F.min(order)["row"].alias("row"))
+    stay = chosen.select("row").unionByName(labels.where("group is null").select("row"))
+    return rows.join(stay, "row", "left_semi").select(
+        *[F.col("doc").getField(c).alias(c) for c in columns])

@@ -354,7 +354,8 @@ def _removed(row: dict, data: np.ndarray, ids: np.ndarray, length: int) -> np.nd
 
 
 def deduplicated(docs: DataFrame, carry: Sequence[str] = (), settings: Settings = Settings()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), and the carried columns."""
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), and the carried columns in the
+    struct `rest`."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text",
         *([F.struct(*[F.col(c) for c in carry]).alias("rest")] if carry else []))
@@ -394,3 +395,23 @@ def deduplicated(docs: DataFrame, carry: Sequence[str] = (), settings: Settings
                 yield pa.RecordBatch.from_pydict(columns)
 
     return blocks.join(places, "block", "left").join(hits, "block", "left").mapInArrow(finish, out)
+
+
+def shortened(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The documents with their remaining texts, with all columns. Bytes of characters that were cut
+    apart are left out; n_chars, if there, is counted anew. Rows stay, also with an empty text."""
+    columns = list(docs.columns)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [k.decode("utf-8", "ignore") for k in batch["kept"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch["rest"]],
+                                             names=["text", "rest"])
+
+    carried = tuple(c for c in columns if c != "text")
+    found = deduplicated(docs, carried, settings).select("kept", "rest")
+    out = found.mapInArrow(decode, StructType().add("text", "string").add(found.schema["rest"]))
+    values = {"text": F.col("text")}
+    if "n_chars" in columns:
+        values["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[values.get(c, F.col("rest").getField(c)).alias(c) for c in columns])
