@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from charscape import constants as C
 from charscape.functions import geojson, naming
 from charscape.functions.geometry import all_of, bounds_overlap
-from charscape.operators.sizing import salted_lookup_join
+from charscape.functions.timeparse import interval_text, parse_interval
 from charscape.schemas import ASSET, ITEMS, LINK
 
 BBOX = ("minx", "miny", "maxx", "maxy")
@@ -244,17 +244,21 @@ def search_items(
     start: str | None = None,
     end: str | None = None,
 ) -> DataFrame:
-    """Items of an event, narrowed by product, box and a possibly open time range."""
+    """Items of an event, narrowed by product, box and a possibly open time range.
+
+    Bounds are read like those of intervals: zones count, and no item meets a malformed bound.
+    """
     conditions = [F.col("fire_event_name") == event]
     if product_type:
         conditions.append(F.col("product_type") == product_type)
     if bbox:
         wanted = dict(zip(BBOX, (F.lit(float(v)) for v in bbox)))
         conditions.append(bounds_overlap({c: F.col(c) for c in BBOX}, wanted))
+    low, high = parse_interval(interval_text(F.lit(start or None), F.lit(end or None)))
     if start and start != "..":
-        conditions.append(F.col("datetime") >= F.lit(start).cast("timestamp_ntz"))
+        conditions.append(F.col("datetime") >= low)
     if end and end != "..":
-        conditions.append(F.col("datetime") <= F.lit(end).cast("timestamp_ntz"))
+        conditions.append(F.col("datetime") <= high)
     return items.where(all_of(conditions))
 
 
@@ -319,7 +323,7 @@ def severity_of_job(items: DataFrame, boundary_type: str | None = None) -> DataF
 def related_items(items: DataFrame) -> DataFrame:
     """Boundary and matrix items beside the severity item of their job.
 
-    Items may crowd in one job, so they are salted; the severity side has one row per job.
+    The severity side has one row per job; a job in which items crowd is split at run time.
     """
     severity = severity_of_job(items).select(
         *JOB, F.col("id").alias("related_id"), asset_href("rbr").alias("related_href")
@@ -327,7 +331,7 @@ def related_items(items: DataFrame) -> DataFrame:
     others = items.where(F.col("product_type") != C.PRODUCT_SEVERITY).select(
         "id", *JOB, "product_type", "boundary_type", "datetime", "ingest_seq"
     )
-    return salted_lookup_join(others, severity, JOB, "left")
+    return others.join(severity, list(JOB), "left")
 
 
 @dataclass(frozen=True)

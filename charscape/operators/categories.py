@@ -6,32 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from charscape.operators.sizing import BROADCAST_ROWS, lookup_join
+from charscape.sources.workspace import new_path
 
 
 def category_ids(df: DataFrame, column: str, start: int = 1) -> DataFrame:
     """Categories in order with ids from ``start``; 0 stays free for "no category".
 
-    Ranks are taken within groups of equal two-letter prefix and shifted by the number of
-    categories in earlier groups, so no task sorts all categories.
+    The categories are dealt into ranges of about equal size, in order, and written. Ranks are taken
+    within a range and shifted by the number of categories in earlier ones, so no task sorts all of
+    them, whatever their names have in common.
     """
-    names = df.where(F.col(column).isNotNull()).select(column).distinct()
-    grouped = names.withColumn("_prefix", F.substring(F.col(column), 1, 2))
+    path = new_path(df.sparkSession, "categories")
+    (
+        df.where(F.col(column).isNotNull()).select(column).distinct()
+        .repartitionByRange(column)
+        .withColumn("_range", F.spark_partition_id())
+        .write.parquet(path)
+    )
+    ranged = df.sparkSession.read.parquet(path)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range.
     offsets = (
-        grouped.groupBy("_prefix")
+        ranged.groupBy("_range")
         .agg(F.count("*").alias("_n"))
-        .withColumn(
-            "_before",
-            F.coalesce(
-                F.sum("_n").over(
-                    Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
-        .drop("_n")
+        .select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
-    rank = F.row_number().over(Window.partitionBy("_prefix").orderBy(column))
-    return grouped.withColumn("_rank", rank).join(offsets, "_prefix").select(
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(column))
+    return ranged.withColumn("_rank", rank).join(F.broadcast(offsets), "_range").select(
         column, (F.col("_before") + F.col("_rank") + (start - 1)).cast("int").alias("category_id")
     )
 

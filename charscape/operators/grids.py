@@ -144,7 +144,7 @@ def regrid_nearest(
 def product_validity(
     indices: DataFrame,
     names: Sequence[str],
-    by: Sequence[str] = ("job_id",),
+    by: Sequence[str] = ("fire_event_name", "job_id"),
     min_share: float = 0.0,
 ) -> DataFrame:
     """Per job and index: pixels, usable share, and whether the product may be published.

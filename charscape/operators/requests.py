@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from charscape.functions.geojson import parse_polygons
 from charscape.functions.timeparse import ColumnWindow, hull
 from charscape.operators.catalog import BBOX
 from charscape.operators.sizing import BROADCAST_ROWS
+from charscape.schemas import MONTH
 
 # Side of the cells that bring observations and areas together, in map units.
 AREA_CELL = 0.1
@@ -27,7 +31,7 @@ def post_window() -> ColumnWindow:
 def check_requests(requests: DataFrame) -> DataFrame:
     """Adds rings, bounds and window bounds; ``status`` is ``error`` with a reason, or ``ready``.
 
-    Both windows are required, and the geometry has to be a polygon.
+    Both windows are required and have to be dates, and the geometry has to be a polygon.
     """
     times = {
         "pre_start": "prefire_start",
@@ -35,11 +39,16 @@ def check_requests(requests: DataFrame) -> DataFrame:
         "post_start": "postfire_start",
         "post_end": "postfire_end",
     }
-    given = geometry.all_of([F.col(name).isNotNull() for name in times])
+    given = geometry.all_of([F.trim(F.col(text)) != "" for text in times.values()])
     parsed = parse_polygons(requests, "geometry").withColumns(
         {name: F.col(text).try_cast("timestamp_ntz") for name, text in times.items()}
     )
-    reason = F.when(~given, F.lit("both date windows are required")).otherwise(F.col("reason"))
+    valid = geometry.all_of([F.col(name).isNotNull() for name in times])
+    reason = (
+        F.when(~F.coalesce(given, F.lit(False)), F.lit("both date windows are required"))
+        .when(~valid, F.lit("malformed date"))
+        .otherwise(F.col("reason"))
+    )
     return parsed.withColumn("reason", reason).withColumns(
         {
             **geometry.ring_bounds(F.get("rings", F.lit(0))),
@@ -68,13 +77,49 @@ def area_cells(requests: DataFrame, cell: float = AREA_CELL) -> DataFrame:
     return boxes.withColumn("area_x", span("x")).withColumn("area_y", span("y"))
 
 
-def _cells_are_few(requests: DataFrame, cell: float, limit: int) -> bool:
+@dataclass(frozen=True)
+class Reach:
+    """What all ready jobs read together, and into how many cells they are cut."""
+
+    cells: float
+    box: tuple[float, float, float, float] | None
+    times: tuple[datetime, datetime] | None
+
+
+def reach(requests: DataFrame, cell: float) -> Reach:
+    """One row, by one small aggregate over the requests."""
     grown = geometry.buffered_bounds({c: F.col(c) for c in BBOX})
     wide, high = (
         F.floor(grown[f"max{a}"] / cell) - F.floor(grown[f"min{a}"] / cell) + 1 for a in "xy"
     )
-    total = requests.agg(F.sum((wide * high).cast("double")).alias("cells")).first()["cells"]
-    return total is None or total <= limit
+    found = requests.agg(
+        F.sum((wide * high).cast("double")).alias("cells"),
+        *[F.min(grown[c]).alias(c) for c in BBOX[:2]],
+        *[F.max(grown[c]).alias(c) for c in BBOX[2:]],
+        F.min("pre_start").alias("first"),
+        F.max("post_end").alias("last"),
+    ).first()
+    if found["cells"] is None:
+        return Reach(0.0, None, None)
+    return Reach(
+        found["cells"], tuple(found[c] for c in BBOX), (found["first"], found["last"])
+    )
+
+
+def within_reach(observations: DataFrame, found: Reach) -> DataFrame:
+    """Observations that any job could read. The bounds are constants, so a stored table skips
+    files by place and time, and whole months if it is stored by month."""
+    if found.box is None:
+        return observations.where(F.lit(False))
+    first, last = (F.lit(t).cast("timestamp_ntz") for t in found.times)
+    near = observations.where(
+        F.col("x").between(found.box[0], found.box[2])
+        & F.col("y").between(found.box[1], found.box[3])
+        & F.col("ts").between(first, last)
+    )
+    if MONTH in observations.columns:
+        near = near.where(F.col(MONTH).between(*(f"{t:%Y-%m}" for t in found.times)))
+    return near
 
 
 def job_observations(
@@ -82,18 +127,24 @@ def job_observations(
     requests: DataFrame,
     cell: float = AREA_CELL,
     limit: int = BROADCAST_ROWS,
+    scenes: DataFrame | None = None,
 ) -> DataFrame:
     """The observations of each ready job: its bands, its buffered box, its windows.
 
+    With ``scenes``, such as the result of a scene search, only observations of these.
+
     Jobs are cut into map cells and meet the observations by an equi-join, so overlapping areas
     cost what they read. The job side is broadcast when its number of cells has been found small;
     otherwise both sides are shuffled and crowded cells are split at run time.
     """
     ready = requests.where(F.col("status") == "ready")
-    cells = area_cells(ready, cell)
-    if _cells_are_few(ready, cell, limit):
+    cells, found = area_cells(ready, cell), reach(ready, cell)
+    if found.cells <= limit:
         cells = F.broadcast(cells)
-    keyed = observations.where(F.col("band").isin(SWIR_BAND, NIR_BAND)).withColumns(
+    near = within_reach(observations, found)
+    if scenes is not None:
+        near = near.join(scenes.select("scene_id").distinct(), "scene_id", "left_semi")
+    keyed = near.where(F.col("band").isin(SWIR_BAND, NIR_BAND)).withColumns(
         {"area_x": F.floor(F.col("x") / cell), "area_y": F.floor(F.col("y") / cell)}
     )
     ts = F.col("ts")

@@ -1,4 +1,4 @@
-"""Size checks before a broadcast, and the skew-safe join used beyond them."""
+"""Size checks before a broadcast, and the lookup join used with them."""
 
 from __future__ import annotations
 
@@ -9,43 +9,31 @@ from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 BROADCAST_ROWS = 200_000
-SALTS = 32
 
 
-def fits(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``limit`` rows; reads no more than one row beyond it."""
-    return df.limit(limit + 1).count() <= limit
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a table has at most ``rows`` rows and, as text, ``size`` bytes.
+
+    Reads no more than one row beyond the limit.
+    """
+    text = F.octet_length(F.to_json(F.struct("*")))
+    seen = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(text).alias("bytes")).first()
+    return seen["n"] <= rows and (seen["bytes"] or 0) <= size
 
 
-def salted_lookup_join(
+def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    salts: int = SALTS,
+    limit: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Join facts of any key distribution to a lookup with unique keys.
 
-    Each lookup row is repeated once per salt, and the facts of one key spread evenly over the
-    salts, so a key that holds a third of the facts is shared by that many tasks.
+    A lookup whose size has been checked is broadcast. Beyond that both sides are shuffled, and
+    adaptive execution splits the facts of a key that fills a partition.
     """
     if how not in ("left", "inner"):
         raise ValueError("a lookup join is left or inner")
-    salted = facts.withColumn(
-        "_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")
-    )
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
-
-
-def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    limit: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Broadcast a lookup whose size has been checked, otherwise salt the facts."""
-    if fits(lookup, limit):
-        return facts.join(F.broadcast(lookup), list(keys), how)
-    return salted_lookup_join(facts, lookup, keys, how)
+    small = F.broadcast(lookup) if fits(lookup, limit) else lookup.hint("merge")
+    return facts.join(small, list(keys), how)

@@ -13,14 +13,17 @@ from charscape.plans.store import Store
 from charscape.sources import readers, sinks
 from charscape.sources.workspace import new_path
 
-JOB_PIXEL = ("job_id", *composite.PIXEL)
+JOB = catalog.JOB
+JOB_PIXEL = (*JOB, *composite.PIXEL)
 COARSE_FILE = "coarse_boundary"
 
 
-def job_indices(observations: DataFrame, checked: DataFrame) -> DataFrame:
+def job_indices(
+    observations: DataFrame, checked: DataFrame, scenes: DataFrame | None = None
+) -> DataFrame:
     """The five indices of every job's pixels, in one pass over the observations."""
     return composite.burn_indices(
-        job_observations(observations, checked), pre_window(), post_window(), by=JOB_PIXEL
+        job_observations(observations, checked, scenes=scenes), pre_window(), post_window(), by=JOB_PIXEL
     )
 
 
@@ -56,24 +59,26 @@ def analyze(
     requests: DataFrame,
     store: Store,
     now: str,
-    ingest_seq: int = 0,
+    ingest_seq: int,
+    scenes: DataFrame | None = None,
 ) -> DataFrame:
     """Run all requests and publish what is valid; returns one status row per request.
 
-    ``now`` stamps the items. Grids are written once and everything after reads them back, so a
+    ``now`` stamps the items; ``ingest_seq`` tells attempts apart and grows from one to the next.
+    ``scenes`` limits the observations to those of a scene search. Grids are written once and everything after reads them back, so a
     lost executor costs no second pass over the observations.
     """
     checked = check_requests(requests)
+    ready = checked.where(F.col("status") == "ready").select(*JOB)
     sinks.write_index_grid(
-        job_indices(observations, checked), store.coarse_grids, composite.INDICES
+        job_indices(observations, checked, scenes), store.coarse_grids, composite.INDICES, jobs=ready
     )
-    ready = checked.where(F.col("status") == "ready").select("job_id")
-    written = readers.read_job_grids(spark, store.coarse_grids).join(ready, "job_id", "left_semi")
+    written = readers.read_job_grids(spark, store.coarse_grids).join(ready, list(JOB), "left_semi")
     validity = grids.product_validity(written, composite.INDICES).select(
-        "job_id", F.col("status").alias("outcome")
+        *JOB, F.col("status").alias("outcome")
     )
     event, job = F.col("fire_event_name"), F.col("job_id")
-    judged = checked.join(validity, "job_id", "left").withColumn(
+    judged = checked.join(validity, list(JOB), "left").withColumn(
         "status",
         F.when(F.col("status") == "error", F.concat(F.lit("error: "), F.col("reason"))).otherwise(
             F.coalesce("outcome", F.lit("failed_validation"))

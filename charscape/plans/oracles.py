@@ -588,7 +588,7 @@ boxes AS (
     "fire_event_name AS title FROM items",
     "items_publish": _flat(),
     "index_grid_sink": _with(GRID)
-    + """SELECT 'job-1' AS job_id, "row", col, """
+    + """SELECT 'event-1' AS fire_event_name, 'job-1' AS job_id, "row", col, """
     + ", ".join(f"coalesce({n}, -9999)::FLOAT::DOUBLE AS {n}" for n in _INDEX_NAMES)
     + " FROM grid",
     "overview_pyramid": _pyramid(),

@@ -235,11 +235,13 @@ def _(spark, sf):
 @query("index_grid_sink")
 def _(spark, sf):
     path = new_path(spark, "grid")
-    products = indices(spark, sf).withColumn("job_id", F.lit("job-1"))
+    products = indices(spark, sf).withColumns(
+        {"fire_event_name": F.lit("event-1"), "job_id": F.lit("job-1")}
+    )
     sinks.write_index_grid(products, path, composite.INDICES, fill_nodata=True)
     stored = spark.read.parquet(path)
     return stored.select(
-        "job_id", "row", "col", *[F.col(n).cast("double").alias(n) for n in composite.INDICES]
+        "fire_event_name", "job_id", "row", "col", *[F.col(n).cast("double").alias(n) for n in composite.INDICES]
     )
 
 
@@ -912,8 +914,13 @@ def _(spark, sf):
 
 @query("items_append_stream")
 def _(spark, sf):
-    """Items arriving as files, appended once per id, boundary type and time."""
-    incoming, target = new_path(spark, "incoming"), new_path(spark, "items")
-    tables.items(spark, sf).write.parquet(incoming)
-    append_items_once(spark, incoming, target, new_path(spark, "stream-state"))
+    """Items arriving as files, newer ones first, appended once per id, boundary type and time."""
+    incoming, target, state, rejects = (
+        new_path(spark, n) for n in ("incoming", "items", "stream-state", "rejects")
+    )
+    items = tables.items(spark, sf)
+    recent = F.coalesce(F.col("datetime") >= F.lit("1995-06-01").cast("timestamp_ntz"), F.lit(True))
+    for part in (items.where(recent), items.where(~recent)):
+        part.write.mode("append").parquet(incoming)
+        append_items_once(spark, incoming, target, state, rejects)
     return readers.read_items(spark, target).select("id", "boundary_type", "datetime")

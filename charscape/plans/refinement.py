@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from charscape.functions import geojson, geometry, naming
 from charscape.functions.timeparse import ntz
 from charscape.operators import catalog, composite
-from charscape.operators.grids import GridGeometry
+from charscape.operators.grids import GridGeometry, product_validity
 from charscape.operators.spatial import clip_grid, zones_in_grid_space
-from charscape.plans.burn_severity import boundary_documents, product_items
+from charscape.plans.burn_severity import JOB, boundary_documents, product_items
 from charscape.plans.store import Store
 from charscape.sources import readers, sinks
+from charscape.sources.workspace import new_path
 
 REFINED_FILE = "refined_boundary"
 
@@ -37,26 +38,46 @@ def refine(
     store: Store,
     grid: GridGeometry,
     now: str,
-    ingest_seq: int = 0,
+    ingest_seq: int,
 ) -> DataFrame:
-    """Clip each job's grid to its own polygon and publish the result."""
+    """Clip each job's grid to its own polygon and publish what is valid.
+
+    A clip without pixels, or without values, ends as ``failed_validation`` and leaves no items.
+    """
     checked = check_refinements(requests, readers.read_items(spark, store.items))
     ready = checked.where(F.col("status") == "ready")
     polygons = zones_in_grid_space(
-        ready.select("job_id", "rings"),
+        ready.select(*JOB, "rings"),
         grid.origin_x,
         grid.origin_y,
         grid.pixel_width,
         grid.pixel_height,
     )
     coarse = readers.read_job_grids(spark, store.coarse_grids).join(
-        ready.select("job_id"), "job_id", "left_semi"
+        ready.select(*JOB), list(JOB), "left_semi"
     )
     sinks.write_index_grid(
-        clip_grid(coarse, polygons, by=["job_id"]), store.refined_grids, composite.INDICES
+        clip_grid(coarse, polygons, by=JOB),
+        store.refined_grids,
+        composite.INDICES,
+        jobs=ready,
+    )
+    written = readers.read_job_grids(spark, store.refined_grids).join(
+        ready.select(*JOB), list(JOB), "left_semi"
+    )
+    validity = product_validity(written, composite.INDICES).select(
+        *JOB, F.col("status").alias("outcome")
+    )
+    judged = checked.join(validity, list(JOB), "left").withColumn(
+        "status",
+        F.when(F.col("status") == "ready", F.coalesce("outcome", F.lit("failed_validation")))
+        .otherwise(F.col("status")),
     )
+    outcome_path = new_path(spark, "outcome")
+    judged.write.parquet(outcome_path)
+    outcome = spark.read.parquet(outcome_path)
     event, job = F.col("fire_event_name"), F.col("job_id")
-    done = ready.withColumns(
+    done = outcome.where(F.col("status") == "completed").withColumns(
         {
             "boundary_type": F.lit("refined"),
             "boundary_datetime": ntz(now),
@@ -69,7 +90,7 @@ def refine(
     sinks.append_items(
         product_items(done, store, REFINED_FILE), store.items, store.rejected_items
     )
-    return checked.select("job_id", "fire_event_name", "status", "reason")
+    return outcome.select("job_id", "fire_event_name", "status", "reason")
 
 
 def upload_boundaries(requests: DataFrame, store: Store, created: str) -> DataFrame:

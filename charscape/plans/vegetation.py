@@ -11,6 +11,8 @@ from charscape.operators import catalog, zonal
 from charscape.plans.store import Store
 from charscape.sources import readers, sinks
 
+JOB = catalog.JOB
+
 
 def job_matrices(
     grids: DataFrame,
@@ -20,7 +22,7 @@ def job_matrices(
     measure: str = "area",
     breaks: tuple[float, float] = DEFAULT_BREAKS,
 ) -> DataFrame:
-    """The matrix of every job; both tables carry ``job_id``, zones are in grid space."""
+    """The matrix of every job; both tables carry event and job, zones are in grid space."""
     return zonal.veg_fire_matrix(
         grids,
         zones,
@@ -28,7 +30,7 @@ def job_matrices(
         square_metres_per_unit,
         measure=measure,
         breaks=breaks,
-        by=["job_id"],
+        by=list(JOB),
     )
 
 
@@ -41,20 +43,21 @@ def resolve(
     square_metres_per_unit: float,
     measure: str = "area",
     breaks: tuple[float, float] = DEFAULT_BREAKS,
-    ingest_seq: int = 0,
+    *,
+    ingest_seq: int,
 ) -> DataFrame:
     """Write each job's matrix as CSV and register it; geometry and time are the refined grid's."""
     lineage = catalog.matrix_lineage(requests, readers.read_items(spark, store.items))
     grids = readers.read_job_grids(spark, store.refined_grids)
     matrices = job_matrices(
-        grids.join(lineage.select("job_id"), "job_id", "left_semi"),
-        zones.join(lineage.select("job_id"), "job_id", "left_semi"),
+        grids.join(lineage.select(*JOB), list(JOB), "left_semi"),
+        zones.join(lineage.select(*JOB), list(JOB), "left_semi"),
         pixel_ha,
         square_metres_per_unit,
         measure,
         breaks,
     )
-    sinks.write_matrix_csv(zonal.present(matrices, ["job_id"]), store.matrices, by=["job_id"])
+    sinks.write_matrix_csv(zonal.present(matrices, list(JOB)), store.matrices, by=JOB)
     event, job = F.col("fire_event_name"), F.col("job_id")
     done = lineage.withColumns(
         {

@@ -8,6 +8,9 @@ RING = T.ArrayType(
     T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 )
 
+# Partition of stored observations: year and month of ``ts``.
+MONTH = "month"
+
 OBSERVATIONS = T.StructType(
     [
         T.StructField("scene_id", T.StringType()),
@@ -31,6 +34,7 @@ GRID = T.StructType(
             T.StructField(name, T.FloatType())
             for name in ("prefire_nbr", "postfire_nbr", "dnbr", "rdnbr", "rbr")
         ],
+        T.StructField("fire_event_name", T.StringType()),
         T.StructField("job_id", T.StringType()),
     ]
 )

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from charscape.functions import geojson, geometry
 from charscape.functions.spectral import valid_value
 from charscape.operators.composite import INDICES
 from charscape.operators.grids import project_zones
-from charscape.schemas import GRID, ITEMS, OBSERVATIONS
+from charscape.schemas import GRID, ITEMS, MONTH, OBSERVATIONS
+
+STORED = StructType([*OBSERVATIONS.fields, StructField(MONTH, StringType())])
 
 
 def read_observations(spark: SparkSession, path: str) -> DataFrame:
-    """Observations partitioned by ``band``; NaN and nodata become NULL."""
-    return spark.read.schema(OBSERVATIONS).parquet(path).withColumn(
+    """Observations stored by band and month; NaN and nodata become NULL."""
+    return spark.read.schema(STORED).parquet(path).withColumn(
         "value", valid_value(F.col("value"))
     )
 
@@ -25,8 +28,11 @@ def read_grid(spark: SparkSession, path: str, severity: str = "rbr") -> DataFram
 
 
 def read_job_grids(spark: SparkSession, path: str) -> DataFrame:
-    """Index grids as written per job; the schema keeps job ids text."""
-    grids = spark.read.schema(GRID).parquet(path)
+    """Index grids as written per job; the schema keeps job ids text.
+
+    Rows without a tile only mark that a job has been written.
+    """
+    grids = spark.read.schema(GRID).parquet(path).where("tile_id IS NOT NULL")
     return grids.withColumns({n: valid_value(F.col(n)) for n in INDICES})
 
 

@@ -8,17 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from charscape.functions.spectral import stored_value
-from charscape.operators.catalog import validate_items
-from charscape.schemas import ITEMS
+from charscape.operators.catalog import JOB, validate_items
+from charscape.schemas import ITEMS, MONTH
 
 
 def write_observations(observations: DataFrame, path: str) -> None:
-    """Clustered by place within each band, so that box and tile filters skip files."""
+    """Folders by band and month; within them clustered by place, so that box, tile and time filters
+    skip folders and files. A crowded month is spread over its blocks of tiles."""
     (
-        observations.repartitionByRange("band", "tile_id", "row", "col")
-        .sortWithinPartitions("band", "tile_id", "row", "col")
+        observations.withColumn(MONTH, F.date_format("ts", "yyyy-MM"))
+        .repartition("band", MONTH, F.expr("tile_id div 16"))
+        .sortWithinPartitions("band", MONTH, "tile_id", "row", "col")
         .write.mode("append")
-        .partitionBy("band")
+        .partitionBy("band", MONTH)
         .parquet(path)
     )
 
@@ -27,13 +29,17 @@ def write_index_grid(
     indices: DataFrame,
     path: str,
     names: Sequence[str],
-    by: Sequence[str] = ("job_id",),
+    by: Sequence[str] = JOB,
     fill_nodata: bool = False,
+    jobs: DataFrame | None = None,
 ) -> None:
     """Single-precision grid, one folder per job, blocks in tile order within files.
 
-    A job that is written again replaces its own folder only.
+    A job that is written again replaces its own folder only. With ``jobs``, each of them gets a row
+    without a tile as well: a job without pixels then replaces what an earlier run has left.
     """
+    if jobs is not None:
+        indices = indices.unionByName(jobs.select(*by).distinct(), allowMissingColumns=True)
     stored = indices.withColumns({n: stored_value(F.col(n), fill_nodata) for n in names})
     order = [*by, "tile_id", "row", "col"]
     (

@@ -1,4 +1,10 @@
-"""Job results arriving as files, appended to the catalogue by a stream."""
+"""Job results arriving as files, appended to the catalogue by a stream.
+
+Each micro-batch goes through the batch writer, so the catalogue keeps one layout and one set of rules:
+invalid items go to the reject table, and readers and batch writers see no difference. An item counts
+as arrived if its id, boundary type and time are stored already, whatever its time is, so a batch that
+is replayed after a failure adds nothing twice. Only the events of a batch are looked up.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from charscape.operators.catalog import validate_items
+from charscape.functions.geometry import all_of
 from charscape.schemas import ITEMS
+from charscape.sources import readers, sinks
 
 ITEM_VERSION = ("id", "boundary_type", "datetime")
 
@@ -16,39 +23,37 @@ def incoming_items(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(ITEMS).parquet(path)
 
 
-def valid_once(items: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Valid items, one per id, boundary type and time within the delay.
-
-    The event time has to be zoned for the watermark; the catalogue's times are UTC.
-    """
-    timed = (
-        validate_items(items)
-        .where("is_valid")
-        .withColumn("event_time", F.col("datetime").cast("timestamp"))
-    )
-    return (
-        timed.withWatermark("event_time", delay)
-        .dropDuplicatesWithinWatermark(list(ITEM_VERSION))
-        .select(*ITEMS.names)
+def not_stored(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """Items of a batch, once per version, that the catalogue does not have."""
+    events = batch.select(F.col("fire_event_name").alias("_event")).distinct()
+    known = stored.join(events, F.col("fire_event_name") == F.col("_event"), "left_semi").select(
+        *[F.col(c).alias(f"_{c}") for c in ITEM_VERSION]
     )
+    same = all_of([F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ITEM_VERSION])
+    return batch.dropDuplicates(list(ITEM_VERSION)).join(known, same, "left_anti")
 
 
 def start_append(
-    spark: SparkSession, source: str, target: str, state: str, **trigger: object
+    spark: SparkSession, source: str, target: str, state: str, rejects: str, **trigger: object
 ) -> StreamingQuery:
     """Append to the catalogue until stopped, or once with ``availableNow=True``."""
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        new = not_stored(batch.select(*ITEMS.names), readers.read_items(session, target))
+        sinks.append_items(new, target, rejects)
+
     return (
-        valid_once(incoming_items(spark, source))
-        .writeStream.format("parquet")
-        .option("path", target)
+        incoming_items(spark, source)
+        .writeStream.foreachBatch(append)
         .option("checkpointLocation", state)
-        .partitionBy("fire_event_name")
-        .outputMode("append")
         .trigger(**trigger)
         .start()
     )
 
 
-def append_items_once(spark: SparkSession, source: str, target: str, state: str) -> None:
+def append_items_once(
+    spark: SparkSession, source: str, target: str, state: str, rejects: str
+) -> None:
     """Append what has arrived so far and stop."""
-    start_append(spark, source, target, state, availableNow=True).awaitTermination()
+    start_append(spark, source, target, state, rejects, availableNow=True).awaitTermination()

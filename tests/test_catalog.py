@@ -13,7 +13,7 @@ from charscape.operators import catalog, categories, sizing
 from charscape.schemas import ITEMS
 from charscape.sources import readers, sinks
 from charscape.sources.workspace import new_path
-from charscape.streaming.items import append_items_once
+from charscape.streaming.items import append_items_once, not_stored
 
 BOX = '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}'
 
@@ -74,19 +74,61 @@ def test_a_job_with_most_items(spark):
     assert linked.where("job_id <> '1' and related_id is not null").count() == 0
 
 
-def test_salted_join_equals_plain_join(spark):
+def test_lookup_join_beyond_the_limit(spark):
     facts = spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 100).alias("k"), "id"
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 100).alias("k"),
+        "id",
+        F.create_map(F.lit("a"), F.col("id")).alias("m"),
     )
     lookup = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     for how in ("left", "inner"):
         plain = sorted(facts.join(lookup, "k", how).select("k", "id", "v").collect(), key=str)
-        salted = sizing.salted_lookup_join(facts, lookup, ["k"], how)
-        assert sorted(salted.select("k", "id", "v").collect(), key=str) == plain
         small = sizing.lookup_join(facts, lookup, ["k"], how, limit=10)
         assert sorted(small.select("k", "id", "v").collect(), key=str) == plain
 
 
+def test_sizes_are_checked_in_rows_and_bytes(spark):
+    wide = spark.range(10).select(F.repeat(F.lit("x"), F.lit(1000)).alias("v"))
+    assert sizing.fits(wide) and not sizing.fits(wide, rows=9) and not sizing.fits(wide, size=5000)
+    maps = spark.range(3).select(F.create_map(F.lit("a"), F.col("id")).alias("m"))
+    assert sizing.fits(maps)
+
+
+def test_encoding_takes_any_columns(spark):
+    rows = items(spark, [item("a", 1), item("b", 2, product="fire_boundary"), item("c", 3)])
+    for limit in (0, 100):
+        got = categories.encode(rows, "product_type", limit=limit)
+        assert sorted((r["id"], r["category_id"]) for r in got.collect()) == [
+            ("a", 2), ("b", 1), ("c", 2)
+        ]
+
+
+def test_categories_of_one_prefix_are_ranked_by_several_tasks(spark):
+    df = spark.range(100_000).select(F.format_string("MapUnit_%06d", "id").alias("name"), "id")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"  # the names are few bytes
+    spark.conf.set(coalesce, "false")
+    try:
+        ids = categories.category_ids(df, "name")
+        tasks = ids.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset(coalesce)
+    assert len(tasks) > 1 and max(r["count"] for r in tasks) < 60_000
+    joined = df.join(ids, "name")
+    assert joined.where("category_id <> id + 1").count() == 0 and joined.count() == 100_000
+
+
+def test_search_bounds_have_zones_and_reject_nonsense(spark):
+    df = items(spark, [item("a", d, day=d) for d in range(1, 4)])
+
+    def found(interval):
+        rows = catalog.search_by_text(df, "e", interval=interval).collect()
+        return sorted(r["ingest_seq"] for r in rows)
+
+    assert found("2024-01-02T05:00:00+05:00/..") == [2, 3]
+    assert found("2024-01-02T06:00:00+05:00/..") == [3] or found("2024-01-02T05:00:01+05:00/..") == [3]
+    assert found("nonsense/..") == [] and found("../nonsense") == []
+
+
 def test_category_ids_are_dense_and_ordered(spark):
     names = ["oak", "oat", "ash", "pine", "o", "élan", "oak", None, "pin"]
     df = spark.createDataFrame([(n,) for n in names], "veg_type string")
@@ -113,14 +155,34 @@ def test_publishing_needs_items(spark):
 
 
 def test_stream_appends_new_files_once(spark):
-    source, target, state = (new_path(spark, n) for n in ("in", "out", "state"))
-    items(spark, [item("a", 1), item("a", 2), item("b", 3)]).write.parquet(source)
-    append_items_once(spark, source, target, state)
-    append_items_once(spark, source, target, state)
-    assert readers.read_items(spark, target).count() == 2
-    items(spark, [item("a", 4), item("c", 5, day=2)]).write.mode("append").parquet(source)
-    append_items_once(spark, source, target, state)
-    assert sorted(r["id"] for r in readers.read_items(spark, target).collect()) == ["a", "b", "c"]
+    source, target, state, rejects = (new_path(spark, n) for n in ("in", "out", "state", "bad"))
+
+    def arrive(*rows, expect):
+        items(spark, list(rows)).write.mode("append").parquet(source)
+        append_items_once(spark, source, target, state, rejects)
+        got = readers.read_items(spark, target)
+        assert sorted((r["id"], r["datetime"].day) for r in got.collect()) == expect
+
+    arrive(item("a", 1, day=20), item("a", 2, day=20), item("b", 3, day=20),
+           expect=[("a", 20), ("b", 20)])
+    append_items_once(spark, source, target, state, rejects)
+    # Older items arrive later, as refinements do.
+    arrive(item("a", 4, day=20), item("c", 5, day=2), {**item("", 9), "id": None},
+           expect=[("a", 20), ("b", 20), ("c", 2)])
+    assert [r["reason"] for r in spark.read.parquet(rejects).collect()] == ["id missing"]
+
+
+def test_stream_and_batches_share_a_catalogue(spark):
+    source, target, state, rejects = (new_path(spark, n) for n in ("in", "out", "state", "bad"))
+    sinks.append_items(items(spark, [item("a", 1), item("b", 2)]), target)
+    items(spark, [item("c", 3), item("a", 9)]).write.parquet(source)
+    append_items_once(spark, source, target, state, rejects)
+    sinks.append_items(items(spark, [item("d", 4)]), target)
+    got = readers.read_items(spark, target)
+    assert sorted(r["id"] for r in got.collect()) == ["a", "b", "c", "d"]
+    # A batch that is replayed adds nothing.
+    replay = not_stored(items(spark, [item("c", 3), item("e", 5)]), readers.read_items(spark, target))
+    assert [r["id"] for r in replay.collect()] == ["e"]
 
 
 def test_features_are_json(spark):

@@ -13,7 +13,7 @@ from charscape.operators.requests import check_requests, job_observations
 from charscape.plans import burn_severity, refinement, vegetation
 from charscape.plans.store import Store
 from charscape.schemas import ITEMS, REQUESTS
-from charscape.sources import readers
+from charscape.sources import readers, sinks
 from charscape.sources.workspace import new_path
 
 GRID = GridGeometry(10.0, 50.0, 0.01, -0.01)
@@ -37,6 +37,7 @@ REQUESTED = [
     request("b", {"type": "Feature", "geometry": box(10.10, 49.85, 10.18, 49.95)}),
     request("nowhere", box(70, 10, 71, 11)),
     request("torn", '{"type": "Polygon", "coord'),
+    request("undated", box(10, 49, 11, 50), windows=("2023-13-45", "2023-06-30", "2023-07-01", "2023-12-31")),
     request("windowless", box(10, 49, 11, 50), windows=(None, None, "2023-07-01", "2023-12-31")),
 ]
 
@@ -125,10 +126,10 @@ def finished(spark, requests, observations):
     refinements = {r["job_id"]: (r["status"], r["reason"]) for r in refined.collect()}
     zones = spark.createDataFrame(
         [
-            ("007", 1, "oak", [[(2.5, 4.5), (4.5, 4.5), (4.5, 7.5), (2.5, 7.5), (2.5, 4.5)]]),
-            ("007", 2, "pine", [[(15.5, 15.5), (16.5, 15.5), (16.5, 16.5), (15.5, 15.5)]]),
+            ("007", "ridge", 1, "oak", [[(2.5, 4.5), (4.5, 4.5), (4.5, 7.5), (2.5, 7.5), (2.5, 4.5)]]),
+            ("007", "ridge", 2, "pine", [[(15.5, 15.5), (16.5, 15.5), (16.5, 16.5), (15.5, 15.5)]]),
         ],
-        "job_id string, zone_id long, veg_type string, rings array<array<struct<x:double,y:double>>>",
+        "job_id string, fire_event_name string, zone_id long, veg_type string, rings array<array<struct<x:double,y:double>>>",
     )
     jobs = polygons.select("job_id", "fire_event_name")
     resolved = vegetation.resolve(spark, jobs, zones, store, 0.04, 400.0, ingest_seq=3)
@@ -143,6 +144,7 @@ def test_severity_job(spark, finished):
         "nowhere": "failed_validation",
         "torn": "error: malformed json",
         "windowless": "error: both date windows are required",
+        "undated": "error: malformed date",
     }
     grid = readers.read_job_grids(spark, store.coarse_grids)
     rows = grid.where("job_id = '007'").collect()
@@ -178,7 +180,7 @@ def test_catalogue_after_all_jobs(spark, finished):
 
 def test_refined_grid_is_clipped(spark, finished):
     store, _, refinements, _ = finished
-    assert refinements == {"007": ("ready", None), "ghost": ("error", "original grid not found")}
+    assert refinements == {"007": ("completed", None), "ghost": ("error", "original grid not found")}
     grid = readers.read_job_grids(spark, store.refined_grids).collect()
     assert {(r["row"], r["col"]) for r in grid} == {(r, c) for r in (5, 6) for c in (3, 4)}
 
@@ -190,7 +192,7 @@ def test_matrix_of_the_job(spark, finished):
     assert resolved["ghost"]["status"] == "pending"
     rows = (
         spark.read.option("header", True)
-        .csv(f"{store.matrices}/job_id=007")
+        .csv(f"{store.matrices}/fire_event_name=ridge/job_id=007")
         .orderBy("Vegetation Community")
         .collect()
     )
@@ -215,7 +217,7 @@ def test_job_status_lookups(spark, finished, requests):
         "https://store.example/ridge/b/rbr.tif"
     }
     pending = catalog.pending_jobs(requests, items, catalog.REFINE_JOB).collect()
-    assert "007" not in {r["job_id"] for r in pending} and len(pending) == 4
+    assert "007" not in {r["job_id"] for r in pending} and len(pending) == 5
 
 
 def test_rerun_replaces_grids_and_appends_items(spark, requests, observations):
@@ -230,6 +232,75 @@ def test_rerun_replaces_grids_and_appends_items(spark, requests, observations):
     assert [r["ingest_seq"] for r in catalog.latest_items(items).collect()] == [2, 2]
 
 
+def test_a_rerun_without_pixels_clears_the_grid(spark, requests, observations):
+    store = Store(new_path(spark, "store"), "https://store.example", "https://catalog.example")
+    only = requests.where("job_id = '007'")
+    burn_severity.analyze(spark, observations, only, store, NOW, ingest_seq=1).collect()
+    moved = only.withColumn("geometry", F.lit(json.dumps(box(70, 10, 71, 11))))
+    again = burn_severity.analyze(spark, observations, moved, store, NOW, ingest_seq=2)
+    assert [r["status"] for r in again.collect()] == ["failed_validation"]
+    assert readers.read_job_grids(spark, store.coarse_grids).count() == 0
+    assert readers.read_items(spark, store.items).count() == 2
+
+
+def test_events_with_one_job_id_stay_apart(spark, observations):
+    store = Store(new_path(spark, "store"), "https://store.example", "https://catalog.example")
+    areas = {"ridge": (10.02, 49.92, 10.07, 49.97), "creek": (10.10, 49.85, 10.18, 49.95)}
+    asked = spark.createDataFrame(
+        [request("1", box(*bounds), event=event) for event, bounds in areas.items()], REQUESTS
+    )
+    done = burn_severity.analyze(spark, observations, asked, store, NOW, ingest_seq=1).collect()
+    assert {(r["fire_event_name"], r["status"]) for r in done} == {
+        ("ridge", "completed"), ("creek", "completed")
+    }
+    grid = readers.read_job_grids(spark, store.coarse_grids).collect()
+    for event, bounds in areas.items():
+        assert {(r["row"], r["col"]) for r in grid if r["fire_event_name"] == event} == pixels_in(*bounds)
+    clips = spark.createDataFrame(
+        [("1", "ridge", json.dumps(box(10.031, 49.931, 10.049, 49.949))),
+         ("1", "creek", json.dumps(box(70, 10, 71, 11)))],
+        "job_id string, fire_event_name string, geometry string",
+    )
+    refined = refinement.refine(spark, clips, store, GRID, NOW, ingest_seq=2).collect()
+    assert {(r["fire_event_name"], r["status"]) for r in refined} == {
+        ("ridge", "completed"), ("creek", "failed_validation")
+    }
+    items = readers.read_items(spark, store.items)
+    kinds = {(r["fire_event_name"], r["boundary_type"]) for r in items.collect()}
+    assert kinds == {("ridge", "coarse"), ("creek", "coarse"), ("ridge", "refined")}
+    ring = [(2.5, 4.5), (4.5, 4.5), (4.5, 7.5), (2.5, 7.5), (2.5, 4.5)]
+    zones = spark.createDataFrame(
+        [("1", "ridge", 1, "oak", [ring]), ("1", "creek", 2, "pine", [ring])],
+        "job_id string, fire_event_name string, zone_id long, veg_type string, "
+        "rings array<array<struct<x:double,y:double>>>",
+    )
+    jobs = clips.select("job_id", "fire_event_name")
+    got = vegetation.resolve(spark, jobs, zones, store, 0.04, 400.0, ingest_seq=3).collect()
+    assert {(r["fire_event_name"], r["status"]) for r in got} == {
+        ("ridge", "complete"), ("creek", "pending")
+    }
+
+
+def test_job_scan_is_bounded(spark, requests, observations):
+    path = new_path(spark, "observations")
+    sinks.write_observations(observations, path)
+    stored = readers.read_observations(spark, path)
+    one = check_requests(requests.where("job_id = '007'"))
+    fields = "spark.sql.debug.maxToStringFields"
+    spark.conf.set(fields, "200")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = job_observations(stored, one)._jdf.queryExecution().sparkPlan().toString()
+    spark.conf.unset(fields)
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters"):]
+    assert "GreaterThanOrEqual(x," in pushed and "LessThanOrEqual(y," in pushed
+    assert "GreaterThanOrEqual(ts,2023-01-01" in pushed
+    assert "month" in plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
+    scenes = spark.createDataFrame([("B8A-1",), ("B8A-8",)], "scene_id string")
+    rows = job_observations(stored, one, scenes=scenes).select("band", "ts").distinct().collect()
+    assert {(r["band"], r["ts"].month) for r in rows} == {("B8A", 1), ("B8A", 8)}
+
+
 def test_uploaded_boundary(spark):
     store = Store(new_path(spark, "store"), "https://store.example", "https://catalog.example")
     rows = [
