@@ -18,12 +18,14 @@ SHORT_RING = "ring of fewer than four points"
 OPEN_RING = "ring not closed"
 
 _COORDINATES = "array<array<array<double>>>"
+_PARTS = f"array<{_COORDINATES}>"
 
 
-def parse_polygons(df: DataFrame, text: str = "text") -> DataFrame:
+def parse_polygons(df: DataFrame, text: str = "text", parts: bool = False) -> DataFrame:
     """Adds ``rings``, and ``reason`` where the text holds no valid polygon.
 
-    Accepted are a Polygon, bare, in a Feature, or in the first feature of a collection.
+    Accepted are a Polygon, bare, in a Feature, or in the first feature of a collection; with
+    ``parts`` also a MultiPolygon, whose rings follow each other.
     """
     document = F.col("_document")
     nested = F.coalesce(
@@ -32,6 +34,9 @@ def parse_polygons(df: DataFrame, text: str = "text") -> DataFrame:
         document,
     )
     coordinates = F.col("_coordinates")
+    kinds = ("Polygon", "MultiPolygon") if parts else ("Polygon",)
+    flat = F.flatten(F.try_variant_get("_shape", "$.coordinates", _PARTS))
+    single = F.try_variant_get("_shape", "$.coordinates", _COORDINATES)
 
     def any_ring(test) -> Column:
         return F.exists(coordinates, test)
@@ -52,7 +57,7 @@ def parse_polygons(df: DataFrame, text: str = "text") -> DataFrame:
 
     reason = (
         F.when(document.isNull(), F.lit(MALFORMED))
-        .when(F.col("_kind").isNull() | (F.col("_kind") != "Polygon"), F.lit(NOT_POLYGON))
+        .when(~F.coalesce(F.col("_kind").isin(*kinds), F.lit(False)), F.lit(NOT_POLYGON))
         .when(coordinates.isNull() | (F.size(coordinates) == 0), F.lit(NO_COORDINATES))
         .when(any_ring(lambda r: F.size(r) < 4), F.lit(SHORT_RING))
         .when(any_ring(lambda r: F.exists(r, without_xy)), F.lit(SHORT_POSITION))
@@ -61,13 +66,9 @@ def parse_polygons(df: DataFrame, text: str = "text") -> DataFrame:
     rings = F.transform(coordinates, lambda ring: F.transform(ring, point))
     parsed = stage(df, {"_document": F.try_parse_json(F.col(text))})
     parsed = stage(parsed, {"_shape": nested})
-    parsed = stage(
-        parsed,
-        {
-            "_kind": F.try_variant_get("_shape", "$.type", "string"),
-            "_coordinates": F.try_variant_get("_shape", "$.coordinates", _COORDINATES),
-        },
-    )
+    parsed = stage(parsed, {"_kind": F.try_variant_get("_shape", "$.type", "string")})
+    found = F.when(F.col("_kind") == "MultiPolygon", flat).otherwise(single) if parts else single
+    parsed = stage(parsed, {"_coordinates": found})
     parsed = stage(parsed, {"reason": reason})
     parsed = stage(parsed, {"rings": F.when(F.col("reason").isNull(), rings)})
     return parsed.drop("_document", "_shape", "_kind", "_coordinates")

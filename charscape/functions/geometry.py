@@ -1,7 +1,7 @@
 """Planar polygon predicates and measures over arrays of edges.
 
 A ring is ``array<struct<x, y>>`` and closed. A polygon is an array of rings, the outer ring
-first. Predicates take the polygon's edges, ``array<struct<x1, y1, x2, y2>>``, and contain no
+first; further rings are holes, or parts of their own with holes. Predicates take the polygon's edges, ``array<struct<x1, y1, x2, y2>>``, and contain no
 division, so they need no guards and no tolerance.
 """
 
@@ -58,14 +58,22 @@ def ring_area(ring: Column) -> Column:
 
 
 def polygon_area(rings: Column) -> Column:
-    """Area of the outer ring less the holes."""
-    areas = F.transform(rings, ring_area)
-    holes = F.aggregate(
-        F.slice(areas, F.lit(2), F.greatest(F.size(areas) - 1, F.lit(0))),
-        F.lit(0.0),
-        lambda acc, a: acc + a,
-    )
-    return F.get(areas, F.lit(0)) - holes
+    """Area by the even-odd rule, as for pixels: a ring inside an odd number of others is a hole,
+    any other ring is a part of its own.
+
+    A ring lies where the middle of its first edge does; rings that touch share vertices only.
+    """
+
+    def signed(ring: Column) -> Column:
+        first = F.get(ring_edges(ring), F.lit(0))
+        x, y = (first["x1"] + first["x2"]) / 2, (first["y1"] + first["y2"]) / 2
+        # Its own ring may count the point as inside or not, so it is left out.
+        others = F.filter(rings, lambda r: r != ring)
+        depth = F.size(F.filter(others, lambda r: contains_point(ring_edges(r), x, y)))
+        return F.when(depth % 2 == 1, -ring_area(ring)).otherwise(ring_area(ring))
+
+    parts = F.aggregate(F.transform(rings, signed), F.lit(0.0), lambda acc, a: acc + a)
+    return F.when(F.size(rings) > 1, parts).otherwise(ring_area(F.get(rings, F.lit(0))))
 
 
 def ring_bounds(ring: Column) -> dict[str, Column]:

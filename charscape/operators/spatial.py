@@ -45,7 +45,7 @@ def zones_in_grid_space(
     moved = zones.withColumn(
         "rings", F.transform("rings", lambda r: geometry.to_grid_space(r, *affine))
     )
-    return moved.withColumns(geometry.ring_bounds(F.get("rings", F.lit(0))))
+    return moved.withColumns(geometry.ring_bounds(F.flatten("rings")))
 
 
 def polygon_cells(

@@ -37,8 +37,7 @@ def read_job_grids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_ring_bounds(zones: DataFrame) -> DataFrame:
-    outer = geometry.ring_bounds(F.get("rings", F.lit(0)))
-    return zones.withColumns(outer)
+    return zones.withColumns(geometry.ring_bounds(F.flatten("rings")))
 
 
 def read_zones(
@@ -61,8 +60,9 @@ def read_geojson_zones(
     id_column: str = "zone_id",
     utm_zone: int | None = None,
 ) -> DataFrame:
-    """Vegetation polygons from GeoJSON lines, one Feature per line. Bad lines raise."""
-    parsed = geojson.parse_polygons(spark.read.text(path), "value")
+    """Vegetation polygons, of one part or several, from GeoJSON lines, one Feature per line. Bad
+    lines raise."""
+    parsed = geojson.parse_polygons(spark.read.text(path), "value", parts=True)
     document = F.try_parse_json("value")
     failure = F.raise_error(F.concat(F.lit("GeoJSON line rejected: "), F.col("reason")))
     zones = parsed.select(

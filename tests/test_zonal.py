@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from charscape.functions import geojson
-from charscape.operators import zonal
+from charscape.functions import geojson, geometry
+from charscape.operators import spatial, zonal
 from charscape.sources import readers
 from charscape.sources.workspace import new_path
 
@@ -170,3 +171,32 @@ def test_rejected_zone_line_raises(spark):
     spark.createDataFrame([('{"type":"Feature","geometry":null}',)], "value string").write.text(path)
     with pytest.raises(Exception, match="not a polygon"):
         readers.read_geojson_zones(spark, path).collect()
+
+
+def test_zones_of_several_parts(spark):
+    def ring(x0, y0, x1, y1):
+        return [[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]]
+
+    parts = [[ring(0, 0, 4, 4), ring(1, 1, 2, 2)], [ring(10, 10, 12, 12)]]
+    lines = [
+        {"type": "Feature", "properties": {"zone_id": 1, "MapUnit_ID": "oak"},
+         "geometry": {"type": "MultiPolygon", "coordinates": parts}},
+        {"type": "Feature", "properties": {"zone_id": 2, "MapUnit_ID": "ash"},
+         "geometry": {"type": "Polygon", "coordinates": parts[0]}},
+    ]
+    path = new_path(spark, "zones")
+    spark.createDataFrame([(json.dumps(f),) for f in lines], "value string").write.text(path)
+    zones = readers.read_geojson_zones(spark, path)
+    boxes = {r["zone_id"]: (r["minx"], r["miny"], r["maxx"], r["maxy"]) for r in zones.collect()}
+    assert boxes == {1: (0, 0, 12, 12), 2: (0, 0, 4, 4)}
+    areas = zones.select("zone_id", geometry.polygon_area(F.col("rings")).alias("a")).collect()
+    assert {r["zone_id"]: r["a"] for r in areas} == {1: 19.0, 2: 15.0}
+    pixels = spark.range(400).select(F.expr("id div 20").alias("row"), (F.col("id") % 20).alias("col"))
+    found = spatial.zone_pixel_join(pixels, zones, all_touched=False, cell=4).collect()
+    block = {(r, c) for r in range(4) for c in range(4)} - {(1, 1)}
+    other = {(r, c) for r in (10, 11) for c in (10, 11)}
+    assert {(r["row"], r["col"]) for r in found if r["zone_id"] == 1} == block | other
+    assert {(r["row"], r["col"]) for r in found if r["zone_id"] == 2} == block
+    # An area of interest stays a single polygon.
+    asked = spark.createDataFrame([(json.dumps(lines[0]),)], "text string")
+    assert geojson.parse_polygons(asked).first()["reason"] == "not a polygon"
