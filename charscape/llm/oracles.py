@@ -120,15 +120,17 @@ base AS (
     regexp_extract_all(coalesce(text, ''), '{WORD}') AS tokens
   FROM {source}
 ), windows AS (
-  SELECT n, unnest(range(1, len(tokens) - 1)) AS i, tokens FROM base WHERE len(tokens) >= 3
+  SELECT n, unnest(range(1, len(tokens) - 1)) AS i, unnest(list_transform(
+    list_zip(tokens[:-3], tokens[2:-2], tokens[3:]),
+    lambda t: t[1] || ' ' || t[2] || ' ' || t[3])) AS g
+  FROM base WHERE len(tokens) >= 3
 ), repeats AS (
-  SELECT n, i, count(*) OVER (PARTITION BY n, tokens[i], tokens[i + 1], tokens[i + 2]) AS k
-  FROM windows
+  SELECT n, i, count(*) OVER (PARTITION BY n, g) AS k FROM windows
 ), repeated AS (
   SELECT n, count(DISTINCT i + d)::BIGINT AS n_repeat_words
   FROM repeats, (VALUES (0), (1), (2)) t(d) WHERE k >= 2 GROUP BY n
 ), counted AS (
-  SELECT b.n, doc_id, lang, len(tokens)::BIGINT AS n_words,
+  SELECT b.n, doc_id, lang, body, len(tokens)::BIGINT AS n_words,
     length(array_to_string(tokens, ''))::BIGINT AS word_chars,
     ({covered('[#*$%&|<>]+')})::BIGINT AS n_symbols,
     (SELECT len(l) - len(list_distinct(l)) FROM (SELECT list_filter(string_split(body, chr(10)),
