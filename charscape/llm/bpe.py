@@ -13,6 +13,10 @@ halves. A join re-encodes a window around the cut and widens it until both sides
 
 The result is the one that encoding the text in one piece would give, token by token.
 
+Texts of Latin characters are encoded by a faster library with the same vocabulary and pattern. All
+others, and texts with special tokens, go through the tokenizer itself, since the two libraries' tables
+of letters and digits may differ in age.
+
 Defined cases: NULL texts are encoded as empty ones, without tokens; rows that repeat give equal rows;
 special tokens spelled out in a text become those tokens, also across cuts; an empty table gives an
 empty result. Extra columns are ignored.
@@ -22,15 +26,26 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
+import tiktoken
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from charscape.llm.common import small_batches
+
 PIECE_CHARS = 16_384
+# Fixed pattern by which byte-level BPE splits texts into words.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+FAR = re.compile("[^\x00-\u024f]")
+WORDS = regex.compile(PATTERN)
+BATCH = 128
 MARGIN = 16  # characters: longer than a special token and than any look-ahead of the pattern
 
 
@@ -45,6 +60,51 @@ def tokenizer(path: str):
     return out
 
 
+@functools.lru_cache(maxsize=4)
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of every token. A vocabulary spells byte b as character b where that is printable,
+    and the other bytes, in order, as characters from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    spelled = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+    model = tokenizer(path)
+    added = {i: t.content.encode() for i, t in model.get_added_tokens_decoder().items()}
+    vocabulary = model.get_vocab(with_added_tokens=True)
+    out = [b""] * (1 + max(vocabulary.values()))
+    for token, number in vocabulary.items():
+        out[number] = added.get(number) or bytes(spelled[c] for c in token)
+    return out
+
+
+@functools.lru_cache(maxsize=4)
+def fast_encoder(path: str) -> tiktoken.Encoding:
+    """The same vocabulary, in which a merge's rank is its token's number."""
+    special = set(tokenizer(path).get_added_tokens_decoder())
+    ranks = {t: i for i, t in enumerate(token_bytes(path)) if t and i not in special}
+    return tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@functools.lru_cache(maxsize=4)
+def token_sizes(path: str) -> np.ndarray:
+    return np.array([len(t) for t in token_bytes(path)], np.int64)
+
+
+@functools.lru_cache(maxsize=4)
+def special_texts(path: str) -> tuple[str, ...]:
+    return tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
+
+
+def is_plain(path: str, text: str) -> bool:
+    """Whether the faster library may encode a text."""
+    return (text.isascii() or not FAR.search(text)) and not any(t in text for t in special_texts(path))
+
+
+def encode_text(path: str, text: str) -> np.ndarray:
+    if is_plain(path, text):
+        return fast_encoder(path).encode_to_numpy(text, disallowed_special=()).astype(np.int32)
+    return np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, np.int32)
+
+
 @dataclass
 class Piece:
     """The encoding of text[start:end] by itself. bounds: starts of words; first: their first token."""
@@ -62,6 +122,14 @@ class Piece:
 
 
 def encode_piece(path: str, text: str, start: int = 0) -> Piece:
+    if is_plain(path, text):
+        ids = encode_text(path, text)
+        bounds = np.array([m.start() for m in WORDS.finditer(text)], np.int64)
+        data = np.frombuffer(text.encode(), np.uint8)
+        bytes_of_chars = np.flatnonzero((data & 0xC0) != 0x80)
+        sizes = token_sizes(path)[ids]
+        first = np.searchsorted(np.cumsum(sizes) - sizes, bytes_of_chars[bounds])
+        return Piece(start, start + len(text), ids, bounds + start, first)
     found = tokenizer(path).encode(text, add_special_tokens=False)
     words = np.array(found.word_ids, np.int64)
     first = np.flatnonzero(np.diff(words, prepend=-1) != 0) if len(words) else np.zeros(0, np.int64)
@@ -70,6 +138,21 @@ def encode_piece(path: str, text: str, start: int = 0) -> Piece:
                  offsets[first] + start if len(first) else first, first)
 
 
+def _spelled(piece: Piece) -> bytes:
+    """A piece in few bytes, without its place."""
+    parts = (np.array([len(piece.ids), len(piece.bounds)]), piece.ids,
+             np.diff(piece.bounds, prepend=piece.start), np.diff(piece.first, prepend=0))
+    return zstandard.compress(np.concatenate(parts).astype(np.int32).tobytes(), 3)
+
+
+def _read(coded: bytes, start: int, size: int) -> Piece:
+    data = np.frombuffer(zstandard.decompress(coded), np.int32)
+    n, words = int(data[0]), int(data[1])
+    rest = data[2 + n:].astype(np.int64)
+    return Piece(start, start + size, data[2:2 + n], start + np.cumsum(rest[:words]),
+                 np.cumsum(rest[words:]))
+
+
 def join(path: str, text: str, a: Piece, b: Piece, window: int = 64) -> Piece:
     """The encoding of both pieces' text. `text` is whole; pieces hold places in it."""
     if not len(a.ids) or not len(b.ids):
@@ -154,94 +237,80 @@ ENCODED = "doc_id long, ids array<int>"
 
 def encoded(docs: DataFrame, path: str, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """doc_id, ids of every document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce("text", F.lit("")).alias("text"))
     long = F.length("text") > piece_chars
 
+    def listed(arrays: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *(len(x) for x in arrays)]).astype(np.int32)
+        return pa.ListArray.from_arrays(
+            pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, np.int32)]), pa.int32()))
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = tokenizer(path).encode_batch_fast(
-                    part["text"].to_pylist(), add_special_tokens=False)
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": part["doc_id"],
-                    "ids": pa.array([e.ids for e in found], pa.list_(pa.int32()))})
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                found = [encode_text(path, t) for t in part["text"].to_pylist()]
+                yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"], "ids": listed(found)})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pieces = [encode_piece(path, t, s) for t, s in zip(
-                batch["piece"].to_pylist(), batch["start"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch[c] for c in ("doc_id", "digest", "n_pieces", "no", "start", "piece")),
-                 *(pa.array([getattr(p, c).tolist() for p in pieces], pa.list_(pa.int32()))
-                   for c in ("ids", "bounds", "first"))],
-                names=["doc_id", "digest", "n_pieces", "no", "start", "piece", "ids", "bounds", "first"])
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                coded = [_spelled(encode_piece(path, t)) for t in part["piece"].to_pylist()]
+                yield part.append_column("coded", pa.array(coded, pa.binary()))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 parts = {p["no"]: p for p in row["pieces"]}
                 copies = len(row["pieces"]) // len(parts)
-                listed = [parts[no] for no in sorted(parts)]
-                text = "".join(p["piece"] for p in listed)
-                ids = join_all(path, text, [Piece(
-                    p["start"], p["start"] + len(p["piece"]), np.array(p["ids"], np.int32),
-                    np.array(p["bounds"], np.int64), np.array(p["first"], np.int64)) for p in listed])
+                in_order = [parts[no] for no in sorted(parts)]
+                text = "".join(p["piece"] for p in in_order)
+                pieces, start = [], 0
+                for p in in_order:
+                    pieces.append(_read(p["coded"], start, len(p["piece"])))
+                    start += len(p["piece"])
+                ids = join_all(path, text, pieces)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array([row["doc_id"]] * copies, pa.int64()),
-                    "ids": pa.array([ids.tolist()] * copies, pa.list_(pa.int32()))})
+                    "ids": listed([ids] * copies)})
 
     starts = F.sequence(F.lit(0), F.col("n_pieces") - 1)
     pieces = (
         rows.where(long)
         .withColumns({"n_pieces": F.ceil(F.length("text") / piece_chars).cast("int"),
                       "digest": F.sha2("text", 256)})
-        .select("doc_id", "digest", "n_pieces", "text", F.explode(starts).alias("no"))
-        .withColumn("start", F.col("no") * piece_chars)
-        .select("doc_id", "digest", "n_pieces", "no", "start",
-                F.expr(f"substring(text, start + 1, {piece_chars})").alias("piece"))
+        .select("doc_id", "digest", "text", F.explode(starts).alias("no"))
+        .select("doc_id", "digest", "no",
+                F.expr(f"substring(text, no * {piece_chars} + 1, {piece_chars})").alias("piece"))
     )
-    fields = ("no", "start", "piece", "ids", "bounds", "first")
     # A text's pieces meet in one row, as the text itself did.
     long_rows = (
         pieces.repartition("digest", "no").mapInArrow(
-            cut, "doc_id long, digest string, n_pieces int, no int, start int, piece string, "
-                 "ids array<int>, bounds array<int>, first array<int>")
-        .groupBy("doc_id", "digest").agg(F.collect_list(F.struct(*fields)).alias("pieces"))
+            cut, "doc_id long, digest string, no int, piece string, coded binary")
+        .groupBy("doc_id", "digest")
+        .agg(F.collect_list(F.struct("no", "piece", "coded")).alias("pieces"))
         .select("doc_id", "pieces").mapInArrow(joined, ENCODED)
     )
     return rows.where(~long).mapInArrow(whole, ENCODED).unionByName(long_rows)
 
 
-@functools.lru_cache(maxsize=4)
-def token_bytes(path: str) -> list[bytes]:
-    """The bytes of every token. A vocabulary spells byte b as character b where that is printable,
-    and the other bytes, in order, as characters from 256 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in printable]
-    spelled = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
-    model = tokenizer(path)
-    added = {i: t.content.encode() for i, t in model.get_added_tokens_decoder().items()}
-    vocabulary = model.get_vocab(with_added_tokens=True)
-    out = [b""] * (1 + max(vocabulary.values()))
-    for token, number in vocabulary.items():
-        out[number] = added.get(number) or bytes(spelled[c] for c in token)
-    return out
-
-
 def decoded(tokens: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and the decoded text, special tokens included; broken bytes become U+FFFD."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(path)
         for batch in batches:
-            ids = batch["ids"]
-            flat = ids.flatten().to_numpy(zero_copy_only=False).tolist()
-            ends = (ids.offsets.to_numpy() - ids.offsets[0].as_py()).tolist()
-            texts = [b"".join([table[i] for i in flat[a:b]]).decode("utf-8", "replace")
-                     for a, b in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch["doc_id"], "ids": ids, "text": pa.array(texts, pa.string())})
-
-    return tokens.select("doc_id", "ids").mapInArrow(run, f"{ENCODED}, text string")
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                ids = part["ids"]
+                flat = ids.flatten().to_numpy(zero_copy_only=False).tolist()
+                ends = (ids.offsets.to_numpy() - ids.offsets[0].as_py()).tolist()
+                texts = [b"".join([table[i] for i in flat[a:b]]).decode("utf-8", "replace")
+                         for a, b in zip(ends, ends[1:], strict=False)]
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": part["doc_id"], "ids": ids, "text": pa.array(texts, pa.string())})
+
+    return small_batches(tokens).select("doc_id", "ids").mapInArrow(run, f"{ENCODED}, text string")

@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
+    """The table, with the session set to hand at most so many rows at once to Python: texts are long,
+    and both the JVM and the worker hold a whole batch."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it: computed once, and safe from lost executors."""
     path = new_path(df.sparkSession, name)
