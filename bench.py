@@ -21,9 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from charscape.operators import composite
+from charscape.plans import burn_severity
 from charscape.plans.queries import QUERIES
+from charscape.plans.store import Store
+from charscape.schemas import REQUESTS
 from charscape.session import BUILD_SETTINGS, SETTINGS
-from charscape.sources import tables
+from charscape.sources import readers, sinks, tables
 
 HEADLINE = (
     "median_composite",
@@ -96,6 +99,32 @@ def stack(spark: SparkSession, sf_dir: str, rows: int) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def severity_job(spark: SparkSession, obs: DataFrame) -> float:
+    """Seconds of one whole job: stored observations to judged grid and catalogue items."""
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    grid = tables.LONLAT
+    placed = obs.withColumns(
+        {
+            "scene_id": F.lit("bench"),
+            "x": F.lit(grid.origin_x) + F.col("col") * grid.pixel_width,
+            "y": F.lit(grid.origin_y) + F.col("row") * grid.pixel_height,
+        }
+    )
+    sinks.write_observations(placed, f"{root}/observations")
+    stored = readers.read_observations(spark, f"{root}/observations")
+    low_x, low_y, high_x, high_y = stored.agg(
+        F.min("x"), F.min("y"), F.max("x"), F.max("y")
+    ).first()
+    ring = [[low_x, low_y], [high_x, low_y], [high_x, high_y], [low_x, high_y], [low_x, low_y]]
+    area = json.dumps({"type": "Polygon", "coordinates": [ring]})
+    windows = (tables.PRE.start, tables.PRE.end, tables.POST.start, tables.POST.end)
+    asked = spark.createDataFrame([("1", "bench", area, *windows)], REQUESTS)
+    store = Store(f"{root}/store", "https://store.example", "https://catalog.example")
+    start = time.perf_counter()
+    burn_severity.analyze(spark, stored, asked, store, "2024-01-01", ingest_seq=1).collect()
+    return round(time.perf_counter() - start, 4)
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     runs = int(os.environ.get("BENCH_RUNS", "2"))
@@ -114,6 +143,8 @@ def main() -> None:
             lambda: composite.burn_indices(obs, tables.PRE, tables.POST), runs
         )
         print(f"stack of {count} rows: {seconds['burn_indices_stack']}", file=sys.stderr)
+        seconds["severity_job_stack"] = severity_job(spark, obs)
+        print(f"whole job: {seconds['severity_job_stack']}", file=sys.stderr)
     print(
         json.dumps(
             {
