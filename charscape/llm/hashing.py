@@ -14,10 +14,11 @@ MASK = (1 << 64) - 1
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 @functools.lru_cache(maxsize=2)
@@ -61,6 +62,13 @@ def spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * powers(_room(len(sums)), True)[starts])
 
 
+def grams(sums: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all strings of a size."""
+    differences = sums[size:] - sums[:-size]
+    differences *= powers(_room(len(sums) - 1), True)[:len(differences)]
+    return mix(differences)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary array and the bounds of its rows; NULL is empty."""
     kind = pa.large_binary()

@@ -23,33 +23,40 @@ def _next_set(flags: np.ndarray, at: int) -> int:
     return n
 
 
-def _ranks(sorted_keys: np.ndarray) -> np.ndarray:
-    """How many equal keys stand before each key of a sorted array."""
-    first = np.flatnonzero(np.diff(sorted_keys, prepend=sorted_keys[0] - 1)) if len(sorted_keys) else []
-    lengths = np.diff(np.append(first, len(sorted_keys)))
-    return np.arange(len(sorted_keys)) - np.repeat(first, lengths)
+def _deal(keys: np.ndarray, items: np.ndarray, free: np.ndarray, step: int, order: np.ndarray,
+          few: bool) -> np.ndarray:
+    """Puts items into the next free slots of their buckets, in order; the slots taken."""
+    by_key = np.argsort(keys.astype(np.uint16) if few else keys, kind="stable")
+    keys = keys[by_key]
+    first = np.empty(len(keys), bool)
+    first[0] = True
+    np.not_equal(keys[1:], keys[:-1], out=first[1:])
+    at = np.flatnonzero(first)
+    counts = np.empty(len(at), np.int64)
+    counts[:-1] = at[1:] - at[:-1]
+    counts[-1] = len(keys) - at[-1]
+    bucket = keys[at]
+    slots = np.repeat(free[bucket] - step * at, counts) + step * np.arange(len(keys))
+    order[slots] = items[by_key]
+    free[bucket] += step * counts
+    return slots
 
 
 def _induce(s: np.ndarray, small: np.ndarray, counts: np.ndarray, starts: np.ndarray,
             seeds: np.ndarray) -> np.ndarray:
     """All suffixes in order, given `seeds`, the leftmost-smaller suffixes in order."""
-    n = len(s)
-    n_small = np.bincount(s[small], minlength=len(counts))
-    n_large = counts - n_small
-    order = np.full(n, -1, np.int64)
+    n, few = len(s), len(counts) <= 1 << 16
+    n_large = counts - np.bincount(s[small], minlength=len(counts))
+    order = np.full(n, -1, s.dtype)
     order[0] = n - 1  # the end mark
-    # Seeds go to the ends of their buckets.
+    # Seeds go to the ends of their buckets, in order.
     keys = s[seeds]
-    by_key = np.argsort(keys, kind="stable")
-    seeds, keys = seeds[by_key], keys[by_key]
-    n_seeds = np.bincount(keys, minlength=len(counts))
-    order[starts[keys] + counts[keys] - n_seeds[keys] + _ranks(keys)] = seeds
+    _deal(keys, seeds, starts + counts - np.bincount(keys, minlength=len(counts)), 1, order, few)
 
     # Larger suffixes, upwards: they fill the fronts of the buckets.
-    slot = np.arange(n)
-    bucket = np.repeat(np.arange(len(counts)), counts)
-    pending = slot - starts[bucket] < n_large[bucket]
-    head = starts.copy()
+    pending = np.arange(n, dtype=s.dtype) < np.repeat((starts + n_large).astype(s.dtype), counts)
+    larger = pending.copy()
+    free = starts.copy()
     at = 0
     while at < n:
         stop = _next_set(pending, at)
@@ -57,38 +64,24 @@ def _induce(s: np.ndarray, small: np.ndarray, counts: np.ndarray, starts: np.nda
         done = done[done > 0] - 1
         done = done[~small[done]]
         if len(done):
-            keys = s[done]
-            by_key = np.argsort(keys, kind="stable")
-            keys, done = keys[by_key], done[by_key]
-            place = head[keys] + _ranks(keys)
-            order[place] = done
-            pending[place] = False
-            last = np.flatnonzero(np.diff(keys, append=-1))
-            head[keys[last]] = place[last] + 1
+            pending[_deal(s[done], done, free, 1, order, few)] = False
         elif stop == at:
             raise AssertionError("no progress")
         at = stop
     # Smaller suffixes, downwards, over the seeds, which are found again.
-    pending = (slot - starts[bucket] >= n_large[bucket])[::-1].copy()
-    order[pending[::-1]] = -1
+    pending = ~larger[::-1]
+    order[~larger] = -1
     order[0] = n - 1
     pending[n - 1] = False
-    tail = starts + counts - 1
+    free = starts + counts - 1
     at = 0
     while at < n:
         stop = _next_set(pending, at)
-        done = order[::-1][at:stop]
+        done = order[n - stop:n - at][::-1]
         done = done[done > 0] - 1
         done = done[small[done]]
         if len(done):
-            keys = s[done]
-            by_key = np.argsort(keys, kind="stable")
-            keys, done = keys[by_key], done[by_key]
-            place = tail[keys] - _ranks(keys)
-            order[place] = done
-            pending[n - 1 - place] = False
-            last = np.flatnonzero(np.diff(keys, append=-1))
-            tail[keys[last]] = place[last] - 1
+            pending[n - 1 - _deal(s[done], done, free, -1, order, few)] = False
         elif stop == at:
             raise AssertionError("no progress")
         at = stop
@@ -97,17 +90,18 @@ def _induce(s: np.ndarray, small: np.ndarray, counts: np.ndarray, starts: np.nda
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Order of the suffixes of s, whose last item is 0 and the only 0."""
-    s = s.astype(np.int64)
     n = len(s)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    s = s.astype(kind, copy=False)
     if n <= 2:
-        return np.arange(n)[::-1].copy()
+        return np.arange(n, dtype=kind)[::-1].copy()
     counts = np.bincount(s)
     starts = np.cumsum(counts) - counts
     # A suffix is small if it is less than the next one; equal items follow their run's end.
     less = np.empty(n, np.int8)
     less[:-1] = np.sign(s[1:] - s[:-1])
     less[-1] = 1
-    source = np.where(less != 0, np.arange(n), n)
+    source = np.where(less != 0, np.arange(n, dtype=kind), n)
     source = np.minimum.accumulate(source[::-1])[::-1]
     small = less[source] > 0
     seeds = np.flatnonzero(small[1:] & ~small[:-1]) + 1
@@ -124,7 +118,6 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     open_pairs = np.flatnonzero(~differs)
     step = 0
     while len(open_pairs):
-        x, y = seeds[a[open_pairs]], seeds[b[open_pairs]]
         open_pairs = open_pairs[step < length[a[open_pairs]]]
         x, y = seeds[a[open_pairs]], seeds[b[open_pairs]]
         unequal = s[x + step] != s[y + step]
@@ -133,7 +126,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         step += 1
     names = np.concatenate([[0], np.cumsum(differs)])
     if names[-1] + 1 < len(seeds):
-        reduced = np.empty(len(seeds), np.int64)
+        reduced = np.empty(len(seeds), kind)
         reduced[number[ranked]] = names
         ranked = seeds[suffix_array(reduced)]
     return _induce(s, small, counts, starts, ranked)
@@ -146,24 +139,28 @@ def common_prefixes(s: np.ndarray, order: np.ndarray) -> np.ndarray:
     the other places are compared.
     """
     n = len(s)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, order.dtype)
     before[order[1:]] = order[:-1]
-    place = np.arange(n)
+    place = np.arange(n, dtype=order.dtype)
     follows = np.zeros(n, bool)
     inner = (place > 0) & (before > 0)
     follows[inner] = s[place[inner] - 1] == s[before[inner] - 1]
-    # The neighbour must move along as well.
-    follows[inner] &= before[place[inner] - 1] == before[inner] - 1
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, order.dtype)
     active = np.flatnonzero(~follows & (before >= 0))
+    # Several items are compared at once, packed into a number; the end mark ends every comparison.
+    bits = max(1, int(s.max()).bit_length())
+    width = max(1, 63 // bits)
+    packed = np.zeros(n, np.uint64)
+    for t in range(min(width, n)):
+        packed[:n - t] |= s[t:].astype(np.uint64) << np.uint64(bits * t)
     step = 0
     while len(active):
-        x, y = active + step, before[active] + step
-        inside = (x < n) & (y < n)
-        same = np.zeros(len(active), bool)
-        same[inside] = s[x[inside]] == s[y[inside]]
-        out[active[~same]] = step
-        active = active[same]
-        step += 1
+        differs = packed[active + step] ^ packed[before[active] + step]
+        ended = differs != 0
+        lowest = differs[ended]
+        lowest &= ~lowest + np.uint64(1)
+        out[active[ended]] = step + np.log2(lowest.astype(np.float64)).astype(np.int64) // bits
+        active = active[~ended]
+        step += width
     origin = np.maximum.accumulate(np.where(follows, 0, place))
     return np.where(follows, np.maximum(out[origin] - (place - origin), 0), out)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from charscape.llm import hashing, induced
-from charscape.llm.common import materialise
+from charscape.llm.common import materialise, release, small_batches, tidy
 
 GRAM = 16
 LAST = np.iinfo(np.int64).max
@@ -62,6 +62,7 @@ def packed(rows: DataFrame, settings: Settings, rest: StructType | None) -> Data
 
         schema = schema.add("rest", ArrayType(rest))
 
+    @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
@@ -97,7 +98,7 @@ def packed(rows: DataFrame, settings: Settings, rest: StructType | None) -> Data
         if held:
             yield close()
 
-    return rows.mapInArrow(pack, schema)
+    return small_batches(rows, 64).mapInArrow(pack, schema)
 
 
 def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,8 +128,8 @@ def find_runs(data: np.ndarray, bounds: np.ndarray, length: int) -> Runs:
     if n < length:
         return Runs(none, none, none.astype(np.uint64), none)
     sums = hashing.prefix_sums(data)
-    grams = np.arange(n - GRAM + 1)
-    least = hashing.spans(sums, grams, grams + GRAM)
+    least = hashing.grams(sums, GRAM)
+    del sums
     width, want = 1, length - GRAM + 1
     while 2 * width <= want:  # least of the next `width` hashes, by doubling
         least = np.minimum(least[:-width], least[width:])
@@ -170,6 +171,7 @@ def key_lists(runs: Runs, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def shared_keys(blocks: DataFrame, settings: Settings, shards: int) -> DataFrame:
     """block, replies: per shard, a bit for each of the block's keys: it occurs in several documents."""
 
+    @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -209,137 +211,150 @@ def shared_keys(blocks: DataFrame, settings: Settings, shards: int) -> DataFrame
 # --- Shards of shared text -------------------------------------------------------------------------
 
 
-def shared_texts(blocks: DataFrame, replies: DataFrame, settings: Settings, key_shards: int,
-                 text_shards: int) -> DataFrame:
-    """Rows by block and shard with the substrings sent there, and one row by block (shard -1) with
-    where they occur: document, place and number of the substring."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield from _cut_block(row, settings.length, key_shards, text_shards)
+@dataclass
+class Shared:
+    """A block's distinct shared substrings, in order of their shards, and where they occur: document,
+    place and number of the substring, in three columns."""
 
-    return blocks.select("block", "n_bytes", "ids", "bounds", "data").join(replies, "block").mapInArrow(
-        cut, "block string, shard int, numbers binary, sizes binary, least binary, most binary, "
-             "data binary")
+    texts: list[bytes]
+    shard: np.ndarray
+    places: np.ndarray
 
 
-def _cut_block(row: dict, length: int, key_shards: int, text_shards: int) -> Iterator[pa.RecordBatch]:
-    data, bounds, ids = unpacked(row)
+def shared_parts(row: dict, data: np.ndarray, bounds: np.ndarray, length: int, key_shards: int,
+                 text_shards: int) -> Shared:
+    """The same for a block whenever it is asked for."""
     runs = find_runs(data, bounds, length)
-    shared = np.concatenate([np.zeros(0, bool)])
     shard, _, _, inverse = key_lists(runs, key_shards)
     counts = np.bincount(shard, minlength=key_shards)
-    shared = np.concatenate([
-        np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=int(counts[r["shard"]])).astype(bool)
-        for r in row["replies"]]) if row["replies"] else np.zeros(len(shard), bool)
-    chosen = np.flatnonzero(shared[inverse])
+    bits = [np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=int(counts[r["shard"]])).astype(bool)
+            for r in row["replies"] or []]
+    shared = np.concatenate([np.zeros(0, bool), *bits])
+    chosen = np.flatnonzero(shared[inverse]) if len(shared) else np.zeros(0, np.int64)
     target = (hashing.mix(runs.key[chosen]) % np.uint64(text_shards)).astype(np.int64)
-    chosen = chosen[np.argsort(target, kind="stable")]
-    target = np.sort(target, kind="stable")
+    in_order = np.argsort(target, kind="stable")
+    chosen, target = chosen[in_order], target[in_order]
     raw = data.tobytes()
     starts, ends = runs.start[chosen], runs.start[chosen] + runs.count[chosen] + length - 1
     numbers: dict[bytes, int] = {}
     which = np.array([numbers.setdefault(raw[a:b], len(numbers))
                       for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
-    texts = list(numbers)
-    n = len(texts)
-    doc = runs.doc[chosen]
-    least, most, shard_of = np.full(n, LAST), np.full(n, np.iinfo(np.int64).min), np.zeros(n, np.int64)
-    np.minimum.at(least, which, ids[doc])
-    np.maximum.at(most, which, ids[doc])
+    shard_of = np.zeros(len(numbers), np.int64)
     shard_of[which] = target
-    occurrences = np.column_stack([doc, starts, which]).astype(np.int32)
-    at = np.flatnonzero(np.diff(shard_of, prepend=-1))
-    stops = np.append(at[1:], n)
-    empty = [b""]
-    listed = [(np.arange(a, b, dtype=np.int32).tobytes(),
-               np.array([len(t) for t in texts[a:b]], np.int32).tobytes(), least[a:b].tobytes(),
-               most[a:b].tobytes(), zstandard.compress(b"".join(texts[a:b]), 1))
-              for a, b in zip(at.tolist(), stops.tolist(), strict=True)]
-    columns = list(zip(*listed, strict=True)) if listed else [()] * 5
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([row["block"]] * (len(listed) + 1), pa.string()),
-         pa.array([*shard_of[at].tolist(), -1], pa.int32()),
-         *(pa.array([*c, *e], pa.binary()) for c, e in zip(
-             columns, ([occurrences.tobytes()], empty, empty, empty, empty), strict=True))],
-        names=["block", "shard", "numbers", "sizes", "least", "most", "data"])
-
-
-def least_ids(texts: list[bytes], ids: np.ndarray, length: int) -> list[np.ndarray]:
-    """For every string of `length` in distinct texts, the least id of a text that has it."""
+    return Shared(list(numbers), shard_of, np.column_stack([runs.doc[chosen], starts, which]))
+
+
+def shared_texts(blocks: DataFrame, replies: DataFrame, settings: Settings, key_shards: int,
+                 text_shards: int) -> DataFrame:
+    """block, shard, first (number of the first substring), n, and the substrings sent there: their
+    sizes, least and largest ids, and bytes, compressed."""
+
+    @tidy
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                data, bounds, ids = unpacked(row)
+                found = shared_parts(row, data, bounds, settings.length, key_shards, text_shards)
+                n = len(found.texts)
+                least, most = np.full(n, LAST), np.full(n, np.iinfo(np.int64).min)
+                np.minimum.at(least, found.places[:, 2], ids[found.places[:, 0]])
+                np.maximum.at(most, found.places[:, 2], ids[found.places[:, 0]])
+                at = np.flatnonzero(np.diff(found.shard, prepend=-1))
+                spans = list(zip(at.tolist(), [*at[1:].tolist(), n], strict=True)) if n else []
+                yield pa.RecordBatch.from_pydict({
+                    "block": pa.array([row["block"]] * len(spans), pa.string()),
+                    "shard": pa.array(found.shard[at] if n else [], pa.int32()),
+                    "first": pa.array([a for a, _ in spans], pa.int32()),
+                    "n": pa.array([b - a for a, b in spans], pa.int32()),
+                    "facts": pa.array([zstandard.compress(b"".join((
+                        np.array([len(t) for t in found.texts[a:b]], np.int32).tobytes(),
+                        least[a:b].tobytes(), (most[a:b] - least[a:b]).tobytes())), 3)
+                        for a, b in spans], pa.binary()),
+                    "data": pa.array([zstandard.compress(b"".join(found.texts[a:b]), 3)
+                                      for a, b in spans], pa.binary())})
+
+    return blocks.select("block", "n_bytes", "ids", "bounds", "data").join(replies, "block").mapInArrow(
+        cut, "block string, shard int, first int, n int, facts binary, data binary")
+
+
+def least_ids(texts: list[bytes], ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of `length` in distinct texts, as stretches with one least id of a text that has
+    them: rows of (text, offset, count, id) in order, and for each text its first row."""
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes + 1)
     starts = ends - sizes - 1
-    s = np.append(np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 2, 0)
+    s = np.append(np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int32) + 2, 0)
     s[ends - 1] = 1  # between texts
+    s = s.astype(np.int32)
     owner = np.append(np.repeat(np.arange(len(texts)), sizes + 1), 0)
-    whole = np.zeros(len(s), bool)
-    place = np.arange(len(s) - 1)
-    whole[:-1] = place + length <= starts[owner[:-1]] + sizes[owner[:-1]]
+    whole = np.append(np.arange(len(s) - 1) + length < ends[owner[:-1]], False)
     order = induced.suffix_array(s)
     equal = induced.common_prefixes(s, order) >= length
     order = order[whole[order]]
-    out = np.full(len(s), LAST)
+    least = np.full(len(s), LAST)
     if len(order):
         first = ~equal[order]
         first[0] = True
-        group = np.cumsum(first) - 1
         lowest = np.minimum.reduceat(ids[owner[order]], np.flatnonzero(first))
-        out[order] = lowest[group]
-    return [out[a:a + max(0, n - length + 1)] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+        least[order] = lowest[np.cumsum(first) - 1]
+    places = np.flatnonzero(whole)
+    text, low = owner[places], least[places]
+    new = np.ones(len(places), bool)
+    new[1:] = (text[1:] != text[:-1]) | (low[1:] != low[:-1])
+    at = np.flatnonzero(new)
+    count = np.diff(np.append(at, len(places)))
+    rows = np.column_stack([text[at], places[at] - starts[text[at]], count, low[at]])
+    return rows, np.searchsorted(rows[:, 0], np.arange(len(texts) + 1))
 
 
 def repeats(cut: DataFrame, settings: Settings) -> DataFrame:
     """block, hits: (number, offset, count, least id) of strings that a smaller id has as well."""
 
     def match(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
         numbered: dict[bytes, int] = {}
-        which, least = [], []
-        for row in rows:
-            sizes = np.frombuffer(row["sizes"], np.int32).tolist()
-            data = zstandard.decompress(row["data"], max_output_size=sum(sizes) + 1)
+        which, least, most = [], [], []
+        for facts, packed, n in zip(table["facts"], table["data"], table["n"].to_pylist(), strict=True):
+            facts = zstandard.decompress(facts.as_py(), max_output_size=20 * n)
+            sizes = np.frombuffer(facts, np.int32, n).tolist()
+            low = np.frombuffer(facts, np.int64, n, 4 * n)
+            data = zstandard.decompress(packed.as_py(), max_output_size=sum(sizes) + 1)
             at, own = 0, []
             for size in sizes:
                 own.append(numbered.setdefault(data[at:at + size], len(numbered)))
                 at += size
             which.append(np.array(own, np.int64))
-            least.append(np.frombuffer(row["least"], np.int64))
+            least.append(low)
+            most.append(low + np.frombuffer(facts, np.int64, n, 12 * n))
         ids = np.full(len(numbered), LAST)
         for own, low in zip(which, least, strict=True):
             np.minimum.at(ids, own, low)
-        found = least_ids(list(numbered), ids, settings.length)
+        stretches, first_row = least_ids(list(numbered), ids, settings.length)
         blocks, hits = [], []
-        for row, own in zip(rows, which, strict=True):
-            numbers = np.frombuffer(row["numbers"], np.int32)
-            most = np.frombuffer(row["most"], np.int64)
-            listed = []
-            for number, text, top in zip(numbers.tolist(), own.tolist(), most.tolist(), strict=True):
-                low = found[text]
-                edges = np.flatnonzero(np.diff(low)) + 1
-                at = 0
-                for stop in (*edges.tolist(), len(low)):
-                    if low[at] < top:
-                        listed.append((number, at, stop - at, int(low[at])))
-                    at = stop
-            if listed:
-                blocks.append(row["block"])
-                hits.append(np.array(listed, np.int64).tobytes())
+        for block, start, own, top in zip(table["block"].to_pylist(), table["first"].to_pylist(), which,
+                                          most, strict=True):
+            n = first_row[own + 1] - first_row[own]
+            entry = np.repeat(np.arange(len(own)), n)
+            row = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n) + first_row[own[entry]]
+            below = stretches[row, 3] < top[entry]
+            if below.any():
+                listed = stretches[row[below]]
+                listed[:, 0] = entry[below] + start
+                blocks.append(block)
+                hits.append(listed.tobytes())
+        release()
         return pa.table({"block": pa.array(blocks, pa.string()), "hits": pa.array(hits, pa.binary())})
 
-    return cut.where("shard >= 0").groupBy("shard").applyInArrow(match, "block string, hits binary")
+    return cut.groupBy("shard").applyInArrow(match, "block string, hits binary")
 
 
 # --- Result ------------------------------------------------------------------------------------------
 
 
-def _removed(row: dict, data: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+def _removed(row: dict, data: np.ndarray, ids: np.ndarray, seen: np.ndarray, length: int) -> np.ndarray:
     """Which bytes of a block go."""
     change = np.zeros(len(data) + 1, np.int64)
     if row["hits"]:
         hits = np.concatenate([np.frombuffer(h, np.int64).reshape(-1, 4) for h in row["hits"]])
-        seen = np.frombuffer(row["numbers"], np.int32).reshape(-1, 3).astype(np.int64)
         seen = seen[np.argsort(seen[:, 2], kind="stable")]
         first = np.searchsorted(seen[:, 2], hits[:, 0])
         count = np.searchsorted(seen[:, 2], hits[:, 0], side="right") - first
@@ -363,21 +378,24 @@ def deduplicated(docs: DataFrame, carry: Sequence[str] = (), settings: Settings
     blocks = materialise(packed(rows, settings, rest), "suffix-blocks")
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     key_shards = 8 + total // settings.key_shard_bytes
-    replies = shared_keys(blocks, settings, key_shards)
+    replies = materialise(shared_keys(blocks, settings, key_shards), "suffix-replies")
     # Shared strings can be all of the text, several times over; distinct ones mostly are not.
     text_shards = 8 + total // (4 * settings.text_shard_bytes)
-    cut = materialise(shared_texts(blocks, replies, settings, key_shards, text_shards), "suffix-cut")
+    cut = shared_texts(blocks, replies, settings, key_shards, text_shards)
     hits = repeats(cut, settings).groupBy("block").agg(F.collect_list("hits").alias("hits"))
-    places = cut.where("shard < 0").select("block", "numbers")
     out = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     if rest is not None:
         out = out.add("rest", rest)
 
+    @tidy
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, row in enumerate(batch.drop_columns(["rest"] if rest is not None else []).to_pylist()):
                 data, bounds, ids = unpacked(row)
-                gone = _removed(row, data, ids, settings.length)
+                # Where the substrings occur is found again rather than kept.
+                seen = shared_parts(row, data, bounds, settings.length, key_shards, text_shards
+                                    ).places if row["hits"] else None
+                gone = _removed(row, data, ids, seen, settings.length)
                 before = np.concatenate([[0], np.cumsum(gone)])
                 opens = gone.copy()
                 opens[1:] &= ~gone[:-1]
@@ -394,7 +412,7 @@ def deduplicated(docs: DataFrame, carry: Sequence[str] = (), settings: Settings
                     columns["rest"] = batch["rest"].slice(at, 1).flatten()
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return blocks.join(places, "block", "left").join(hits, "block", "left").mapInArrow(finish, out)
+    return blocks.join(replies, "block", "left").join(hits, "block", "left").mapInArrow(finish, out)
 
 
 def shortened(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
