@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from charscape.llm import graph, hashing
-from charscape.llm.common import materialise
+from charscape.llm.common import materialise, small_batches, tidy
 
 CHUNK_BYTES = 1 << 20
 
@@ -158,6 +158,7 @@ def sketched(docs: DataFrame, settings: Settings, carry: tuple[str, ...] = ()) -
     if carry:
         out = out.add("doc", rows.schema["doc"].dataType)
 
+    @tidy
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
@@ -176,7 +177,7 @@ def sketched(docs: DataFrame, settings: Settings, carry: tuple[str, ...] = ()) -
                     **({"doc": batch["doc"].slice(at, n)} if carry else {})})
                 at += n
 
-    return rows.mapInArrow(sketch, out)
+    return small_batches(rows).mapInArrow(sketch, out)
 
 
 # --- Links -----------------------------------------------------------------------------------------
@@ -185,6 +186,7 @@ def sketched(docs: DataFrame, settings: Settings, carry: tuple[str, ...] = ()) -
 def node_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
     """node, elements (sorted hashes) of wanted nodes, from their smallest document's text."""
 
+    @tidy
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
@@ -210,6 +212,7 @@ def node_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFra
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b and the exact sizes of intersection and union of their sets."""
 
+    @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shared, union = [], []
@@ -271,6 +274,11 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataF
         ).withColumn("distance", 1 - F.col("shared") / F.col("union")).withColumn(
             "linked", 100 * F.col("shared") >= settings.percent * F.col("union")), "minhash-pairs")
         new = measured.where("linked").select("a", "b")
+        left = work.where(~F.col("is_pivot")).select("band", "node", "n_shingles")
+        pivots_each *= 2
+        if new.isEmpty():  # nothing has changed but that the pivots are done
+            active = materialise(left, "minhash-buckets")
+            continue
         links = new if links is None else links.unionByName(new)
         roots = materialise(graph.components(links), "minhash-roots")
 
@@ -302,10 +310,7 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataF
             links = links.unionByName(extra)
             roots = materialise(graph.components(links), "minhash-roots")
         gone = placed_pairs.where("linked").select("band", F.col("b").alias("node"))
-        active = materialise(
-            work.where(~F.col("is_pivot")).select("band", "node", "n_shingles")
-            .join(gone, ["band", "node"], "left_anti"), "minhash-buckets")
-        pivots_each *= 2
+        active = materialise(left.join(gone, ["band", "node"], "left_anti"), "minhash-buckets")
     return roots
 
 
