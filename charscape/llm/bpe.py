@@ -25,6 +25,7 @@ empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -38,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from charscape.llm.common import small_batches
+from charscape.llm.common import small_batches, tidy
 
 PIECE_CHARS = 16_384
 # Fixed pattern by which byte-level BPE splits texts into words.
@@ -60,6 +61,12 @@ def tokenizer(path: str):
     return out
 
 
+@functools.lru_cache(maxsize=4)
+def special_tokens(path: str) -> dict[str, int]:
+    with open(path, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
 @functools.lru_cache(maxsize=4)
 def token_bytes(path: str) -> list[bytes]:
     """The bytes of every token. A vocabulary spells byte b as character b where that is printable,
@@ -67,19 +74,22 @@ def token_bytes(path: str) -> list[bytes]:
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in printable]
     spelled = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
-    model = tokenizer(path)
-    added = {i: t.content.encode() for i, t in model.get_added_tokens_decoder().items()}
-    vocabulary = model.get_vocab(with_added_tokens=True)
-    out = [b""] * (1 + max(vocabulary.values()))
+    with open(path, encoding="utf-8") as file:
+        vocabulary = json.load(file)["model"]["vocab"]
+    special = {i: t.encode() for t, i in special_tokens(path).items()}
+    out = [b""] * (1 + max([*vocabulary.values(), *special]))
     for token, number in vocabulary.items():
-        out[number] = added.get(number) or bytes(spelled[c] for c in token)
+        if number not in special:
+            out[number] = bytes(spelled[c] for c in token)
+    for number, text in special.items():
+        out[number] = text
     return out
 
 
 @functools.lru_cache(maxsize=4)
 def fast_encoder(path: str) -> tiktoken.Encoding:
     """The same vocabulary, in which a merge's rank is its token's number."""
-    special = set(tokenizer(path).get_added_tokens_decoder())
+    special = set(special_tokens(path).values())
     ranks = {t: i for i, t in enumerate(token_bytes(path)) if t and i not in special}
     return tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -89,14 +99,9 @@ def token_sizes(path: str) -> np.ndarray:
     return np.array([len(t) for t in token_bytes(path)], np.int64)
 
 
-@functools.lru_cache(maxsize=4)
-def special_texts(path: str) -> tuple[str, ...]:
-    return tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
-
-
 def is_plain(path: str, text: str) -> bool:
     """Whether the faster library may encode a text."""
-    return (text.isascii() or not FAR.search(text)) and not any(t in text for t in special_texts(path))
+    return (text.isascii() or not FAR.search(text)) and not any(t in text for t in special_tokens(path))
 
 
 def encode_text(path: str, text: str) -> np.ndarray:
@@ -200,7 +205,7 @@ def _join_run(path: str, text: str, a: Piece, b: Piece) -> Piece | None:
     start = int(a.bounds[-1])
     stop = int(b.bounds[1]) if len(b.bounds) > 1 else b.end
     around = text[max(a.start, start - MARGIN):min(b.end, stop + MARGIN)]
-    if any(t.content in around for t in model.get_added_tokens_decoder().values()):
+    if any(t in around for t in special_tokens(path)):
         return None
     ahead = text[start:min(b.end, stop + MARGIN)]
     if model.pre_tokenizer.pre_tokenize_str(ahead)[0][1] != (0, stop - start):
@@ -246,6 +251,7 @@ def encoded(docs: DataFrame, path: str, piece_chars: int = PIECE_CHARS) -> DataF
         return pa.ListArray.from_arrays(
             pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, np.int32)]), pa.int32()))
 
+    @tidy
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
@@ -253,6 +259,7 @@ def encoded(docs: DataFrame, path: str, piece_chars: int = PIECE_CHARS) -> DataF
                 found = [encode_text(path, t) for t in part["text"].to_pylist()]
                 yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"], "ids": listed(found)})
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
@@ -260,6 +267,7 @@ def encoded(docs: DataFrame, path: str, piece_chars: int = PIECE_CHARS) -> DataF
                 coded = [_spelled(encode_piece(path, t)) for t in part["piece"].to_pylist()]
                 yield part.append_column("coded", pa.array(coded, pa.binary()))
 
+    @tidy
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
@@ -300,6 +308,7 @@ def encoded(docs: DataFrame, path: str, piece_chars: int = PIECE_CHARS) -> DataF
 def decoded(tokens: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and the decoded text, special tokens included; broken bytes become U+FFFD."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(path)
         for batch in batches:

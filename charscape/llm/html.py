@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from charscape.llm.common import small_batches
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
     r"|</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^'\">])*>?|[^<]+|<", re.S)
@@ -265,5 +267,5 @@ def extracted(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
                      pa.array([extract(p, learned) for p in part["html"].to_pylist()], pa.string())],
                     names=["page_id", "url", "text"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(
+    return small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(
         run, "page_id long, url string, text string")

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from charscape.llm.common import small_batches
+
 TERMS = 4096
 EXTRA = 64  # the last terms count repetition
 CHUNK = 512
@@ -115,7 +117,7 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
 
     known = labelled.where("label is not null").select(
         "doc_id", "text", F.col("label").cast("int").alias("label"))
-    rows = sampled(known, settings.sample, F.col("doc_id")).mapInArrow(
+    rows = sampled(small_batches(known), settings.sample, F.col("doc_id")).mapInArrow(
         sparse, "doc_id long, label int, terms array<short>, values array<float>"
     ).toArrow().sort_by([("doc_id", "ascending")]).to_pydict()
     n = len(rows["label"])
@@ -168,5 +170,5 @@ def scored(docs: DataFrame, model: Model, settings: Settings = Settings()) -> Da
                     "doc_id": part["doc_id"],
                     "score": np.clip(votes(shared.value, counts, settings), 0.0, 1.0)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         score, "doc_id long, score double")

@@ -38,6 +38,7 @@ from charscape.llm import hashing, induced
 from charscape.llm.common import materialise, release, small_batches, tidy
 
 GRAM = 16
+PARTS = 8  # a shard's text is sorted in so many parts, to stay in the processor's caches
 LAST = np.iinfo(np.int64).max
 
 
@@ -218,6 +219,7 @@ class Shared:
 
     texts: list[bytes]
     shard: np.ndarray
+    part: np.ndarray
     places: np.ndarray
 
 
@@ -231,7 +233,7 @@ def shared_parts(row: dict, data: np.ndarray, bounds: np.ndarray, length: int, k
             for r in row["replies"] or []]
     shared = np.concatenate([np.zeros(0, bool), *bits])
     chosen = np.flatnonzero(shared[inverse]) if len(shared) else np.zeros(0, np.int64)
-    target = (hashing.mix(runs.key[chosen]) % np.uint64(text_shards)).astype(np.int64)
+    target = (hashing.mix(runs.key[chosen]) % np.uint64(text_shards * PARTS)).astype(np.int64)
     in_order = np.argsort(target, kind="stable")
     chosen, target = chosen[in_order], target[in_order]
     raw = data.tobytes()
@@ -241,7 +243,7 @@ def shared_parts(row: dict, data: np.ndarray, bounds: np.ndarray, length: int, k
                       for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
     shard_of = np.zeros(len(numbers), np.int64)
     shard_of[which] = target
-    return Shared(list(numbers), shard_of, np.column_stack([runs.doc[chosen], starts, which]))
+    return Shared(list(numbers), shard_of // PARTS, shard_of % PARTS, np.column_stack([runs.doc[chosen], starts, which]))
 
 
 def shared_texts(blocks: DataFrame, replies: DataFrame, settings: Settings, key_shards: int,
@@ -268,7 +270,8 @@ def shared_texts(blocks: DataFrame, replies: DataFrame, settings: Settings, key_
                     "n": pa.array([b - a for a, b in spans], pa.int32()),
                     "facts": pa.array([zstandard.compress(b"".join((
                         np.array([len(t) for t in found.texts[a:b]], np.int32).tobytes(),
-                        least[a:b].tobytes(), (most[a:b] - least[a:b]).tobytes())), 3)
+                        least[a:b].tobytes(), (most[a:b] - least[a:b]).tobytes(),
+                        found.part[a:b].astype(np.uint8).tobytes())), 3)
                         for a, b in spans], pa.binary()),
                     "data": pa.array([zstandard.compress(b"".join(found.texts[a:b]), 3)
                                       for a, b in spans], pa.binary())})
@@ -277,9 +280,9 @@ def shared_texts(blocks: DataFrame, replies: DataFrame, settings: Settings, key_
         cut, "block string, shard int, first int, n int, facts binary, data binary")
 
 
-def least_ids(texts: list[bytes], ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def least_ids(texts: list[bytes], ids: np.ndarray, length: int) -> np.ndarray:
     """The strings of `length` in distinct texts, as stretches with one least id of a text that has
-    them: rows of (text, offset, count, id) in order, and for each text its first row."""
+    them: rows of (text, offset, count, id) in order."""
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes + 1)
     starts = ends - sizes - 1
@@ -303,8 +306,7 @@ def least_ids(texts: list[bytes], ids: np.ndarray, length: int) -> tuple[np.ndar
     new[1:] = (text[1:] != text[:-1]) | (low[1:] != low[:-1])
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, len(places)))
-    rows = np.column_stack([text[at], places[at] - starts[text[at]], count, low[at]])
-    return rows, np.searchsorted(rows[:, 0], np.arange(len(texts) + 1))
+    return np.column_stack([text[at], places[at] - starts[text[at]], count, low[at]])
 
 
 def repeats(cut: DataFrame, settings: Settings) -> DataFrame:
@@ -312,9 +314,9 @@ def repeats(cut: DataFrame, settings: Settings) -> DataFrame:
 
     def match(table: pa.Table) -> pa.Table:
         numbered: dict[bytes, int] = {}
-        which, least, most = [], [], []
+        which, least, most, parts = [], [], [], []
         for facts, packed, n in zip(table["facts"], table["data"], table["n"].to_pylist(), strict=True):
-            facts = zstandard.decompress(facts.as_py(), max_output_size=20 * n)
+            facts = zstandard.decompress(facts.as_py(), max_output_size=21 * n)
             sizes = np.frombuffer(facts, np.int32, n).tolist()
             low = np.frombuffer(facts, np.int64, n, 4 * n)
             data = zstandard.decompress(packed.as_py(), max_output_size=sum(sizes) + 1)
@@ -325,13 +327,29 @@ def repeats(cut: DataFrame, settings: Settings) -> DataFrame:
             which.append(np.array(own, np.int64))
             least.append(low)
             most.append(low + np.frombuffer(facts, np.int64, n, 12 * n))
+            parts.append(np.frombuffer(facts, np.uint8, n, 20 * n))
         ids = np.full(len(numbered), LAST)
         for own, low in zip(which, least, strict=True):
             np.minimum.at(ids, own, low)
-        stretches, first_row = least_ids(list(numbered), ids, settings.length)
+        part_of = np.zeros(len(numbered), np.int64)
+        for own, part in zip(which, parts, strict=True):
+            part_of[own] = part
+        in_order = np.argsort(part_of, kind="stable")
+        texts, bounds = list(numbered), np.searchsorted(part_of[in_order], np.arange(PARTS + 1))
+        found = []
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            if b > a:
+                listed = least_ids([texts[i] for i in in_order[a:b]], ids[in_order[a:b]], settings.length)
+                listed[:, 0] += a
+                found.append(listed)
+        stretches = np.concatenate(found)
+        first_row = np.searchsorted(stretches[:, 0], np.arange(len(texts) + 1))
+        rank = np.empty(len(texts), np.int64)
+        rank[in_order] = np.arange(len(texts))
         blocks, hits = [], []
         for block, start, own, top in zip(table["block"].to_pylist(), table["first"].to_pylist(), which,
                                           most, strict=True):
+            own = rank[own]
             n = first_row[own + 1] - first_row[own]
             entry = np.repeat(np.arange(len(own)), n)
             row = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n) + first_row[own[entry]]

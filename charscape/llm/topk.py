@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from charscape.llm.common import materialise
+from charscape.llm.common import materialise, small_batches
 
 BLOCK = 4096
 CHUNK = 256
@@ -108,6 +108,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) -
     """query_id, rank, vec_id, score: the k highest scores of every query, ties to the smaller id."""
     spark = vectors.sparkSession
     coded = quantised(vectors, scale)
+    small_batches(coded)
     candidates = materialise(blocks(coded), "topk-candidates")
     queries = materialise(blocks(coded.where(is_query)), "topk-queries").select(
         F.col("block").alias("q_block"), "dims", F.col("ids").alias("q_ids"),
@@ -191,8 +192,10 @@ def _next_state(pairs: DataFrame, k: int, width: int, reach: int, exact: bool) -
     chosen = summed.where(hit | short).select(
         "q_block", "size", F.struct(
             "position",
-            F.when(short, F.lit(-reach)).otherwise(F.col("low") + F.col("bin") * width).alias("low"),
-            F.when(short, F.lit(2 * k)).otherwise(F.col("need") - F.col("above")).alias("need"),
+            F.when(short, F.lit(-reach).cast("long")).otherwise(
+                F.col("low") + F.col("bin").cast("long") * F.lit(width).cast("long")).alias("low"),
+            F.when(short, F.lit(2 * k).cast("long")).otherwise(
+                F.col("need") - F.col("above")).alias("need"),
         ).alias("s"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from charscape.llm.common import small_batches
 from charscape.llm.knn import sampled
 
 # Look-alikes of Latin letters, and digits and signs in place of letters.
@@ -168,7 +169,7 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Lexicon:
     """`labelled`: doc_id, text, label (1 toxic, 0 clean), training rows only."""
     known = labelled.where("label is not null").select(
         "doc_id", "text", F.col("label").cast("int").alias("label"))
-    rows = sampled(known, settings.sample, F.col("doc_id")).dropDuplicates(["text", "label"])
+    rows = sampled(small_batches(known), settings.sample, F.col("doc_id")).dropDuplicates(["text", "label"])
     totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic or not n_clean:
@@ -229,7 +230,7 @@ def weighed(docs: DataFrame, lexicon: Lexicon, *carry: str) -> DataFrame:
                 "weight": pa.array([weigh(fold(t), automaton) for t in batch["text"].to_pylist()],
                                    pa.float64())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"),
                        *[F.col(c).cast("int").alias(c) for c in carry], "text").mapInArrow(run, schema)
 
 

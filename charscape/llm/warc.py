@@ -35,7 +35,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from charscape.llm.common import materialise
+from charscape.llm.common import materialise, small_batches
 from charscape.sources.workspace import new_path
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -261,7 +261,7 @@ def write_packages(records: DataFrame, folder: str, layout: Layout = Layout()) -
         if n:
             yield close()
 
-    return materialise(records.mapInArrow(write, "path string, size long, n_records long"),
+    return materialise(small_batches(records).mapInArrow(write, "path string, size long, n_records long"),
                        "warc-manifest")
 
 
