@@ -604,7 +604,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Each tile stands for a job."""
     jobs = indices(spark, sf).withColumn("job_id", F.col("tile_id"))
-    return grids.product_validity(jobs, composite.INDICES, min_share=0.95)
+    return grids.product_validity(jobs, by=["job_id"], names=composite.INDICES, min_share=0.95)
 
 
 @query("stack_shape")

@@ -185,7 +185,7 @@ def test_overviews_average_valid_pixels(spark):
 def test_validity_of_products(spark):
     rows = [("good", 0.1), ("good", 0.2), ("empty", None), ("bad", math.inf), ("bad", 0.1)]
     df = spark.createDataFrame(rows, "job_id string, rbr double")
-    got = {r["job_id"]: r["status"] for r in grids.product_validity(df, ["rbr"]).collect()}
+    got = {r["job_id"]: r["status"] for r in grids.product_validity(df, ["rbr"], by=["job_id"]).collect()}
     assert got == {
         "good": "completed",
         "empty": "failed_validation",
