@@ -7,9 +7,12 @@ All such strings are found, in these passes:
 2. Every `length`-byte string has a key, the least hash among its 16-byte substrings, so equal strings
    have equal keys. Consecutive strings with one key form a run. Blocks send their distinct keys,
    dealt evenly by hash, and learn which ones occur in more than one document; a key that all documents
-   share is sent once per block.
-3. Runs with a shared key are cut out as substrings, equal ones of a block once, and dealt by key into
-   shards. All occurrences of a repeated string meet in one shard.
+   share is sent once per block. With each key goes the size of its distinct runs; a key whose runs
+   have more than `crowded_bytes` (a phrase in many contexts, each run with its own surroundings) is
+   crowded. The strings of its runs are keyed one by one, by their own hash, and asked for once more.
+3. Runs with a shared key, and shared strings of crowded keys, are cut out as substrings, equal ones of
+   a block once, and dealt by key into shards. All occurrences of a repeated string meet in one shard,
+   as equal strings have equal keys and are crowded or not alike.
 4. A shard's distinct substrings are sorted by induced sorting. Permuted common prefixes of at least
    `length` mark neighbours with equal strings; each group of them has a least id.
 5. Blocks get back the places where the least id is below a document's own, and cut them.
@@ -49,6 +52,8 @@ class Settings:
     # Text bytes whose keys, or whose substrings, make up a shard.
     key_shard_bytes: int = 32 << 20
     text_shard_bytes: int = 1 << 20
+    # Bytes of distinct runs beyond which a key does not stay in one shard.
+    crowded_bytes: int = 4 << 20
 
 
 # --- Blocks ------------------------------------------------------------------------------------------
@@ -169,23 +174,64 @@ def key_lists(runs: Runs, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return ((distinct >> np.uint64(32)).astype(np.int64), distinct.astype(np.uint32), low < high, inverse)
 
 
-def shared_keys(blocks: DataFrame, settings: Settings, shards: int) -> DataFrame:
-    """block, replies: per shard, a bit for each of the block's keys: it occurs in several documents."""
+def run_bytes(data: np.ndarray, runs: Runs, inverse: np.ndarray, n: int, length: int) -> np.ndarray:
+    """Bytes of the distinct runs of each of n keys, as the rounded-up fourth of a power of two."""
+    sizes = runs.count + length - 1
+    hashes = hashing.spans(hashing.prefix_sums(data), runs.start, runs.start + sizes)
+    first = np.unique(hashes, return_index=True)[1]
+    return np.ceil(4 * np.log2(np.bincount(inverse[first], sizes[first], n))).astype(np.uint8)
+
+
+def single(data: np.ndarray, runs: Runs, chosen: np.ndarray, length: int) -> Runs:
+    """The strings of chosen runs as runs of their own, keyed by their hashes."""
+    count = runs.count[chosen]
+    start = np.repeat(runs.start[chosen] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    return Runs(start, np.ones(len(start), np.int64),
+                hashing.spans(hashing.prefix_sums(data), start, start + length),
+                np.repeat(runs.doc[chosen], count))
+
+
+def answers(runs: Runs, replies: list[dict] | None, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per run: its key is shared, its key is crowded."""
+    shard, _, _, inverse = key_lists(runs, shards)
+    counts = np.bincount(shard, minlength=shards)
+    out = []
+    for name in ("bits", "crowded"):
+        found = [np.unpackbits(np.frombuffer(r[name], np.uint8), count=int(counts[r["shard"]])).astype(bool)
+                 if r[name] else np.zeros(int(counts[r["shard"]]), bool) for r in replies or []]
+        every = np.concatenate([np.zeros(0, bool), *found])
+        out.append(every[inverse] if len(every) else np.zeros(len(inverse), bool))
+    return out[0], out[1]
+
+
+def shared_keys(blocks: DataFrame, settings: Settings, shards: int, coarse: int | None = None) -> DataFrame:
+    """block, replies: per shard, bits for each of the block's keys: it occurs in several documents; it
+    is crowded. `any_crowded`: one of them is. With `coarse`, the number of shards of earlier replies
+    that the blocks carry, the keys are those of single strings of crowded runs, and none is crowded."""
+    length = settings.length
 
     @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 data, bounds, _ = unpacked(row)
-                shard, short, several, _ = key_lists(find_runs(data, bounds, settings.length), shards)
+                runs = find_runs(data, bounds, length)
+                if coarse is not None:
+                    shared, crowded = answers(runs, row["replies"], coarse)
+                    runs = single(data, runs, np.flatnonzero(shared & crowded), length)
+                shard, short, several, inverse = key_lists(runs, shards)
+                sizes = (run_bytes(data, runs, inverse, len(short), length) if coarse is None
+                         else np.zeros(len(short), np.uint8))
                 at = np.flatnonzero(np.diff(shard, prepend=-1))
                 ends = np.append(at[1:], len(shard))
+                spans = list(zip(at, ends, strict=True)) if len(shard) else []
                 yield pa.RecordBatch.from_pydict({
-                    "shard": pa.array(shard[at], pa.int32()), "block": [row["block"]] * len(at),
-                    "keys": pa.array([short[a:b].tobytes() for a, b in zip(at, ends, strict=True)],
-                                     pa.binary()),
-                    "several": pa.array([np.packbits(several[a:b]).tobytes()
-                                         for a, b in zip(at, ends, strict=True)], pa.binary())})
+                    "shard": pa.array(shard[at], pa.int32()),
+                    "block": pa.array([row["block"]] * len(spans), pa.string()),
+                    "keys": pa.array([short[a:b].tobytes() for a, b in spans], pa.binary()),
+                    "several": pa.array([np.packbits(several[a:b]).tobytes() for a, b in spans], pa.binary()),
+                    "sizes": pa.array([zstandard.compress(sizes[a:b].tobytes(), 3) for a, b in spans],
+                                      pa.binary())})
 
     def meet(table: pa.Table) -> pa.Table:
         lists = [np.frombuffer(k, np.uint32) for k in table["keys"].to_pylist()]
@@ -193,22 +239,45 @@ def shared_keys(blocks: DataFrame, settings: Settings, shards: int) -> DataFrame
         several = np.concatenate([
             np.unpackbits(np.frombuffer(s, np.uint8), count=len(k)).astype(bool)
             for s, k in zip(table["several"].to_pylist(), lists, strict=True)])
+        sizes = np.concatenate([
+            np.frombuffer(zstandard.decompress(s, max_output_size=len(k)), np.uint8)
+            for s, k in zip(table["sizes"].to_pylist(), lists, strict=True)])
         distinct, inverse, count = np.unique(every, return_inverse=True, return_counts=True)
         shared = count > 1
         np.logical_or.at(shared, inverse, several)
-        parts = np.split(shared[inverse], np.cumsum([len(k) for k in lists])[:-1])
+        crowded = np.bincount(inverse, np.exp2(sizes / 4), len(distinct)) > settings.crowded_bytes
+        ends = np.cumsum([len(k) for k in lists])[:-1]
+        parts, crowds = np.split(shared[inverse], ends), np.split((shared & crowded)[inverse], ends)
         return pa.table({
             "block": table["block"], "shard": table["shard"],
-            "bits": pa.array([np.packbits(p).tobytes() for p in parts], pa.binary())})
+            "bits": pa.array([np.packbits(p).tobytes() for p in parts], pa.binary()),
+            "crowded": pa.array([np.packbits(p).tobytes() if p.any() else None for p in crowds], pa.binary())})
 
     return (
-        blocks.select("block", "n_bytes", "ids", "bounds", "data")
-        .mapInArrow(send, "shard int, block string, keys binary, several binary")
-        .groupBy("shard").applyInArrow(meet, "block string, shard int, bits binary")
-        .groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "bits"))).alias("replies"))
+        blocks.select("block", "n_bytes", "ids", "bounds", "data", *(["replies"] if coarse is not None else []))
+        .mapInArrow(send, "shard int, block string, keys binary, several binary, sizes binary")
+        .groupBy("shard").applyInArrow(meet, "block string, shard int, bits binary, crowded binary")
+        .groupBy("block").agg(
+            F.sort_array(F.collect_list(F.struct("shard", "bits", "crowded"))).alias("replies"),
+            F.max(F.col("crowded").isNotNull()).alias("any_crowded"))
     )
 
 
+def all_replies(blocks: DataFrame, settings: Settings, shards: int) -> DataFrame:
+    """block, replies, finer: the replies to single strings of crowded keys, by `finer_shards`."""
+    replies = materialise(shared_keys(blocks, settings, shards), "suffix-replies")
+    crowded = replies.where("any_crowded")
+    if crowded.isEmpty():
+        return replies.select("block", "replies", F.lit(None).cast(replies.schema["replies"].dataType).alias("finer"))
+    finer = shared_keys(blocks.join(crowded, "block"), settings, finer_shards(shards), shards)
+    return replies.select("block", "replies").join(
+        materialise(finer.select("block", F.col("replies").alias("finer")), "suffix-finer"), "block", "left")
+
+
+def finer_shards(shards: int) -> int:
+    return 4 * shards
+
+
 # --- Shards of shared text -------------------------------------------------------------------------
 
 
@@ -227,15 +296,17 @@ def shared_parts(row: dict, data: np.ndarray, bounds: np.ndarray, length: int, k
                  text_shards: int) -> Shared:
     """The same for a block whenever it is asked for."""
     runs = find_runs(data, bounds, length)
-    shard, _, _, inverse = key_lists(runs, key_shards)
-    counts = np.bincount(shard, minlength=key_shards)
-    bits = [np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=int(counts[r["shard"]])).astype(bool)
-            for r in row["replies"] or []]
-    shared = np.concatenate([np.zeros(0, bool), *bits])
-    chosen = np.flatnonzero(shared[inverse]) if len(shared) else np.zeros(0, np.int64)
-    target = (hashing.mix(runs.key[chosen]) % np.uint64(text_shards * PARTS)).astype(np.int64)
-    in_order = np.argsort(target, kind="stable")
-    chosen, target = chosen[in_order], target[in_order]
+    shared, crowded = answers(runs, row["replies"], key_shards)
+    whole, split = np.flatnonzero(shared & ~crowded), np.flatnonzero(shared & crowded)
+    runs, strings = Runs(runs.start[whole], runs.count[whole], runs.key[whole], runs.doc[whole]), runs
+    if len(split):
+        fine = single(data, strings, split, length)
+        kept = answers(fine, row["finer"], finer_shards(key_shards))[0]
+        runs = Runs(*(np.concatenate([a, b[kept]]) for a, b in (
+            (runs.start, fine.start), (runs.count, fine.count), (runs.key, fine.key), (runs.doc, fine.doc))))
+    target = (hashing.mix(runs.key) % np.uint64(text_shards * PARTS)).astype(np.int64)
+    chosen = np.argsort(target, kind="stable")
+    target = target[chosen]
     raw = data.tobytes()
     starts, ends = runs.start[chosen], runs.start[chosen] + runs.count[chosen] + length - 1
     numbers: dict[bytes, int] = {}
@@ -396,7 +467,7 @@ def deduplicated(docs: DataFrame, carry: Sequence[str] = (), settings: Settings
     blocks = materialise(packed(rows, settings, rest), "suffix-blocks")
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     key_shards = 8 + total // settings.key_shard_bytes
-    replies = materialise(shared_keys(blocks, settings, key_shards), "suffix-replies")
+    replies = all_replies(blocks, settings, key_shards)
     # Shared strings can be all of the text, several times over; distinct ones mostly are not.
     text_shards = 8 + total // (4 * settings.text_shard_bytes)
     cut = shared_texts(blocks, replies, settings, key_shards, text_shards)

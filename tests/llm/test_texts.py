@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from charscape.llm import bpe, graph, induced, minhash, mixing, oracles, suffix
+from charscape.llm import bpe, graph, hashing, induced, minhash, mixing, oracles, suffix
 from charscape.llm.common import materialise
 from charscape.llm.queries import tokenizer_path
 from tests.llm.helpers import (
@@ -137,6 +137,34 @@ def test_removal_agrees_with_brute_force(spark):
                     [(r[0], *w) for r, w in zip(rows, want, strict=True)])
 
 
+def test_a_phrase_in_many_contexts_is_spread(spark):
+    rnd = random.Random(5)
+
+    def noise(n: int) -> str:
+        return "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+
+    # The phrase with the least hash is the key of nearly all strings around it.
+    phrase = min((noise(16) for _ in range(3000)), key=lambda x: hashing.grams(
+        hashing.prefix_sums(np.frombuffer(x.encode(), np.uint8)), 16)[0])
+    tails = [noise(40) for _ in range(30)]
+    rows = [(i, noise(60) + phrase + (tails[i % 60] if i % 60 < 30 else noise(40)), "en", "a", 1)
+            for i in range(900)]
+    docs = documents(spark, rows)
+    chosen = suffix.Settings(block_bytes=3000, key_shard_bytes=40_000, text_shard_bytes=2000,
+                             crowded_bytes=2000)
+    got = suffix.deduplicated(docs, settings=chosen).collect()
+    assert same([(r.doc_id, r.n_removed, r.n_spans, bytes(r.kept)) for r in got],
+                [(r[0], *w[1:]) for r, w in zip(rows, cut_repeats([r[:2] for r in rows]), strict=True)])
+    assert sum(r.n_removed for r in got) > 0
+    # No shard holds the contexts of the phrase together.
+    blocks = materialise(suffix.packed(docs.select("doc_id", "text"), chosen, None), "test-blocks")
+    replies = suffix.all_replies(blocks, chosen, 8)
+    by_shard = {}
+    for r in suffix.shared_texts(blocks, replies, chosen, 8, 16).collect():
+        by_shard[r.shard] = by_shard.get(r.shard, 0) + r.n
+    assert max(by_shard.values()) < 4 * sum(by_shard.values()) / 16
+
+
 def test_shortened_documents(spark):
     docs = documents(spark, repeat_rows())
     out = suffix.shortened(docs)
