@@ -100,18 +100,20 @@ def _left_out(name: str, tag: str, parent: Node) -> bool:
     return any(p.lower() in MARKS for p in PARTS.split(named) if p)
 
 
+@functools.cache
+def _end_of_raw(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>]|$)", re.I | re.A)
+
+
 def tokens(page: str) -> list[Token]:
     out: list[Token] = []
     node = Node("", None, False)
-    raw: str | None = None
-    for match in TOKEN.finditer(page):
-        piece = match.group()
+    at = 0
+    while at < len(page):
+        piece = TOKEN.match(page, at).group()
+        at += len(piece)
         tag = NAME.match(piece) if piece.startswith("<") else None
         name = tag.group(1).lower() if tag else ""
-        if raw:
-            if not (piece.startswith("</") and name == raw):
-                continue
-            raw = None
         if piece.startswith("<!") or piece.startswith("<?"):
             if piece.startswith("<![CDATA["):
                 out.append(Token(piece[9:].removesuffix("]]>"), node.name, node, False))
@@ -138,7 +140,9 @@ def tokens(page: str) -> list[Token]:
             child = Node(name, node, _left_out(name, piece, node))
             if name not in VOID and not piece.endswith("/>"):
                 node = child
-                raw = name if name in RAW else None
+                if name in RAW:  # no tags inside
+                    end = _end_of_raw(name).search(page, at)
+                    at = end.start() if end else len(page)
         if name in CELLS:
             out.append(Token(" ", node.name, node, False))
         out.append(Token(None, name, node, breaks))

@@ -179,6 +179,16 @@ def test_cut_and_broken_pages():
     assert html.extract(deep, weights) == "deep words"
 
 
+@pytest.mark.parametrize("body", [
+    "if(a<b){c()}", "for(i=0;i<n;i++){x[i]='y'}", "// don't\nif(a<b)x()", 'if(a<b){s="it\'s"}', "a<!--b",
+])
+def test_scripts_are_not_markup(body):
+    for open_, close in (("<script>", "</script>"), ("<SCRIPT type=x>", "</ScRipt >")):
+        page = f"<body>{open_}{body}{close}<p>The article stands here.</p><script>var z</script></body>"
+        assert html.extract(page, html.fit()) == "The article stands here."
+    assert html.extract("<p>Text</p><script>if(a<b)", html.fit()) == "Text"
+
+
 def test_region_is_the_best_run():
     rnd, weights = random.Random(8), html.fit()
     for _ in range(60):
