@@ -2,9 +2,10 @@
 
 A page is a row of tokens: texts and tags. The words of a text score positive and tags negative, with
 weights learned from labelled pages; one linear scan finds the run with the highest sum, the content.
-Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments and
-hidden parts, told by their elements, roles and class names, score nothing and are left out of the
-run's text. The rest is joined by blocks.
+Menus, page headers, footers, scripts, styles and hidden parts, told by their elements and attributes,
+score nothing and are left out of the run's text. So are forms and parts whose class, id or role names a
+sidebar, notice, advert, reader comments or the like, but their words score a little below nothing, and
+they count as any other part if they hold most of the page's unlinked words. The rest is joined by blocks.
 
 Defined cases: NULL and empty pages, and pages without words, have an empty text; of equal runs the
 first one wins; unclosed and misplaced tags end where HTML lets them end, a cut page at its cut;
@@ -43,7 +44,7 @@ BLOCKS = set(
     "option p pre search section summary table tbody tfoot thead tr ul".split())
 CELLS = set("td th br".split())
 LEFT_OUT = set(
-    "script style noscript template head nav aside footer form select button textarea iframe svg math "
+    "script style noscript template head nav aside footer select button textarea iframe svg "
     "object canvas audio video dialog menu title input option label fieldset search".split())
 # An opening tag of the first kind ends an open element of the second kinds.
 ENDS = {
@@ -51,7 +52,8 @@ ENDS = {
     "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"},
 }
 SCOPES = {"ul", "ol", "dl", "table", "select", "article", "section", "div", "body"}
-# Class names, ids and roles of parts that are not the article.
+# Class names, ids and roles of parts that are not the article; alone or in compounds with each other and
+# with words of layout, as in `site-footer`, but not in `with-sidebar` or `social-history`.
 MARKS = set(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion "
     "banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies "
@@ -59,6 +61,14 @@ MARKS = set(
     "recommended comment comments commentlist disqus replies responses popup modal overlay widget "
     "pagination pager toolbar login signin signup search skip complementary contentinfo form dialog "
     "hidden".split())
+LAYOUT = set(
+    "site main page top bottom left right upper lower primary secondary global mobile desktop header head "
+    "bar box list links link item items area block container wrapper wrap inner outer holder section panel "
+    "post posts article articles story stories button buttons icon icons unit slot row col column text "
+    "body title".split())
+# Marked parts with more than these shares of the page's unlinked words are not left out.
+MOST, MOST_REPLIES = 0.5, 0.9
+REPLIES = set("comment comments commentlist disqus replies responses".split())
 PARTS = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -67,10 +77,16 @@ class Node:
     name: str
     parent: Node | None
     left_out: bool
+    marked: float | None = None  # the share of words beyond which it is not left out
+    words: int = 0  # unlinked words
+
+    @functools.cached_property
+    def gone(self) -> bool:
+        return self.left_out or (self.parent is not None and self.parent.gone)
 
     @functools.cached_property
     def dropped(self) -> bool:
-        return self.left_out or (self.parent is not None and self.parent.dropped)
+        return self.left_out or self.marked is not None or (self.parent is not None and self.parent.dropped)
 
     def inside(self, *names: str) -> bool:
         return self.name in names or (self.parent is not None and self.parent.inside(*names))
@@ -84,20 +100,41 @@ class Token:
     breaks: bool  # ends a block
 
 
-def _left_out(name: str, tag: str, parent: Node) -> bool:
+def _left_out(name: str, tag: str, parent: Node) -> tuple[bool, float | None]:
+    """Whether an element is left out anyway, and the share of words that spares it if it is marked."""
     if name in LEFT_OUT:
-        return True
+        return True, None
     if name in ("html", "body", "main", "article"):
-        return False
+        return False, None
     if name == "header":
-        return not parent.inside("article", "main")
+        return not parent.inside("article", "main"), None
     found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(tag[1 + len(name):])}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
-        return True
+        return True, None
     if re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
-    named = " ".join(found.get(a, "") for a in ("class", "id", "role"))
-    return any(p.lower() in MARKS for p in PARTS.split(named) if p)
+        return True, None
+    marks = set().union(*(_marks(t) for a in ("class", "id", "role") for t in found.get(a, "").split()))
+    if name == "form":
+        marks.add("form")
+    return False, (MOST_REPLIES if marks & REPLIES else MOST) if marks else None
+
+
+def _marks(token: str) -> set[str]:
+    parts = {p.lower() for p in PARTS.split(token) if p and not p.isdigit()}
+    return parts & MARKS if parts <= MARKS | LAYOUT else set()
+
+
+def _spare(nodes: list[Node], found: list[Token]) -> None:
+    """Take the marks off elements that hold most of the page's unlinked words."""
+    for t in found:
+        if t.text is not None and not t.node.gone and not t.node.inside("a"):
+            t.node.words += len(t.text.split())
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.words += node.words
+    for node in nodes:
+        if node.marked is not None and node.words > node.marked * nodes[0].words:
+            node.marked = None
 
 
 @functools.cache
@@ -108,6 +145,7 @@ def _end_of_raw(name: str) -> re.Pattern:
 def tokens(page: str) -> list[Token]:
     out: list[Token] = []
     node = Node("", None, False)
+    nodes = [node]
     at = 0
     while at < len(page):
         piece = TOKEN.match(page, at).group()
@@ -135,9 +173,10 @@ def tokens(page: str) -> list[Token]:
             if name in ("article", "main"):
                 above = node
                 while above is not None:
-                    above.left_out = False
+                    above.left_out, above.marked = False, None
                     above = above.parent
-            child = Node(name, node, _left_out(name, piece, node))
+            child = Node(name, node, *_left_out(name, piece, node))
+            nodes.append(child)
             if name not in VOID and not piece.endswith("/>"):
                 node = child
                 if name in RAW:  # no tags inside
@@ -146,6 +185,7 @@ def tokens(page: str) -> list[Token]:
         if name in CELLS:
             out.append(Token(" ", node.name, node, False))
         out.append(Token(None, name, node, breaks))
+    _spare(nodes, out)
     return out
 
 
@@ -193,6 +233,7 @@ class Weights:
     linked: float  # a word inside a link
     tags: dict[str, float]
     other: float  # a tag that the labelled pages do not have
+    marked: float = -0.1  # a word of a marked part; the labelled pages have none
 
 
 def fit(labelled: Sequence[tuple[str, str]] = LABELLED) -> Weights:
@@ -226,9 +267,11 @@ def region(found: Sequence[Token], weights: Weights) -> tuple[int, int]:
     """First token and the one behind the last of the run with the highest sum."""
     best, best_span, total, start = 0.0, (0, 0), 0.0, 0
     for i, t in enumerate(found):
-        if t.node.dropped:
+        if t.node.gone or (t.node.dropped and t.text is None):
             continue
-        if t.text is None:
+        if t.node.dropped:
+            total += len(t.text.split()) * weights.marked
+        elif t.text is None:
             total += weights.tags.get(t.tag, weights.other)
         else:
             total += len(t.text.split()) * (weights.linked if t.node.inside("a") else weights.word)

@@ -189,6 +189,30 @@ def test_scripts_are_not_markup(body):
     assert html.extract("<p>Text</p><script>if(a<b)", html.fit()) == "Text"
 
 
+STORY = "<p>" + "The story goes on and on. " * 12 + "</p>"
+
+
+@pytest.mark.parametrize("opening", [
+    '<div class="content with-sidebar">', '<div class="overflow-hidden">', '<div id="search-result-page">',
+    '<section class="social-history">', "<form id=aspnetForm>", '<div class="widget">', '<div class="no-ads">',
+])
+@pytest.mark.parametrize("around", ["{}", "<article><p>Opening words.</p>{}</article>"])
+def test_marks_do_not_hide_the_story(opening, around):
+    page = "<body><div class=site-footer>About this site</div>" + around.format(
+        opening + STORY + "</" + opening[1:].split()[0] + ">") + "<div class=comments>Nice one</div></body>"
+    text = html.extract(page, html.fit())
+    assert text.count("The story goes on and on.") == 12 and "About" not in text and "Nice" not in text
+
+
+def test_marked_parts_beside_a_story():
+    weights = html.fit()
+    comments = "<div id=comments><p>" + "I liked it. " * 40 + "</p></div>"
+    for part in (comments, "<div class=sidebar-left>Other words here</div>", "<form><p>Your name</p></form>"):
+        text = html.extract(f"<body><div>{STORY}{part}{STORY}</div></body>", weights)
+        assert text.count("The story goes on and on.") == 24 and len(text.split()) == 144
+    assert html.extract("<p>So <math><mi>x</mi> = <mn>2</mn></math> holds.", weights) == "So x = 2 holds."
+
+
 def test_region_is_the_best_run():
     rnd, weights = random.Random(8), html.fit()
     for _ in range(60):
