@@ -2,13 +2,15 @@
 
 Built from DataFrame functions only. A document's histogram over character classes and its histogram
 over common words are compared with references by the Jensen-Shannon distance (square root of the
-divergence in base 2, 0 to 1). The references are the summed counts of all documents of a language.
+divergence in base 2, 0 to 1). The references are the summed counts of all documents of a language: of
+the languages with a list of common words for every document, and for a document of another language
+also the character classes of its own; languages of few rows share one reference.
 A document is rejected if it is further than a limit from every reference, and only where its
 histogram has enough counts to be judged.
 
 Defined cases: NULL and empty texts have no words and fail the base rule; rows that repeat are judged
-alike; languages without a list of common words give no reference, and their documents, like those
-without any reference (empty or unlabelled tables), are judged by the base rule alone; a NULL language
+alike; documents of languages without a list of common words are judged by character classes but not by
+words; those without any reference (unlabelled tables) are judged by the base rule alone; a NULL language
 is compared with all references. Extra columns are ignored (`features`) or kept (`accepted`).
 """
 
@@ -28,6 +30,7 @@ COMMON = {
     "es": "de la que el en y los del se las por un para con".split(),
     "fr": "de la le et les des en un une du est que dans qui".split(),
 }
+N_CLASSES = 7
 SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -40,6 +43,8 @@ class Rules:
     min_class_count: int = 200
     max_word_distance: float = 0.34
     min_word_count: int = 100
+    # A language without a list of common words has a reference of its own if one in so many rows has it.
+    language_rows: int = 1000
 
 
 def vocabulary() -> list[str]:
@@ -131,23 +136,45 @@ def features(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame
         F.col("n_words") - F.aggregate("commons", F.lit(0).cast("long"), lambda a, x: a + x)))))
 
 
-def references(table: DataFrame) -> Column:
-    """All references as one value: an array of (lang, classes, commons) with summed counts."""
-    listed = table.where(F.col("lang").isin(*sorted(COMMON)))
-    n_classes, n_commons = 7, len(vocabulary()) + 1
+def total(name: str, n: int) -> Column:
+    return F.array(*[F.sum(F.get(F.col(name), F.lit(i))).cast("double") for i in range(n)])
+
 
-    def total(name: str, n: int) -> Column:
-        return F.array(*[F.sum(F.get(F.col(name), F.lit(i))).cast("double") for i in range(n)])
+def unlisted(lang: Column) -> Column:
+    """A language without a list of common words."""
+    return lang.isNotNull() & ~lang.isin(*sorted(COMMON))
 
+
+def references(table: DataFrame) -> Column:
+    """The references of listed languages: an array of (lang, classes, commons) with summed counts."""
+    listed = table.where(F.col("lang").isin(*sorted(COMMON)))
+    n_classes, n_commons = N_CLASSES, len(vocabulary()) + 1
     sums = listed.groupBy("lang").agg(
         total("classes", n_classes).alias("classes"), total("commons", n_commons).alias("commons"))
     return sums.agg(F.sort_array(F.collect_list(F.struct("lang", "classes", "commons")))
                     .alias("refs")).scalar()
 
 
+def other_references(table: DataFrame, language_rows: int) -> Column:
+    """Those of all other languages: an array of (lang, classes), with lang NULL for the rare ones."""
+    by = table.groupBy("lang").agg(F.count("*").alias("n"), total("classes", N_CLASSES).alias("classes"))
+    frequent = F.col("n") * language_rows >= table.agg(F.count("*")).scalar()
+    sums = by.where(unlisted(F.col("lang"))).withColumn("lang", F.when(frequent, F.col("lang"))).groupBy(
+        "lang").agg(total("classes", N_CLASSES).alias("classes"))
+    return sums.agg(F.sort_array(F.collect_list(F.struct("lang", "classes"))).alias("others")).scalar()
+
+
+def own_references(lang: Column, others: Column) -> Column:
+    """The other languages' references that a document is compared with."""
+    own = F.filter(others, lambda r: r["lang"] == lang)
+    rare = F.filter(others, lambda r: r["lang"].isNull())
+    return F.when(lang.isNull(), others).when(
+        ~unlisted(lang), F.slice(others, 1, 0)).when(F.size(own) > 0, own).otherwise(rare)
+
+
 def distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance of two histograms, given as counts; NULL if one is empty."""
-    def total(x: Column) -> Column:
+    def whole(x: Column) -> Column:
         return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
     def pair(sums: Column) -> Column:
@@ -158,9 +185,9 @@ def distance(p: Column, q: Column) -> Column:
 
         terms = F.zip_with(p, q, term)
         return F.when((sums["p"] > 0) & (sums["q"] > 0),
-                      F.sqrt(F.greatest(F.lit(0.0), total(terms))))
+                      F.sqrt(F.greatest(F.lit(0.0), whole(terms))))
 
-    return bind(F.struct(total(p).alias("p"), total(q).alias("q")), pair)
+    return bind(F.struct(whole(p).alias("p"), whole(q).alias("q")), pair)
 
 
 def nearest(counts: Column, refs: Column, name: str) -> Column:
@@ -172,22 +199,24 @@ def judged(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), rules: Rules =
     """Per document: `doc`, the base counts, base_failed, both distances, kept."""
     rows = materialise(features(docs, carry), "quality")
     refs = F.col("refs")
-    foreign = F.col("lang").isNotNull() & ~F.col("lang").isin(*sorted(COMMON))
-    scored = rows.withColumn("refs", references(rows)).withColumns({
-        "class_distance": nearest(F.col("classes"), refs, "classes"),
+    scored = rows.withColumns({
+        "refs": references(rows), "others": other_references(rows, rules.language_rows),
+    }).withColumn("own", own_references(F.col("lang"), F.col("others"))).withColumns({
+        "class_distance": F.least(nearest(F.col("classes"), refs, "classes"),
+                                  nearest(F.col("classes"), F.col("own"), "classes")),
         "word_distance": nearest(F.col("commons"), refs, "commons"),
         "base_failed": (F.col("n_words") < rules.min_words)
         | (100 * F.col("n_repeat_words") > rules.repeat_percent * F.col("n_words")),
     })
 
     def far(name: str, limit: float, counted: Column, least: int) -> Column:
-        return (F.coalesce(F.col(name) > limit, F.lit(False)) & (counted >= least) & ~foreign)
+        return F.coalesce(F.col(name) > limit, F.lit(False)) & (counted >= least)
 
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     return scored.withColumns({
         "class_far": far("class_distance", rules.max_class_distance, chars, rules.min_class_count),
         "word_far": far("word_distance", rules.max_word_distance, F.col("n_words"),
-                        rules.min_word_count),
+                        rules.min_word_count) & ~unlisted(F.col("lang")),
     }).select(
         "doc", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "class_distance", "word_distance", "class_far", "word_far",

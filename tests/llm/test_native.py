@@ -52,6 +52,22 @@ def test_divergence_rejects_and_keeps(spark):
     assert all(got[i] for i in range(40)) and not got[100] and got[101]
 
 
+@pytest.mark.parametrize("listed", [0, 40])
+@pytest.mark.parametrize("language_rows", [1000, 2])
+def test_languages_without_word_lists_are_judged(spark, listed, language_rows):
+    def text(i: int) -> str:
+        return " ".join(f"zażółć{w}łąś" for w in prose(i, 150).split())
+
+    rows = [(i, prose(i, 150), "en", "a", 1) for i in range(listed)]
+    rows += [(100 + i, text(i), ("pl", "pl", "cs")[i % 3], "a", 1) for i in range(30)]
+    rows += [(200 + i, " ".join(f"{w}%%%#" for w in prose(i, 150).split()), lang, "a", 1)
+             for i, lang in enumerate(("pl", "cs", "pl"))]
+    got = {r.doc_id: r for r in quality.judged(documents(spark, rows), rules=quality.Rules(
+        language_rows=language_rows)).select("doc.doc_id", "kept", "class_far", "word_far").collect()}
+    assert all(got[i].kept for i in (*range(listed), *range(100, 130)))
+    assert all(got[i].class_far and not got[i].word_far and not got[i].kept for i in (200, 201, 202))
+
+
 def test_quality_of_empty_table_and_columns(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert quality.judged(empty).count() == 0
