@@ -215,10 +215,133 @@ WITH codes AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+
+def _clustering(clusters: int = 16, rounds: int = 3, dims: int = 64, scale: int = 64) -> str:
+    """Rounds written out, each as an assignment and the centroids after it."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""
+distances{n} AS (
+  SELECT row_no, cluster, list_sum(list_transform(list_zip(v.codes, c.codes),
+    lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance
+  FROM kept v, centroids{n} c
+), assigned{n} AS MATERIALIZED (
+  SELECT row_no, min_by(cluster, (distance, cluster)) AS cluster, min(distance) AS distance
+  FROM distances{n} GROUP BY row_no
+), sums{n} AS (
+  SELECT cluster, place, sum(code)::BIGINT AS total, count(*) AS n
+  FROM (SELECT cluster, unnest(codes) AS code, unnest(range({dims})) AS place
+        FROM kept JOIN assigned{n} USING (row_no))
+  GROUP BY cluster, place
+), centroids{n + 1} AS MATERIALIZED (
+  SELECT cluster, coalesce(moved, codes) AS codes FROM centroids{n} LEFT JOIN (
+    SELECT cluster, list((total - ((total % n) + n) % n) // n ORDER BY place) AS moved
+    FROM sums{n} GROUP BY cluster) USING (cluster)
+)""")
+    return f"""
+WITH rows AS (
+  SELECT row_number() OVER () AS row_no, vec_id, embedding FROM embeddings
+), kept AS MATERIALIZED (
+  SELECT row_no, vec_id,
+    list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS codes
+  FROM rows
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: isfinite(x))) = {dims}
+), centroids0 AS (
+  SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id), codes) - 1)::INTEGER AS cluster, codes
+  FROM kept WHERE vec_id IS NOT NULL
+  QUALIFY cluster < {clusters}
+), {",".join(steps)}
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+  sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.codes, ',')) AS centroid_sha256
+FROM kept JOIN assigned{rounds} USING (row_no) JOIN centroids{rounds} c USING (cluster)
+"""
+
+
+OP11 = _clustering()
+
+# Every denominator of the limit for parted texts is tried at once, as `share`; the first that keeps shards
+# equal is taken. CRC32 has no function: it is folded over the bytes with a table made in `remainders`.
+OP12 = """
+WITH RECURSIVE remainders AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+      lambda v, s: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) AS v
+    FROM (SELECT unnest(range(256))::BIGINT AS i))
+), sized AS MATERIALIZED (
+  SELECT doc_id, (strlen(coalesce(text, '')) + 1)::BIGINT AS size,
+    CASE WHEN text IS NULL THEN '00' ELSE '01' END || md5(coalesce(text, '')) AS text_key,
+    coalesce(md5(doc_id::VARCHAR), '') AS id_key,
+    xor(list_reduce(list_prepend(4294967295::BIGINT,
+        list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: ('0x' || x)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32
+  FROM documents, remainders
+), whole AS (
+  SELECT sum(size)::BIGINT AS total, sum(size)::BIGINT // 1024 AS least FROM sized
+), listed AS (
+  SELECT text_key, sum(size)::BIGINT AS b, count(*) AS n FROM sized, whole
+  GROUP BY text_key, least HAVING b > least OR n > 1000000
+), units AS (
+  SELECT share, text_key, CASE WHEN together THEN b ELSE b // n END AS size,
+    unnest(range(CASE WHEN together THEN 1 WHEN b // n > least THEN n ELSE 0 END)) AS copy, together
+  FROM (SELECT *, b * 16 * share <= total OR share = 64 AND b <= least AS together
+        FROM listed, whole, (SELECT unnest([2, 4, 8, 16, 32, 64]) AS share))
+), ordered AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY share ORDER BY size DESC, text_key, copy) AS i FROM units
+), deal AS (
+  SELECT unnest([2, 4, 8, 16, 32, 64]) AS share, 0::BIGINT AS i, list_transform(range(16), lambda x: 0::BIGINT) AS loads,
+    NULL::VARCHAR AS text_key, NULL::BIGINT AS copy, NULL::BOOLEAN AS together, NULL::BIGINT AS shard
+  UNION ALL
+  SELECT d.share, o.i, list_transform(d.loads, lambda load, place:
+      CASE WHEN place = list_position(d.loads, list_min(d.loads)) THEN load + o.size ELSE load END),
+    o.text_key, o.copy, o.together, list_position(d.loads, list_min(d.loads)) - 1
+  FROM deal d JOIN ordered o ON o.share = d.share AND o.i = d.i + 1
+), ends AS (
+  SELECT share, arg_max(loads, i) AS loads FROM deal GROUP BY share
+), chosen AS MATERIALIZED (
+  SELECT share, loads FROM ends, whole
+  WHERE share = 64 OR list_max(loads) * 1024 <= total * 65
+  ORDER BY share LIMIT 1
+), places AS (
+  SELECT text_key, copy, together, shard FROM deal JOIN chosen USING (share) WHERE deal.i > 0
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY text_key ORDER BY id_key) - 1 AS copy FROM sized
+), keyed AS MATERIALIZED (
+  SELECT s.*, CASE WHEN l.text_key IS NOT NULL THEN s.text_key || s.id_key || lpad(copy::VARCHAR, 12, '0')
+    ELSE s.text_key END AS place
+  FROM numbered s LEFT JOIN listed l ON l.text_key = s.text_key
+), fixed AS (
+  SELECT k.*, p.shard AS fixed FROM keyed k
+  LEFT JOIN places p ON p.text_key = k.text_key AND (p.together OR p.copy = k.copy)
+), loads AS (
+  SELECT unnest(loads) AS load, unnest(range(16)) AS shard FROM chosen
+), rest AS (
+  SELECT total - (SELECT sum(load) FROM loads)::BIGINT AS rest FROM whole
+), levels AS (
+  SELECT k, rest + sum(load) OVER (ORDER BY k)::BIGINT AS level, load
+  FROM (SELECT load, row_number() OVER (ORDER BY load) AS k FROM loads), rest
+), level AS (
+  SELECT max(k) AS k, max_by(level, k) AS level FROM levels WHERE level > load * k OR k = 1
+), edges AS (
+  SELECT shard, 2 * sum(greatest(0, level - k * load)) OVER (ORDER BY shard)::BIGINT AS edge, k FROM loads, level
+), middles AS (
+  SELECT *, (2 * sum(fill) OVER (ORDER BY place) - sum(fill) OVER (PARTITION BY place))::BIGINT AS middle
+  FROM (SELECT *, CASE WHEN fixed IS NULL THEN size ELSE 0 END AS fill FROM fixed)
+), sharded AS (
+  SELECT *, coalesce(fixed, (SELECT count(*) FROM edges e WHERE e.shard < 15 AND m.middle * e.k >= e.edge)) AS shard
+  FROM middles m
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard::INTEGER AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY place, id_key, copy) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM sharded
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_warc": OP1,
     "op2_minhash": OP2,
     "op3_quality_rules": OP3,
     "op4_exact_top_k": OP4,
     "op7_mixing": OP7,
+    "op11_clustering": OP11,
+    "op12_sharding": OP12,
 }

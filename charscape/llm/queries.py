@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from charscape.llm import bpe, html, knn, minhash, mixing, quality, suffix, topk, toxicity, warc
+from charscape.llm import (
+    alignment, bpe, clustering, html, knn, minhash, mixing, quality, sharding, suffix, topk, toxicity, warc)
 from charscape.llm.common import in_training, table
 from charscape.llm.oracles import ORACLES
 
@@ -87,9 +88,24 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(
+        table(spark, sf_dir, "embeddings"), clustering.Settings(clusters=16, rounds=3, dims=64, scale=64)).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.located(table(spark, sf_dir, "documents"), sharding.Settings(shards=16))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(
+        table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_warc, op2_minhash, op3_quality_rules, op4_exact_top_k, op5_toxicity, op6_html, op7_mixing, op8_bpe,
-        op9_suffix_arrays, op10_quality_classifier,
+        op9_suffix_arrays, op10_quality_classifier, op11_clustering, op12_sharding, op13_alignment,
     )
 }
