@@ -7,6 +7,7 @@ division, so they need no guards and no tolerance.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -57,23 +58,87 @@ def ring_area(ring: Column) -> Column:
     return F.abs(twice) / 2
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+# Lines lie at this share of their spacing, which keeps them off round coordinates.
+_PHASE = (5**0.5 - 1) / 2
+_STEPS = [1 << k for k in reversed(range(31))]
+
+
+def _count_below(values: Column, limit: Column, steps: Column) -> Column:
+    """How many of sorted values lie below a limit: a binary search."""
+    return F.aggregate(
+        steps, F.lit(0),
+        lambda at, s: F.when(F.coalesce(F.get(values, at + s - 1) < limit, F.lit(False)), at + s).otherwise(at))
+
+
+def _line_of(ring: Column) -> Column:
+    """A height that crosses the ring. Rings of similar height share the lines of one spacing, so that a
+    polygon of many rings has few lines; NULL for a ring without height."""
+    ys = F.transform(ring, lambda p: p["y"])
+    low = F.array_min(ys)
+    height = F.array_max(ys) - low
+    spacing = F.pow(F.lit(2.0), F.floor(F.log2(height)) - 1)
+    return F.when(height > 0, (F.floor(low / spacing - _PHASE) + 1 + _PHASE) * spacing)
+
+
+def _crossings(ring: Column, number: Column, lines: Column, steps: Column) -> Column:
+    """Where a ring crosses the lines, from left to right on each, in the order that nesting asks for.
+
+    Of crossings at one place, a ring's ends come before other rings' starts, and larger rings start first.
+    ``area`` is given where the ring crosses its own line first.
+    """
+
+    def on_lines(e: Column) -> Column:
+        up = e["y1"] <= e["y2"]
+        x1, y1 = F.when(up, e["x1"]).otherwise(e["x2"]), F.least(e["y1"], e["y2"])
+        x2, y2 = F.when(up, e["x2"]).otherwise(e["x1"]), F.greatest(e["y1"], e["y2"])
+        first = _count_below(lines, y1, steps)
+        met = F.slice(lines, first + 1, _count_below(lines, y2, steps) - first)
+        return F.transform(met, lambda y: F.struct(
+            y.alias("y"), (x1 + (y - y1) * (x2 - x1) / (y2 - y1)).alias("x")))
+
+    def placed(found: Column) -> Column:
+        own = F.array_position(F.transform(found, lambda c: c["y"]), _line_of(ring)) - 1
+        area = ring_area(ring)
+        return let(F.struct(own.alias("own"), area.alias("area")), lambda r: F.transform(
+            found, lambda c, i: F.struct(
+                c["y"].alias("y"), c["x"].alias("x"), (1 - i % 2).alias("starts"), (-r["area"]).alias("minus"),
+                number.alias("ring"), F.when(i == r["own"], r["area"]).otherwise(0.0).alias("area"))))
+
+    return let(F.array_sort(F.flatten(F.transform(ring_edges(ring), on_lines))), placed)
+
+
 def polygon_area(rings: Column) -> Column:
     """Area by the even-odd rule, as for pixels: a ring inside an odd number of others is a hole,
-    any other ring is a part of its own.
+    any other ring is a part of its own, and of two equal rings nothing is left.
 
-    A ring lies where the middle of its first edge does; rings that touch share vertices only.
+    Rings may touch and share edges but not cross. Each is placed by a line across it: the rings that start
+    or end left of its own start tell its depth. One sort of the crossings of all lines does this
+    for all rings.
     """
 
-    def signed(ring: Column) -> Column:
-        first = F.get(ring_edges(ring), F.lit(0))
-        x, y = (first["x1"] + first["x2"]) / 2, (first["y1"] + first["y2"]) / 2
-        # Its own ring may count the point as inside or not, so it is left out.
-        others = F.filter(rings, lambda r: r != ring)
-        depth = F.size(F.filter(others, lambda r: contains_point(ring_edges(r), x, y)))
-        return F.when(depth % 2 == 1, -ring_area(ring)).otherwise(ring_area(ring))
+    def summed(crossings: Column) -> Column:
+        start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(0).alias("n"), F.lit(0.0).alias("area"))
+
+        def step(state: Column, c: Column) -> Column:
+            n = F.when(state["y"] == c["y"], state["n"]).otherwise(0)
+            return F.struct(
+                c["y"].alias("y"), (n + 1).alias("n"),
+                (state["area"] + F.when(n % 2 == 0, c["area"]).otherwise(-c["area"])).alias("area"))
+
+        return F.aggregate(crossings, start, step)["area"]
+
+    def of_lines(lines: Column) -> Column:
+        used = F.filter(F.array(*[F.lit(s) for s in _STEPS]), lambda s: s <= F.size(lines))
+        return let(used, lambda steps: summed(F.array_sort(F.flatten(
+            F.transform(rings, lambda r, i: _crossings(r, i, lines, steps))))))
 
-    parts = F.aggregate(F.transform(rings, signed), F.lit(0.0), lambda acc, a: acc + a)
-    return F.when(F.size(rings) > 1, parts).otherwise(ring_area(F.get(rings, F.lit(0))))
+    lines = F.array_sort(F.array_distinct(F.filter(F.transform(rings, _line_of), lambda y: y.isNotNull())))
+    return F.when(F.size(rings) > 1, let(lines, of_lines)).otherwise(ring_area(F.get(rings, F.lit(0))))
 
 
 def ring_bounds(ring: Column) -> dict[str, Column]:

@@ -26,30 +26,50 @@ def _x_at(e: Column, y: Column) -> Column:
     return e["x1"] + F.try_divide((y - e["y1"]) * (e["x2"] - e["x1"]), e["y2"] - e["y1"])
 
 
-def outline(e: Column, y: Column, left: Column, width: int) -> Column:
-    """Pixels between y and y + 1 that the edge runs through."""
+def scanline(e: Column, y: Column) -> dict[str, Column]:
+    """What an edge does in the pixel row ``y``, in columns of the whole grid.
+
+    ``from_col`` to ``to_col``: pixels that it comes near; ``past_col``: one past the last that it runs
+    through, or NULL if it does not enter the row; ``cross_col``: how many pixel centres lie left of where it
+    crosses their line, or NULL.
+    """
     low = F.greatest(F.least(e["y1"], e["y2"]), y)
     high = F.least(F.greatest(e["y1"], e["y2"]), y + 1)
     a, b = F.coalesce(_x_at(e, low), e["x1"]), F.coalesce(_x_at(e, high), e["x2"])
-    first = _clamp(F.floor(F.least(a, b)) - left, 0, width)
-    past = _clamp(F.ceil(F.greatest(a, b)) - left, 0, width)
     meets = (F.least(e["y1"], e["y2"]) < y + 1) & (F.greatest(e["y1"], e["y2"]) > y)
-    return F.when(meets & (past > first), _ones(past) - _ones(first)).otherwise(
-        F.lit(0).cast("long")
-    )
+    line = y + 0.5
+    crosses = (e["y1"] > line) != (e["y2"] > line)
+    return {
+        "from_col": F.floor(F.least(a, b)),
+        "to_col": F.floor(F.greatest(a, b)),
+        "past_col": F.when(meets, F.ceil(F.greatest(a, b))),
+        "cross_col": F.when(crosses, F.ceil(_x_at(e, line) - 0.5)),
+    }
 
 
-def left_of_crossing(e: Column, y: Column, left: Column, width: int) -> Column:
-    """Pixels whose centre lies left of where the edge crosses their centre line."""
-    line = y + 0.5
-    count = _clamp(F.ceil(_x_at(e, line) - 0.5) - left, 0, width)
-    return F.when((e["y1"] > line) != (e["y2"] > line), _ones(count)).otherwise(
-        F.lit(0).cast("long")
-    )
+def touched(from_col: Column, past_col: Column, left: Column, width: int) -> Column:
+    """Pixels of a cell row from one column to another."""
+    first, past = _clamp(from_col - left, 0, width), _clamp(past_col - left, 0, width)
+    return F.when(past > first, _ones(past) - _ones(first)).otherwise(F.lit(0).cast("long"))
+
+
+def left_of(cross_col: Column, left: Column, width: int) -> Column:
+    """Pixels of a cell row left of a crossing."""
+    return F.coalesce(_ones(_clamp(cross_col - left, 0, width)), F.lit(0).cast("long"))
+
+
+def bit(index: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), index.cast("int"))
+
+
+def is_set(mask: Column, index: Column) -> Column:
+    return F.call_function("shiftright", mask, index.cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def full(width: int) -> int:
+    return (1 << width) - 1
 
 
 def has_bit(masks: Column, row: Column, col: Column) -> Column:
     """Whether the pixel at this row and column of the cell is set; rows may be absent."""
-    mask = F.try_element_at(masks, row.cast("int"))
-    bit = F.call_function("shiftright", mask, col.cast("int")).bitwiseAND(F.lit(1))
-    return F.coalesce(bit == 1, F.lit(False))
+    return F.coalesce(is_set(F.try_element_at(masks, row.cast("int")), col), F.lit(False))

@@ -6,11 +6,12 @@ cells of the pixel grid first, and pixels meet them by an equi-join on the cell:
 * a cell no edge runs through lies wholly inside or outside: inside, its pixels need no test;
 * a cell with edges becomes one bit mask per pixel row, and a pixel looks up its bit.
 
-So the geometry is evaluated once per polygon and cell row, never per pixel, and the join's test
-is integer arithmetic inside code generation. The cut works edge by edge and band by band: a
-polygon covering a third of the map, or one with very many vertices, is spread over tasks. A
-pixel's cell depends on its row and column only, and a cell holds at most ``cell * cell`` pixels
-of one grid.
+So the geometry is evaluated once per edge and pixel row, never per pixel, and the join's test
+is integer arithmetic inside code generation. The cut is a scanline: an edge goes to the cells that it
+crosses, and cells between them follow from the parity of the crossings to their right. Its cost is the
+length of the outlines and the number of cells, so a polygon with very many vertices costs no more than
+its edges, and one covering a third of the map is spread over tasks. A pixel's cell depends on its row
+and column only, and a cell holds at most ``cell * cell`` pixels of one grid.
 
 Coordinates are in grid space: x counts columns and y counts rows.
 """
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from charscape.functions import geometry, masks
@@ -58,71 +59,80 @@ def polygon_cells(
     """
     if not 0 < cell <= masks.MAX_WIDTH:
         raise ValueError(f"cells are 1 to {masks.MAX_WIDTH} pixels wide")
-    size = F.lit(float(cell))
-
-    def span(low: Column, high: Column) -> Column:
-        return F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
-
-    bands = (
-        polygons.select(
-            *keys,
-            F.xxhash64("rings").alias("_shape"),
-            F.explode(geometry.polygon_edges(F.col("rings"))).alias("e"),
-        )
-        .withColumn("cell_r", span(F.least("e.y1", "e.y2"), F.greatest("e.y1", "e.y2")))
-        .groupBy(*keys, "_shape", "cell_r")
+    shape = [*keys, "_shape"]
+    band = [*shape, "cell_r"]
+    e, y = F.col("e"), F.col("y")
+    once = polygons.select(*keys, F.xxhash64("rings").alias("_shape"), "rings").dropDuplicates(shape)
+    rows = once.select(*shape, F.explode(geometry.polygon_edges(F.col("rings"))).alias("e")).select(
+        *shape, "e",
+        F.explode(F.sequence(F.floor(F.least("e.y1", "e.y2")), F.floor(F.greatest("e.y1", "e.y2")))).alias("y"),
+    )
+    near = stage(rows, masks.scanline(e, y))
+    cross, c_cell = F.col("cross_col"), F.floor(F.col("cross_col") / cell)
+    first = F.least(F.floor(F.col("from_col") / cell), F.coalesce(c_cell, F.floor(F.col("from_col") / cell)))
+    last = F.greatest(F.floor(F.col("to_col") / cell), F.coalesce(c_cell, F.floor(F.col("to_col") / cell)))
+    left = F.col("cell_c") * cell
+    own = F.coalesce(c_cell == F.col("cell_c"), F.lit(False))
+    entries = near.withColumn("cell_r", F.floor(y / cell)).withColumn(
+        "cell_c", F.explode(F.sequence(first, last))
+    ).select(
+        *band, "cell_c", (y - F.col("cell_r") * cell).alias("i"),
+        F.when(own, masks.left_of(cross, left, cell)).otherwise(0).alias("filled"),
+        F.when(own, 1).otherwise(0).cast("long").alias("odd"),
+        (masks.touched(F.col("from_col"), F.col("past_col"), left, cell) if all_touched
+         else F.lit(0).cast("long")).alias("touched"),
+    )
+    # One exchange: everything below stays within a polygon's band of cells.
+    crossed = (
+        entries.repartition(*band)
+        .groupBy(*band, "cell_c", "i")
+        .agg(F.bit_xor("filled").alias("filled"), F.bit_xor("odd").alias("odd"),
+             F.bit_or("touched").alias("touched"))
+        .groupBy(*band, "cell_c")
         .agg(
-            F.collect_set("e").alias("_edges"),
-            F.min(F.least("e.x1", "e.x2")).alias("_minx"),
-            F.max(F.greatest("e.x1", "e.x2")).alias("_maxx"),
+            F.collect_list(F.struct("i", "filled", "touched")).alias("_rows"),
+            F.bit_or(masks.bit(F.col("i"))).alias("_known"),
+            F.bit_xor(F.when(F.col("odd") == 1, masks.bit(F.col("i"))).otherwise(0)).alias("_odd"),
         )
     )
-    cells = bands.withColumn("cell_c", span(F.col("_minx"), F.col("_maxx")))
-    left, top = F.col("cell_c") * size, F.col("cell_r") * size
-    crossed = geometry.edges_meet_box(F.col("_edges"), left, top, left + size, top + size)
-    inside = geometry.contains_point(F.col("_edges"), left + size / 2, top + size / 2)
-    # Edges wholly left of the cell never cross a ray that runs to the right from inside it.
-    relevant = F.filter("_edges", lambda e: F.greatest(e["x1"], e["x2"]) >= left)
-    reached = stage(cells, {"_crossed": crossed}).where(F.col("_crossed") | inside)
-    near = stage(reached, {"_near": F.when(F.col("_crossed"), relevant)})
-    return _with_masks(near, [*keys, "_shape", *CELL_KEY], cell, all_touched).drop("_shape")
-
-
-def _with_masks(
-    cells: DataFrame, keys: Sequence[str], cell: int, all_touched: bool
-) -> DataFrame:
-    """Masks by row of the cells that have edges.
-
-    Every edge contributes to the rows it meets. A centre is inside when an odd number of edges
-    crosses to its right, so the parts left of all crossings are combined by exclusive or; with
-    ``all_touched`` the pixels on the edges are added. The groups lie within the bands that the
-    edges were gathered by, so nothing is shuffled again.
-    """
-    left, top = F.col("cell_c") * cell, F.col("cell_r") * cell
-    e, y = F.col("e"), (F.col("cell_r") * cell + F.col("i")).cast("double")
-    first = F.greatest(F.floor(F.least("e.y1", "e.y2")) - top, F.lit(0))
-    last = F.least(F.floor(F.greatest("e.y1", "e.y2")) - top, F.lit(cell - 1))
-    met = F.when(F.col("e").isNotNull(), F.sequence(first, last))
-    filled = F.bit_xor(masks.left_of_crossing(e, y, left, cell))
-    touched = F.bit_or(masks.outline(e, y, left, cell))
-    rows = (
-        cells.select(*keys, F.explode_outer("_near").alias("e"))
-        .withColumn("i", F.explode_outer(met))
-        .groupBy(*keys, "i")
-        .agg((filled.bitwiseOR(touched) if all_touched else filled).alias("mask"))
-    )
-    entry = F.when(
-        F.col("i").isNotNull() & (F.col("mask") != 0),
-        F.struct(F.col("i").cast("int").alias("i"), "mask"),
+    right_first = Window.partitionBy(*band).orderBy(F.desc("cell_c"))
+    carried = crossed.withColumns({
+        # Rows with an odd number of crossings right of this cell, and of the gap that follows it.
+        "_carry": F.coalesce(F.bit_xor("_odd").over(
+            right_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_next": F.lag("cell_c").over(right_first),
+    })
+    return _cells(carried, [*keys, "cell_r"], cell)
+
+
+def _cells(carried: DataFrame, keys: Sequence[str], cell: int) -> DataFrame:
+    """Crossed cells with their masks, and the cells of the gaps to their right that lie inside."""
+    whole = F.lit(masks.full(cell)).cast("long")
+    zero = F.lit(0).cast("long")
+    own, carry = F.col("_c") == F.col("cell_c"), F.col("_carry")
+    last = F.when(carry != 0, F.col("_next") - 1).otherwise(F.col("cell_c"))
+    spread = carried.withColumn(
+        "_c", F.explode(F.sequence("cell_c", F.greatest(F.coalesce(last, F.col("cell_c")), F.col("cell_c"))))
     )
-    return (
-        rows.groupBy(*keys)
-        .agg(F.collect_list(entry).alias("_entries"), F.max("i").alias("_edged"))
-        .select(
-            *keys,
-            F.when(F.col("_edged").isNotNull(), F.map_from_entries("_entries")).alias("masks"),
-        )
+
+    def row_mask(r: Column) -> Column:
+        kept = F.when(masks.is_set(carry, r["i"]), whole).otherwise(zero)
+        return F.struct(r["i"].cast("int").alias("i"),
+                        r["filled"].bitwiseXOR(kept).bitwiseOR(r["touched"]).alias("mask"))
+
+    # Rows without an edge of a cell: all inside or all outside.
+    plain = F.when(own, carry.bitwiseAND(F.bitwise_not("_known"))).otherwise(carry)
+    even = F.transform(
+        F.filter(F.sequence(F.lit(0), F.lit(cell - 1)), lambda i: masks.is_set(plain, i)),
+        lambda i: F.struct(i.alias("i"), whole.alias("mask")))
+    edged = F.filter(F.transform("_rows", row_mask), lambda r: r["mask"] != 0)
+    entries = F.concat(F.when(own, edged).otherwise(F.array().cast("array<struct<i:int,mask:bigint>>")), even)
+    inside = ~own & (carry == whole)
+    out = spread.select(
+        *keys, F.col("_c").alias("cell_c"),
+        F.when(~inside, F.map_from_entries(entries)).alias("masks"),
     )
+    return out.where(F.col("masks").isNull() | (F.cardinality("masks") > 0))
 
 
 def cells_fit_broadcast(
@@ -226,18 +236,34 @@ def rasterize_zones(
 ) -> DataFrame:
     """Burn a value per zone into every pixel of a spine by the centre rule.
 
-    Where zones overlap the last in ``order`` wins; pixels of no zone get ``fill``.
+    Where zones overlap the last in ``order`` wins; pixels of no zone get ``fill``. The winners are found on
+    the masks, and the spine is read once.
     """
     keys = list(dict.fromkeys([*by, order, value]))
-    burnt = (
-        zone_pixel_join(
-            spine, zones, keys, all_touched=False, cell=cell, by=by,
-            broadcast_bytes=broadcast_bytes,
-        )
-        .groupBy(*by, *CELL_KEY, "row", "col")
-        .agg(F.max_by(value, order).alias(value))
-        .select(*by, "row", "col", value)
+    place = [*by, *CELL_KEY]
+    cells = polygon_cells(zones, keys, cell, all_touched=False)
+    whole = F.transform(
+        F.sequence(F.lit(0), F.lit(cell - 1)),
+        lambda i: F.struct(i.alias("i"), F.lit(masks.full(cell)).cast("long").alias("mask")))
+    rows = cells.repartition(*place).select(
+        *keys, *CELL_KEY, F.explode(F.coalesce("masks", F.map_from_entries(whole))).alias("i", "mask"))
+    above = F.bit_or("mask").over(
+        Window.partitionBy(*place, "i").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1))
+    # Bits of later zones clear those of earlier ones, so a row of a cell has a winner for each pixel at most.
+    won = rows.withColumn("_above", above).withColumn(
+        "mask", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("_above", F.lit(0)))))
+    overlay = (
+        won.where(F.col("mask") != 0)
+        .groupBy(*place, "i").agg(F.collect_list(F.struct("mask", F.col(value).alias("value"))).alias("zones"))
+        .groupBy(*place).agg(F.map_from_entries(F.collect_list(F.struct("i", "zones"))).alias("_winners"))
     )
-    return spine.join(burnt, [*by, "row", "col"], "left").withColumn(
-        value, F.coalesce(value, F.lit(fill))
+    if cells_fit_broadcast(zones, cell, broadcast_bytes):
+        overlay = F.broadcast(overlay)
+    candidates = F.try_element_at("_winners", F.pmod("row", F.lit(cell)).cast("int"))
+    winner = F.get(
+        F.filter(candidates, lambda z: masks.is_set(z["mask"], F.pmod("col", F.lit(cell)))), F.lit(0))
+    return (
+        with_cells(spine, cell).join(overlay, place, "left")
+        .withColumn(value, F.coalesce(winner["value"], F.lit(fill)))
+        .drop(*CELL_KEY, "_winners")
     )
