@@ -892,5 +892,7 @@ SELECT o_orderkey AS ingest_seq, o_orderkey % 8 NOT IN (1, 2, 3, 4, 5, 6) AS is_
     WHEN 5 THEN 'link without rel or href' WHEN 6 THEN 'datetime missing' END AS reason
 FROM orders""",
     "feature_collection_response": _with(ITEMS) + _feature_lines(),
-    "items_append_stream": _with(ITEMS) + "SELECT DISTINCT id, boundary_type, datetime FROM items",
+    "items_append_stream": _with(ITEMS)
+    + "SELECT id, boundary_type, datetime, ingest_seq FROM items UNION ALL "
+    "SELECT id, boundary_type, datetime, ingest_seq + 1000000000 FROM items WHERE ingest_seq % 10 = 0",
 }

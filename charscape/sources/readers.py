@@ -13,6 +13,10 @@ from charscape.operators.composite import INDICES
 from charscape.operators.grids import project_zones
 from charscape.schemas import GRID, ITEMS, MONTH, OBSERVATIONS
 
+# Published catalogues: a folder per version, and the log of the versions that are complete.
+PUBLISHED_LOG = "log"
+PUBLISHED = "number long, version string"
+
 STORED = StructType([*OBSERVATIONS.fields, StructField(MONTH, StringType())])
 
 
@@ -75,11 +79,31 @@ def read_geojson_zones(
     return with_ring_bounds(zones)
 
 
-def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """The catalogue; empty when nothing has been written yet."""
+def read_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """A table; empty when nothing has been written yet."""
     try:
-        return spark.read.schema(ITEMS).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
+        return spark.createDataFrame([], schema)
+
+
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    """The catalogue; empty when nothing has been written yet."""
+    return read_or_empty(spark, path, ITEMS)
+
+
+def published_version(spark: SparkSession, target: str) -> tuple[int, str | None]:
+    """Number and folder of the version that was published last; (0, None) before the first."""
+    log = read_or_empty(spark, f"{target}/{PUBLISHED_LOG}", PUBLISHED)
+    last = log.orderBy(F.desc("number"), F.desc("version")).first()
+    return (last["number"], last["version"]) if last else (0, None)
+
+
+def read_published_items(spark: SparkSession, target: str) -> DataFrame:
+    """The published catalogue: the version that the log names last."""
+    _, version = published_version(spark, target)
+    if version is None:
         return spark.createDataFrame([], ITEMS)
+    return spark.read.schema(ITEMS).parquet(f"{target}/{version}")

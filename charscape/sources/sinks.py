@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 from charscape.functions.spectral import stored_value
 from charscape.operators.catalog import JOB, validate_items
 from charscape.schemas import ITEMS, MONTH
+from charscape.sources import readers
+
+# Tiles that are written together.
+TILE_BLOCK = 256
 
 
 def write_observations(observations: DataFrame, path: str) -> None:
@@ -33,18 +38,20 @@ def write_index_grid(
     fill_nodata: bool = False,
     jobs: DataFrame | None = None,
 ) -> None:
-    """Single-precision grid, one folder per job, blocks in tile order within files.
+    """Single-precision grid, one folder per job, sorted by tile within files.
 
     A job that is written again replaces its own folder only. With ``jobs``, each of them gets a row
     without a tile as well: a job without pixels then replaces what an earlier run has left.
+
+    Rows are gathered by blocks of tiles, and partitions are merged or split by the sizes that the
+    shuffle reports. Nothing is sampled, so what lies behind is evaluated once.
     """
     if jobs is not None:
         indices = indices.unionByName(jobs.select(*by).distinct(), allowMissingColumns=True)
     stored = indices.withColumns({n: stored_value(F.col(n), fill_nodata) for n in names})
-    order = [*by, "tile_id", "row", "col"]
     (
-        stored.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        stored.hint("rebalance", *[F.col(c) for c in by], F.expr(f"tile_id div {TILE_BLOCK}"))
+        .sortWithinPartitions(*by, "tile_id", "row", "col")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*by)
@@ -80,29 +87,35 @@ def append_items(items: DataFrame, path: str, rejects_path: str | None = None) -
     else:
         good = checked.where("is_valid")
         checked.where(~F.col("is_valid")).write.mode("append").parquet(rejects_path)
+    write_items(good, path)
+
+
+def write_items(items: DataFrame, path: str, mode: str = "append") -> None:
     (
-        good.select(*ITEMS.names)
+        items.select(*ITEMS.names)
         .hint("rebalance", F.col("fire_event_name"))
-        .write.mode("append")
+        .write.mode(mode)
         .partitionBy("fire_event_name")
         .parquet(path)
     )
 
 
-def publish_items(spark: SparkSession, source: str, target: str) -> None:
+def publish_items(spark: SparkSession, source: str, target: str) -> str:
     """Copy the catalogue to its published place, with appended small files put together.
 
-    A missing or empty source raises.
+    A version is written to a folder of its own and named in the log when it is complete; readers follow
+    the log, so they see the old version until then, also if publishing fails. Returns the version. A
+    missing or empty source raises.
     """
     items = spark.read.schema(ITEMS).parquet(source)
     if items.isEmpty():
         raise ValueError(f"no catalogue items in {source}")
-    (
-        items.hint("rebalance", F.col("fire_event_name"))
-        .write.mode("overwrite")
-        .partitionBy("fire_event_name")
-        .parquet(target)
-    )
+    number, _ = readers.published_version(spark, target)
+    version = f"version-{number + 1}-{uuid.uuid4().hex}"
+    write_items(items, f"{target}/{version}", mode="errorifexists")
+    entry = spark.createDataFrame([(number + 1, version)], readers.PUBLISHED)
+    entry.coalesce(1).write.mode("append").parquet(f"{target}/{readers.PUBLISHED_LOG}")
+    return version
 
 
 def write_geojson(documents: DataFrame, path: str) -> None:

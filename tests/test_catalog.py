@@ -13,7 +13,7 @@ from charscape.operators import catalog, categories, sizing
 from charscape.schemas import ITEMS
 from charscape.sources import readers, sinks
 from charscape.sources.workspace import new_path
-from charscape.streaming.items import append_items_once, not_stored
+from charscape.streaming.items import append_batch, append_items_once, not_stored
 
 BOX = '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}'
 
@@ -154,6 +154,26 @@ def test_publishing_needs_items(spark):
         sinks.publish_items(spark, new_path(spark, "nothing"), new_path(spark, "target"))
 
 
+def test_a_failed_publication_leaves_the_old_catalogue(spark):
+    source, target = new_path(spark, "items"), new_path(spark, "published")
+    assert readers.read_published_items(spark, target).count() == 0
+    sinks.append_items(items(spark, [item("a", 1)]), source)
+    first = sinks.publish_items(spark, source, target)
+    sinks.append_items(items(spark, [item("b", 2)]), source)
+    # Files of a version that was never finished, and a file in the source that cannot be read.
+    items(spark, [item("half", 3)]).write.partitionBy("fire_event_name").parquet(f"{target}/version-2-half")
+    spark.createDataFrame([("no parquet",)], "value string").write.mode("append").text(
+        f"{source}/fire_event_name=zz")
+    with pytest.raises(Exception):
+        sinks.publish_items(spark, source, target)
+    assert readers.published_version(spark, target) == (1, first)
+    assert [r["id"] for r in readers.read_published_items(spark, target).collect()] == ["a"]
+    whole = new_path(spark, "items")
+    sinks.append_items(items(spark, [item("a", 1), item("c", 4)]), whole)
+    sinks.publish_items(spark, whole, target)
+    assert sorted(r["id"] for r in readers.read_published_items(spark, target).collect()) == ["a", "c"]
+
+
 def test_stream_appends_new_files_once(spark):
     source, target, state, rejects = (new_path(spark, n) for n in ("in", "out", "state", "bad"))
 
@@ -161,21 +181,42 @@ def test_stream_appends_new_files_once(spark):
         items(spark, list(rows)).write.mode("append").parquet(source)
         append_items_once(spark, source, target, state, rejects)
         got = readers.read_items(spark, target)
-        assert sorted((r["id"], r["datetime"].day) for r in got.collect()) == expect
+        assert sorted((r["id"], r["datetime"].day, r["ingest_seq"]) for r in got.collect()) == expect
 
-    arrive(item("a", 1, day=20), item("a", 2, day=20), item("b", 3, day=20),
-           expect=[("a", 20), ("b", 20)])
+    arrive(item("a", 1, day=20), item("a", 1, day=20), item("b", 3, day=20),
+           expect=[("a", 20, 1), ("b", 20, 3)])
     append_items_once(spark, source, target, state, rejects)
-    # Older items arrive later, as refinements do.
-    arrive(item("a", 4, day=20), item("c", 5, day=2), {**item("", 9), "id": None},
-           expect=[("a", 20), ("b", 20), ("c", 2)])
+    # Older items arrive later, as refinements do; a retry of the same time is an attempt of its own.
+    arrive(item("a", 4, day=20), item("a", 1, day=20), item("c", 5, day=2), {**item("", 9), "id": None},
+           expect=[("a", 20, 1), ("a", 20, 4), ("b", 20, 3), ("c", 2, 5)])
+    newest = catalog.latest_items(readers.read_items(spark, target)).where("id = 'a'")
+    assert [r["ingest_seq"] for r in newest.collect()] == [4]
     assert [r["reason"] for r in spark.read.parquet(rejects).collect()] == ["id missing"]
 
 
+def test_replayed_batches_add_nothing(spark):
+    target, rejects, ledger = (new_path(spark, n) for n in ("out", "bad", "batches"))
+    batch = items(spark, [item("a", 1), {**item("", 9), "id": None}, {**item("", 8), "id": None}])
+
+    def counts():
+        return readers.read_items(spark, target).count(), spark.read.parquet(rejects).count()
+
+    append_batch(batch, 0, "s", target, rejects, ledger)
+    assert counts() == (1, 2)
+    # The ledger was lost after both tables had been written.
+    append_batch(batch, 0, "s", target, rejects, new_path(spark, "batches"))
+    assert counts() == (1, 2)
+    # A finished batch is not looked at again; a batch of another stream is.
+    append_batch(items(spark, [item("b", 2)]), 0, "s", target, rejects, ledger)
+    assert counts() == (1, 2)
+    append_batch(items(spark, [item("b", 2)]), 0, "other", target, rejects, ledger)
+    assert counts() == (2, 2)
+
+
 def test_stream_and_batches_share_a_catalogue(spark):
     source, target, state, rejects = (new_path(spark, n) for n in ("in", "out", "state", "bad"))
     sinks.append_items(items(spark, [item("a", 1), item("b", 2)]), target)
-    items(spark, [item("c", 3), item("a", 9)]).write.parquet(source)
+    items(spark, [item("c", 3), item("a", 1)]).write.parquet(source)
     append_items_once(spark, source, target, state, rejects)
     sinks.append_items(items(spark, [item("d", 4)]), target)
     got = readers.read_items(spark, target)
