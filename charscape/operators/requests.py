@@ -9,15 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from charscape.constants import NIR_BAND, SWIR_BAND
-from charscape.functions import geometry
+from charscape.functions import areas, geometry
+from charscape.functions.areas import AREA_CELL
 from charscape.functions.geojson import parse_polygons
 from charscape.functions.timeparse import ColumnWindow, hull
-from charscape.operators.catalog import BBOX
+from charscape.operators.catalog import BBOX, JOB
 from charscape.operators.sizing import BROADCAST_ROWS
-from charscape.schemas import MONTH
-
-# Side of the cells that bring observations and areas together, in map units.
-AREA_CELL = 0.1
+from charscape.schemas import AREA, MONTH
 
 
 def pre_window() -> ColumnWindow:
@@ -70,11 +68,10 @@ def area_cells(requests: DataFrame, cell: float = AREA_CELL) -> DataFrame:
         *[column.alias(f"box_{name}") for name, column in grown.items()],
     )
 
-    def span(axis: str):
-        low, high = F.col(f"box_min{axis}"), F.col(f"box_max{axis}")
-        return F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell)))
-
-    return boxes.withColumn("area_x", span("x")).withColumn("area_y", span("y"))
+    cells = boxes.withColumn(
+        "area_x", areas.span(F.col("box_minx"), F.col("box_maxx"), cell)
+    ).withColumn("area_y", areas.span(F.col("box_miny"), F.col("box_maxy"), cell))
+    return cells.withColumn(AREA, areas.curve(F.col("area_x"), F.col("area_y")))
 
 
 @dataclass(frozen=True)
@@ -131,34 +128,47 @@ def job_observations(
 ) -> DataFrame:
     """The observations of each ready job: its bands, its buffered box, its windows.
 
-    With ``scenes``, such as the result of a scene search, only observations of these.
+    With ``scenes``, such as the result of a scene search, only observations of these; if scenes
+    carry event and job, each job reads its own.
 
     Jobs are cut into map cells and meet the observations by an equi-join, so overlapping areas
     cost what they read. The job side is broadcast when its number of cells has been found small;
-    otherwise both sides are shuffled and crowded cells are split at run time.
+    otherwise both sides are shuffled and crowded cells are split at run time. In a table stored by area
+    the join includes the area, so that the areas of the jobs at hand prune the scan when it runs:
+    distant fires do not read what lies between them.
     """
     ready = requests.where(F.col("status") == "ready")
-    cells, found = area_cells(ready, cell), reach(ready, cell)
+    # The comparison always holds; it tells the planner that the jobs are worth pruning by.
+    cells = area_cells(ready, cell).where(F.col("box_minx") <= F.col("box_maxx"))
+    found = reach(ready, cell)
     if found.cells <= limit:
         cells = F.broadcast(cells)
     near = within_reach(observations, found)
+    own_scenes = scenes is not None and set(JOB) <= set(scenes.columns)
     if scenes is not None:
         near = near.join(scenes.select("scene_id").distinct(), "scene_id", "left_semi")
     keyed = near.where(F.col("band").isin(SWIR_BAND, NIR_BAND)).withColumns(
-        {"area_x": F.floor(F.col("x") / cell), "area_y": F.floor(F.col("y") / cell)}
+        {"area_x": areas.cell_of(F.col("x"), cell), "area_y": areas.cell_of(F.col("y"), cell)}
     )
+    places = ["area_x", "area_y"]
+    if AREA in keyed.columns and cell == AREA_CELL:
+        places = [AREA, *places]
+    else:
+        keyed, cells = keyed.drop(AREA), cells.drop(AREA)
     ts = F.col("ts")
     pre, post = pre_window(), post_window()
     read = hull(pre, post).contains(ts) & (pre.contains(ts) | post.contains(ts))
-    return (
-        keyed.join(cells, ["area_x", "area_y"])
+    met = (
+        keyed.join(cells, places)
         .where(
             F.col("x").between(F.col("box_minx"), F.col("box_maxx"))
             & F.col("y").between(F.col("box_miny"), F.col("box_maxy"))
             & read
         )
-        .select(
-            *["job_id", "fire_event_name", "pre_start", "pre_end", "post_start", "post_end"],
-            *["tile_id", "row", "col", "band", "ts", "value"],
-        )
+    )
+    if own_scenes:
+        met = met.join(scenes.select(*JOB, "scene_id"), [*JOB, "scene_id"], "left_semi")
+    return met.select(
+        *["job_id", "fire_event_name", "pre_start", "pre_end", "post_start", "post_end"],
+        *["tile_id", "row", "col", "band", "ts", "value"],
     )

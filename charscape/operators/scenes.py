@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from charscape.constants import SCENE_COLLECTION
+from charscape.functions import areas as map_areas
 from charscape.functions import geometry
 from charscape.functions.timeparse import ntz
-from charscape.operators.catalog import BBOX
+from charscape.operators.catalog import BBOX, JOB
+from charscape.operators.sizing import BROADCAST_ROWS
+
+# Side of the cells in which footprints and areas meet, about the size of a footprint.
+FOOTPRINT_CELL = 1.0
 
 
 def bbox_of(points: list[tuple[float, float]]) -> tuple[float, float, float, float]:
@@ -48,3 +55,77 @@ def search_scenes(
         & (F.col("ts") <= ntz(end))
     )
     return intersecting(in_time, aoi, rings)
+
+
+def _in_cells(df: DataFrame, prefix: str, cell: float) -> DataFrame:
+    """One row for each map cell that the bounding box reaches."""
+    for axis in "xy":
+        low, high = F.col(f"{prefix}min{axis}"), F.col(f"{prefix}max{axis}")
+        df = df.withColumn(f"cover_{axis}", map_areas.span(low, high, cell))
+    return df
+
+
+def cover_size(areas: DataFrame, cell: float) -> float:
+    """How many cells the bounding boxes of a table reach."""
+    wide, high = (
+        map_areas.cell_of(F.col(f"max{a}"), cell) - map_areas.cell_of(F.col(f"min{a}"), cell) + 1
+        for a in "xy"
+    )
+    return areas.agg(F.sum((wide * high).cast("double")).alias("n")).first()["n"] or 0.0
+
+
+def meeting_pairs(
+    footprints: DataFrame,
+    areas: DataFrame,
+    keys: Sequence[str],
+    rings: str | None = None,
+    cell: float = FOOTPRINT_CELL,
+    limit: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Pairs of a footprint and an area that meet: the footprint's columns and the area's keys, each once.
+
+    Areas need ``rings`` and bounds; footprints bounds and, unless these are the footprint, the
+    column ``rings``. Both are cut into map cells and meet by an equi-join; a pair is taken in the cell that
+    holds the lower left corner of what their boxes share, and only these are tested edge by edge. The areas are
+    broadcast when the number of their cells has been found small.
+    """
+    wanted = areas.select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys],
+        geometry.polygon_edges(F.col("rings")).alias("_edges"),
+        *[F.col(c).alias(f"_area_{c}") for c in BBOX],
+    )
+    cut = _in_cells(wanted, "_area_", cell)
+    if cover_size(areas, cell) <= limit:
+        cut = F.broadcast(cut)
+    met = _in_cells(footprints, "", cell).join(cut, ["cover_x", "cover_y"])
+    box, area = {c: F.col(c) for c in BBOX}, {c: F.col(f"_area_{c}") for c in BBOX}
+    first = geometry.all_of([
+        map_areas.cell_of(F.greatest(box[f"min{a}"], area[f"min{a}"]), cell) == F.col(f"cover_{a}")
+        for a in "xy"
+    ])
+    exact = (
+        geometry.polygons_intersect(geometry.polygon_edges(F.col(rings)), F.col("_edges"))
+        if rings
+        else geometry.polygon_meets_box(F.col("_edges"), box)
+    )
+    return met.where(first & geometry.bounds_overlap(box, area)).where(exact).select(
+        *[F.col(f"_key_{k}").alias(k) for k in keys],
+        *[F.col(c) for c in footprints.columns if c not in keys],
+    )
+
+
+def search_scenes_of_jobs(
+    scenes: DataFrame,
+    jobs: DataFrame,
+    keys: Sequence[str] = JOB,
+    collection: str = SCENE_COLLECTION,
+    rings: str | None = None,
+    cell: float = FOOTPRINT_CELL,
+    limit: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Each job's scenes: of the collection, in the job's time from ``first`` to ``last``, on its area."""
+    times = ["first", "last"]
+    found = meeting_pairs(
+        scenes.where(F.col("collection") == collection), jobs, [*keys, *times], rings, cell, limit
+    )
+    return found.where(F.col("ts").between(F.col("first"), F.col("last"))).drop(*times)

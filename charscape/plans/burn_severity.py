@@ -9,6 +9,7 @@ from charscape.functions import geojson, naming
 from charscape.functions.timeparse import ntz
 from charscape.operators import catalog, composite, grids
 from charscape.operators.requests import check_requests, job_observations, post_window, pre_window
+from charscape.operators.scenes import search_scenes_of_jobs
 from charscape.plans.store import Store
 from charscape.sources import readers, sinks
 from charscape.sources.workspace import new_path
@@ -21,7 +22,16 @@ COARSE_FILE = "coarse_boundary"
 def job_indices(
     observations: DataFrame, checked: DataFrame, scenes: DataFrame | None = None
 ) -> DataFrame:
-    """The five indices of every job's pixels, in one pass over the observations."""
+    """The five indices of every job's pixels, in one pass over the observations.
+
+    Scenes with bounds are searched for each job: its own area, from its first to its last window.
+    """
+    if scenes is not None and set(catalog.BBOX) <= set(scenes.columns):
+        wanted = checked.where(F.col("status") == "ready").select(
+            *JOB, "rings", *catalog.BBOX,
+            F.col("pre_start").alias("first"), F.col("post_end").alias("last"),
+        )
+        scenes = search_scenes_of_jobs(scenes, wanted).select(*JOB, "scene_id")
     return composite.burn_indices(
         job_observations(observations, checked, scenes=scenes), pre_window(), post_window(), by=JOB_PIXEL
     )
@@ -65,8 +75,9 @@ def analyze(
     """Run all requests and publish what is valid; returns one status row per request.
 
     ``now`` stamps the items; ``ingest_seq`` tells attempts apart and grows from one to the next.
-    ``scenes`` limits the observations to those of a scene search. Grids are written once and everything after reads them back, so a
-    lost executor costs no second pass over the observations.
+    ``scenes`` limits the observations: a scene table, in which every job's own are searched, or the
+    result of a search. Grids are written once and everything after reads them back, so a lost
+    executor costs no second pass over the observations.
     """
     checked = check_requests(requests)
     ready = checked.where(F.col("status") == "ready").select(*JOB)

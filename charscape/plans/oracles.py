@@ -449,6 +449,30 @@ def _points() -> str:
     )
 
 
+def _areas() -> str:
+    """Triangles of the suppliers, with their corners."""
+    return """
+areas AS (
+  SELECT *, x0 + 0.8 AS x1, y0 + 0.3 AS y1, x0 + 0.2 AS x2, y0 + 0.9 AS y2,
+    first + INTERVAL 9 DAY AS last
+  FROM (SELECT s_suppkey::VARCHAR AS job_id, -120.0::DOUBLE + s_suppkey % 37 * 0.21::DOUBLE AS x0,
+          32.0::DOUBLE + s_suppkey * 7 % 41 * 0.17::DOUBLE AS y0,
+          TIMESTAMP '2024-01-01' + to_days((s_suppkey % 20)::INTEGER) AS first FROM supplier))"""
+
+
+def _meets(box: str, area: str) -> str:
+    """A box and a triangle meet unless an axis or a side of the triangle lies between them."""
+    corners = [f"{area}.x{i}, {area}.y{i}" for i in range(3)]
+    tests = [f"{box}.minx <= {area}.x1 AND {box}.maxx >= {area}.x0",
+             f"{box}.miny <= {area}.y2 AND {box}.maxy >= {area}.y0"]
+    for i in range(3):
+        (ax, ay), (bx, by) = corners[i].split(", "), corners[(i + 1) % 3].split(", ")
+        sides = [f"(({bx} - {ax}) * ({box}.{y} - {ay}) - ({by} - {ay}) * ({box}.{x} - {ax}))"
+                 for x in ("minx", "maxx") for y in ("miny", "maxy")]
+        tests.append(f"greatest({', '.join(sides)}) >= 0")
+    return "(" + " AND ".join(tests) + ")"
+
+
 def _regrid() -> str:
     """From the target: every pixel of a box around the projected source looks up its source."""
     staged, x, y = _tm_forward("lon", "lat")
@@ -560,6 +584,21 @@ ORACLES: dict[str, str] = {
     + "SELECT s.scene_id, ts, s.minx, s.miny, s.maxx, s.maxy FROM scenes s JOIN met USING (scene_id) "
     "WHERE collection = 'sentinel-2-l2a' "
     "AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25'",
+    "scene_search_jobs": _with(SCENES, _areas())
+    + "SELECT job_id, scene_id, ts FROM scenes s JOIN areas a ON " + _meets("s", "a")
+    + " WHERE collection = 'sentinel-2-l2a' AND ts BETWEEN first AND last",
+    "aoi_intersects_jobs": _with(ITEMS, _areas())
+    + "SELECT a.job_id AS area_id, ingest_seq FROM items s JOIN areas a ON " + _meets("s", "a"),
+    "observation_scan_jobs": _with(OBS, """
+corner AS (SELECT max(p_partkey // 50) * 0.02 AS top FROM part),
+jobs AS (
+  SELECT 'south-west' AS job_id, -116.487 AS minx, 33.813 AS miny FROM corner UNION ALL
+  SELECT 'north-east', -115.647, 33.8 + top - 0.067 FROM corner)""")
+    + """SELECT job_id, tile_id, "row", col, band, ts, value FROM obs, jobs
+WHERE -116.5 + col * 0.02 BETWEEN minx - 0.02 AND minx + 0.12
+  AND 33.8 + "row" * 0.02 BETWEEN miny - 0.016 AND miny + 0.096
+  AND (ts BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1997-12-31'
+    OR ts BETWEEN TIMESTAMP '1998-07-01' AND TIMESTAMP '2001-12-31')""",
     "observation_scan": _with(OBS)
     + 'SELECT scene_id, ts, band, "row", col, value FROM obs WHERE x BETWEEN -116.4985 AND '
     "-116.4935 AND y BETWEEN 33.7999 AND 33.8071",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from charscape import constants as C
 from charscape.functions import geojson, geometry, naming, spectral, timeparse
 from charscape.operators import catalog, categories, composite, grids, scenes, spatial, zonal
+from charscape.operators.requests import check_requests, job_observations
 from charscape.sources import readers, sinks, tables
 from charscape.sources.workspace import new_path
 from charscape.streaming.items import append_items_once
@@ -166,6 +167,23 @@ def _(spark, sf):
     return found.select("scene_id", "ts", "minx", "miny", "maxx", "maxy")
 
 
+@query("scene_search_jobs")
+def _(spark, sf):
+    """Every job's own scenes, by area and time."""
+    return scenes.search_scenes_of_jobs(
+        tables.scenes(spark, sf), tables.search_areas(spark, sf)
+    ).select("job_id", "scene_id", "ts")
+
+
+@query("aoi_intersects_jobs")
+def _(spark, sf):
+    """Catalogue items on the area of each job."""
+    return scenes.meeting_pairs(
+        tables.items(spark, sf), tables.search_areas(spark, sf).withColumnRenamed("job_id", "area_id"),
+        ["area_id"],
+    ).select("area_id", "ingest_seq")
+
+
 @query("observation_scan")
 def _(spark, sf):
     return composite.scan_observations(tables.observations(spark, sf), SCAN_BOX).select(
@@ -173,6 +191,17 @@ def _(spark, sf):
     )
 
 
+@query("observation_scan_jobs")
+def _(spark, sf):
+    """What two distant jobs read of observations stored by band, month and area."""
+    path = new_path(spark, "observations")
+    seen = tables.wide_observations(spark, sf)
+    sinks.write_observations(seen, path)
+    jobs = check_requests(tables.distant_requests(spark, sf))
+    return job_observations(readers.read_observations(spark, path), jobs).select(
+        "job_id", "tile_id", "row", "col", "band", "ts", "value")
+
+
 @query("buffered_bounds")
 def _(spark, sf):
     named = tables.items(spark, sf).select(

@@ -10,6 +10,8 @@ RING = T.ArrayType(
 
 # Partition of stored observations: year and month of ``ts``.
 MONTH = "month"
+# Partition by place: a number along a space-filling curve.
+AREA = "area"
 
 OBSERVATIONS = T.StructType(
     [

@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from charscape.functions import geojson, geometry
 from charscape.functions.spectral import valid_value
 from charscape.operators.composite import INDICES
 from charscape.operators.grids import project_zones
-from charscape.schemas import GRID, ITEMS, MONTH, OBSERVATIONS
+from charscape.schemas import AREA, GRID, ITEMS, MONTH, OBSERVATIONS
 
 # Published catalogues: a folder per version, and the log of the versions that are complete.
 PUBLISHED_LOG = "log"
 PUBLISHED = "number long, version string"
 
-STORED = StructType([*OBSERVATIONS.fields, StructField(MONTH, StringType())])
+STORED = StructType(
+    [*OBSERVATIONS.fields, StructField(MONTH, StringType()), StructField(AREA, LongType())]
+)
 
 
 def read_observations(spark: SparkSession, path: str) -> DataFrame:
-    """Observations stored by band and month; NaN and nodata become NULL."""
+    """Observations stored by band, month and area; NaN and nodata become NULL."""
     return spark.read.schema(STORED).parquet(path).withColumn(
         "value", valid_value(F.col("value"))
     )

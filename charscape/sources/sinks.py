@@ -8,9 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from charscape.functions import areas
 from charscape.functions.spectral import stored_value
 from charscape.operators.catalog import JOB, validate_items
-from charscape.schemas import ITEMS, MONTH
+from charscape.schemas import AREA, ITEMS, MONTH
 from charscape.sources import readers
 
 # Tiles that are written together.
@@ -18,14 +19,17 @@ TILE_BLOCK = 256
 
 
 def write_observations(observations: DataFrame, path: str) -> None:
-    """Folders by band and month; within them clustered by place, so that box, tile and time filters
+    """Folders by band, month and area; within them clustered by tile, so that box, tile and time filters
     skip folders and files. A crowded month is spread over its blocks of tiles."""
     (
-        observations.withColumn(MONTH, F.date_format("ts", "yyyy-MM"))
-        .repartition("band", MONTH, F.expr("tile_id div 16"))
-        .sortWithinPartitions("band", MONTH, "tile_id", "row", "col")
+        observations.withColumns({
+            MONTH: F.date_format("ts", "yyyy-MM"),
+            AREA: areas.storage_area(F.col("x"), F.col("y")),
+        })
+        .repartition("band", MONTH, AREA, F.expr("tile_id div 16"))
+        .sortWithinPartitions("band", MONTH, AREA, "tile_id", "row", "col")
         .write.mode("append")
-        .partitionBy("band", MONTH)
+        .partitionBy("band", MONTH, AREA)
         .parquet(path)
     )
 
@@ -50,8 +54,10 @@ def write_index_grid(
         indices = indices.unionByName(jobs.select(*by).distinct(), allowMissingColumns=True)
     stored = indices.withColumns({n: stored_value(F.col(n), fill_nodata) for n in names})
     (
-        stored.hint("rebalance", *[F.col(c) for c in by], F.expr(f"tile_id div {TILE_BLOCK}"))
+        stored.withColumn("_block", F.expr(f"tile_id div {TILE_BLOCK}"))
+        .hint("rebalance", *by, "_block")
         .sortWithinPartitions(*by, "tile_id", "row", "col")
+        .drop("_block")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*by)

@@ -259,3 +259,53 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .withColumns({"maxx": F.col("minx") + 1.0, "maxy": F.col("miny") + 1.0})
     )
+
+
+def search_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One triangular area and time range for every supplier."""
+    key = F.col("s_suppkey")
+    x, y = F.lit(-120.0) + key % 37 * 0.21, F.lit(32.0) + key * 7 % 41 * 0.17
+
+    def point(dx: float, dy: float) -> Column:
+        return F.struct((x + dx).alias("x"), (y + dy).alias("y"))
+
+    first = F.make_timestamp_ntz(
+        F.lit(2024), F.lit(1), (key % 20 + 1).cast("int"), F.lit(0), F.lit(0), F.lit(0))
+    ring = F.array(*[point(*p) for p in ((0, 0), (0.8, 0.3), (0.2, 0.9), (0, 0))])
+    return table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("event"), (key % 20).cast("string")).alias("fire_event_name"),
+        key.cast("string").alias("job_id"),
+        F.array(ring).alias("rings"),
+        x.alias("minx"), y.alias("miny"), (x + 0.8).alias("maxx"), (y + 0.9).alias("maxy"),
+        first.alias("first"),
+        (first + F.expr("INTERVAL 9 DAY")).alias("last"),
+    )
+
+
+def wide_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observations on pixels of two hundredths of a degree, so that they cover several storage areas."""
+    return observations(spark, sf_dir).withColumns({
+        "x": F.lit(LONLAT.origin_x) + F.col("col") * 0.02,
+        "y": F.lit(LONLAT.origin_y) + F.col("row") * 0.02,
+    }).select("scene_id", "ts", "band", "tile_id", "row", "col", "x", "y", "value")
+
+
+def distant_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two jobs at opposite corners of the wide observations, and one outside of them."""
+    rows = table(spark, sf_dir, "part").agg(F.max(F.expr("p_partkey div 50")).alias("top"))
+    corner = F.col("top") * 0.02
+
+    def box(job: str, x: Column, y: Column) -> Column:
+        ring = F.array(*[
+            F.struct((x + dx).alias("x"), (y + dy).alias("y"))
+            for dx, dy in ((0.0, 0.0), (0.1, 0.0), (0.1, 0.08), (0.0, 0.08), (0.0, 0.0))])
+        return F.struct(F.lit(job).alias("job_id"), geojson.polygon_text(F.array(ring)).alias("geometry"))
+
+    west, south = F.lit(LONLAT.origin_x), F.lit(LONLAT.origin_y)
+    return rows.select(F.inline(F.array(
+        box("south-west", west + 0.013, south + 0.013),
+        box("north-east", west + 0.853, south + corner - 0.067),
+        box("elsewhere", west + 40, south)))).select(
+        "job_id", F.lit("event1").alias("fire_event_name"), "geometry",
+        F.lit(PRE.start).alias("prefire_start"), F.lit(PRE.end).alias("prefire_end"),
+        F.lit(POST.start).alias("postfire_start"), F.lit(POST.end).alias("postfire_end"))
