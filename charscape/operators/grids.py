@@ -38,6 +38,17 @@ class GridGeometry:
         )
 
 
+@dataclass(frozen=True)
+class Tiling:
+    """Tiles of a grid: squares of ``side`` pixels, ``stride`` numbers per row of tiles."""
+
+    side: int = 16
+    stride: int = 1000
+
+    def tile_of(self, row: Column, col: Column) -> Column:
+        return F.floor(row / self.side) * self.stride + F.floor(col / self.side)
+
+
 def load_grid(
     grid: DataFrame, geometry: GridGeometry, severity: str = "rbr"
 ) -> DataFrame:
@@ -111,8 +122,9 @@ def regrid_nearest(
     values: Sequence[str] = ("rbr",),
     by: Sequence[str] = (),
     zone: int = projection.DEFAULT_ZONE,
+    tiling: Tiling = Tiling(),
 ) -> DataFrame:
-    """Nearest-neighbour resampling from a longitude/latitude grid to a projected one.
+    """Nearest-neighbour resampling from a longitude/latitude grid to a projected one, with its tiles.
 
     The centre of every target pixel falls into exactly one source pixel. So each source pixel
     emits the target pixels whose centre it contains, picked from the few within its own reach.
@@ -137,7 +149,11 @@ def regrid_nearest(
     located = projection.with_utm_inverse(tried, t_x, t_y, "_lon", "_lat", zone)
     row, col = source.pixel_of(F.col("_lon"), F.col("_lat"))
     return located.where((row == F.col("row")) & (col == F.col("col"))).select(
-        *by, F.col("t_row").alias("row"), F.col("t_col").alias("col"), *values
+        *by,
+        tiling.tile_of(F.col("t_row"), F.col("t_col")).alias("tile_id"),
+        F.col("t_row").alias("row"),
+        F.col("t_col").alias("col"),
+        *values,
     )
 
 

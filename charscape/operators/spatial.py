@@ -157,6 +157,11 @@ def cells_fit_broadcast(
     return total is None or total * (_CELL_BYTES + 12 * cell) <= limit
 
 
+def stored_cells_fit(cells: DataFrame, cell: int = CELL, limit: int = BROADCAST_BYTES) -> bool:
+    """Upper bound of the size of cells that are stored, from their number."""
+    return cells.count() * (_CELL_BYTES + 12 * cell) <= limit
+
+
 def with_cells(pixels: DataFrame, cell: int = CELL) -> DataFrame:
     size = F.lit(float(cell))
     return pixels.withColumns(
@@ -196,7 +201,13 @@ def zone_pixel_join(
     to be among ``keys``. The cell columns stay in the result: a later grouping that includes
     them needs no further shuffle.
     """
-    cells = _cells_for_join(zones, keys, cell, all_touched, broadcast_bytes)
+    return join_cells(pixels, _cells_for_join(zones, keys, cell, all_touched, broadcast_bytes), cell, by)
+
+
+def join_cells(
+    pixels: DataFrame, cells: DataFrame, cell: int = CELL, by: Sequence[str] = ()
+) -> DataFrame:
+    """The same with zones that have been cut into cells before."""
     return (
         with_cells(pixels, cell)
         .join(cells, [*by, *CELL_KEY], "inner")

@@ -264,6 +264,11 @@ def veg_fire_matrix(
         grid, zones, pixel_ha, square_metres_per_unit, measure, breaks, severity, by, cell,
         broadcast_bytes,
     )
+    return full_matrix(table, by)
+
+
+def full_matrix(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """All columns of the matrix from areas and class hectares."""
     return with_severity(with_shares(with_percentages(with_totals(table, by)))).withColumn(
         "color", naming.colour(F.col("veg_type"))
     )

@@ -507,11 +507,64 @@ spine AS (SELECT r AS t_row, c AS t_col, 546000.0 + (c + 0.5) * 20.0 AS x,
 found AS (SELECT t_row, t_col, CAST(floor((lat - 33.8) / 0.0002) AS BIGINT) AS s_row,
                  CAST(floor((lon - (-116.5)) / 0.0002) AS BIGINT) AS s_col FROM i3)""",
         )
-        + 'SELECT t_row AS "row", t_col AS col, rbr FROM found '
+        + 'SELECT CAST(floor(t_row / 16.0) * 1000 + floor(t_col / 16.0) AS BIGINT) AS tile_id, '
+        't_row AS "row", t_col AS col, rbr FROM found '
         'JOIN grid ON s_row = grid."row" AND s_col = grid.col'
     )
 
 
+def _projected_jobs() -> str:
+    """Three jobs over projected zones: pixels of the target look up their source, edges meet pixels."""
+    regrid = _regrid()
+    pixels = regrid[:regrid.rindex("SELECT CAST(floor(t_row")]
+    staged, x, y = _tm_forward("lon", "lat")
+    names = ("unburned", "low", "moderate", "high")
+    breaks = ("-0.1 AND rbr < 0.1", "0.1 AND rbr < 0.27", "0.27 AND rbr < 0.66", "0.66")
+    classes = ", ".join(
+        f"coalesce(sum(CASE WHEN rbr >= {b} THEN 1.0::DOUBLE END), 0) * 0.04::DOUBLE AS {n}_ha"
+        for n, b in zip(names, breaks))
+    return (
+        pixels.rstrip()
+        + ", utm AS (SELECT t_row AS \"row\", t_col AS col, rbr, j::VARCHAR AS job_id FROM found "
+        'JOIN grid ON s_row = grid."row" AND s_col = grid.col, range(3) r(j) '
+        'WHERE (s_row * 7 + s_col) % 4 <> j), '
+        + zones() + ", "
+        + f"""
+ends_ll AS (
+  SELECT zone_id, veg_type, k, -116.5 + (c0 + a) * 0.0002 AS lon, 33.8 + (r0 + b) * 0.0002 AS lat
+  FROM zones, (VALUES (0,0,0), (1,6,0), (2,6,3), (3,3,5), (4,0,5), (5,0,0)) AS e(k, a, b)),
+ends_s AS (SELECT zone_id, veg_type, k, {staged} FROM ends_ll),
+ends_m AS (SELECT zone_id, veg_type, k, {x} AS x, {y} AS y FROM ends_s),
+edges AS (
+  SELECT p.zone_id, p.veg_type, (p.x - 546000) / 20 AS x1, (p.y - 3739000) / 20 AS y1,
+         (q.x - 546000) / 20 AS x2, (q.y - 3739000) / 20 AS y2, p.x * q.y - q.x * p.y AS twice
+  FROM ends_m p JOIN ends_m q ON p.zone_id = q.zone_id AND q.k = p.k + 1),
+spots AS (SELECT DISTINCT "row", col FROM utm),
+{tested("spots", "edges", "zone_id",
+        "(SELECT zone_id, min(least(x1, x2)) AS minx, min(least(y1, y2)) AS miny, "
+        "max(greatest(x1, x2)) AS maxx, max(greatest(y1, y2)) AS maxy FROM edges GROUP BY zone_id) b")},
+kinds AS (SELECT DISTINCT veg_type, "row", col FROM tested JOIN zones USING (zone_id) WHERE inside OR hit),
+classes AS (SELECT job_id, veg_type, {classes} FROM kinds JOIN utm USING ("row", col) GROUP BY job_id, veg_type),
+areas AS (SELECT veg_type, sum(ha) AS total_ha FROM (
+  SELECT zone_id, veg_type, abs(sum(twice)) / 2 / 10000 AS ha FROM edges GROUP BY zone_id, veg_type)
+  GROUP BY veg_type),
+tab AS (
+  SELECT j::VARCHAR AS job_id, a.veg_type, total_ha, {", ".join(f"coalesce({n}_ha, 0) AS {n}_ha" for n in names)}
+  FROM areas a JOIN range(4) r(j) ON true LEFT JOIN classes c ON c.veg_type = a.veg_type AND c.job_id = j::VARCHAR),
+full_tab AS (
+  SELECT *, coalesce((low_ha * 0.185 + moderate_ha * 0.465 + high_ha * 0.83) / nullif(total_ha, 0), 0) AS mean_severity,
+    sum(total_ha) OVER (PARTITION BY job_id) AS park_ha,
+    sum(low_ha + moderate_ha + high_ha) OVER (PARTITION BY job_id) AS burnt_ha FROM tab),
+matrix AS (
+  SELECT *, total_ha / nullif(park_ha, 0) * 100 AS pct_of_park,
+    (low_ha + moderate_ha + high_ha) / nullif(burnt_ha, 0) * 100 AS pct_of_burn,
+    sqrt((unburned_ha * pow(0.0 - mean_severity, 2) + low_ha * pow(0.185 - mean_severity, 2)
+      + moderate_ha * pow(0.465 - mean_severity, 2) + high_ha * pow(0.83 - mean_severity, 2)) / total_ha) AS std_severity
+  FROM full_tab)
+SELECT job_id, veg_type, {_ROUNDED_MATRIX} FROM matrix"""
+    )
+
+
 def _built() -> str:
     """The three builders side by side, as flat columns."""
     folder = f"concat('{_BASE}/', fire_event_name, '/', job_id, '/')"
@@ -794,6 +847,7 @@ FROM requests r LEFT JOIN ({newest("fire_event_name, job_id", _COARSE)}) i
     + f"SELECT color, veg_type, {_ROUNDED_MATRIX} FROM matrix",
     "veg_fire_matrix_value_sum": _with(class_table(null_type=True, measure="value_sum"))
     + f"SELECT color, veg_type, {_ROUNDED_MATRIX} FROM matrix",
+    "veg_fire_matrix_jobs": _projected_jobs(),
     "veg_types": _with(zones(True))
     + "SELECT veg_type, count(*) AS polygons FROM zones GROUP BY veg_type",
     "zone_total_bounds": _with(zones())

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from charscape import constants as C
-from charscape.functions import geojson, geometry, naming, spectral, timeparse
-from charscape.operators import catalog, categories, composite, grids, scenes, spatial, zonal
+from charscape.functions import geojson, geometry, naming, projection, spectral, timeparse
+from charscape.operators import catalog, categories, composite, grids, layers, scenes, spatial, zonal
 from charscape.operators.requests import check_requests, job_observations
+from charscape.plans import vegetation
 from charscape.sources import readers, sinks, tables
 from charscape.sources.workspace import new_path
 from charscape.streaming.items import append_items_once
@@ -614,6 +615,21 @@ def _(spark, sf):
     return rounded(table, *_MATRIX).select("color", "veg_type", *_MATRIX)
 
 
+@query("veg_fire_matrix_jobs")
+def _(spark, sf):
+    """Three jobs in longitude and latitude over one layer, stored once for the projected grid."""
+    path = new_path(spark, "layer")
+    layer = layers.cut_layer(
+        tables.lonlat_zones(spark, sf), tables.UTM, projection.DEFAULT_ZONE, tables.CELL)
+    sinks.write_zone_layer(layer, path)
+    grid = tables.job_grids(indices(spark, sf).select("row", "col", "rbr"))
+    jobs = spark.range(4).select(
+        F.lit("event1").alias("fire_event_name"), F.col("id").cast("string").alias("job_id"))
+    table = vegetation.projected_matrices(
+        readers.read_zone_layer(spark, path), grid, jobs, tables.LONLAT, tables.UTM)
+    return rounded(table, *_MATRIX).select("job_id", "veg_type", *_MATRIX)
+
+
 @query("veg_types")
 def _(spark, sf):
     return zonal.veg_types(tables.zones(spark, sf, null_type=True))

@@ -33,6 +33,10 @@ class Store:
     def boundaries(self) -> str:
         return f"{self.root}/boundaries"
 
+    @property
+    def layers(self) -> str:
+        return f"{self.root}/layers"
+
     @property
     def matrices(self) -> str:
         return f"{self.root}/matrices"

@@ -11,6 +11,8 @@ from charscape.functions import geojson, geometry
 from charscape.functions.spectral import valid_value
 from charscape.operators.composite import INDICES
 from charscape.operators.grids import project_zones
+from charscape.operators.layers import ZoneLayer
+from charscape.operators.spatial import CELL
 from charscape.schemas import AREA, GRID, ITEMS, MONTH, OBSERVATIONS
 
 # Published catalogues: a folder per version, and the log of the versions that are complete.
@@ -81,6 +83,13 @@ def read_geojson_zones(
     return with_ring_bounds(zones)
 
 
+def read_zone_layer(spark: SparkSession, path: str) -> ZoneLayer:
+    areas = spark.read.parquet(f"{path}/areas")
+    first = areas.select("cell").first()
+    cells = spark.read.parquet(f"{path}/cells")
+    return ZoneLayer(cells, areas.drop("cell"), first["cell"] if first else CELL)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A table; empty when nothing has been written yet."""
     try:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from charscape.functions import areas
 from charscape.functions.spectral import stored_value
 from charscape.operators.catalog import JOB, validate_items
+from charscape.operators.layers import ZoneLayer
 from charscape.schemas import AREA, ITEMS, MONTH
 from charscape.sources import readers
 
@@ -65,6 +66,17 @@ def write_index_grid(
     )
 
 
+def write_zone_layer(layer: ZoneLayer, path: str) -> None:
+    """Cells sorted by place, and areas by type with the size of the cells. A layer has a path of its
+    own and is not written over, so that jobs can read it at any time."""
+    (
+        layer.cells.hint("rebalance", "cell_r")
+        .sortWithinPartitions("cell_r", "cell_c")
+        .write.parquet(f"{path}/cells")
+    )
+    layer.areas.withColumn("cell", F.lit(layer.cell)).coalesce(1).write.parquet(f"{path}/areas")
+
+
 def write_matrix_csv(
     presented: DataFrame,
     path: str,

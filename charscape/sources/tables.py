@@ -309,3 +309,10 @@ def distant_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "job_id", F.lit("event1").alias("fire_event_name"), "geometry",
         F.lit(PRE.start).alias("prefire_start"), F.lit(PRE.end).alias("prefire_end"),
         F.lit(POST.start).alias("postfire_start"), F.lit(POST.end).alias("postfire_end"))
+
+
+def job_grids(grid: DataFrame) -> DataFrame:
+    """Three jobs, each with three quarters of a grid's pixels; a fourth asks and has none."""
+    return grid.withColumn("job", F.explode(F.sequence(F.lit(0), F.lit(2)))).where(
+        (F.col("row") * 7 + F.col("col")) % 4 != F.col("job")
+    ).withColumns({"fire_event_name": F.lit("event1"), "job_id": F.col("job").cast("string")}).drop("job")

@@ -7,8 +7,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from charscape.operators import catalog, composite, grids, spatial, zonal
-from charscape.plans import queries
+from charscape.operators import catalog, composite, grids, layers, scenes, spatial, zonal
+from charscape.plans import queries, vegetation
 from charscape.sources import readers, sinks, tables
 from charscape.sources.workspace import new_path
 
@@ -147,3 +147,55 @@ def test_job_lookups_reduce_items_before_the_join(spark):
     assert "LeftAnti" in plan and "NestedLoop" not in plan
     anti_side = plan[plan.index("LeftAnti") :]
     assert len(re.findall(r"HashAggregate\(keys=\[fire_event_name#\d+, job_id#\d+\]", anti_side)) >= 2
+
+
+def test_grid_writer_evaluates_its_input_once(spark):
+    """No range sampling: the composite's scan runs in one stage of one job."""
+    path = new_path(spark, "grid")
+    grid = queries.indices(spark, SF).withColumns(
+        {"fire_event_name": F.lit("e"), "job_id": F.lit("j")})
+    seen = spark.sparkContext.accumulator(0)
+    counted = grid.mapInPandas(lambda parts: _counted(parts, seen), grid.schema)
+    sinks.write_index_grid(counted, path, composite.INDICES)
+    stored = readers.read_job_grids(spark, path)
+    assert seen.value == stored.count() > 0
+
+
+def _counted(parts, seen):
+    for part in parts:
+        seen.add(len(part))
+        yield part
+
+
+@pytest.mark.parametrize("broadcast_bytes", [0, spatial.BROADCAST_BYTES])
+def test_rasterizing_reads_the_spine_once(spark, broadcast_bytes):
+    spine = queries.pixel_grid(spark, SF)
+    zones = tables.zones(spark, SF).withColumn("order", F.col("zone_id"))
+    df = spatial.rasterize_zones(
+        spine, zones, "zone_id", order="order", broadcast_bytes=broadcast_bytes)
+    plan = initial_plan(df)
+    assert len(re.findall(r"FileScan parquet \[p_partkey", plan)) == 1
+    assert "NestedLoop" not in plan
+    above_spine = plan[: plan.index("FileScan parquet [p_partkey")]
+    assert exchanges(above_spine) <= 2
+
+
+def test_footprints_and_areas_meet_by_an_equi_join(spark):
+    for limit in (0, 10**6):
+        pairs = scenes.search_scenes_of_jobs(
+            tables.scenes(spark, SF), tables.search_areas(spark, SF), limit=limit)
+        plan = initial_plan(pairs)
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        assert re.search(r"Join \[cover_x#\d+L, cover_y#\d+L\]", plan)
+        assert "EqualTo(event_type" in plan or "event_type#" in plan
+
+
+def test_a_layer_is_cut_once_for_all_jobs(spark):
+    layer = layers.cut_layer(tables.lonlat_zones(spark, SF), tables.UTM, 11, tables.CELL)
+    grid = tables.job_grids(queries.indices(spark, SF).select("row", "col", "rbr"))
+    table = vegetation.projected_matrices(
+        layer, grid, grid.select("fire_event_name", "job_id"), tables.LONLAT, tables.UTM)
+    plan = initial_plan(table)
+    assert plan.count("bit_xor(filled") == plan.count("partial_bit_xor(filled") + 1 or plan.count(
+        " bit_xor(filled") <= 1
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

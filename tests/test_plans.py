@@ -7,13 +7,16 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from charscape.operators import catalog
-from charscape.operators.grids import GridGeometry
+from charscape.operators import catalog, zonal
+from charscape.operators.grids import GridGeometry, project_zones, regrid_nearest
+from charscape.operators.layers import cut_layer, layer_matrix
 from charscape.operators.requests import check_requests, job_observations
+from charscape.operators.scenes import search_scenes_of_jobs
+from charscape.operators.spatial import zones_in_grid_space
 from charscape.plans import burn_severity, refinement, vegetation
 from charscape.plans.store import Store
 from charscape.schemas import ITEMS, REQUESTS
-from charscape.sources import readers, sinks
+from charscape.sources import readers, sinks, tables
 from charscape.sources.workspace import new_path
 
 GRID = GridGeometry(10.0, 50.0, 0.01, -0.01)
@@ -301,6 +304,111 @@ def test_job_scan_is_bounded(spark, requests, observations):
     assert {(r["band"], r["ts"].month) for r in rows} == {("B8A", 1), ("B8A", 8)}
 
 
+def test_distant_fires_read_only_their_areas(spark):
+    """Two fires at opposite corners: files of all other areas cannot even be read."""
+    path = new_path(spark, "observations")
+    spots = spark.range(24 * 24).select(
+        F.expr("id div 24").alias("row"), (F.col("id") % 24).alias("col"))
+    sinks.write_observations(spots.select(
+        F.lit("s").alias("scene_id"), F.lit("2023-03-01").cast("timestamp_ntz").alias("ts"),
+        F.explode(F.array(F.lit("B8A"), F.lit("B12"))).alias("band"), F.lit(0).cast("long").alias("tile_id"),
+        "row", "col", (10.0 + F.col("col") * 0.125).alias("x"), (50.0 + F.col("row") * 0.125).alias("y"),
+        F.lit(1.0).alias("value")), path)
+    asked = spark.createDataFrame(
+        [request("sw", box(10.1, 50.1, 10.3, 50.3)), request("ne", box(12.6, 52.6, 12.8, 52.8))], REQUESTS)
+    stored = readers.read_observations(spark, path)
+    at = F.substring_index(F.col("_metadata.file_path"), "/part-", 1)
+    folders = {r[0] for r in stored.select(at).distinct().collect()}
+    near = (F.col("x").between(10.0, 10.4) & F.col("y").between(50.0, 50.4)) | (
+        F.col("x").between(12.5, 12.9) & F.col("y").between(52.5, 52.9))
+    kept = {r[0] for r in stored.where(near).select(at).distinct().collect()}
+    assert len(kept) == 4 and len(folders) > 40
+    for folder in folders - kept:
+        spark.createDataFrame([("no parquet",)], "value string").write.mode("append").text(folder)
+    found = job_observations(readers.read_observations(spark, path), check_requests(asked))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    rows = found.select("job_id", "row", "col").distinct().collect()
+    assert {(r["job_id"], r["row"], r["col"]) for r in rows} == {
+        *(("sw", r, c) for r in (1, 2) for c in (1, 2)), *(("ne", r, c) for r in (21, 22) for c in (21, 22))}
+    with pytest.raises(Exception):
+        readers.read_observations(spark, path).agg(F.sum("value")).collect()
+
+
+def test_each_job_reads_its_own_scenes(spark, requests, observations):
+    """Two footprints, each over one of the jobs, and one of another collection."""
+    table = spark.createDataFrame(
+        [("B8A-1", "sentinel-2-l2a", 1, 10.0, 49.9, 10.075, 50.0), ("B12-1", "sentinel-2-l2a", 1, 10.095, 49.8, 10.2, 49.96),
+         ("B8A-8", "sentinel-2-l2a", 8, 9.0, 49.0, 11.0, 51.0), ("B12-8", "other", 8, 9.0, 49.0, 11.0, 51.0),
+         ("B8A-9", "sentinel-2-l2a", 1, 30.0, 49.0, 31.0, 51.0)],
+        "scene_id string, collection string, month int, minx double, miny double, maxx double, maxy double",
+    ).withColumn("ts", F.make_timestamp_ntz(F.lit(2023), "month", F.lit(15), F.lit(0), F.lit(0), F.lit(0)))
+    checked = check_requests(requests)
+    wanted = checked.where("status = 'ready'").select(
+        "fire_event_name", "job_id", "rings", "minx", "miny", "maxx", "maxy",
+        F.col("pre_start").alias("first"), F.col("post_end").alias("last"))
+    own = search_scenes_of_jobs(table, wanted)
+    assert {(r["job_id"], r["scene_id"]) for r in own.collect()} == {
+        ("007", "B8A-1"), ("007", "B8A-8"), ("b", "B12-1"), ("b", "B8A-8")}
+    rows = job_observations(observations, checked, scenes=own.select("fire_event_name", "job_id", "scene_id"))
+    got = {(r["job_id"], r["band"], r["ts"].month) for r in rows.collect()}
+    assert got == {("007", "B8A", 1), ("007", "B8A", 8), ("b", "B12", 1), ("b", "B8A", 8)}
+    # A whole job searches for itself.
+    indices = burn_severity.job_indices(observations, checked, table)
+    assert {r["job_id"] for r in indices.select("job_id").distinct().collect()} == {"007", "b"}
+
+
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 25])
+def test_jobs_over_one_layer(spark, broadcast_bytes):
+    """The matrix of each job equals the one of its own grid and zones."""
+    sf = "/root/testdata/sf0.001"
+    zones = tables.lonlat_zones(spark, sf)
+    path = new_path(spark, "layer")
+    sinks.write_zone_layer(cut_layer(zones, tables.UTM, 11, 8), path)
+    layer = readers.read_zone_layer(spark, path)
+    assert layer.cell == 8
+    source = spark.range(50 * 4).select(F.expr("id div 50").alias("row"), (F.col("id") % 50).alias("col"),
+                                        (F.col("id") % 11 / 10.0).alias("rbr"))
+    grid = tables.job_grids(source)
+    projected = regrid_nearest(grid, tables.LONLAT, tables.UTM, ["rbr"], by=("fire_event_name", "job_id")).cache()
+    assert projected.where("tile_id = floor(row / 16) * 1000 + floor(col / 16)").count() == projected.count() > 0
+    jobs = spark.createDataFrame([("event1", str(j)) for j in range(4)], "fire_event_name string, job_id string")
+    got = layer_matrix(layer, projected, jobs, 0.04, ["fire_event_name", "job_id"],
+                       broadcast_bytes=broadcast_bytes).collect()
+    metric = project_zones(zones, 11)
+    placed = zones_in_grid_space(metric, 546000.0, 3739000.0, 20.0, 20.0)
+    for job in range(4):
+        own = zonal.veg_fire_matrix(
+            projected.where(F.col("job_id") == str(job)), placed, 0.04, 400.0).collect()
+        left = {r["veg_type"]: (r["low_ha"], r["high_ha"], r["total_ha"], r["mean_severity"]) for r in own}
+        right = {r["veg_type"]: (r["low_ha"], r["high_ha"], r["total_ha"], r["mean_severity"])
+                 for r in got if r["job_id"] == str(job)}
+        assert left.keys() == right.keys()
+        for kind in left:
+            assert left[kind] == pytest.approx(right[kind], rel=1e-9)
+
+
+def test_projected_job_is_published(spark, finished):
+    """A finished refinement over a stored layer: grid in longitude and latitude to a CSV and an item."""
+    store, _, _, _ = finished
+    ring = [(10.02, 49.92), (10.05, 49.92), (10.05, 49.95), (10.02, 49.95), (10.02, 49.92)]
+    zones = spark.createDataFrame([(1, "oak", [ring])], "zone_id long, veg_type string, "
+                                  "rings array<array<struct<x:double,y:double>>>")
+    target = GridGeometry(200000.0, 5500000.0, 500.0, 500.0)
+    path = new_path(spark, "layer")
+    sinks.write_zone_layer(cut_layer(zones, target, 32), path)
+    other = Store(store.root, "https://store.example", "https://catalog.example")
+    asked = spark.createDataFrame([("007", "ridge")], "job_id string, fire_event_name string")
+    got = vegetation.resolve_over_layer(
+        spark, asked, path, other, GRID, target, 32, ingest_seq=9).collect()
+    assert [r["status"] for r in got] == ["complete"]
+    (oak,) = spark.read.option("header", True).csv(
+        f"{store.matrices}/fire_event_name=ridge/job_id=007").collect()
+    # 0.03 by 0.03 degrees at 49.9 degrees north.
+    assert float(oak["Hectares"]) == pytest.approx(718, rel=0.01)
+    assert oak["Vegetation Community"] == "oak" and float(oak["Mean Severity"]) > 0
+
+
 def test_uploaded_boundary(spark):
     store = Store(new_path(spark, "store"), "https://store.example", "https://catalog.example")
     rows = [
