@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from charscape.llm.common import materialise
+from charscape.llm.common import discard, materialise
 
 CHUNK = 1 << 18
 
@@ -77,6 +77,7 @@ def components(links: DataFrame) -> DataFrame:
         # Stars: every node has one smaller neighbour, and no root has one.
         many = after.groupBy("a").count().where("count > 1").select("a").limit(1)
         inner = after.select("b").join(after.select("a"), F.col("a") == F.col("b"), "left_semi").limit(1)
+        discard(edges)
         edges = after
         if many.isEmpty() and inner.isEmpty():
             break

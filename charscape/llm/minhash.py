@@ -5,7 +5,8 @@
    permutation, and a text stops as soon as no later step can lower its signature.
 2. Texts with equal sets are one node from here on, so copies cost nothing further.
 3. Bands of the signature put nodes into buckets. In a bucket, all nodes are compared with a pivot, on
-   full sets. Nodes linked to it leave the bucket; by the triangle inequality of the Jaccard distance
+   full sets: first the one that shares most buckets with others, which is the original where others are
+   its copies with changes. Nodes linked to it leave the bucket; by the triangle inequality of the Jaccard distance
    they can only be linked further to nodes at a middling distance from the pivot, and only with those
    they are compared. What is left of a bucket gets twice as many pivots in the next round. Pairs that
    are already connected, and pairs whose set sizes exclude a link, are never compared.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from charscape.llm import graph, hashing
-from charscape.llm.common import materialise, small_batches, tidy
+from charscape.llm.common import discard, materialise, small_batches, tidy
 
 CHUNK_BYTES = 1 << 20
 
@@ -235,8 +236,12 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataF
     """(node, root) of all nodes with links; None without any candidate."""
     limit = 1 - settings.percent / 100
     members = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
-    sizes = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    active = materialise(members.join(sizes, "band"), "minhash-buckets")
+    sizes = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = materialise(sizes, "minhash-sizes")
+    met = members.join(sizes, "band")
+    central = met.groupBy("node").agg(F.sum("n").alias("central"))
+    active = materialise(met.drop("n").join(central, "node"), "minhash-buckets")
+    discard(sizes)
     wanted = active.select("node").distinct().join(nodes, "node").select("node", "set_key", "rep")
     sets = materialise(node_sets(docs, wanted, settings), "minhash-sets")
     links: DataFrame | None = None
@@ -250,15 +255,17 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataF
                 "root", F.coalesce("root", "node"))
         # Buckets of one component need nothing more.
         open_buckets = placed.groupBy("band").agg(
-            F.count("*").alias("n"), F.min("node").alias("first"), F.min("root").alias("r0"),
-            F.max("root").alias("r1")).where("r0 < r1").drop("r0", "r1")
+            F.count("*").alias("n"), F.max(F.struct("central", "node"))["node"].alias("first"),
+            F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").drop("r0", "r1")
         chance = (pivots_each - 1) / F.col("n")
         drawn = F.pmod(F.xxhash64("node", "band"), F.lit(1 << 40)) < chance * float(1 << 40)
         work = materialise(
             placed.join(open_buckets, "band")
             .withColumn("is_pivot", (F.col("node") == F.col("first")) | drawn)
-            .select("band", "node", "n_shingles", "root", "is_pivot"), "minhash-work")
+            .select("band", "node", "n_shingles", "central", "root", "is_pivot"), "minhash-work")
+        discard(active)
         if work.isEmpty():
+            discard(work)
             break
         pivot = work.where("is_pivot").select(
             "band", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"),
@@ -274,13 +281,16 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataF
         ).withColumn("distance", 1 - F.col("shared") / F.col("union")).withColumn(
             "linked", 100 * F.col("shared") >= settings.percent * F.col("union")), "minhash-pairs")
         new = measured.where("linked").select("a", "b")
-        left = work.where(~F.col("is_pivot")).select("band", "node", "n_shingles")
+        left = work.where(~F.col("is_pivot")).select("band", "node", "n_shingles", "central")
         pivots_each *= 2
         if new.isEmpty():  # nothing has changed but that the pivots are done
             active = materialise(left, "minhash-buckets")
+            discard(work, measured)
             continue
-        links = new if links is None else links.unionByName(new)
+        old = links, roots
+        links = materialise(new if links is None else links.unionByName(new), "minhash-links")
         roots = materialise(graph.components(links), "minhash-roots")
+        discard(*old)
 
         placed_pairs = meets.select("band", F.col("pivot").alias("a"), F.col("node").alias("b")).join(
             measured.select("a", "b", "distance", "linked"), ["a", "b"])
@@ -307,10 +317,14 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataF
             100 * F.col("shared") >= settings.percent * F.col("union")).select("a", "b"),
             "minhash-extra")
         if not extra.isEmpty():
-            links = links.unionByName(extra)
+            old = links, roots
+            links = materialise(links.unionByName(extra), "minhash-links")
             roots = materialise(graph.components(links), "minhash-roots")
+            discard(*old)
         gone = placed_pairs.where("linked").select("band", F.col("b").alias("node"))
         active = materialise(left.join(gone, ["band", "node"], "left_anti"), "minhash-buckets")
+        discard(work, measured, extra)
+    discard(sets, links)
     return roots
 
 
