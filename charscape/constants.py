@@ -39,6 +39,7 @@ MEDIA_COG = "image/tiff; application=geotiff; profile=cloud-optimized"
 MEDIA_GEOJSON = "application/geo+json"
 MEDIA_JSON = "application/json"
 MEDIA_CSV = "text/csv"
+MEDIA_PARQUET = "application/vnd.apache.parquet"
 RBR_TITLE = "Relativized Burn Ratio (RBR)"
 MATRIX_ASSET_TITLE = "Vegetation Fire Severity Matrix"
 MATRIX_ASSET_DESCRIPTION = (

@@ -78,6 +78,12 @@ def _to_items(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return rows.select(*[column(f).cast(f.dataType).alias(f.name) for f in ITEMS.fields])
 
 
+def _media_type(jobs: DataFrame, url: str, default: str) -> Column | str:
+    """The type of what lies at an address, where jobs say it."""
+    name = f"{url}_type"
+    return F.coalesce(F.col(name), F.lit(default)) if name in jobs.columns else default
+
+
 def severity_items(jobs: DataFrame, base: str) -> DataFrame:
     """Severity items of jobs with ``cog_url``, ``geometry``, bounds and ``boundary_type``."""
     event, job = F.col("fire_event_name"), F.col("job_id")
@@ -90,7 +96,7 @@ def severity_items(jobs: DataFrame, base: str) -> DataFrame:
             "title": F.lit(None),
             "description": F.lit(None),
             "assets": F.create_map(
-                F.lit("rbr"), asset(F.col("cog_url"), C.MEDIA_COG, C.RBR_TITLE)
+                F.lit("rbr"), asset(F.col("cog_url"), _media_type(jobs, "cog_url", C.MEDIA_COG), C.RBR_TITLE)
             ),
             "links": F.array(link("self", naming.item_url(base, event, identifier))),
         },
@@ -113,10 +119,14 @@ def boundary_items(jobs: DataFrame, base: str) -> DataFrame:
             "assets": F.create_map(
                 F.lit("refined_boundary"),
                 asset(
-                    F.col("geojson_url"), C.MEDIA_GEOJSON, F.concat(kind, F.lit(" Fire Boundary"))
+                    F.col("geojson_url"), _media_type(jobs, "geojson_url", C.MEDIA_GEOJSON),
+                    F.concat(kind, F.lit(" Fire Boundary")),
                 ),
                 F.lit("refined_severity"),
-                asset(F.col("cog_url"), C.MEDIA_COG, F.concat(kind, F.lit(" Fire Severity"))),
+                asset(
+                    F.col("cog_url"), _media_type(jobs, "cog_url", C.MEDIA_COG),
+                    F.concat(kind, F.lit(" Fire Severity")),
+                ),
             ),
             "links": add_link(
                 _standard_links(base, event, identifier),
@@ -143,7 +153,7 @@ def matrix_items(jobs: DataFrame, base: str) -> DataFrame:
                 F.lit("veg_fire_matrix"),
                 asset(
                     F.col("matrix_url"),
-                    C.MEDIA_CSV,
+                    _media_type(jobs, "matrix_url", C.MEDIA_CSV),
                     C.MATRIX_ASSET_TITLE,
                     C.MATRIX_ASSET_DESCRIPTION,
                 ),

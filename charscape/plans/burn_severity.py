@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from charscape.functions import geojson, naming
+from charscape.constants import MEDIA_GEOJSON, MEDIA_PARQUET
+from charscape.functions import geojson
 from charscape.functions.timeparse import ntz
-from charscape.operators import catalog, composite, grids
+from charscape.operators import catalog, composite, grids, manifest
 from charscape.operators.requests import check_requests, job_observations, post_window, pre_window
 from charscape.operators.scenes import search_scenes_of_jobs
 from charscape.plans.store import Store
@@ -49,13 +50,27 @@ def boundary_documents(jobs: DataFrame, name: str, created: str) -> DataFrame:
     )
 
 
-def product_items(jobs: DataFrame, store: Store, boundary_file: str) -> DataFrame:
-    """Severity and boundary items of finished jobs."""
-    event, job = F.col("fire_event_name"), F.col("job_id")
-    addressed = jobs.withColumn(
-        "geojson_url",
-        naming.product_url(store.product_base, event, job, f"{boundary_file}.geojson"),
-    )
+def register_products(
+    jobs: DataFrame, store: Store, grids_path: str, boundary_file: str, ingest_seq: int
+) -> DataFrame:
+    """Enter the written grids and boundaries of finished jobs in the manifest; the jobs with their
+    addresses."""
+    spark = jobs.sparkSession
+    grid = readers.stored_grids(spark, grids_path)
+    documents = readers.read_documents(spark, store.boundaries, boundary_file)
+    kind = boundary_file.split("_")[0]
+    urls = {f"{kind}_severity": "cog_url", f"{kind}_boundary": "geojson_url"}
+    written = manifest.written_products(
+        grid, jobs, store.root, f"{kind}_severity", MEDIA_PARQUET, ingest_seq, folder=True
+    ).unionByName(manifest.written_products(
+        documents, jobs, store.root, f"{kind}_boundary", MEDIA_GEOJSON, ingest_seq, folder=False))
+    written.write.mode("append").parquet(store.manifest)
+    return manifest.addressed(
+        jobs, readers.read_manifest(spark, store.manifest), store.product_base, urls)
+
+
+def product_items(addressed: DataFrame, store: Store) -> DataFrame:
+    """Severity and boundary items of finished jobs with addresses."""
     boundary = addressed.withColumn("datetime", F.col("boundary_datetime"))
     return catalog.union_items(
         catalog.severity_items(addressed, store.catalog_base),
@@ -88,7 +103,6 @@ def analyze(
     validity = grids.product_validity(written, composite.INDICES).select(
         *JOB, F.col("status").alias("outcome")
     )
-    event, job = F.col("fire_event_name"), F.col("job_id")
     judged = checked.join(validity, list(JOB), "left").withColumn(
         "status",
         F.when(F.col("status") == "error", F.concat(F.lit("error: "), F.col("reason"))).otherwise(
@@ -105,10 +119,10 @@ def analyze(
             "datetime": ntz(now),
             "boundary_datetime": ntz(now),
             "ingest_seq": F.lit(ingest_seq).cast("long"),
-            "cog_url": naming.product_url(store.product_base, event, job, "rbr.tif"),
             "geometry": geojson.polygon_text(F.col("rings")),
         }
     )
     sinks.write_geojson(boundary_documents(done, COARSE_FILE, now), store.boundaries)
-    sinks.append_items(product_items(done, store, COARSE_FILE), store.items, store.rejected_items)
+    placed = register_products(done, store, store.coarse_grids, COARSE_FILE, ingest_seq)
+    sinks.append_items(product_items(placed, store), store.items, store.rejected_items)
     return outcome.select("job_id", "fire_event_name", "status")

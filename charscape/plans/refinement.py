@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from charscape.functions import geojson, geometry, naming
+from charscape.constants import MEDIA_GEOJSON
+from charscape.functions import geojson, geometry
 from charscape.functions.timeparse import ntz
-from charscape.operators import catalog, composite
+from charscape.operators import catalog, composite, manifest
 from charscape.operators.grids import GridGeometry, product_validity
 from charscape.operators.spatial import clip_grid, zones_in_grid_space
-from charscape.plans.burn_severity import JOB, boundary_documents, product_items
+from charscape.plans.burn_severity import JOB, boundary_documents, product_items, register_products
 from charscape.plans.store import Store
 from charscape.sources import readers, sinks
 from charscape.sources.workspace import new_path
 
 REFINED_FILE = "refined_boundary"
+UPLOADED_FILE = "uploaded"
 
 
 def check_refinements(requests: DataFrame, items: DataFrame) -> DataFrame:
@@ -76,31 +78,37 @@ def refine(
     outcome_path = new_path(spark, "outcome")
     judged.write.parquet(outcome_path)
     outcome = spark.read.parquet(outcome_path)
-    event, job = F.col("fire_event_name"), F.col("job_id")
     done = outcome.where(F.col("status") == "completed").withColumns(
         {
             "boundary_type": F.lit("refined"),
             "boundary_datetime": ntz(now),
             "ingest_seq": F.lit(ingest_seq).cast("long"),
-            "cog_url": naming.product_url(store.product_base, event, job, "refined_rbr.tif"),
             "geometry": geojson.polygon_text(F.col("rings")),
         }
     )
     sinks.write_geojson(boundary_documents(done, REFINED_FILE, now), store.boundaries)
-    sinks.append_items(
-        product_items(done, store, REFINED_FILE), store.items, store.rejected_items
-    )
+    placed = register_products(done, store, store.refined_grids, REFINED_FILE, ingest_seq)
+    sinks.append_items(product_items(placed, store), store.items, store.rejected_items)
     return outcome.select("job_id", "fire_event_name", "status", "reason")
 
 
-def upload_boundaries(requests: DataFrame, store: Store, created: str) -> DataFrame:
+def upload_boundaries(
+    requests: DataFrame, store: Store, created: str, ingest_seq: int = 0
+) -> DataFrame:
     """Store uploaded boundaries and answer with their address, or with the reason not to."""
     parsed = geojson.parse_polygons(requests, "geometry")
     sinks.write_geojson(
-        boundary_documents(parsed.where("reason IS NULL"), "uploaded", created), store.boundaries
+        boundary_documents(parsed.where("reason IS NULL"), UPLOADED_FILE, created), store.boundaries
     )
-    event, job = F.col("fire_event_name"), F.col("job_id")
-    url = naming.product_url(store.product_base, event, job, "uploaded.geojson")
+    accepted = parsed.where("reason IS NULL").select(*JOB)
+    documents = readers.read_documents(requests.sparkSession, store.boundaries, UPLOADED_FILE)
+    listed = manifest.written_products(
+        documents, accepted, store.root, UPLOADED_FILE, MEDIA_GEOJSON, ingest_seq, folder=False)
+    listed.write.mode("append").parquet(store.manifest)
+    parsed = manifest.addressed(
+        parsed, readers.read_manifest(requests.sparkSession, store.manifest), store.product_base,
+        {UPLOADED_FILE: "url"})
+    url = F.col("url")
     return parsed.select(
         "job_id",
         "fire_event_name",

@@ -21,6 +21,10 @@ class Store:
     def rejected_items(self) -> str:
         return f"{self.root}/rejected-items"
 
+    @property
+    def manifest(self) -> str:
+        return f"{self.root}/manifest"
+
     @property
     def coarse_grids(self) -> str:
         return f"{self.root}/grids/coarse"

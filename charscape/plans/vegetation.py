@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from charscape.constants import DEFAULT_BREAKS, SQUARE_METRES_PER_HECTARE
-from charscape.functions import naming
+from charscape.constants import DEFAULT_BREAKS, MEDIA_CSV, SQUARE_METRES_PER_HECTARE
 from charscape.functions.projection import DEFAULT_ZONE
-from charscape.operators import catalog, zonal
+from charscape.operators import catalog, manifest, zonal
 from charscape.operators.grids import GridGeometry, regrid_nearest
 from charscape.operators.layers import ZoneLayer, layer_matrix
 from charscape.plans.store import Store
@@ -118,15 +117,12 @@ def _publish(
 ) -> DataFrame:
     """Write the matrices, register them, and answer the requests."""
     sinks.write_matrix_csv(zonal.present(matrices, list(JOB)), store.matrices, by=JOB)
-    event, job = F.col("fire_event_name"), F.col("job_id")
-    done = lineage.withColumns(
-        {
-            "matrix_url": naming.product_url(
-                store.product_base, event, job, "veg_fire_matrix.csv"
-            ),
-            "ingest_seq": F.lit(ingest_seq).cast("long"),
-        }
-    )
+    written = manifest.written_products(
+        readers.read_matrices(spark, store.matrices), lineage, store.root, "veg_fire_matrix", MEDIA_CSV, ingest_seq, folder=False)
+    written.write.mode("append").parquet(store.manifest)
+    done = manifest.addressed(
+        lineage.withColumn("ingest_seq", F.lit(ingest_seq).cast("long")),
+        readers.read_manifest(spark, store.manifest), store.product_base, {"veg_fire_matrix": "matrix_url"})
     sinks.append_items(
         catalog.matrix_items(done, store.catalog_base), store.items, store.rejected_items
     )

@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from charscape.constants import MATRIX_COLUMNS
 from charscape.functions import geojson, geometry
 from charscape.functions.spectral import valid_value
+from charscape.operators.catalog import JOB
 from charscape.operators.composite import INDICES
 from charscape.operators.grids import project_zones
 from charscape.operators.layers import ZoneLayer
+from charscape.operators.manifest import MANIFEST
 from charscape.operators.spatial import CELL
 from charscape.schemas import AREA, GRID, ITEMS, MONTH, OBSERVATIONS
 
@@ -35,6 +38,11 @@ def read_grid(spark: SparkSession, path: str, severity: str = "rbr") -> DataFram
     return spark.read.parquet(path).withColumn(severity, valid_value(F.col(severity)))
 
 
+def stored_grids(spark: SparkSession, path: str) -> DataFrame:
+    """Index grids as stored, with the rows that only mark a job."""
+    return spark.read.schema(GRID).parquet(path)
+
+
 def read_job_grids(spark: SparkSession, path: str) -> DataFrame:
     """Index grids as written per job; the schema keeps job ids text.
 
@@ -105,6 +113,24 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     return read_or_empty(spark, path, ITEMS)
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """What the products of jobs consist of; empty before the first."""
+    return read_or_empty(spark, path, MANIFEST)
+
+
+def read_matrices(spark: SparkSession, path: str) -> DataFrame:
+    """Vegetation matrices as written per job; all columns are text."""
+    columns = ", ".join(f"`{name}` string" for name in (*MATRIX_COLUMNS, *JOB))
+    return spark.read.schema(columns).option("header", True).csv(path)
+
+
+def read_documents(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """GeoJSON documents of one file name, by event and job."""
+    return spark.read.schema(
+        "value string, fire_event_name string, job_id string, name string"
+    ).text(path).where(F.col("name") == name)
+
+
 def published_version(spark: SparkSession, target: str) -> tuple[int, str | None]:
     """Number and folder of the version that was published last; (0, None) before the first."""
     log = read_or_empty(spark, f"{target}/{PUBLISHED_LOG}", PUBLISHED)

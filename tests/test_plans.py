@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import pathlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -191,7 +193,9 @@ def test_refined_grid_is_clipped(spark, finished):
 def test_matrix_of_the_job(spark, finished):
     store, _, _, resolved = finished
     assert resolved["007"]["status"] == "complete"
-    assert resolved["007"]["fire_veg_matrix"].endswith("/ridge/007/veg_fire_matrix.csv")
+    assert re.fullmatch(
+        r"https://store.example/matrices/fire_event_name=ridge/job_id=007/part-[^/]*\.csv",
+        resolved["007"]["fire_veg_matrix"])
     assert resolved["ghost"]["status"] == "pending"
     rows = (
         spark.read.option("header", True)
@@ -212,12 +216,32 @@ def test_matrix_of_the_job(spark, finished):
     )
 
 
+def test_every_address_of_a_finished_job_opens(spark, finished):
+    """Below the store's root lies what the media type says."""
+    store = finished[0]
+    assets = readers.read_items(spark, store.items).select(
+        "product_type", F.explode("assets").alias("name", "asset")).collect()
+    assert len(assets) >= 10
+    root = store.root.split(":", 1)[-1]
+    for row in assets:
+        href, kind = row["asset"]["href"], row["asset"]["type"]
+        place = pathlib.Path("/" + root.strip("/")) / href.removeprefix("https://store.example/")
+        if kind == "application/vnd.apache.parquet":
+            assert place.is_dir() and spark.read.parquet(str(place)).count() > 0
+        elif kind == "application/geo+json":
+            assert json.loads(place.read_text())["type"] == "FeatureCollection"
+        else:
+            assert kind == "text/csv" and place.read_text().startswith("Color,")
+    listed = readers.read_manifest(spark, store.manifest)
+    assert listed.where("files < 1 or bytes <= 0 or media_type is null").count() == 0
+
+
 def test_job_status_lookups(spark, finished, requests):
     items = readers.read_items(spark, finished[0].items)
     status = catalog.job_status(requests, items, catalog.SEVERITY_JOB).collect()
     assert {r["job_id"] for r in status if r["status"] == "complete"} == {"007", "b"}
     assert {r["cog_url"] for r in status if r["job_id"] == "b"} == {
-        "https://store.example/ridge/b/rbr.tif"
+        "https://store.example/grids/coarse/fire_event_name=ridge/job_id=b"
     }
     pending = catalog.pending_jobs(requests, items, catalog.REFINE_JOB).collect()
     assert "007" not in {r["job_id"] for r in pending} and len(pending) == 5
@@ -418,7 +442,9 @@ def test_uploaded_boundary(spark):
     ]
     asked = spark.createDataFrame(rows, "job_id string, fire_event_name string, geometry string")
     got = {r["job_id"]: r for r in refinement.upload_boundaries(asked, store, NOW).collect()}
-    assert got["u1"]["uploaded_geojson"] == "https://store.example/ridge/u1/uploaded.geojson"
+    assert got["u1"]["uploaded_geojson"].startswith(
+        "https://store.example/boundaries/fire_event_name=ridge/job_id=u1/name=uploaded/part-")
+    assert got["u2"]["uploaded_geojson"] is None
     assert got["u2"]["status"] == "error" and got["u2"]["reason"] == "not a polygon"
     lines = spark.read.text(store.boundaries).collect()
     assert json.loads(lines[0]["value"])["features"][0]["geometry"]["type"] == "Polygon"
