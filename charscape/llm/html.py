@@ -72,24 +72,28 @@ REPLIES = set("comment comments commentlist disqus replies responses".split())
 PARTS = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
-@dataclass
 class Node:
-    name: str
-    parent: Node | None
-    left_out: bool
-    marked: float | None = None  # the share of words beyond which it is not left out
-    words: int = 0  # unlinked words
-
-    @functools.cached_property
-    def gone(self) -> bool:
-        return self.left_out or (self.parent is not None and self.parent.gone)
-
-    @functools.cached_property
-    def dropped(self) -> bool:
-        return self.left_out or self.marked is not None or (self.parent is not None and self.parent.dropped)
+    """An element. What follows from its ancestors is derived once, from its parent: depth costs nothing."""
+
+    __slots__ = ("name", "parent", "left_out", "marked", "words", "linked", "in_article", "scope", "spared",
+                 "gone", "dropped")
+
+    def __init__(self, name: str, parent: Node | None, left_out: bool, marked: float | None = None):
+        self.name, self.parent, self.left_out = name, parent, left_out
+        self.marked = marked  # the share of words beyond which it is not left out
+        self.words = 0  # unlinked words
+        self.linked = name == "a" or (parent is not None and parent.linked)
+        self.in_article = name in ("article", "main") or (parent is not None and parent.in_article)
+        # The nearest element that end tags left out do not reach beyond, itself included.
+        self.scope: Node = self if parent is None or name in SCOPES else parent.scope
+        self.spared = False  # whether an article lies inside
+        self.gone = self.dropped = False  # settled when the page has been read
 
     def inside(self, *names: str) -> bool:
-        return self.name in names or (self.parent is not None and self.parent.inside(*names))
+        node: Node | None = self
+        while node is not None and node.name not in names:
+            node = node.parent
+        return node is not None
 
 
 @dataclass(frozen=True)
@@ -107,7 +111,7 @@ def _left_out(name: str, tag: str, parent: Node) -> tuple[bool, float | None]:
     if name in ("html", "body", "main", "article"):
         return False, None
     if name == "header":
-        return not parent.inside("article", "main"), None
+        return not parent.in_article, None
     found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(tag[1 + len(name):])}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
         return True, None
@@ -125,9 +129,14 @@ def _marks(token: str) -> set[str]:
 
 
 def _spare(nodes: list[Node], found: list[Token]) -> None:
-    """Take the marks off elements that hold most of the page's unlinked words."""
+    """Take the marks off elements that hold most of the page's unlinked words, and settle what is left out.
+
+    Parents come before their children in `nodes`.
+    """
+    for node in nodes:
+        node.gone = node.left_out or (node.parent is not None and node.parent.gone)
     for t in found:
-        if t.text is not None and not t.node.gone and not t.node.inside("a"):
+        if t.text is not None and not t.node.gone and not t.node.linked:
             t.node.words += len(t.text.split())
     for node in reversed(nodes):
         if node.parent is not None:
@@ -135,6 +144,29 @@ def _spare(nodes: list[Node], found: list[Token]) -> None:
     for node in nodes:
         if node.marked is not None and node.words > node.marked * nodes[0].words:
             node.marked = None
+    for node in nodes:
+        node.dropped = node.gone or node.marked is not None or (
+            node.parent is not None and node.parent.dropped)
+
+
+class Open:
+    """How many elements of a name are open, and how many of them in a scope."""
+
+    def __init__(self) -> None:
+        self.named: Counter = Counter()
+        self.scoped: Counter = Counter()
+
+    def add(self, node: Node, by: int = 1) -> None:
+        self.named[node.name] += by
+        if node.parent is not None:
+            self.scoped[node.name, id(node.parent.scope)] += by
+
+    def leave(self, node: Node, to: Node) -> Node:
+        """Close all elements from one up to below another; each is closed once."""
+        while node is not to:
+            self.add(node, -1)
+            node = node.parent
+        return to
 
 
 @functools.cache
@@ -146,6 +178,7 @@ def tokens(page: str) -> list[Token]:
     out: list[Token] = []
     node = Node("", None, False)
     nodes = [node]
+    opened = Open()
     at = 0
     while at < len(page):
         piece = TOKEN.match(page, at).group()
@@ -161,24 +194,25 @@ def tokens(page: str) -> list[Token]:
             continue
         breaks = name in BLOCKS
         if piece.startswith("</"):
-            found = node
-            while found.parent is not None and found.name != name:
-                found = found.parent
-            if found.parent is not None:
-                node = found.parent
+            if opened.named[name] > 0:
+                found = node
+                while found.name != name:
+                    found = found.parent
+                node = opened.leave(node, found.parent)
             elif not breaks:
                 continue
         else:
-            node = _ended(node, name)
+            node = opened.leave(node, _ended(node, name, opened))
             if name in ("article", "main"):
                 above = node
-                while above is not None:
-                    above.left_out, above.marked = False, None
+                while above is not None and not above.spared:
+                    above.left_out, above.marked, above.spared = False, None, True
                     above = above.parent
             child = Node(name, node, *_left_out(name, piece, node))
             nodes.append(child)
             if name not in VOID and not piece.endswith("/>"):
                 node = child
+                opened.add(child)
                 if name in RAW:  # no tags inside
                     end = _end_of_raw(name).search(page, at)
                     at = end.start() if end else len(page)
@@ -189,11 +223,14 @@ def tokens(page: str) -> list[Token]:
     return out
 
 
-def _ended(node: Node, name: str) -> Node:
+def _ended(node: Node, name: str, opened: Open) -> Node:
     """The element that stays open when a tag of this name opens."""
     ends = ENDS.get(name, set()) | ({"p"} if name in BLOCKS else set())
     if name in BLOCKS and name not in ("html", "head"):
         ends = ends | {"head"}
+    scope = node.scope
+    if scope.name not in ends and not any(opened.scoped[e, id(scope)] > 0 for e in ends):
+        return node
     found = node
     while found.parent is not None and (found.name in ends or found.name not in SCOPES):
         if found.name in ends:
@@ -252,7 +289,7 @@ def fit(labelled: Sequence[tuple[str, str]] = LABELLED) -> Weights:
             raise ValueError("a labelled page lacks its content")
         for i, t in enumerate(found):
             count = inside if spans[0] <= i <= spans[-1] else outside
-            kind = f"<{t.tag}>" if t.text is None else "link" if t.node.inside("a") else "word"
+            kind = f"<{t.tag}>" if t.text is None else "link" if t.node.linked else "word"
             count[kind] += 1 if t.text is None else len(t.text.split())
 
     def odds(kind: str) -> float:
@@ -274,7 +311,7 @@ def region(found: Sequence[Token], weights: Weights) -> tuple[int, int]:
         elif t.text is None:
             total += weights.tags.get(t.tag, weights.other)
         else:
-            total += len(t.text.split()) * (weights.linked if t.node.inside("a") else weights.word)
+            total += len(t.text.split()) * (weights.linked if t.node.linked else weights.word)
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import hashlib
 import io
 import math
@@ -220,7 +221,7 @@ def test_region_is_the_best_run():
                                    "two words ", "<td>"]) for _ in range(25))
         found = html.tokens(page)
         values = [weights.tags.get(t.tag, weights.other) if t.text is None else
-                  len(t.text.split()) * (weights.linked if t.node.inside("a") else weights.word) for t in found]
+                  len(t.text.split()) * (weights.linked if t.node.linked else weights.word) for t in found]
         best = max([0.0] + [sum(values[i:j]) for i in range(len(values)) for j in range(i + 1, len(values) + 1)])
         first, behind = html.region(found, weights)
         assert sum(values[first:behind]) == pytest.approx(best)
@@ -327,3 +328,21 @@ def test_classifiers_on_awkward_rows(spark, module):
         assert same([(r.doc_id,) for r in got], [(r[0],) for r in awkward()])
     empty = spark.createDataFrame([], SCHEMA)
     assert module.scored(empty, module.fit(train)).count() == 0
+
+
+@pytest.mark.parametrize("page", [
+    "<p>some words" + "<font>x" * 100_000, "<div>" * 100_000 + "some words", "<i>" * 50_000 + "<div>w " * 50_000,
+    "<div>" * 50_000 + "</b>" * 50_000 + "some words here", "<p><table><tr><td>" + "<i>" * 50_000 + "<div>w " * 50_000,
+    "<article>" * 100_000 + "<p>some words here"])
+def test_depth_costs_no_more_than_length(page):
+    start = time.perf_counter()
+    assert html.extract(page, html.fit())
+    assert time.perf_counter() - start < 30
+
+
+def test_a_deep_page_does_not_stop_the_others(spark):
+    rows = [(1, "u", "<p>hi" + "<font>x" * 1500), (2, "u", "<div>" * 3000), (3, None, "<p>The bridge was closed in spring.")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extracted(df).collect()}
+    assert got[3] == "The bridge was closed in spring." and got[2] == ""
+    assert got[1].startswith("hi")
