@@ -20,7 +20,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from charscape.operators import composite
+from charscape.operators import composite, spatial
 from charscape.plans import burn_severity
 from charscape.plans.queries import QUERIES
 from charscape.plans.store import Store
@@ -28,6 +28,8 @@ from charscape.schemas import REQUESTS
 from charscape.session import BUILD_SETTINGS, SETTINGS
 from charscape.sources import readers, sinks, tables
 
+ZONE = "zone_id long, veg_type string, rings array<array<struct<x:double,y:double>>>"
+
 HEADLINE = (
     "median_composite",
     "burn_indices",
@@ -39,6 +41,8 @@ HEADLINE = (
     "veg_fire_matrix_value_sum",
     "clip_grid",
     "regrid_nearest",
+    "veg_fire_matrix_jobs",
+    "scene_search_jobs",
     "overview_pyramid",
     "index_grid_sink",
     "scene_search",
@@ -125,6 +129,17 @@ def severity_job(spark: SparkSession, obs: DataFrame) -> float:
     return round(time.perf_counter() - start, 4)
 
 
+def comb_cells(spark: SparkSession, runs: int, edges: int = 32_000) -> float:
+    """Seconds to cut one polygon whose edges all cross the same bands of cells."""
+    points = []
+    for i in range(edges // 2):
+        points += [(0.3 + i / 4, 0.3), (0.4 + i / 4, 30.3)]
+    ring = [*points, (points[-1][0], 40.0), (0.3, 40.0), points[0]]
+    zone = spark.createDataFrame([(1, "x", [ring])], ZONE).cache()
+    zone.count()
+    return timed(lambda: spatial.polygon_cells(zone, ["zone_id"]), runs)
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     runs = int(os.environ.get("BENCH_RUNS", "2"))
@@ -145,6 +160,7 @@ def main() -> None:
         print(f"stack of {count} rows: {seconds['burn_indices_stack']}", file=sys.stderr)
         seconds["severity_job_stack"] = severity_job(spark, obs)
         print(f"whole job: {seconds['severity_job_stack']}", file=sys.stderr)
+    seconds["comb_cells"] = comb_cells(spark, runs)
     print(
         json.dumps(
             {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -221,3 +222,83 @@ def test_polygons_intersect(spark):
     assert got == {k for k, (_, hit) in cases.items() if hit}
     boxes = {r["zone_id"] for r in scenes.intersecting(df, square).collect()}
     assert boxes == {1, 2, 3, 4, 6, 7}
+
+
+def comb(teeth: int) -> list[tuple[float, float]]:
+    """A polygon whose teeth all cross one band of cells."""
+    points = []
+    for i in range(teeth):
+        points += [(0.3 + i / 4, 0.3), (0.4 + i / 4, 30.3)]
+    return [*points, (points[-1][0], 40.0), (0.3, 40.0), points[0]]
+
+
+def test_cells_of_a_comb_grow_with_its_edges(spark):
+    """Each doubling of the edges costs 2.3 times as much at most."""
+
+    def seconds(teeth: int) -> float:
+        zone = spark.createDataFrame([(1, "x", [comb(teeth)])], POLYGON).cache()
+        zone.count()
+        start = time.perf_counter()
+        spatial.polygon_cells(zone, ["zone_id"]).agg(F.count("masks")).collect()
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(16_000) <= 2 * 2.3 * max(seconds(4_000), 1.0)
+
+
+def test_comb_equals_brute_force(spark):
+    rings = [comb(12)]
+    zone = spark.createDataFrame(as_rows([(1, "x", rings)]), POLYGON)
+    grid = spark.range(44 * 8).select(F.expr("id div 8").alias("row"), (F.col("id") % 8).alias("col"))
+    for all_touched, test in ((True, touched), (False, centre)):
+        got = spatial.zone_pixel_join(grid, zone, all_touched=all_touched, cell=5)
+        assert {(r["row"], r["col"]) for r in got.collect()} == {
+            (r, c) for r in range(44) for c in range(8) if test(rings, r, c)}
+
+
+@pytest.mark.parametrize("cell", [4, 7, 62])
+def test_edges_on_pixel_borders(spark, cell):
+    """Steps whose level and upright edges run along borders of pixels and cells."""
+    steps = [(0, 0), (12, 0), (12, 4), (20, 4), (20, 9), (8, 9), (8, 16), (3, 16), (3, 9), (0, 9), (0, 0)]
+    hole = [(4, 4), (8, 4), (8, 8), (4, 8), (4, 4)]
+    rings = [[(float(x), float(y)) for x, y in ring] for ring in (steps, hole)]
+    zone = spark.createDataFrame(as_rows([(1, "x", rings)]), POLYGON)
+    grid = spark.range(24 * 24).select(F.expr("id div 24").alias("row"), (F.col("id") % 24).alias("col"))
+    want = {(r, c) for r in range(24) for c in range(24) if centre(rings, r, c)}
+    for all_touched in (True, False):
+        got = spatial.zone_pixel_join(grid, zone, all_touched=all_touched, cell=cell).collect()
+        assert {(r["row"], r["col"]) for r in got} == want and len(got) == len(want)
+
+
+def square(x: float, y: float, side: float = 1.0) -> list[tuple[float, float]]:
+    return [(x, y), (x + side, y), (x + side, y + side), (x, y + side), (x, y)]
+
+
+def area_of(spark, rings) -> float:
+    df = spark.createDataFrame(as_rows([(1, "x", rings)]), POLYGON)
+    return df.select(geometry.polygon_area(F.col("rings")).alias("a")).first()["a"]
+
+
+def test_areas_of_many_rings(spark):
+    start = time.perf_counter()
+    assert area_of(spark, [square(2.0 * i, 0.0) for i in range(800)]) == 800
+    assert time.perf_counter() - start < 10
+    lakes = [square(-1.0, -1.0, 400.0)] + [square(2.0 * (i % 100), 2.0 * (i // 100)) for i in range(9999)]
+    assert area_of(spark, lakes) == 160_000 - 9999
+    assert area_of(spark, [square(float(i), float(i), 2.0 * (50 - i)) for i in range(50)]) == sum(
+        (-1) ** i * (2 * (50 - i)) ** 2 for i in range(50))
+
+
+def test_rings_that_touch_or_repeat(spark):
+    assert area_of(spark, [square(0, 0, 4.0), square(4, 0, 4.0)]) == 32
+    assert area_of(spark, [square(4, 0, 4.0), square(0, 0, 4.0)]) == 32
+    # A hole along the left edge, either way round.
+    assert area_of(spark, [square(0, 0, 4.0), square(0, 1, 2.0)]) == 12
+    assert area_of(spark, [square(0, 1, 2.0), square(0, 0, 4.0)]) == 12
+    # Of two equal rings nothing is left, of three one.
+    assert area_of(spark, [square(0, 0, 4.0)] * 2) == 0
+    assert area_of(spark, [square(0, 0, 4.0)] * 3) == 16
+    twice = spark.createDataFrame(as_rows([(1, "x", [square(0.5, 0.5, 4.0)] * 2)]), POLYGON)
+    grid = spark.range(36).select(F.expr("id div 6").alias("row"), (F.col("id") % 6).alias("col"))
+    assert spatial.zone_pixel_join(grid, twice, all_touched=False, cell=4).count() == 0
+    assert area_of(spark, [square(0, 0, 4.0), [(1.0, 1.0), (1.0, 1.0)]]) == 16
