@@ -561,7 +561,7 @@ matrix AS (
     sqrt((unburned_ha * pow(0.0 - mean_severity, 2) + low_ha * pow(0.185 - mean_severity, 2)
       + moderate_ha * pow(0.465 - mean_severity, 2) + high_ha * pow(0.83 - mean_severity, 2)) / total_ha) AS std_severity
   FROM full_tab)
-SELECT job_id, veg_type, {_ROUNDED_MATRIX} FROM matrix"""
+SELECT job_id, veg_type, {", ".join(f"round({c}, 4) AS {c}" for c in _MATRIX_COLUMNS)} FROM matrix"""
     )
 
 

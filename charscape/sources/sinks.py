@@ -21,13 +21,14 @@ TILE_BLOCK = 256
 
 def write_observations(observations: DataFrame, path: str) -> None:
     """Folders by band, month and area; within them clustered by tile, so that box, tile and time filters
-    skip folders and files. A crowded month is spread over its blocks of tiles."""
+    skip folders and files. Small folders are written together and a crowded one is split, by the sizes
+    that the shuffle reports."""
     (
         observations.withColumns({
             MONTH: F.date_format("ts", "yyyy-MM"),
             AREA: areas.storage_area(F.col("x"), F.col("y")),
         })
-        .repartition("band", MONTH, AREA, F.expr("tile_id div 16"))
+        .hint("rebalance", "band", MONTH, AREA)
         .sortWithinPartitions("band", MONTH, AREA, "tile_id", "row", "col")
         .write.mode("append")
         .partitionBy("band", MONTH, AREA)
