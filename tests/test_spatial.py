@@ -271,6 +271,7 @@ def test_edges_on_pixel_borders(spark, cell):
 
 
 def square(x: float, y: float, side: float = 1.0) -> list[tuple[float, float]]:
+    x, y = float(x), float(y)
     return [(x, y), (x + side, y), (x + side, y + side), (x, y + side), (x, y)]
 
 
