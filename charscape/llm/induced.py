@@ -2,7 +2,8 @@
 
 The usual induction scans a suffix array slot by slot. Here a scan takes all slots up to the next one
 that is still empty at once: each of these is final, so their predecessors can be put into their
-buckets together, in order. A scan over bytes takes a few steps per bucket.
+buckets together, in order. A scan over bytes takes a few steps per bucket. The leftmost-smaller
+substrings are compared directly, many items at once, instead of by an induction of their own.
 """
 
 from __future__ import annotations
@@ -88,6 +89,47 @@ def _induce(s: np.ndarray, small: np.ndarray, counts: np.ndarray, starts: np.nda
     return order
 
 
+def _substring_order(s: np.ndarray, small: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the leftmost-smaller substrings in order, and names by that order: equal ones share one.
+
+    A substring reaches the start of the next. Of equal items, the larger kind comes first. With the kind
+    in an item's last bit, no substring is the start of another, so several items at once can be compared
+    as one number; only substrings that agree so far are looked at again.
+    """
+    ends = np.append(seeds[1:], len(s) - 1)
+    items = 2 * s.astype(np.uint64) + small
+    bits = max(1, int(items.max()).bit_length())
+    width = max(1, 64 // bits)
+    shifts = (np.arange(width, dtype=np.uint64) * np.uint64(bits))[::-1]
+
+    def word(at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(at), np.uint64)
+        for t in range(width):
+            place = at + t
+            out |= np.where(place <= end, items[np.minimum(place, end)], 0) << shifts[t]
+        return out
+
+    ranked = np.arange(len(seeds))
+    first = np.ones(len(seeds), bool)  # starts a group of substrings that agree so far
+    first[1:] = False
+    tied, step = np.arange(len(seeds)), 0  # places in `ranked` of groups that go on
+    while len(tied):
+        group = np.cumsum(first[tied])
+        own = ranked[tied]
+        values = word(seeds[own] + step, ends[own])
+        by_value = np.lexsort((values, group)) if step else np.argsort(values, kind="stable")
+        values, own = values[by_value], own[by_value]
+        ranked[tied] = own
+        fresh = np.ones(len(tied), bool)
+        fresh[1:] = (values[1:] != values[:-1]) | first[tied[1:]]
+        first[tied] = fresh
+        step += width
+        several = ~fresh
+        several[:-1] |= ~fresh[1:]
+        tied = tied[several & (seeds[own] + step <= ends[own])]
+    return ranked, np.cumsum(first) - 1
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Order of the suffixes of s, whose last item is 0 and the only 0."""
     n = len(s)
@@ -105,31 +147,12 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     source = np.minimum.accumulate(source[::-1])[::-1]
     small = less[source] > 0
     seeds = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    order = _induce(s, small, counts, starts, seeds)
-    # Name the leftmost-smaller substrings, which are in order now.
-    is_seed = np.zeros(n, bool)
-    is_seed[seeds] = True
-    ranked = order[is_seed[order]]
-    number = np.cumsum(is_seed) - 1
-    ends = np.append(seeds[1:], n - 1)  # each substring reaches the start of the next
-    length = ends - seeds + 1
-    a, b = number[ranked[:-1]], number[ranked[1:]]
-    differs = length[a] != length[b]
-    open_pairs = np.flatnonzero(~differs)
-    step = 0
-    while len(open_pairs):
-        open_pairs = open_pairs[step < length[a[open_pairs]]]
-        x, y = seeds[a[open_pairs]], seeds[b[open_pairs]]
-        unequal = s[x + step] != s[y + step]
-        differs[open_pairs[unequal]] = True
-        open_pairs = open_pairs[~unequal]
-        step += 1
-    names = np.concatenate([[0], np.cumsum(differs)])
-    if names[-1] + 1 < len(seeds):
+    ranked, names = _substring_order(s, small, seeds)
+    if len(names) and names[-1] + 1 < len(seeds):
         reduced = np.empty(len(seeds), kind)
-        reduced[number[ranked]] = names
-        ranked = seeds[suffix_array(reduced)]
-    return _induce(s, small, counts, starts, ranked)
+        reduced[ranked] = names
+        ranked = suffix_array(reduced)
+    return _induce(s, small, counts, starts, seeds[ranked])
 
 
 def common_prefixes(s: np.ndarray, order: np.ndarray) -> np.ndarray:
