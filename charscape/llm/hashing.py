@@ -69,6 +69,25 @@ def grams(sums: np.ndarray, size: int) -> np.ndarray:
     return mix(differences)
 
 
+def least_grams(sums: np.ndarray, size: int, count: int, chunk: int = 1 << 14) -> np.ndarray:
+    """The least of the hashes of each `count` successive strings of a size, in chunks that stay in the
+    processor's caches."""
+    n = len(sums) - size - count + 1
+    unshift = powers(_room(len(sums) - 1), True)
+    out = np.empty(max(0, n), np.uint64)
+    for at in range(0, n, chunk):
+        end = min(n, at + chunk) + count - 1
+        least = mix((sums[at + size:end + size] - sums[at:end]) * unshift[at:end])
+        width = 1
+        while 2 * width <= count:  # least of the next `width` hashes, by doubling
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        if width < count:
+            least = np.minimum(least[:len(least) - (count - width)], least[count - width:])
+        out[at:at + len(least)] = least
+    return out
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary array and the bounds of its rows; NULL is empty."""
     kind = pa.large_binary()

@@ -13,8 +13,9 @@ All such strings are found, in these passes:
 3. Runs with a shared key, and shared strings of crowded keys, are cut out as substrings, equal ones of
    a block once, and dealt by key into shards. All occurrences of a repeated string meet in one shard,
    as equal strings have equal keys and are crowded or not alike.
-4. A shard's distinct substrings are sorted by induced sorting. Permuted common prefixes of at least
-   `length` mark neighbours with equal strings; each group of them has a least id.
+4. A shard's distinct substrings are sorted by induced sorting, but for those whose key no other distinct
+   substring has. Permuted common prefixes of at least `length` mark neighbours with equal strings; each
+   group of them has a least id.
 5. Blocks get back the places where the least id is below a document's own, and cut them.
 
 Blocks, key lists and shards have sizes that do not grow with the data, and copies shrink at each step,
@@ -133,30 +134,22 @@ def find_runs(data: np.ndarray, bounds: np.ndarray, length: int) -> Runs:
     none = np.zeros(0, np.int64)
     if n < length:
         return Runs(none, none, none.astype(np.uint64), none)
-    sums = hashing.prefix_sums(data)
-    least = hashing.grams(sums, GRAM)
-    del sums
-    width, want = 1, length - GRAM + 1
-    while 2 * width <= want:  # least of the next `width` hashes, by doubling
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    if width < want:
-        least = np.minimum(least[:len(least) - (want - width)], least[want - width:])
+    least = hashing.least_grams(hashing.prefix_sums(data), GRAM, length - GRAM + 1)
     # Strings that lie inside one document.
     step = np.zeros(n + 1, np.int8)
     long = np.flatnonzero(np.diff(bounds) >= length)
     opens, closes = bounds[long], bounds[long + 1] - length + 1
     np.add.at(step, opens, 1)
     np.add.at(step, closes, -1)
-    inside = np.cumsum(step[:len(least)]) > 0
+    inside = np.cumsum(step[:len(least)], dtype=np.int8) > 0
     fresh = np.ones(len(least), bool)
     fresh[1:] = (least[1:] != least[:-1]) | ~inside[:-1]
     fresh[opens] = True
     start = np.flatnonzero(inside & fresh)
     if not len(start):
         return Runs(none, none, none.astype(np.uint64), none)
-    seen = np.cumsum(inside)
-    count = np.diff(np.append(seen[start], seen[-1] + 1))
+    seen = np.cumsum(inside, dtype=np.int32)
+    count = np.diff(np.append(seen[start], seen[-1] + 1).astype(np.int64))
     return Runs(start, count, hashing.mix(least[start]),
                 np.searchsorted(bounds, start, side="right") - 1)
 
@@ -351,6 +344,21 @@ def shared_texts(blocks: DataFrame, replies: DataFrame, settings: Settings, key_
         cut, "block string, shard int, first int, n int, facts binary, data binary")
 
 
+def lone(texts: list[bytes], length: int) -> np.ndarray:
+    """Which of a shard's distinct texts share no string of `length` with another one: those whose key no
+    other has, and those whose key only texts of one string have, as these differ."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    hashes = hashing.grams(hashing.prefix_sums(np.frombuffer(b"".join(texts), np.uint8)), GRAM)
+    key = hashes[starts]
+    for step in range(1, length - GRAM + 1):
+        np.minimum(key, hashes[starts + step], out=key)
+    distinct, which, count = np.unique(key, return_inverse=True, return_counts=True)
+    longest = np.zeros(len(distinct), np.int64)
+    np.maximum.at(longest, which, sizes)
+    return ((count == 1) | (longest == length))[which]
+
+
 def least_ids(texts: list[bytes], ids: np.ndarray, length: int) -> np.ndarray:
     """The strings of `length` in distinct texts, as stretches with one least id of a text that has
     them: rows of (text, offset, count, id) in order."""
@@ -405,14 +413,21 @@ def repeats(cut: DataFrame, settings: Settings) -> DataFrame:
         part_of = np.zeros(len(numbered), np.int64)
         for own, part in zip(which, parts, strict=True):
             part_of[own] = part
+        texts = list(numbered)
+        alone = lone(texts, settings.length)
+        part_of[alone] = PARTS
         in_order = np.argsort(part_of, kind="stable")
-        texts, bounds = list(numbered), np.searchsorted(part_of[in_order], np.arange(PARTS + 1))
+        bounds = np.searchsorted(part_of[in_order], np.arange(PARTS + 2))
         found = []
-        for a, b in zip(bounds, bounds[1:], strict=False):
+        for a, b in zip(bounds[:-1], bounds[1:-1], strict=False):
             if b > a:
                 listed = least_ids([texts[i] for i in in_order[a:b]], ids[in_order[a:b]], settings.length)
                 listed[:, 0] += a
                 found.append(listed)
+        rest = in_order[bounds[PARTS]:]
+        found.append(np.column_stack([
+            np.arange(bounds[PARTS], len(texts)), np.zeros(len(rest), np.int64),
+            np.array([len(texts[i]) for i in rest], np.int64) - settings.length + 1, ids[rest]]))
         stretches = np.concatenate(found)
         first_row = np.searchsorted(stretches[:, 0], np.arange(len(texts) + 1))
         rank = np.empty(len(texts), np.int64)
