@@ -12,7 +12,8 @@ Built from DataFrame functions only. The steps:
 4. The quotas of all sources are split down a binary tree: a node's left half takes a
    multivariate-hypergeometric share. A leaf is an output shard with a quota for every source.
 5. Each shard draws its quota of blocks, disjointly, from a permutation of the source's blocks; a
-   document copy goes with the block it starts in. Within a shard, copies are shuffled by hash.
+   document copy goes with the block it starts in, and counts only if a shard drew that block. Within a
+   shard, copies are shuffled by hash.
 
 Defined cases: NULL texts and texts without words have size 0 and are never drawn; a NULL source is
 a source of its own; rows that repeat an id are documents of their own; an empty table gives an empty
@@ -175,8 +176,8 @@ def draws(docs: DataFrame, carry: Sequence[str] = ("doc_id",), mix: Mix = Mix())
     """Every document's copies in the mix, and one row without a shard if it has none.
 
     doc, size, source_size, target; row (unique for the document: source key, bucket, rank); copy
-    (number of earlier copies), words (words this copy contributes, from the text's start), shard,
-    order (hash that shuffles a shard).
+    (number of earlier copies), words (words this copy contributes to its shard, from the text's start),
+    shard, order (hash that shuffles a shard).
     """
     rows = materialise(sized(docs, carry, mix), "mix-rows")
     buckets = rows.groupBy("skey", "snull", "bucket").agg(F.sum("size").alias("bucket_words"))
@@ -247,6 +248,8 @@ def draws(docs: DataFrame, carry: Sequence[str] = ("doc_id",), mix: Mix = Mix())
     apart = F.coalesce("block", -F.xxhash64("key", "row") % 65536 - 65537)
     return (
         drawn.withColumn("block", apart).join(share, ["place", "block"], "left")
+        # What no shard draws is not in the mix.
+        .withColumn("words", F.when(F.col("shard").isNotNull(), F.col("words")).otherwise(0).cast("long"))
         .select("doc", "size", "source_size", "target", "row", "copy", "words", "shard",
                 F.md5(F.concat_ws(":", F.lit(mix.seed), "copy", "key").cast("binary")).alias("order"))
     )

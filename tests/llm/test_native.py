@@ -124,6 +124,18 @@ def test_draws_fill_shards_exactly(spark):
     assert max(shards.values()) < 1.5 * sum(shards.values()) / n
 
 
+def test_the_mix_comes_through_the_leaves(spark, monkeypatch):
+    docs = documents(spark, [(i, prose(i, 20 + i % 60), "en", f"s{i % 5}", 1) for i in range(100)])
+    mix = mixing.Mix(block_words=64, shard_words=2000)
+    split, total = mixing.split, lambda: mixing.taken(docs, mix).agg(F.sum("taken")).first()[0]
+    whole = total()
+    monkeypatch.setattr(mixing, "split", lambda *a: split(*a).where("shard > 0"))
+    assert 0 < total() < whole
+    monkeypatch.setattr(mixing, "split", lambda *a: split(*a).withColumn(
+        "quota", F.transform("quota", lambda q: q * 0)))
+    assert total() == 0
+
+
 def test_mixed_documents(spark):
     docs = documents(spark, awkward())
     mixed = mixing.mixed(docs, docs.columns)
