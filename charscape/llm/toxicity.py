@@ -4,12 +4,13 @@
    zero-width characters, turns digits and signs inside words into letters, and squeezes everything
    else to single spaces. Each word stands between two spaces.
 2. The lexicon is learned from a bounded sample of training rows (`Settings.sample`, in expectation):
-   whole words and word beginnings, counted by distinct text with partial counts per task. Terms of
-   which nearly all documents are toxic get their log odds as weight; at most `max_terms` are kept.
+   whole words and word beginnings, counted by distinct text with partial counts per task. All terms of
+   which nearly all documents are toxic get their log odds as weight.
 3. Exception phrases: a two-word phrase around a term which the sample shows in clean documents only.
    Where it occurs, the term inside does not count. More can be given.
-4. The automaton of terms and phrases is broadcast (bounded by `max_terms`) and run over every whole
-   text. A document's weight is the sum over its matches, the longest per word, normalised by the
+4. The automaton of terms and phrases is broadcast and run over every whole text. Its size is checked
+   before it is collected: beyond `lexicon_bytes`, fitting is an error and nothing is left out.
+   A document's weight is the sum over its matches, the longest per word, normalised by the
    logarithm of its length; a logistic curve fitted on the sample turns it into a score.
 
 Defined cases: NULL and empty texts match nothing; rows that repeat get equal scores; without toxic or
@@ -28,10 +29,10 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from charscape.llm.common import small_batches
+from charscape.llm.common import materialise, small_batches
 from charscape.llm.knn import sampled
 
 # Look-alikes of Latin letters, and digits and signs in place of letters.
@@ -80,7 +81,8 @@ def fold(text: str | None) -> str:
 @dataclass(frozen=True)
 class Settings:
     sample: int = 12000
-    max_terms: int = 4000
+    # Estimated bytes of terms, or of phrases, that may be collected and broadcast.
+    lexicon_bytes: int = 128 << 20
     min_documents: int = 3
     # The share of toxic documents among those with a term is at least this
     # at the lower end of a 90 % interval.
@@ -165,11 +167,22 @@ def counted(rows: DataFrame, terms_of) -> DataFrame:
     ).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def collected(terms: DataFrame, settings: Settings) -> list[Row]:
+    """All of the terms, once their size in an automaton has been found to be within the limit."""
+    terms = materialise(terms, "toxic-terms")
+    size = terms.agg(F.sum(F.octet_length("term") * 32 + 128)).first()[0] or 0
+    if size > settings.lexicon_bytes:
+        raise ValueError(f"the lexicon takes about {size} bytes, {settings.lexicon_bytes} are allowed; "
+                         "raise min_share or min_documents, or lexicon_bytes")
+    return terms.collect()
+
+
 def fit(labelled: DataFrame, settings: Settings = Settings()) -> Lexicon:
     """`labelled`: doc_id, text, label (1 toxic, 0 clean), training rows only."""
     known = labelled.where("label is not null").select(
         "doc_id", "text", F.col("label").cast("int").alias("label"))
-    rows = sampled(small_batches(known), settings.sample, F.col("doc_id")).dropDuplicates(["text", "label"])
+    rows = materialise(sampled(small_batches(known), settings.sample, F.col("doc_id"))
+                       .dropDuplicates(["text", "label"]), "toxic-sample")
     totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic or not n_clean:
@@ -182,18 +195,15 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Lexicon:
     share, z = F.col("toxic") / count, 1.645
     lower = (share + z * z / (2 * count) - z * F.sqrt(
         share * (1 - share) / count + z * z / (4 * count * count))) / (1 + z * z / count)
-    chosen = (
+    chosen = collected(
         counts.where(F.col("toxic") >= settings.min_documents)
         .withColumns({"odds": odds, "lower": lower})
-        .where(F.col("lower") >= settings.min_share)
-        .orderBy(F.desc("lower"), "term").limit(settings.max_terms).collect()
-    )
+        .where(F.col("lower") >= settings.min_share).select("term", "odds"), settings)
     weights = {r["term"]: r["odds"] for r in chosen}
-    learned = (
+    learned = collected(
         counted(rows, lambda folded: phrases(folded, weights, stems))
-        .where((F.col("toxic") == 0) & (F.col("clean") >= settings.min_documents))
-        .orderBy(F.desc("clean"), "term").limit(settings.max_terms).collect()
-    ) if weights else []
+        .where((F.col("toxic") == 0) & (F.col("clean") >= settings.min_documents)).select("term"),
+        settings) if weights else []
     given = tuple(fold(p) for p in settings.exceptions)
     lexicon = Lexicon(weights, given + tuple(r["term"] for r in learned))
     sample = weighed(rows, lexicon, "label").select("weight", "label").toPandas()

@@ -293,6 +293,52 @@ def test_learned_exceptions(spark):
     assert all(toxicity.weigh(toxicity.fold("the water blob"), lexicon.automaton()) == 0 for _ in range(1))
 
 
+def test_no_term_is_left_out(spark):
+    rows = [(i, " ".join(f"zzq{i // 10 * 500 + k}" for k in range(500)) + f" own{i}"
+             if i % 10 < 5 else f"calm {i}", int(i % 10 < 5)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    lexicon = toxicity.fit(df, toxicity.Settings(stems=()))
+    assert len(lexicon.weights) == 12 * 500
+    with pytest.raises(ValueError, match="lexicon"):
+        toxicity.fit(df, toxicity.Settings(stems=(), lexicon_bytes=1000))
+
+
+def test_learned_terms_agree_with_a_plain_count(spark):
+    rows = [(i, t, y) for i, t, y in labelled(300, insult)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    chosen = toxicity.Settings()
+    with_term = {}
+    n = [len({t for _, t, y in rows if y == label}) for label in (0, 1)]
+    for text, label in {(t, y) for _, t, y in rows}:
+        for term in toxicity.candidates(toxicity.fold(text), chosen.stems):
+            with_term.setdefault(term, [0, 0])[label] += 1
+    want = {}
+    for term, (clean, toxic) in with_term.items():
+        k, z = clean + toxic, 1.645
+        p = toxic / k
+        low = (p + z * z / (2 * k) - z * math.sqrt(p * (1 - p) / k + z * z / (4 * k * k))) / (1 + z * z / k)
+        if toxic >= 3 and low >= chosen.min_share:
+            want[term] = (math.log((toxic + 0.5) / (n[1] - toxic + 0.5))
+                          - math.log((clean + 0.5) / (n[0] - clean + 0.5)))
+    lexicon = toxicity.fit(df, chosen)
+    assert want and lexicon.weights == pytest.approx(want)
+    # Matches found by plain search for every term and phrase.
+    machine = lexicon.automaton()
+    for _, text, _ in rows[:80]:
+        folded = toxicity.fold(text)
+        best = {}
+        for term, weight in lexicon.weights.items():
+            for at in range(len(folded)):
+                if folded.startswith(term, at):
+                    best[at] = max(best.get(at, 0.0), weight)
+        for phrase in lexicon.exceptions:
+            for at in range(len(folded)):
+                if folded.startswith(phrase, at):
+                    best = {b: w for b, w in best.items() if not at <= b < at + len(phrase)}
+        assert toxicity.weigh(folded, machine) == pytest.approx(
+            sum(best.values()) / math.log2(8 + len(folded.split())))
+
+
 def test_quality_on_held_out_rows(spark):
     shout = lambda text, rnd: " ".join(f"{w.upper()}!!" for w in text.split())
     _, got = held_out(spark, labelled(600, shout), knn.fit, knn.scored)
