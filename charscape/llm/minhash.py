@@ -7,8 +7,8 @@
 3. Bands of the signature put nodes into buckets. In a bucket, all nodes are compared with a pivot, on
    full sets: first the one that shares most buckets with others, which is the original where others are
    its copies with changes. Nodes linked to it leave the bucket; by the triangle inequality of the Jaccard distance
-   they can only be linked further to nodes at a middling distance from the pivot, and only with those
-   they are compared. What is left of a bucket gets twice as many pivots in the next round. Pairs that
+   they can only be linked further to nodes at a middling distance from the pivot, and they are compared
+   with those that share enough of the elements in which they differ from it (`likely`). What is left of a bucket gets twice as many pivots in the next round. Pairs that
    are already connected, and pairs whose set sizes exclude a link, are never compared.
 4. Links are grouped by union-find inside tasks, then across them.
 
@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -37,6 +37,7 @@ from charscape.llm import graph, hashing
 from charscape.llm.common import discard, materialise, small_batches, tidy
 
 CHUNK_BYTES = 1 << 20
+ELEMENTS = 1 << 18  # handed on at once
 
 
 @dataclass(frozen=True)
@@ -232,6 +233,59 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         compare, "a long, b long, shared long, union long")
 
 
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs with all their columns, once for every `element` that only one of the sets of a and b has."""
+    columns = [c for c in pairs.columns if c not in ("a", "b")]
+
+    @tidy
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            facts = batch.drop_columns(["x", "y"])
+            rows, found, held = [], [], 0
+            for i, (x, y) in enumerate(zip(batch["x"], batch["y"], strict=True)):
+                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                only = np.setxor1d(p, q, assume_unique=True)
+                rows.append(np.full(len(only), i))
+                found.append(only.view(np.int64))
+                held += len(only)
+                if held >= ELEMENTS or i == batch.num_rows - 1:
+                    yield facts.take(pa.array(np.concatenate(rows))).append_column(
+                        "element", pa.array(np.concatenate(found)))
+                    rows, found, held = [], [], 0
+
+    left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", *columns, "x", "y")
+    return joined.mapInArrow(part, pairs.select("a", "b", *columns).schema.add("element", "long"))
+
+
+def likely(parted: DataFrame, limit: float) -> DataFrame:
+    """(a, b) of all nodes a linked to a pivot and b at a middling distance from it that can be linked.
+
+    Let A and B be the elements in which a and b differ from the pivot; a and b differ in those that are in
+    one of A and B. As b exceeds the limit with the pivot by `excess` elements, a link with a takes
+    (2 - limit) * |A and B| >= excess + (1 - limit) * |A|, so A and B must overlap: what the pivot's
+    copies have in common with the pivot does not count. Elements are ordered by the number of
+    pairs they make; common ones cannot be more than those from the first one on, in either set.
+    """
+    sided = parted.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "linked", "size", "excess",
+                          "element")
+    counts = sided.groupBy("pivot", "element").agg(
+        (F.count_if("linked") * F.count_if(~F.col("linked"))).alias("pairs"))
+    place = F.row_number().over(Window.partitionBy("pivot", "node").orderBy("pairs", "element"))
+    # `rest`: elements from this one on.
+    placed = sided.join(counts, ["pivot", "element"]).withColumn(
+        "rest", F.col("size") - place + 1).where("pairs > 0")
+    x = placed.where(F.col("linked") & ((2 - limit) * F.col("rest") >= (1 - limit) * F.col("size"))).select(
+        "pivot", "element", F.col("node").alias("a"), F.col("rest").alias("a_rest"),
+        ((1 - limit) * F.col("size")).alias("a_least"))
+    y = placed.where(~F.col("linked") & (F.col("rest") >= F.col("excess") - 1e-6)).select(
+        "pivot", "element", F.col("node").alias("b"), F.col("rest").alias("b_rest"), "excess")
+    return x.join(y, ["pivot", "element"]).where(
+        (2 - limit) * F.least("a_rest", "b_rest") >= F.col("a_least") + F.col("excess") - 1e-6
+    ).select("a", "b").where("a <> b").distinct()
+
+
 def linked_nodes(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame | None:
     """(node, root) of all nodes with links; None without any candidate."""
     limit = 1 - settings.percent / 100
@@ -292,38 +346,37 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataF
         roots = materialise(graph.components(links), "minhash-roots")
         discard(*old)
 
-        placed_pairs = meets.select("band", F.col("pivot").alias("a"), F.col("node").alias("b")).join(
-            measured.select("a", "b", "distance", "linked"), ["a", "b"])
-        # Nodes at a middling distance of a pivot that are still not connected to it.
+        # Nodes at a middling distance of a pivot that are still not connected to it, and its linked nodes.
         known = roots.select(F.col("node").alias("key"), "root")
+        facts = measured.where(F.col("distance") <= 2 * limit + 1e-9).select(
+            "a", "b", "linked", (F.col("union") - F.col("shared")).alias("size"),
+            (F.col("union") - F.col("shared") - limit * F.col("union")).alias("excess"))
         middling = (
-            placed_pairs.where(~F.col("linked") & (F.col("distance") <= 2 * limit + 1e-9))
-            .select("band", F.col("a").alias("pivot"), F.col("b").alias("y"),
-                    F.col("distance").alias("y_distance"))
-            .join(known.select(F.col("key").alias("pivot"), F.col("root").alias("p_root")), "pivot")
-            .join(known.select(F.col("key").alias("y"), F.col("root").alias("y_root")), "y", "left")
-            .where(F.col("p_root") != F.coalesce("y_root", "y"))
-            .select("band", "pivot", "y", "y_distance")
-        )
-        further = (
-            placed_pairs.where("linked")
-            .select("band", F.col("a").alias("pivot"), F.col("b").alias("x"),
-                    F.col("distance").alias("x_distance"))
-            .join(middling, ["band", "pivot"])
-            .where(F.col("x_distance") >= F.col("y_distance") - limit - 1e-9)
-            .select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+            facts.where(~F.col("linked"))
+            .join(known.select(F.col("key").alias("a"), F.col("root").alias("p_root")), "a")
+            .join(known.select(F.col("key").alias("b"), F.col("root").alias("y_root")), "b", "left")
+            .where(F.col("p_root") != F.coalesce("y_root", "b"))
+            .select(*facts.columns)
         )
-        extra = materialise(compared(further, sets).where(
-            100 * F.col("shared") >= settings.percent * F.col("union")).select("a", "b"),
-            "minhash-extra")
-        if not extra.isEmpty():
+        middling = materialise(middling, "minhash-middling")
+        extra = None
+        if not middling.isEmpty():
+            around = facts.where("linked").join(middling.select("a").distinct(), "a", "left_semi")
+            parted = materialise(differences(around.unionByName(middling), sets), "minhash-differences")
+            extra = materialise(compared(likely(parted, limit), sets).where(
+                100 * F.col("shared") >= settings.percent * F.col("union")).select("a", "b"),
+                "minhash-extra")
+            discard(parted)
+        if extra is not None and not extra.isEmpty():
             old = links, roots
             links = materialise(links.unionByName(extra), "minhash-links")
             roots = materialise(graph.components(links), "minhash-roots")
             discard(*old)
-        gone = placed_pairs.where("linked").select("band", F.col("b").alias("node"))
+        gone = meets.select("band", F.col("pivot").alias("a"), F.col("node").alias("b")).join(
+            measured.where("linked").select("a", "b"), ["a", "b"], "left_semi").select(
+            "band", F.col("b").alias("node"))
         active = materialise(left.join(gone, ["band", "node"], "left_anti"), "minhash-buckets")
-        discard(work, measured, extra)
+        discard(work, measured, middling, extra)
     discard(sets, links)
     return roots
 
@@ -333,7 +386,7 @@ def labelled(docs: DataFrame, settings: Settings, carry: tuple[str, ...] = ()
     """The rows, with the carried columns as `doc` and a number `row`, and for each row: row, doc_id,
     n_shingles, component_id and its group (NULL for empty sets)."""
     rows = materialise(sketched(docs, settings, carry).withColumn(
-        "row", F.monotonically_increasing_id()), "minhash-sketch")
+        "row", F.monotonically_increasing_id()), "minhash-sketch", texts="text" in carry)
     nodes = materialise(
         rows.where("set_key is not null").groupBy("set_key").agg(
             F.min("doc_id").alias("rep"), F.first("bands").alias("bands"),

@@ -62,6 +62,51 @@ def test_representatives(spark):
     assert minhash.representatives(documents(spark, [])).count() == 0
 
 
+def family_rows(n: int) -> list[tuple]:
+    """An original and copies with up to 14 of its 120 words changed, some of them changed copies of copies."""
+    rnd = random.Random(5)
+    base = [f"v{i}" for i in range(120)]
+    texts = [base]
+    for k in range(n):
+        copy = list(base if k % 4 else rnd.choice(texts))
+        for _ in range(1 + k % 14):
+            copy[rnd.randrange(120)] = f"u{rnd.randrange(9000)}"
+        texts.append(copy)
+    return [(i, " ".join(t), "en", "a", 1) for i, t in enumerate(texts)]
+
+
+def test_a_family_around_one_original(spark):
+    rows = family_rows(400)
+    sets = [shingles(r[1], 2) for r in rows]
+    want = components(sets)
+    got = minhash.groups(documents(spark, rows), minhash.Settings(words=2)).collect()
+    assert len(set(want)) > 20  # many stay just below the limit
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want))
+
+
+def test_likely_pairs_lose_no_link(spark):
+    """Nodes beyond the limit meet linked ones only if these share what they differ in from the pivot."""
+    sets = [shingles(r[1], 2) for r in family_rows(400)]
+    names = {e: i for i, e in enumerate(sorted({e for s in sets for e in s}))}
+    coded = [(i, np.sort(np.array([names[e] for e in s], np.uint64)).tobytes()) for i, s in enumerate(sets)]
+
+    def linked(a, b):
+        return 100 * len(a & b) >= 80 * len(a | b)
+
+    pairs = []
+    for i, s in enumerate(sets[1:], 1):
+        union, size = len(s | sets[0]), len(s ^ sets[0])
+        if size <= 0.4 * union:
+            pairs.append((0, i, linked(s, sets[0]), size, size - 0.2 * union))
+    near, far = [p[1] for p in pairs if p[2]], [p[1] for p in pairs if not p[2]]
+    got = minhash.likely(minhash.differences(
+        spark.createDataFrame(pairs, "a long, b long, linked boolean, size long, excess double"),
+        spark.createDataFrame(coded, "node long, elements binary")), 0.2).collect()
+    links = {(a, b) for a in near for b in far if linked(sets[a], sets[b])}
+    assert links and links <= {(r.a, r.b) for r in got}
+    assert len(got) < len(near) * len(far) / 50
+
+
 def test_no_links_and_no_rows(spark):
     assert minhash.groups(spark.createDataFrame([], SCHEMA)).count() == 0
     alone = minhash.groups(documents(spark, [(1, "a b c", "", "", 1), (2, "d e f", "", "", 1)])).collect()
