@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import functools
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,22 +50,46 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return wrapped
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it: computed once, and safe from lost executors."""
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+def materialise(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
+    """Write a table into the shared folder and read it: computed once, and safe from lost executors.
+    Tables that carry whole texts are packed more tightly."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    paths = _written.get()
+    if paths is not None:
+        paths.append(path)
+    (df.write.option("compression", "zstd") if texts else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables that `materialise` has written and nothing reads any more."""
     for df in tables:
         if df is None:
             continue
-        spark = df.sparkSession
         for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            _delete(df.sparkSession, folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what `materialise` has written inside, also after an error. Results that are
+    still to be read must have been written outside."""
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in paths:
+            _delete(spark, path)
 
 
 def words(text: Column) -> Column:

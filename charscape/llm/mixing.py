@@ -179,7 +179,7 @@ def draws(docs: DataFrame, carry: Sequence[str] = ("doc_id",), mix: Mix = Mix())
     (number of earlier copies), words (words this copy contributes to its shard, from the text's start),
     shard, order (hash that shuffles a shard).
     """
-    rows = materialise(sized(docs, carry, mix), "mix-rows")
+    rows = materialise(sized(docs, carry, mix), "mix-rows", texts="text" in carry)
     buckets = rows.groupBy("skey", "snull", "bucket").agg(F.sum("size").alias("bucket_words"))
     sources = materialise(
         targets(buckets.groupBy("skey", "snull").agg(F.sum("bucket_words").alias("source_size")), mix),

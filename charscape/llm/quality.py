@@ -197,7 +197,7 @@ def nearest(counts: Column, refs: Column, name: str) -> Column:
 
 def judged(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), rules: Rules = Rules()) -> DataFrame:
     """Per document: `doc`, the base counts, base_failed, both distances, kept."""
-    rows = materialise(features(docs, carry), "quality")
+    rows = materialise(features(docs, carry), "quality", texts="text" in carry)
     refs = F.col("refs")
     scored = rows.withColumns({
         "refs": references(rows), "others": other_references(rows, rules.language_rows),
