@@ -2,6 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all documents that the stage before kept. All but
 the last return the columns of `documents`; each result is written to the shared folder and read again.
+What a stage has written besides, and its input, is deleted as soon as its result is there.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from charscape.llm import bpe, minhash, mixing, quality, suffix
-from charscape.llm.common import materialise, table
+from charscape.llm.common import discard, scratch, table
 from charscape.llm.queries import tokenizer_path
+from charscape.sources.workspace import new_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +61,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from the documents of a folder."""
     docs = table(spark, sf_dir, "documents")
+    last = None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = new_path(spark, f"pipeline-{name}")
+        with scratch(spark):
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(path)
+        discard(last)
+        docs = last = spark.read.schema(result.schema).parquet(path)
     return docs
