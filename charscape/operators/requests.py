@@ -71,7 +71,14 @@ def area_cells(requests: DataFrame, cell: float = AREA_CELL) -> DataFrame:
     cells = boxes.withColumn(
         "area_x", areas.span(F.col("box_minx"), F.col("box_maxx"), cell)
     ).withColumn("area_y", areas.span(F.col("box_miny"), F.col("box_maxy"), cell))
-    return cells.withColumn(AREA, areas.curve(F.col("area_x"), F.col("area_y")))
+    return cells
+
+
+def in_storage_areas(cells: DataFrame) -> DataFrame:
+    """One row for each storage area that can hold a cell's observations: of every level, as a table has
+    areas of those levels that its writes have chosen."""
+    place = areas.curve(F.col("area_x"), F.col("area_y"))
+    return cells.withColumn(AREA, F.explode(areas.storage_areas(place)))
 
 
 @dataclass(frozen=True)
@@ -141,7 +148,12 @@ def job_observations(
     # The comparison always holds; it tells the planner that the jobs are worth pruning by.
     cells = area_cells(ready, cell).where(F.col("box_minx") <= F.col("box_maxx"))
     found = reach(ready, cell)
-    if found.cells <= limit:
+    number, places = found.cells, ["area_x", "area_y"]
+    if AREA in observations.columns and cell == AREA_CELL:
+        cells, number, places = in_storage_areas(cells), number * len(areas.LEVELS), [AREA, *places]
+    else:
+        observations = observations.drop(AREA)
+    if number <= limit:
         cells = F.broadcast(cells)
     near = within_reach(observations, found)
     own_scenes = scenes is not None and set(JOB) <= set(scenes.columns)
@@ -150,11 +162,6 @@ def job_observations(
     keyed = near.where(F.col("band").isin(SWIR_BAND, NIR_BAND)).withColumns(
         {"area_x": areas.cell_of(F.col("x"), cell), "area_y": areas.cell_of(F.col("y"), cell)}
     )
-    places = ["area_x", "area_y"]
-    if AREA in keyed.columns and cell == AREA_CELL:
-        places = [AREA, *places]
-    else:
-        keyed, cells = keyed.drop(AREA), cells.drop(AREA)
     ts = F.col("ts")
     pre, post = pre_window(), post_window()
     read = hull(pre, post).contains(ts) & (pre.contains(ts) | post.contains(ts))

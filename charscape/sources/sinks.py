@@ -17,17 +17,30 @@ from charscape.sources import readers
 
 # Tiles that are written together.
 TILE_BLOCK = 256
+# Folders of observations that one write makes, about: areas are as large as this takes.
+FOLDERS = 2048
 
 
-def write_observations(observations: DataFrame, path: str) -> None:
+def _area_level(keyed: DataFrame, folders: int) -> int:
+    """The smallest areas with which a table has at most so many folders, by one aggregate of fixed size."""
+    counts = keyed.agg(*[
+        F.approx_count_distinct(F.struct("band", MONTH, areas.storage_area(F.col("_place"), level))).alias(str(level))
+        for level in areas.LEVELS
+    ]).first()
+    return next((level for level in areas.LEVELS if counts[str(level)] <= folders), areas.LEVELS[-1])
+
+
+def write_observations(observations: DataFrame, path: str, folders: int = FOLDERS) -> None:
     """Folders by band, month and area; within them clustered by tile, so that box, tile and time filters
-    skip folders and files. Small folders are written together and a crowded one is split, by the sizes
-    that the shuffle reports."""
+    skip folders and files. Areas grow with the region that is written, so that the number of folders does not.
+    Small folders are written together and a crowded one is split, by the sizes that the shuffle reports."""
+    keyed = observations.withColumns({
+        MONTH: F.date_format("ts", "yyyy-MM"),
+        "_place": areas.place(F.col("x"), F.col("y")),
+    })
     (
-        observations.withColumns({
-            MONTH: F.date_format("ts", "yyyy-MM"),
-            AREA: areas.storage_area(F.col("x"), F.col("y")),
-        })
+        keyed.withColumn(AREA, areas.storage_area(F.col("_place"), _area_level(keyed, folders)))
+        .drop("_place")
         .hint("rebalance", "band", MONTH, AREA)
         .sortWithinPartitions("band", MONTH, AREA, "tile_id", "row", "col")
         .write.mode("append")

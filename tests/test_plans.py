@@ -359,6 +359,30 @@ def test_distant_fires_read_only_their_areas(spark):
         readers.read_observations(spark, path).agg(F.sum("value")).collect()
 
 
+def test_observations_make_a_bounded_number_of_folders(spark):
+    """A wide region is stored in larger areas; jobs read it together with small areas of another write."""
+    path = new_path(spark, "observations")
+    spots = spark.range(24 * 24).select(
+        F.lit("s").alias("scene_id"), F.lit("2023-03-01").cast("timestamp_ntz").alias("ts"),
+        F.explode(F.array(F.lit("B8A"), F.lit("B12"))).alias("band"), F.lit(0).cast("long").alias("tile_id"),
+        F.expr("id div 24").alias("row"), (F.col("id") % 24).alias("col"),
+        (10.0 + F.col("id") % 24 * 0.125).alias("x"), (50.0 + F.expr("id div 24") * 0.125).alias("y"),
+        F.lit(1.0).alias("value"))
+    folder = F.substring_index(F.col("_metadata.file_path"), "/part-", 1)
+    sinks.write_observations(spots, path, folders=30)
+    assert 2 < readers.read_observations(spark, path).select(folder).distinct().count() <= 30
+    sinks.write_observations(spots, path)
+    assert readers.read_observations(spark, path).select(folder).distinct().count() > 72
+    asked = spark.createDataFrame(
+        [request("sw", box(10.1, 50.1, 10.3, 50.3)), request("ne", box(12.6, 52.6, 12.8, 52.8))], REQUESTS)
+    found = job_observations(readers.read_observations(spark, path), check_requests(asked))
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.groupBy("job_id", "band", "row", "col").count().collect()
+    assert {(r["job_id"], r["row"], r["col"]) for r in rows} == {
+        *(("sw", r, c) for r in (1, 2) for c in (1, 2)), *(("ne", r, c) for r in (21, 22) for c in (21, 22))}
+    assert len(rows) == 16 and {r["count"] for r in rows} == {2}
+
+
 def test_each_job_reads_its_own_scenes(spark, requests, observations):
     """Two footprints, each over one of the jobs, and one of another collection."""
     table = spark.createDataFrame(
