@@ -194,17 +194,20 @@ def edge_meets_box(
 ) -> Column:
     """Segment against box by separating axes: x, y and the segment's normal.
 
-    An open box needs a piece of the segment inside; a closed one is met by contact.
+    An open box needs a piece of the segment inside; a closed one is met by contact. The corners' sides of the
+    segment are compared as they are: a box that touches by a corner meets if that corner's own side says so.
     """
-    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-    offset = ((minx + maxx) / 2 - e["x1"]) * dy - ((miny + maxy) / 2 - e["y1"]) * dx
-    reach = ((maxx - minx) * F.abs(dy) + (maxy - miny) * F.abs(dx)) / 2
+    sides = [
+        (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
+        for x in (minx, maxx) for y in (miny, maxy)
+    ]
     pairs = (
         (F.least(e["x1"], e["x2"]), maxx),
         (minx, F.greatest(e["x1"], e["x2"])),
         (F.least(e["y1"], e["y2"]), maxy),
         (miny, F.greatest(e["y1"], e["y2"])),
-        (F.abs(offset), reach),
+        (F.least(*sides), F.lit(0.0)),
+        (F.lit(0.0), F.greatest(*sides)),
     )
     return all_of([low <= high if closed else low < high for low, high in pairs])
 

@@ -303,3 +303,30 @@ def test_rings_that_touch_or_repeat(spark):
     grid = spark.range(36).select(F.expr("id div 6").alias("row"), (F.col("id") % 6).alias("col"))
     assert spatial.zone_pixel_join(grid, twice, all_touched=False, cell=4).count() == 0
     assert area_of(spark, [square(0, 0, 4.0), [(1.0, 1.0), (1.0, 1.0)]]) == 16
+
+
+def test_contact_of_box_and_triangle_follows_the_sides_of_the_corners(spark):
+    """Boxes of 120 places and triangles of 40 others that touch or miss by the last bit."""
+    keys = [1307, 153, 155, 459, 863, 962, 963, 787, *range(1, 33)]
+    areas, boxes = [], []
+    for k in keys:
+        x, y = -120.0 + k % 37 * 0.21, 32.0 + k * 7 % 41 * 0.17
+        areas.append((k, [[(x, y), (x + 0.8, y + 0.3), (x + 0.2, y + 0.9), (x, y)]], x, y, x + 0.8, y + 0.9))
+    for k in range(120):
+        x, y = -120.0 + k % 40 * 0.1, 33.0 + k % 30 * 0.1
+        boxes.append((k, x, y, x + 0.2, y + 0.2))
+
+    def meets(area, box) -> bool:
+        (_, rings, *bounds), (_, minx, miny, maxx, maxy) = area, box
+        if minx > bounds[2] or maxx < bounds[0] or miny > bounds[3] or maxy < bounds[1]:
+            return False
+        return all(
+            max((bx - ax) * (y - ay) - (by - ay) * (x - ax) for x in (minx, maxx) for y in (miny, maxy)) >= 0
+            for (ax, ay), (bx, by) in zip(rings[0], rings[0][1:], strict=False))
+
+    bounds = "minx double, miny double, maxx double, maxy double"
+    found = scenes.meeting_pairs(
+        spark.createDataFrame(boxes, f"box long, {bounds}"),
+        spark.createDataFrame(areas, f"area long, rings array<array<struct<x:double,y:double>>>, {bounds}"), ["area"])
+    assert {(r["area"], r["box"]) for r in found.collect()} == {
+        (a[0], b[0]) for a in areas for b in boxes if meets(a, b)}
