@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from charscape.llm.common import SPACE, WORD, bind, materialise
+from charscape.llm.common import SPACE, WORD, bind, discard, materialise
 
 BUCKET_DIGITS = 3
 STEP = 2_147_483_647  # prime above every block count, so that a step permutes the blocks
@@ -139,9 +139,13 @@ def uniform(*parts: Column) -> Column:
 
 
 def split(quotas: DataFrame, shards: int, seed: str) -> DataFrame:
-    """The splitting tree. `quotas`: one row, array `quota` by place. Rows: `shard`, `quota`."""
+    """The splitting tree. `quotas`: one row, array `quota` by place. Rows: `shard`, `quota`.
+
+    Every level is written before the next: nested in one plan, they would be planned again and again.
+    """
     nodes = quotas.select(
         F.lit(0).alias("low"), F.lit(shards).alias("high"), F.col("quota"))
+    last = None
     for level in range(math.ceil(math.log2(shards)) if shards > 1 else 0):
         middle = F.expr("(low + high + 1) div 2").cast("int")
 
@@ -169,6 +173,9 @@ def split(quotas: DataFrame, shards: int, seed: str) -> DataFrame:
                 F.struct(F.col("middle").alias("low"), F.col("high"),
                          F.zip_with("quota", "left", lambda q, x: q - x).alias("quota")),
             ))).alias("n")).select("n.*")
+        nodes = materialise(nodes, "mix-nodes")
+        discard(last)
+        last = nodes
     return nodes.select(F.col("low").alias("shard"), "quota")
 
 
@@ -180,7 +187,8 @@ def draws(docs: DataFrame, carry: Sequence[str] = ("doc_id",), mix: Mix = Mix())
     shard, order (hash that shuffles a shard).
     """
     rows = materialise(sized(docs, carry, mix), "mix-rows", texts="text" in carry)
-    buckets = rows.groupBy("skey", "snull", "bucket").agg(F.sum("size").alias("bucket_words"))
+    buckets = materialise(
+        rows.groupBy("skey", "snull", "bucket").agg(F.sum("size").alias("bucket_words")), "mix-buckets")
     sources = materialise(
         targets(buckets.groupBy("skey", "snull").agg(F.sum("bucket_words").alias("source_size")), mix),
         "mix-targets",
@@ -193,7 +201,7 @@ def draws(docs: DataFrame, carry: Sequence[str] = ("doc_id",), mix: Mix = Mix())
     quotas = sources.select(F.struct("place", blocks.alias("n")).alias("q")).agg(
         F.transform(F.sort_array(F.collect_list("q")), lambda q: q["n"]).alias("quota"))
     # Each shard's blocks of each source: consecutive ranks of the source's permuted blocks.
-    share = (
+    share = materialise(
         split(quotas, shards, mix.seed)
         .select("shard", F.posexplode("quota").alias("place", "n"))
         .withColumn("first", F.sum("n").over(
@@ -203,16 +211,18 @@ def draws(docs: DataFrame, carry: Sequence[str] = ("doc_id",), mix: Mix = Mix())
         .where("n > 0")
         .withColumn("rank", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)))
         .select(F.col("place").cast("long").alias("place"), "shard",
-                F.expr(f"(rank * {STEP}L + 7) % n_blocks").alias("block"))
+                F.expr(f"(rank * {STEP}L + 7) % n_blocks").alias("block")),
+        "mix-share",
     )
 
-    offsets = (
+    offsets = materialise(
         buckets.join(sources.select("skey", "snull", "place", "source_size", "target"),
                      ["skey", "snull"])
         .withColumn("bucket_start", F.sum("bucket_words").over(
             Window.partitionBy("skey", "snull").orderBy("bucket")
             .rowsBetween(Window.unboundedPreceding, 0)) - F.col("bucket_words"))
-        .drop("bucket_words")
+        .drop("bucket_words"),
+        "mix-offsets",
     )
     inside = Window.partitionBy("skey", "snull", "bucket").orderBy("key", "size", "tie")
     start = F.col("bucket_start") + F.col("before")

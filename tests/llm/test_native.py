@@ -136,6 +136,15 @@ def test_the_mix_comes_through_the_leaves(spark, monkeypatch):
     assert total() == 0
 
 
+def test_the_plan_does_not_grow_with_the_shards(spark):
+    """The levels of the splitting tree are written one by one, and the join behind plans none of them."""
+    docs = documents(spark, [(i, prose(i, 20 + i % 60), "en", f"s{i % 5}", 1) for i in range(100)])
+    one, many = (mixing.draws(docs, ("doc_id",), mixing.Mix(block_words=64, shard_words=n)) for n in (1 << 30, 500))
+    assert many.agg(F.max("shard")).first()[0] > 6
+    sizes = [len(d._jdf.queryExecution().optimizedPlan().toString()) for d in (one, many)]
+    assert sizes[1] < 1.1 * sizes[0] and "log" not in many._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_mixed_documents(spark):
     docs = documents(spark, awkward())
     mixed = mixing.mixed(docs, docs.columns)
