@@ -8,8 +8,9 @@
    full sets: first the one that shares most buckets with others, which is the original where others are
    its copies with changes. Nodes linked to it leave the bucket; by the triangle inequality of the Jaccard distance
    they can only be linked further to nodes at a middling distance from the pivot, and they are compared
-   with those that share enough of the elements in which they differ from it (`likely`). What is left of a bucket gets twice as many pivots in the next round. Pairs that
-   are already connected, and pairs whose set sizes exclude a link, are never compared.
+   with those that share enough of the elements in which they differ from it (`likely`). What is left of a bucket gets twice as many pivots in the next round.
+   A bucket in which no pivot finds a link is settled at once: of the nodes that are not linked to its first
+   pivot, those are compared that share enough of what they differ in from it (`likely_apart`).
 4. Links are grouped by union-find inside tasks, then across them.
 
 With 40 bands of 5 rows, a pair at the similarity limit of 0.8 misses all buckets with a probability
@@ -286,6 +287,26 @@ def likely(parted: DataFrame, limit: float) -> DataFrame:
     ).select("a", "b").where("a <> b").distinct()
 
 
+def likely_apart(parted: DataFrame) -> DataFrame:
+    """(a, b) of all nodes that are not linked to a pivot and can be linked to each other.
+
+    With A, B as above, a link takes |A and B| >= h(a) + h(b), where h(a) = (|A| - c * |a|) / 2 and
+    c = limit / (2 - limit); as neither is linked to the pivot p, each h exceeds c * |p| / 2, and `least` is
+    h(a) + c * |p| / 2. Elements are ordered by the number of nodes that have them, so that copies with changes
+    of their own, which share what they lack of the pivot, are joined by rare elements only.
+    """
+    sided = parted.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "size", "h", "least", "element")
+    counts = sided.groupBy("pivot", "element").agg(F.count("*").alias("nodes"))
+    place = F.row_number().over(Window.partitionBy("pivot", "node").orderBy("nodes", "element"))
+    placed = sided.join(counts, ["pivot", "element"]).withColumn("rest", F.col("size") - place + 1).where(
+        (F.col("nodes") > 1) & (F.col("rest") >= F.col("least") - 1e-6))
+    x, y = (placed.select("pivot", "element", F.col("node").alias(n), F.col("rest").alias(f"{n}_rest"),
+                          F.col("h").alias(f"{n}_h")) for n in ("a", "b"))
+    return x.join(y, ["pivot", "element"]).where(
+        (F.col("a") < F.col("b")) & (F.least("a_rest", "b_rest") >= F.col("a_h") + F.col("b_h") - 1e-6)
+    ).select("a", "b").distinct()
+
+
 def linked_nodes(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame | None:
     """(node, root) of all nodes with links; None without any candidate."""
     limit = 1 - settings.percent / 100
@@ -315,20 +336,23 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataF
         drawn = F.pmod(F.xxhash64("node", "band"), F.lit(1 << 40)) < chance * float(1 << 40)
         work = materialise(
             placed.join(open_buckets, "band")
-            .withColumn("is_pivot", (F.col("node") == F.col("first")) | drawn)
-            .select("band", "node", "n_shingles", "central", "root", "is_pivot"), "minhash-work")
+            .withColumn("is_first", F.col("node") == F.col("first"))
+            .withColumn("is_pivot", F.col("is_first") | drawn)
+            .select("band", "node", "n_shingles", "central", "root", "is_pivot", "is_first"), "minhash-work")
         discard(active)
         if work.isEmpty():
             discard(work)
             break
         pivot = work.where("is_pivot").select(
             "band", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"),
-            F.col("n_shingles").alias("pivot_n"))
-        # Sizes bound the distance from below; beyond twice the limit nothing depends on it.
+            F.col("n_shingles").alias("pivot_n"), "is_first")
+        # The first pivot meets all. For the others, sizes bound the distance from below; beyond twice the
+        # limit nothing depends on it.
         near = F.least("n_shingles", "pivot_n") >= (1 - 2 * limit - 1e-9) * F.greatest(
             "n_shingles", "pivot_n")
-        meets = work.join(pivot, "band").where(
-            (F.col("node") != F.col("pivot")) & (F.col("root") != F.col("pivot_root")) & near
+        meets = work.drop("is_first").join(pivot, "band").where(
+            (F.col("node") != F.col("pivot"))
+            & (F.col("is_first") | ((F.col("root") != F.col("pivot_root")) & near))
             & (~F.col("is_pivot") | (F.col("node") > F.col("pivot"))))
         measured = materialise(compared(
             meets.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), sets,
@@ -337,14 +361,31 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataF
         new = measured.where("linked").select("a", "b")
         left = work.where(~F.col("is_pivot")).select("band", "node", "n_shingles", "central")
         pivots_each *= 2
-        if new.isEmpty():  # nothing has changed but that the pivots are done
-            active = materialise(left, "minhash-buckets")
-            discard(work, measured)
-            continue
+        # Buckets in which no pivot has a link are settled by the differences from their first pivot.
+        met_pairs = meets.select("band", F.col("pivot").alias("a"), F.col("node").alias("b"), "is_first",
+                                 "is_pivot", "n_shingles", (F.col("root") != F.col("pivot_root")).alias("apart"))
+        noisy = met_pairs.where("apart").join(new, ["a", "b"], "left_semi").select("band").distinct()
+        quiet = met_pairs.where("is_first and not is_pivot").join(noisy, "band", "left_anti").join(
+            measured.where("not linked"), ["a", "b"])
+        c, n = limit / (2 - limit), F.col("n_shingles")
+        h = (F.col("union") - F.col("shared") - c * n) / 2
+        quiet = materialise(quiet.select(
+            "a", "b", (F.col("union") - F.col("shared")).alias("size"), h.alias("h"),
+            (h + c * (F.col("union") + F.col("shared") - n) / 2).alias("least")).distinct(), "minhash-quiet")
+        crowd = quiet.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+        apart = materialise(differences(quiet.join(crowd, "a", "left_semi"), sets), "minhash-differences")
+        settled = materialise(compared(likely_apart(apart), sets).where(
+            100 * F.col("shared") >= settings.percent * F.col("union")).select("a", "b"), "minhash-settled")
+        discard(quiet, apart)
+        left = left.join(noisy, "band", "left_semi")
+        new = new.unionByName(settled)
+        if new.isEmpty():
+            discard(work, measured, settled)
+            break
         old = links, roots
         links = materialise(new if links is None else links.unionByName(new), "minhash-links")
         roots = materialise(graph.components(links), "minhash-roots")
-        discard(*old)
+        discard(*old, settled)
 
         # Nodes at a middling distance of a pivot that are still not connected to it, and its linked nodes.
         known = roots.select(F.col("node").alias("key"), "root")

@@ -107,6 +107,37 @@ def test_likely_pairs_lose_no_link(spark):
     assert len(got) < len(near) * len(far) / 50
 
 
+def test_far_copies_are_not_compared_with_each_other(spark, monkeypatch):
+    """Copies below the limit from their original share buckets without links, but for eight families of four."""
+    rnd, rows = random.Random(7), []
+    base = [f"v{i}" for i in range(400)]
+
+    def changed(words: list[str], n: int) -> list[str]:
+        words = list(words)
+        for at in rnd.sample(range(len(words)), n):
+            words[at] = f"u{rnd.randrange(10 ** 9)}"
+        return words
+
+    rows.append((0, " ".join(base), "en", "a", 1))
+    for i in range(1, 129):
+        rows.append((i, " ".join(changed(base, 36)), "en", "a", 1))
+    for i in range(8):
+        middle = changed(base, 36)
+        rows += [(129 + 4 * i + k, " ".join(changed(middle, 8)), "en", "a", 1) for k in range(4)]
+    compared, pairs = minhash.compared, []
+
+    def counted(wanted, sets):
+        pairs.append(wanted.count())
+        return compared(wanted, sets)
+
+    monkeypatch.setattr(minhash, "compared", counted)
+    got = minhash.groups(documents(spark, rows), minhash.Settings(words=2)).collect()
+    want = components([shingles(r[1], 2) for r in rows])
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want))
+    assert len(set(want[129:])) == 8
+    assert sum(pairs) < 10 * len(rows)
+
+
 def test_no_links_and_no_rows(spark):
     assert minhash.groups(spark.createDataFrame([], SCHEMA)).count() == 0
     alone = minhash.groups(documents(spark, [(1, "a b c", "", "", 1), (2, "d e f", "", "", 1)])).collect()
