@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from charscape import constants as C
 from charscape.functions import geojson, naming
 from charscape.functions.geometry import all_of, bounds_overlap
+from charscape.functions.staging import stage
 from charscape.functions.timeparse import interval_text, parse_interval
 from charscape.schemas import ASSET, ITEMS, LINK
 
@@ -210,7 +211,8 @@ def validate_items(items: DataFrame) -> DataFrame:
         .when(assets_bad, "asset without href")
         .when(links_bad, "link without rel or href")
     )
-    return items.withColumn("reason", reason).withColumn("is_valid", F.col("reason").isNull())
+    # Computed once: merged into the filters behind, it would build every column of an item again for each use.
+    return stage(items, {"reason": reason}).withColumn("is_valid", F.col("reason").isNull())
 
 
 # --- searching ----------------------------------------------------------------------------

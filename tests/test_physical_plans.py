@@ -123,6 +123,13 @@ def test_item_search_prunes_partitions_and_pushes_filters(spark):
     assert found.count() > 0
 
 
+def test_items_are_validated_once(spark):
+    """The filter on valid items does not repeat the checks, nor the building of what they look at."""
+    built = catalog.boundary_items(queries.job_rows(spark, SF), "https://catalog.example")
+    good = catalog.validate_items(built).where("is_valid").select(*built.columns)
+    assert good._jdf.queryExecution().optimizedPlan().toString().lower().count("bbox inverted") == 1
+
+
 def test_observation_scan_prunes_bands_and_pushes_the_box(spark):
     path = new_path(spark, "observations")
     sinks.write_observations(
