@@ -34,34 +34,40 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[moved], names[root[moved]]
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, at_once: int = CHUNK) -> DataFrame:
     """(node, root) of all nodes in links (a, b): root is the component's least node.
 
-    Tasks first shrink their links to trees by union-find. Then, in rounds, every node's neighbours
+    Tasks first shrink their links to trees by union-find. If at most `at_once` links are left, which is a few MB,
+    one task joins these trees. Else, in rounds, every node's neighbours
     are attached to the least one around it, larger and smaller neighbours in turn, until each
     component is a star. A node's neighbours are only ever reduced to a minimum, never gathered.
     """
 
-    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shrink(batches: Iterator[pa.RecordBatch], last: bool = False) -> Iterator[pa.RecordBatch]:
+        names = ("node", "root") if last else ("a", "b")
         a, b, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
             child, root = _forest(np.concatenate(a), np.concatenate(b))
-            return pa.RecordBatch.from_pydict({"a": child, "b": root})
+            if last:
+                own = np.unique(root)
+                child, root = np.concatenate([child, own]), np.concatenate([root, own])
+            return pa.RecordBatch.from_pydict({names[0]: child, names[1]: root})
 
         for batch in batches:
             a.append(batch["a"].to_numpy())
             b.append(batch["b"].to_numpy())
             held += batch.num_rows
-            if held >= CHUNK:
+            if held >= CHUNK and not last:
                 yield flush()
                 a, b, held = [], [], 0
         if held:
             yield flush()
 
     # In every row, b is smaller than a.
-    edges = materialise(links.where("a <> b").select("a", "b").mapInArrow(shrink, "a long, b long")
-                        .distinct(), "components")
+    edges = materialise(links.where("a <> b").select("a", "b").mapInArrow(shrink, "a long, b long"), "components")
+    if edges.count() <= at_once:
+        return edges.coalesce(1).mapInArrow(lambda batches: shrink(batches, True), "node long, root long")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))

@@ -8,9 +8,10 @@
    full sets: first the one that shares most buckets with others, which is the original where others are
    its copies with changes. Nodes linked to it leave the bucket; by the triangle inequality of the Jaccard distance
    they can only be linked further to nodes at a middling distance from the pivot, and they are compared
-   with those that share enough of the elements in which they differ from it (`likely`). What is left of a bucket gets twice as many pivots in the next round.
+   with those that share enough of the elements in which they differ from it (`around`). What is left of a
+   bucket gets twice as many pivots in the next round.
    A bucket in which no pivot finds a link is settled at once: of the nodes that are not linked to its first
-   pivot, those are compared that share enough of what they differ in from it (`likely_apart`).
+   pivot, those are compared that share enough of what they differ in from it (`beyond`).
 4. Links are grouped by union-find inside tasks, then across them.
 
 With 40 bands of 5 rows, a pair at the similarity limit of 0.8 misses all buckets with a probability
@@ -213,103 +214,129 @@ def node_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFra
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b and the exact sizes of intersection and union of their sets."""
+    """a, b, the exact sizes of intersection and union of their sets, and the size of b's. If pairs have a `reach`, also `only`: the
+    elements that one of the sets has, for pairs at no larger distance, else NULL."""
+    reaching = [c for c in pairs.columns if c == "reach"]
 
     @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared, union = [], []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
+            reach = batch["reach"].to_pylist() if reaching else []
+            shared, union, sizes, only = [], [], [], []
+            for i, (x, y) in enumerate(zip(batch["x"], batch["y"], strict=True)):
                 p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                shared.append(both)
-                union.append(len(p) + len(q) - both)
+                apart = np.setxor1d(p, q, assume_unique=True)
+                shared.append((len(p) + len(q) - len(apart)) // 2)
+                union.append(shared[-1] + len(apart))
+                sizes.append(len(q))
+                if reaching:
+                    only.append(apart.tobytes() if len(apart) <= reach[i] * union[-1] else None)
             yield pa.RecordBatch.from_pydict({
                 "a": batch["a"], "b": batch["b"], "shared": pa.array(shared, pa.int64()),
-                "union": pa.array(union, pa.int64())})
+                "union": pa.array(union, pa.int64()),
+                "b_size": pa.array(sizes, pa.int64()),
+                **({"only": pa.array(only, pa.binary())} if reaching else {})})
 
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(
-        compare, "a long, b long, shared long, union long")
+    return pairs.select("a", "b", *reaching).join(left, "a").join(right, "b").mapInArrow(
+        compare, "a long, b long, shared long, union long, b_size long" + (", only binary" if reaching else ""))
 
 
-def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs with all their columns, once for every `element` that only one of the sets of a and b has."""
-    columns = [c for c in pairs.columns if c not in ("a", "b")]
+def spread(pairs: DataFrame) -> DataFrame:
+    """The pairs with all their columns but `only`, once for every `element` of it."""
+    schema = pairs.drop("only").schema
 
     @tidy
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            facts = batch.drop_columns(["x", "y"])
+            facts = batch.drop_columns(["only"])
             rows, found, held = [], [], 0
-            for i, (x, y) in enumerate(zip(batch["x"], batch["y"], strict=True)):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                only = np.setxor1d(p, q, assume_unique=True)
-                rows.append(np.full(len(only), i))
-                found.append(only.view(np.int64))
-                held += len(only)
+            for i, only in enumerate(batch["only"]):
+                elements = np.frombuffer(only.as_buffer(), np.int64)
+                rows.append(np.full(len(elements), i))
+                found.append(elements)
+                held += len(elements)
                 if held >= ELEMENTS or i == batch.num_rows - 1:
                     yield facts.take(pa.array(np.concatenate(rows))).append_column(
                         "element", pa.array(np.concatenate(found)))
                     rows, found, held = [], [], 0
 
-    left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", *columns, "x", "y")
-    return joined.mapInArrow(part, pairs.select("a", "b", *columns).schema.add("element", "long"))
+    return pairs.select(*schema.names, "only").mapInArrow(part, schema.add("element", "long"))
 
 
-def likely(parted: DataFrame, limit: float) -> DataFrame:
-    """(a, b) of all nodes a linked to a pivot and b at a middling distance from it that can be linked.
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs with all their columns, once for every `element` that only one of the sets of a and b has."""
+    parts = compared(pairs.select("a", "b", F.lit(1.0).alias("reach")), sets)
+    return spread(pairs.join(parts.select("a", "b", "only"), ["a", "b"]))
+
 
-    Let A and B be the elements in which a and b differ from the pivot; a and b differ in those that are in
-    one of A and B. As b exceeds the limit with the pivot by `excess` elements, a link with a takes
-    (2 - limit) * |A and B| >= excess + (1 - limit) * |A|, so A and B must overlap: what the pivot's
-    copies have in common with the pivot does not count. Elements are ordered by the number of
-    pairs they make; common ones cannot be more than those from the first one on, in either set.
+def around(pairs: DataFrame, limit: float) -> DataFrame:
+    """What `sharing` needs to find links between nodes b that are linked to a pivot a and those at a middling
+    distance from it.
+
+    Let A and B be the elements in which a linked node and another one differ from the pivot; the two differ in
+    those that are in one of A and B. As the other exceeds the limit with the pivot by `excess` elements, a link
+    takes (2 - limit) * |A and B| >= excess + (1 - limit) * |A|: what the pivot's copies have in common with the
+    pivot does not count.
     """
-    sided = parted.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "linked", "size", "excess",
-                          "element")
-    counts = sided.groupBy("pivot", "element").agg(
-        (F.count_if("linked") * F.count_if(~F.col("linked"))).alias("pairs"))
-    place = F.row_number().over(Window.partitionBy("pivot", "node").orderBy("pairs", "element"))
-    # `rest`: elements from this one on.
-    placed = sided.join(counts, ["pivot", "element"]).withColumn(
-        "rest", F.col("size") - place + 1).where("pairs > 0")
-    x = placed.where(F.col("linked") & ((2 - limit) * F.col("rest") >= (1 - limit) * F.col("size"))).select(
-        "pivot", "element", F.col("node").alias("a"), F.col("rest").alias("a_rest"),
-        ((1 - limit) * F.col("size")).alias("a_least"))
-    y = placed.where(~F.col("linked") & (F.col("rest") >= F.col("excess") - 1e-6)).select(
-        "pivot", "element", F.col("node").alias("b"), F.col("rest").alias("b_rest"), "excess")
-    return x.join(y, ["pivot", "element"]).where(
-        (2 - limit) * F.least("a_rest", "b_rest") >= F.col("a_least") + F.col("excess") - 1e-6
-    ).select("a", "b").where("a <> b").distinct()
+    need = F.when(F.col("linked"), (1 - limit) * F.col("size")).otherwise(F.col("excess")) / (2 - limit)
+    return pairs.withColumns({
+        "apart": F.lit(False), "left": F.col("linked"), "right": ~F.col("linked"), "need": need,
+        "least": F.when(F.col("linked"), need).otherwise(F.col("excess"))})
 
 
-def likely_apart(parted: DataFrame) -> DataFrame:
-    """(a, b) of all nodes that are not linked to a pivot and can be linked to each other.
+def beyond(pairs: DataFrame, limit: float) -> DataFrame:
+    """What `sharing` needs to find links among nodes b that are not linked to a pivot a.
 
     With A, B as above, a link takes |A and B| >= h(a) + h(b), where h(a) = (|A| - c * |a|) / 2 and
-    c = limit / (2 - limit); as neither is linked to the pivot p, each h exceeds c * |p| / 2, and `least` is
-    h(a) + c * |p| / 2. Elements are ordered by the number of nodes that have them, so that copies with changes
-    of their own, which share what they lack of the pivot, are joined by rare elements only.
+    c = limit / (2 - limit); as neither is linked to the pivot p, each h exceeds c * |p| / 2.
     """
-    sided = parted.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "size", "h", "least", "element")
-    counts = sided.groupBy("pivot", "element").agg(F.count("*").alias("nodes"))
-    place = F.row_number().over(Window.partitionBy("pivot", "node").orderBy("nodes", "element"))
-    placed = sided.join(counts, ["pivot", "element"]).withColumn("rest", F.col("size") - place + 1).where(
-        (F.col("nodes") > 1) & (F.col("rest") >= F.col("least") - 1e-6))
-    x, y = (placed.select("pivot", "element", F.col("node").alias(n), F.col("rest").alias(f"{n}_rest"),
-                          F.col("h").alias(f"{n}_h")) for n in ("a", "b"))
-    return x.join(y, ["pivot", "element"]).where(
-        (F.col("a") < F.col("b")) & (F.least("a_rest", "b_rest") >= F.col("a_h") + F.col("b_h") - 1e-6)
+    c, n = limit / (2 - limit), F.col("b_size")
+    h = (F.col("size") - c * n) / 2
+    # union + shared is the size of both sets.
+    return pairs.withColumns({
+        "apart": F.lit(True), "left": F.lit(True), "right": F.lit(True), "need": h,
+        "least": h + c * (F.col("union") + F.col("shared") - n) / 2})
+
+
+def sharing(parted: DataFrame) -> DataFrame:
+    """(a, b) of all left and right nodes that share as many elements as both need, around one pivot.
+
+    A row is an `element` in which node b differs from pivot a, in `size` elements in all; with any other node, at
+    least `least` must be shared. Elements are ordered by the number of pairs they make, and common ones cannot be
+    more than those from the first one on, in either set: copies with changes of their own, which share what they
+    lack of the pivot, are joined by rare elements only.
+    """
+    sided = parted.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "apart", "left", "right", "size",
+                          "need", "least", "element")
+    key = ["pivot", "apart", "element"]
+    counts = sided.groupBy(*key).agg(
+        (F.count_if("left") * F.count_if("right") - F.count_if(F.col("left") & F.col("right"))).alias("pairs"))
+    place = F.row_number().over(Window.partitionBy("pivot", "apart", "node").orderBy("pairs", "element"))
+    # `rest`: elements from this one on.
+    # Written, as both sides of the join read it.
+    placed = materialise(sided.join(counts, key).withColumn("rest", F.col("size") - place + 1).where(
+        (F.col("pairs") > 0) & (F.col("rest") >= F.col("least") - 1e-6)).select(
+        *key, "node", "left", "right", "rest", "need"), "minhash-placed")
+    x, y = (placed.where(side).select(*key, F.col("node").alias(n), F.col("rest").alias(f"{n}_rest"),
+                                      F.col("need").alias(f"{n}_need"))
+            for n, side in (("a", "left"), ("b", "right")))
+    return x.join(y, key).where(
+        F.when(F.col("apart"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
+        & (F.least("a_rest", "b_rest") >= F.col("a_need") + F.col("b_need") - 1e-6)
     ).select("a", "b").distinct()
 
 
+def likely(parted: DataFrame, limit: float) -> DataFrame:
+    """(a, b) of all nodes a linked to a pivot and b at a middling distance from it that can be linked."""
+    return sharing(around(parted, limit))
+
+
 def linked_nodes(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame | None:
     """(node, root) of all nodes with links; None without any candidate."""
     limit = 1 - settings.percent / 100
+    is_link = 100 * F.col("shared") >= settings.percent * F.col("union")
     members = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
     sizes = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     sizes = materialise(sizes, "minhash-sizes")
@@ -319,9 +346,18 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataF
     discard(sizes)
     wanted = active.select("node").distinct().join(nodes, "node").select("node", "set_key", "rep")
     sets = materialise(node_sets(docs, wanted, settings), "minhash-sets")
-    links: DataFrame | None = None
     roots: DataFrame | None = None
     pivots_each = 1
+
+    def joined(links: DataFrame) -> DataFrame:
+        """The roots after more links; the roots so far stand for all links before."""
+        old = roots
+        if old is not None:
+            links = links.unionByName(old.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        after = materialise(graph.components(links), "minhash-roots")
+        discard(old)
+        return after
+
     while True:
         if roots is None:
             placed = active.withColumn("root", F.col("node"))
@@ -344,81 +380,69 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataF
             discard(work)
             break
         pivot = work.where("is_pivot").select(
-            "band", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"),
+            "band", F.col("node").alias("a"), F.col("root").alias("pivot_root"),
             F.col("n_shingles").alias("pivot_n"), "is_first")
         # The first pivot meets all. For the others, sizes bound the distance from below; beyond twice the
         # limit nothing depends on it.
         near = F.least("n_shingles", "pivot_n") >= (1 - 2 * limit - 1e-9) * F.greatest(
             "n_shingles", "pivot_n")
-        meets = work.drop("is_first").join(pivot, "band").where(
-            (F.col("node") != F.col("pivot"))
+        meets = work.drop("is_first").withColumnRenamed("node", "b").join(pivot, "band").where(
+            (F.col("b") != F.col("a"))
             & (F.col("is_first") | ((F.col("root") != F.col("pivot_root")) & near))
-            & (~F.col("is_pivot") | (F.col("node") > F.col("pivot"))))
-        measured = materialise(compared(
-            meets.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), sets,
-        ).withColumn("distance", 1 - F.col("shared") / F.col("union")).withColumn(
-            "linked", 100 * F.col("shared") >= settings.percent * F.col("union")), "minhash-pairs")
-        new = measured.where("linked").select("a", "b")
-        left = work.where(~F.col("is_pivot")).select("band", "node", "n_shingles", "central")
+            & (~F.col("is_pivot") | (F.col("b") > F.col("a")))
+        ).withColumn("foreign", F.col("root") != F.col("pivot_root"))
+        # What the nodes of a bucket differ in from its first pivot can be needed at any distance.
+        reach = F.when(F.max("is_first"), 1.0).otherwise(2 * limit + 1e-9)
+        measured = materialise(
+            compared(meets.groupBy("a", "b").agg(reach.alias("reach")), sets)
+            .withColumn("size", F.col("union") - F.col("shared")).withColumn("linked", is_link), "minhash-pairs")
+        seen = materialise(
+            meets.select("band", "a", "b", "n_shingles", "central", "is_first", "is_pivot", "foreign")
+            .join(measured.select("a", "b", "linked"), ["a", "b"]), "minhash-seen")
+        discard(work)
         pivots_each *= 2
+        new = measured.where("linked").select("a", "b")
+        linked = not new.isEmpty()
+        if linked:
+            roots = joined(new)
+
         # Buckets in which no pivot has a link are settled by the differences from their first pivot.
-        met_pairs = meets.select("band", F.col("pivot").alias("a"), F.col("node").alias("b"), "is_first",
-                                 "is_pivot", "n_shingles", (F.col("root") != F.col("pivot_root")).alias("apart"))
-        noisy = met_pairs.where("apart").join(new, ["a", "b"], "left_semi").select("band").distinct()
-        quiet = met_pairs.where("is_first and not is_pivot").join(noisy, "band", "left_anti").join(
-            measured.where("not linked"), ["a", "b"])
-        c, n = limit / (2 - limit), F.col("n_shingles")
-        h = (F.col("union") - F.col("shared") - c * n) / 2
-        quiet = materialise(quiet.select(
-            "a", "b", (F.col("union") - F.col("shared")).alias("size"), h.alias("h"),
-            (h + c * (F.col("union") + F.col("shared") - n) / 2).alias("least")).distinct(), "minhash-quiet")
+        noisy = seen.where("foreign and linked").select("band").distinct()
+        quiet = measured.join(seen.where("is_first and not is_pivot and not linked").join(
+            noisy, "band", "left_anti"), ["a", "b"], "left_semi")
         crowd = quiet.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-        apart = materialise(differences(quiet.join(crowd, "a", "left_semi"), sets), "minhash-differences")
-        settled = materialise(compared(likely_apart(apart), sets).where(
-            100 * F.col("shared") >= settings.percent * F.col("union")).select("a", "b"), "minhash-settled")
-        discard(quiet, apart)
-        left = left.join(noisy, "band", "left_semi")
-        new = new.unionByName(settled)
-        if new.isEmpty():
-            discard(work, measured, settled)
-            break
-        old = links, roots
-        links = materialise(new if links is None else links.unionByName(new), "minhash-links")
-        roots = materialise(graph.components(links), "minhash-roots")
-        discard(*old, settled)
-
-        # Nodes at a middling distance of a pivot that are still not connected to it, and its linked nodes.
-        known = roots.select(F.col("node").alias("key"), "root")
-        facts = measured.where(F.col("distance") <= 2 * limit + 1e-9).select(
-            "a", "b", "linked", (F.col("union") - F.col("shared")).alias("size"),
-            (F.col("union") - F.col("shared") - limit * F.col("union")).alias("excess"))
-        middling = (
-            facts.where(~F.col("linked"))
-            .join(known.select(F.col("key").alias("a"), F.col("root").alias("p_root")), "a")
-            .join(known.select(F.col("key").alias("b"), F.col("root").alias("y_root")), "b", "left")
-            .where(F.col("p_root") != F.coalesce("y_root", "b"))
-            .select(*facts.columns)
-        )
-        middling = materialise(middling, "minhash-middling")
+        facts = beyond(quiet.join(crowd, "a", "left_semi"), limit)
+        columns = ["a", "b", "apart", "left", "right", "size", "need", "least", "only"]
+        sided = facts.select(*columns)
+        middling = None
+        if linked:
+            # Nodes at a middling distance of a pivot that are still not connected to it, and its linked nodes.
+            known = roots.select(F.col("node").alias("key"), "root")
+            within = measured.where(F.col("size") <= (2 * limit + 1e-9) * F.col("union")).withColumn(
+                "excess", F.col("size") - limit * F.col("union"))
+            middling = materialise(
+                within.where(~F.col("linked"))
+                .join(known.select(F.col("key").alias("a"), F.col("root").alias("p_root")), "a")
+                .join(known.select(F.col("key").alias("b"), F.col("root").alias("y_root")), "b", "left")
+                .where(F.col("p_root") != F.coalesce("y_root", "b"))
+                .select(*within.columns), "minhash-middling")
+            near_ones = within.where("linked").join(middling.select("a").distinct(), "a", "left_semi")
+            sided = sided.unionByName(around(near_ones.unionByName(middling), limit).select(*columns))
+        sided = materialise(sided, "minhash-differences")
         extra = None
-        if not middling.isEmpty():
-            around = facts.where("linked").join(middling.select("a").distinct(), "a", "left_semi")
-            parted = materialise(differences(around.unionByName(middling), sets), "minhash-differences")
-            extra = materialise(compared(likely(parted, limit), sets).where(
-                100 * F.col("shared") >= settings.percent * F.col("union")).select("a", "b"),
-                "minhash-extra")
-            discard(parted)
-        if extra is not None and not extra.isEmpty():
-            old = links, roots
-            links = materialise(links.unionByName(extra), "minhash-links")
-            roots = materialise(graph.components(links), "minhash-roots")
-            discard(*old)
-        gone = meets.select("band", F.col("pivot").alias("a"), F.col("node").alias("b")).join(
-            measured.where("linked").select("a", "b"), ["a", "b"], "left_semi").select(
-            "band", F.col("b").alias("node"))
-        active = materialise(left.join(gone, ["band", "node"], "left_anti"), "minhash-buckets")
-        discard(work, measured, middling, extra)
-    discard(sets, links)
+        if not sided.isEmpty():
+            found = sharing(spread(sided))
+            extra = materialise(compared(found, sets).where(is_link).select("a", "b"), "minhash-extra")
+            discard(found)
+            if not extra.isEmpty():
+                roots = joined(extra)
+        active = materialise(
+            seen.where("not is_pivot").groupBy("band", F.col("b").alias("node")).agg(
+                F.first("n_shingles").alias("n_shingles"), F.first("central").alias("central"),
+                F.max("linked").alias("gone")).where("not gone").drop("gone")
+            .join(noisy, "band", "left_semi"), "minhash-buckets")
+        discard(measured, seen, middling, sided, extra)
+    discard(sets)
     return roots
 
 

@@ -138,6 +138,44 @@ def test_far_copies_are_not_compared_with_each_other(spark, monkeypatch):
     assert sum(pairs) < 10 * len(rows)
 
 
+def test_a_crowd_of_copies_takes_few_jobs(spark, monkeypatch):
+    """Tables written for a family whose copies are linked only through each other, and the links found."""
+    written = []
+
+    def counted(df, name, texts=False):
+        written.append(name)
+        return materialise(df, name, texts)
+
+    for module in (minhash, graph):
+        monkeypatch.setattr(module, "materialise", counted)
+    rows = family_rows(400)
+    got = minhash.groups(documents(spark, rows), minhash.Settings(words=2)).collect()
+    want = components([shingles(r[1], 2) for r in rows])
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want))
+    rounds = written.count("minhash-pairs")
+    assert rounds and written.count("components") <= 2 * rounds  # of links found, and of those found by them
+    assert len(written) <= 6 + 12 * rounds
+
+
+@pytest.mark.parametrize("at_once", [0, 1 << 18])
+def test_components_of_few_and_of_many_links(spark, at_once):
+    edges = [(i, i + 1) for i in range(0, 90) if i % 30] + [(300, 200 + i) for i in range(40)] + [(5, 5)]
+    table = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    got = {tuple(r) for r in graph.components(table, at_once).collect()}
+    assert got == {(i, i // 30 * 30 + 1) for i in range(91) if i % 30 or i == 30 or i == 60 or i == 90
+                   } - {(30, 31), (60, 61), (90, 91)} | {(30, 1), (60, 31), (90, 61)} | {
+                       (x, 200) for x in [300, *range(200, 240)]}
+
+
+def test_compared_gives_what_sets_differ_in(spark):
+    sets = spark.createDataFrame([(1, np.array([1, 2, 3], np.uint64).tobytes()),
+                                  (2, np.array([2, 3, 4, 5], np.uint64).tobytes())], "node long, elements binary")
+    pairs = spark.createDataFrame([(1, 2, 1.0)], "a long, b long, reach double")
+    row = minhash.compared(pairs, sets).first()
+    assert tuple(row)[:5] == (1, 2, 2, 5, 4) and np.frombuffer(row.only, np.uint64).tolist() == [1, 4, 5]
+    assert minhash.compared(pairs.withColumn("reach", pairs.reach / 2), sets).first().only is None
+
+
 def test_no_links_and_no_rows(spark):
     assert minhash.groups(spark.createDataFrame([], SCHEMA)).count() == 0
     alone = minhash.groups(documents(spark, [(1, "a b c", "", "", 1), (2, "d e f", "", "", 1)])).collect()
