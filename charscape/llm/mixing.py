@@ -184,9 +184,12 @@ def draws(docs: DataFrame, carry: Sequence[str] = ("doc_id",), mix: Mix = Mix())
 
     doc, size, source_size, target; row (unique for the document: source key, bucket, rank); copy
     (number of earlier copies), words (words this copy contributes to its shard, from the text's start),
-    shard, order (hash that shuffles a shard).
+    shard, order (hash that shuffles a shard). Documents are read twice, to size the buckets and to place them, if
+    they are carried with their texts, which are not stored once more.
     """
-    rows = materialise(sized(docs, carry, mix), "mix-rows", texts="text" in carry)
+    rows = sized(docs, carry, mix)
+    if "text" not in carry:
+        rows = materialise(rows, "mix-rows")
     buckets = materialise(
         rows.groupBy("skey", "snull", "bucket").agg(F.sum("size").alias("bucket_words")), "mix-buckets")
     sources = materialise(

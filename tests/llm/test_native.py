@@ -177,3 +177,16 @@ def test_hypergeometric_moments(spark):
 
 def test_order_key_is_documented():
     assert hashlib.md5(b"mix:7").hexdigest()[:3]
+
+
+def test_texts_are_not_stored_once_more(spark, monkeypatch):
+    kept, written = mixing.materialise, []
+
+    def noted(df, *rest, **more):
+        written.append(df.schema.simpleString())
+        return kept(df, *rest, **more)
+
+    monkeypatch.setattr(mixing, "materialise", noted)
+    docs = documents(spark, [(i, prose(i, 90), "en", "a", 1) for i in range(50)])
+    assert mixing.mixed(docs, docs.columns).count() > 0 and written
+    assert not any("text:" in schema for schema in written)
