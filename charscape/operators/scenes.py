@@ -16,6 +16,13 @@ from charscape.operators.sizing import BROADCAST_ROWS
 
 # Side of the cells in which footprints and areas meet, about the size of a footprint.
 FOOTPRINT_CELL = 1.0
+# Footprints of one shape in a list at most, and tasks that they are spread over; keys of areas of one shape in a list.
+# Spark holds what two lists make until it is passed on.
+LISTED = 256
+SPREAD = 64
+LISTED_KEYS = 64
+# Keys in a list that take the room of a row in a broadcast.
+_KEYS_A_ROW = 8
 
 
 def bbox_of(points: list[tuple[float, float]]) -> tuple[float, float, float, float]:
@@ -65,13 +72,32 @@ def _in_cells(df: DataFrame, prefix: str, cell: float) -> DataFrame:
     return df
 
 
-def cover_size(areas: DataFrame, cell: float) -> float:
-    """How many cells the bounding boxes of a table reach."""
+def _listed(df: DataFrame, values: Sequence[str], name: str, at_most: int) -> DataFrame:
+    """One row for each shape, which all other columns make up, with a list of its values.
+
+    Every row stands in one list, and a list has at most so many; a shape with more has several. The rows of a
+    shape have to be in one partition, or else lists are shorter than they could be.
+    """
+    shape = [c for c in df.columns if c not in values]
+    lists = F.expr(f"monotonically_increasing_id() div {at_most}")
+    return (
+        df.select(*shape, F.struct(*values).alias(name))
+        .sortWithinPartitions(*shape)
+        .withColumn("_list", lists)
+        .groupBy(*shape, "_list")
+        .agg(F.collect_list(name).alias(name))
+        .drop("_list")
+    )
+
+
+def cover_size(listed: DataFrame, prefix: str, name: str, cell: float) -> float:
+    """How many rows the lists of shapes take in all map cells that their bounding boxes reach."""
     wide, high = (
-        map_areas.cell_of(F.col(f"max{a}"), cell) - map_areas.cell_of(F.col(f"min{a}"), cell) + 1
+        map_areas.cell_of(F.col(f"{prefix}max{a}"), cell) - map_areas.cell_of(F.col(f"{prefix}min{a}"), cell) + 1
         for a in "xy"
     )
-    return areas.agg(F.sum((wide * high).cast("double")).alias("n")).first()["n"] or 0.0
+    rows = wide * high * (1 + F.size(name) / _KEYS_A_ROW)
+    return listed.agg(F.sum(rows.cast("double")).alias("n")).first()["n"] or 0.0
 
 
 def meeting_pairs(
@@ -81,37 +107,51 @@ def meeting_pairs(
     rings: str | None = None,
     cell: float = FOOTPRINT_CELL,
     limit: int = BROADCAST_ROWS,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Pairs of a footprint and an area that meet: the footprint's columns and the area's keys, each once.
 
     Areas need ``rings`` and bounds; footprints bounds and, unless these are the footprint, the
-    column ``rings``. Both are cut into map cells and meet by an equi-join; a pair is taken in the cell that
-    holds the lower left corner of what their boxes share, and only these are tested edge by edge. The areas are
-    broadcast when the number of their cells has been found small.
+    column ``rings``. ``columns`` are those of the footprint that are wanted, all by default.
+
+    Footprints of one shape are listed first, and so are areas: what meets is found once for two shapes, and only
+    then every row of the one is paired with every key of the other. Shapes are cut into map cells and meet by an
+    equi-join; a pair is taken in the cell that holds the lower left corner of what their boxes share, and only
+    these are tested edge by edge. The areas are broadcast when the number of their cells has been found small.
     """
-    wanted = areas.select(
-        *[F.col(k).alias(f"_key_{k}") for k in keys],
-        geometry.polygon_edges(F.col("rings")).alias("_edges"),
-        *[F.col(c).alias(f"_area_{c}") for c in BBOX],
+    kept = [c for c in columns or footprints.columns if c not in keys]
+    shape = {f"_box_{c}": F.col(c) for c in BBOX} | ({"_rings": F.col(rings)} if rings else {})
+    # Rows of one shape go to several tasks. Pairs are many more than the bytes that are shuffled suggest, so the
+    # number of tasks is given.
+    tasks = int(footprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seen = _listed(
+        footprints.select(
+            *kept, *[c.alias(n) for n, c in shape.items()], F.pmod(F.spark_partition_id(), F.lit(SPREAD)).alias("_task")
+        ).repartition(tasks, *shape, "_task"),
+        kept, "_rows", LISTED,
+    )
+    outline = [*[f"_area_{c}" for c in BBOX], "_outline"]
+    wanted = _listed(
+        areas.select(*keys, *[F.col(c).alias(n) for n, c in zip(outline, [*BBOX, "rings"])]).repartition(*outline),
+        keys, "_keys", LISTED_KEYS,
     )
-    cut = _in_cells(wanted, "_area_", cell)
-    if cover_size(areas, cell) <= limit:
+    cut = _in_cells(
+        wanted.withColumn("_edges", geometry.polygon_edges(F.col("_outline"))).drop("_outline"), "_area_", cell)
+    if cover_size(wanted, "_area_", "_keys", cell) <= limit:
         cut = F.broadcast(cut)
-    met = _in_cells(footprints, "", cell).join(cut, ["cover_x", "cover_y"])
-    box, area = {c: F.col(c) for c in BBOX}, {c: F.col(f"_area_{c}") for c in BBOX}
+    met = _in_cells(seen, "_box_", cell).join(cut, ["cover_x", "cover_y"])
+    box, area = {c: F.col(f"_box_{c}") for c in BBOX}, {c: F.col(f"_area_{c}") for c in BBOX}
     first = geometry.all_of([
         map_areas.cell_of(F.greatest(box[f"min{a}"], area[f"min{a}"]), cell) == F.col(f"cover_{a}")
         for a in "xy"
     ])
     exact = (
-        geometry.polygons_intersect(geometry.polygon_edges(F.col(rings)), F.col("_edges"))
+        geometry.polygons_intersect(geometry.polygon_edges(F.col("_rings")), F.col("_edges"))
         if rings
         else geometry.polygon_meets_box(F.col("_edges"), box)
     )
-    return met.where(first & geometry.bounds_overlap(box, area)).where(exact).select(
-        *[F.col(f"_key_{k}").alias(k) for k in keys],
-        *[F.col(c) for c in footprints.columns if c not in keys],
-    )
+    both = met.where(first & geometry.bounds_overlap(box, area)).where(exact)
+    return both.select("_keys", F.inline("_rows")).select(*kept, F.inline("_keys")).select(*keys, *kept)
 
 
 def search_scenes_of_jobs(
@@ -122,10 +162,14 @@ def search_scenes_of_jobs(
     rings: str | None = None,
     cell: float = FOOTPRINT_CELL,
     limit: int = BROADCAST_ROWS,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Each job's scenes: of the collection, in the job's time from ``first`` to ``last``, on its area."""
+    """Each job's scenes: of the collection, in the job's time from ``first`` to ``last``, on its area.
+
+    ``columns`` are those of the scenes that are wanted, ``ts`` among them; all by default.
+    """
     times = ["first", "last"]
     found = meeting_pairs(
-        scenes.where(F.col("collection") == collection), jobs, [*keys, *times], rings, cell, limit
+        scenes.where(F.col("collection") == collection), jobs, [*keys, *times], rings, cell, limit, columns
     )
     return found.where(F.col("ts").between(F.col("first"), F.col("last"))).drop(*times)

@@ -172,7 +172,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Every job's own scenes, by area and time."""
     return scenes.search_scenes_of_jobs(
-        tables.scenes(spark, sf), tables.search_areas(spark, sf)
+        tables.scenes(spark, sf), tables.search_areas(spark, sf), columns=["scene_id", "ts"]
     ).select("job_id", "scene_id", "ts")
 
 
@@ -181,7 +181,7 @@ def _(spark, sf):
     """Catalogue items on the area of each job."""
     return scenes.meeting_pairs(
         tables.items(spark, sf), tables.search_areas(spark, sf).withColumnRenamed("job_id", "area_id"),
-        ["area_id"],
+        ["area_id"], columns=["ingest_seq"],
     ).select("area_id", "ingest_seq")
 
 

@@ -330,3 +330,62 @@ def test_contact_of_box_and_triangle_follows_the_sides_of_the_corners(spark):
         spark.createDataFrame(areas, f"area long, rings array<array<struct<x:double,y:double>>>, {bounds}"), ["area"])
     assert {(r["area"], r["box"]) for r in found.collect()} == {
         (a[0], b[0]) for a in areas for b in boxes if meets(a, b)}
+
+
+BOUNDS = "minx double, miny double, maxx double, maxy double"
+RINGS = "rings array<array<struct<x:double,y:double>>>"
+
+
+@pytest.mark.parametrize("limit", [0, scenes.BROADCAST_ROWS])
+def test_shapes_are_compared_once_for_all_their_rows(spark, monkeypatch, limit):
+    """1,000 footprints of one place against 100 areas of one outline: few lists of them are compared."""
+    compared = spark.sparkContext.accumulator(0)
+
+    def counted(edges, box):
+        def meets(edges, minx):
+            compared.add(1)
+            return True
+
+        return F.udf(meets, "boolean")(edges, box["minx"])
+
+    monkeypatch.setattr(geometry, "polygon_meets_box", counted)
+    triangle = [[(0.2, 0.2), (0.6, 0.2), (0.2, 0.6), (0.2, 0.2)]]
+    areas = spark.createDataFrame(
+        [(k, triangle, 0.2, 0.2, 0.6, 0.6) for k in range(100)], f"area long, {RINGS}, {BOUNDS}")
+    boxes = spark.createDataFrame([(k, 0.1, 0.1, 0.3, 0.3) for k in range(1000)], f"box long, {BOUNDS}")
+    found = scenes.meeting_pairs(boxes, areas, ["area"], limit=limit).select("area", "box").collect()
+    assert len(found) == len(set(found)) == 100_000
+    assert 0 < compared.value < 500
+
+
+@pytest.mark.parametrize("limit", [0, scenes.BROADCAST_ROWS])
+@pytest.mark.parametrize("rings", [None, "rings"])
+def test_every_row_of_a_shape_is_paired(spark, monkeypatch, rings, limit):
+    """Copies of rows and keys, lists that are full, bounds that are missing, columns named alike on both sides."""
+    monkeypatch.setattr(scenes, "LISTED", 3)
+    monkeypatch.setattr(scenes, "LISTED_KEYS", 2)
+
+    def square(x, y, side):
+        return [[(x, y), (x + side, y), (x + side, y + side), (x, y + side), (x, y)]], x, y, x + side, y + side
+
+    areas = [(f"a{k % 12}", "area", *square(*((0.25, 0.25, 1.5), (5.5, 5.5, 0.25), (-3.0, -3.0, 0.5))[k % 3]))
+             for k in range(20)] + [("none", "area", None, None, None, None, None)]
+    boxes = [(k % 25, "box", *square(*((-0.0, 0.0, 0.5), (1.5, 1.0, 2.0), (5.0, 5.0, 1.0), (9.0, 9.0, 1.0))[k % 4]))
+             for k in range(40)] + [(99, "box", None, None, 0.0, 1.0, 1.0)]
+    expected = sorted(
+        (a[0], b[0], b[3]) for a in areas for b in boxes if None not in (*a[2:], *b[2:])
+        and a[3] <= b[5] and a[5] >= b[3] and a[4] <= b[6] and a[6] >= b[4])
+    pairs = scenes.meeting_pairs(
+        spark.createDataFrame(boxes, f"box long, name string, {RINGS}, {BOUNDS}"),
+        spark.createDataFrame(areas, f"area string, name string, {RINGS}, {BOUNDS}"),
+        ["area", "name"], rings, limit=limit)
+    assert pairs.columns == ["area", "name", "box", "rings", "minx", "miny", "maxx", "maxy"]
+    rows = pairs.collect()
+    assert sorted((r["area"], r["box"], r["minx"]) for r in rows) == expected
+    assert {r["name"] for r in rows} == {"area"} and {str(r["minx"]) for r in rows} == {"-0.0", "1.5", "5.0"}
+    few = scenes.meeting_pairs(
+        spark.createDataFrame(boxes, f"box long, name string, {RINGS}, {BOUNDS}"),
+        spark.createDataFrame(areas, f"area string, name string, {RINGS}, {BOUNDS}"),
+        ["area"], rings, limit=limit, columns=["box"])
+    assert few.columns == ["area", "box"]
+    assert sorted(tuple(r) for r in few.collect()) == [e[:2] for e in expected]
