@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from charscape.constants import SCENE_COLLECTION
@@ -16,11 +16,12 @@ from charscape.operators.sizing import BROADCAST_ROWS
 
 # Side of the cells in which footprints and areas meet, about the size of a footprint.
 FOOTPRINT_CELL = 1.0
-# Footprints of one shape in a list at most, and tasks that they are spread over; keys of areas of one shape in a list.
-# Spark holds what two lists make until it is passed on.
+# Footprints of one shape in a list at most, and keys of areas of one shape. Spark holds what two lists make until it
+# is passed on.
 LISTED = 256
-SPREAD = 64
 LISTED_KEYS = 64
+# Tasks that the footprints of one shape are spread over, at least.
+SPREAD = 8
 # Keys in a list that take the room of a row in a broadcast.
 _KEYS_A_ROW = 8
 
@@ -90,6 +91,19 @@ def _listed(df: DataFrame, values: Sequence[str], name: str, at_most: int) -> Da
     )
 
 
+def _spread(footprints: DataFrame, kept: Sequence[str], tasks: int) -> Column:
+    """A number for each row by which the footprints of one shape are spread over tasks.
+
+    There are as many numbers as an average bounding box fills lists, so that many shapes of few rows still make
+    lists. They come from what the rows hold, however few files these are in.
+    """
+    seen = footprints.agg(
+        F.count("*").alias("rows"), F.approx_count_distinct(F.xxhash64(*BBOX)).alias("boxes")).first()
+    lists = seen["rows"] // (LISTED * max(1, seen["boxes"]))
+    held = [c for c, kind in footprints.select(*kept).dtypes if "map<" not in kind and "variant" not in kind]
+    return F.pmod(F.xxhash64(*held, F.spark_partition_id()), F.lit(max(SPREAD, min(tasks, lists))))
+
+
 def cover_size(listed: DataFrame, prefix: str, name: str, cell: float) -> float:
     """How many rows the lists of shapes take in all map cells that their bounding boxes reach."""
     wide, high = (
@@ -121,12 +135,11 @@ def meeting_pairs(
     """
     kept = [c for c in columns or footprints.columns if c not in keys]
     shape = {f"_box_{c}": F.col(c) for c in BBOX} | ({"_rings": F.col(rings)} if rings else {})
-    # Rows of one shape go to several tasks. Pairs are many more than the bytes that are shuffled suggest, so the
-    # number of tasks is given.
+    # Pairs are many more than the bytes that are shuffled suggest, so the number of tasks is given.
     tasks = int(footprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     seen = _listed(
         footprints.select(
-            *kept, *[c.alias(n) for n, c in shape.items()], F.pmod(F.spark_partition_id(), F.lit(SPREAD)).alias("_task")
+            *kept, *[c.alias(n) for n, c in shape.items()], _spread(footprints, kept, tasks).alias("_task")
         ).repartition(tasks, *shape, "_task"),
         kept, "_rows", LISTED,
     )

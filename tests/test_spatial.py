@@ -389,3 +389,14 @@ def test_every_row_of_a_shape_is_paired(spark, monkeypatch, rings, limit):
         ["area"], rings, limit=limit, columns=["box"])
     assert few.columns == ["area", "box"]
     assert sorted(tuple(r) for r in few.collect()) == [e[:2] for e in expected]
+
+
+def test_rows_of_a_crowded_shape_go_to_several_tasks(spark):
+    """20,000 footprints of one place in a single file are paired by several tasks."""
+    boxes = spark.createDataFrame([(k, 0.1, 0.1, 0.3, 0.3) for k in range(20_000)], f"box long, {BOUNDS}").coalesce(1)
+    ring = [[(0.2, 0.2), (0.6, 0.2), (0.2, 0.6), (0.2, 0.2)]]
+    areas = spark.createDataFrame([(k, ring, 0.2, 0.2, 0.6, 0.6) for k in range(3)], f"area long, {RINGS}, {BOUNDS}")
+    found = scenes.meeting_pairs(boxes, areas, ["area"], columns=["box"])
+    by_task = found.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in by_task) == 60_000
+    assert len(by_task) > 3 and max(r["count"] for r in by_task) < 40_000
